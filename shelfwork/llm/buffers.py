@@ -12,11 +12,14 @@ import pyarrow as pa
 
 #: A batch is cut into blocks of about this many bytes, so that temporary arrays stay small; one row is the least.
 BLOCK = 1 << 21
+ROWS = 4096
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: All but ASCII letters, digits and the bytes of other characters.
+NOT_ALNUM = np.array([not (chr(b).isalnum() or b > 127) for b in range(256)])
 
 _RNG = np.random.default_rng(20240611)
 #: A random 64-bit value for each byte; the base has 3 as its remainder by 4, so that positions mix.
@@ -60,12 +63,12 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def blocks(column: pa.Array, most: int = BLOCK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, row after the last, bytes, offsets from 0) of runs of rows of about ``most`` bytes."""
+    """(first row, row after the last, bytes, offsets from 0) of runs of rows of about ``most`` bytes and at most ROWS rows."""
     data, at = raw(column)
     row, n = 0, len(at) - 1
     while row < n:
         end = max(row + 1, int(np.searchsorted(at, at[row] + most, side="right")) - 1)
-        end = min(end, n)
+        end = min(end, n, row + ROWS)
         yield row, end, data[at[row] : at[end]], at[row : end + 1] - at[row]
         row = end
 
@@ -91,9 +94,10 @@ class Words:
 
     __slots__ = ("start", "length", "per_row", "hash", "lower")
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, hashed: bool = True):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, hashed: bool = True, apart: np.ndarray = SPACE):
+        """``apart`` marks the bytes between words."""
         n = len(data)
-        space = SPACE[data]
+        space = apart[data]
         before = np.empty(n, dtype=bool)
         before[1:] = space[:-1]
         after = np.empty(n, dtype=bool)

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shelfwork.llm import exact_dedup, mixing, packing
-from shelfwork.llm.storage import table
+from shelfwork.llm import exact_dedup, langid, mixing, packing, quality
+from shelfwork.llm.storage import fold, table
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -16,10 +17,25 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = fold(F.col("doc_id"), 4) == 2
+    net, prior = quality.train(docs.where(~held_out), labels)
+    scored = quality.score(docs, net, prior)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("row_hash")
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id"), 5) == 0
+    found = langid.identify(docs, langid.train(docs.where(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -29,7 +45,7 @@ def op8_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_exact_dedup": op2_exact_dedup, "op7_best_fit_packing": op7_best_fit_packing, "op8_pareto_mix": op8_pareto_mix}
+    return {f.__name__: f for f in (op1_quality, op2_exact_dedup, op6_language, op7_best_fit_packing, op8_pareto_mix)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -48,3 +48,10 @@ def sampled(df: DataFrame, key: str, rows: int, cap: int) -> DataFrame:
     if rows <= cap:
         return df
     return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(71)), F.lit(1 << 40)) < int((1 << 40) * (cap / rows)))
+
+
+def fold(doc_id, parts: int):
+    """CRC-32 of the doc_id as text, modulo ``parts``; 0 for a null id."""
+    from pyspark.sql import functions as F
+
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("long").cast("string").cast("binary")), F.lit(parts)), F.lit(0)).cast("int")
