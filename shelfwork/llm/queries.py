@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwork.llm import exact_dedup, langid, mixing, packing, quality
+from shelfwork.llm import exact_dedup, langid, mixing, packing, quality, toxicity
 from shelfwork.llm.storage import fold, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -44,8 +44,16 @@ def op8_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.pareto_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = fold(F.col("doc_id"), 5) == 0
+    model, share = toxicity.train(docs.where(~held_out), labels)
+    scored = toxicity.score(docs, model, share)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_exact_dedup, op6_language, op7_best_fit_packing, op8_pareto_mix)}
+    return {f.__name__: f for f in (op1_quality, op2_exact_dedup, op6_language, op7_best_fit_packing, op8_pareto_mix, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
