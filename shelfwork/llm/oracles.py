@@ -33,4 +33,14 @@ select doc_id, size, source_size, target, cast(case when size = 0 then 0 else si
   when upto - size < rest and upto - rest <= rest - (upto - size) then 1 else 0 end) end as bigint) as taken from c
 """
 
-ORACLES = {"op2_exact_dedup": EXACT_DEDUP, "op8_pareto_mix": PARETO_MIX}
+# base 32 of the 20 bytes of a SHA-1: 32 groups of 5 bits, taken from the hexadecimal digits
+WARC = """
+with p as (select cast(page_id as bigint) as page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as h from pages),
+w as (select *, max(page_id) over (partition by html) as keep from p),
+b as (select *, list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  1 + ((((strpos('0123456789abcdef', substr(h, 1 + (i * 5) // 4, 1)) - 1) * 16 + greatest(strpos('0123456789abcdef', substr(h || '0', 2 + (i * 5) // 4, 1)) - 1, 0)) >> (3 - (i * 5) % 4)) & 31), 1)), 'string_agg', '') as digest from w)
+select page_id, cast(strlen(html) as bigint) as payload_bytes, digest as payload_digest, case when page_id = keep then 'response' else 'revisit' end as record_type,
+  case when page_id <> keep then keep end as refers_to from b
+"""
+
+ORACLES = {"op4_warc": WARC, "op2_exact_dedup": EXACT_DEDUP, "op8_pareto_mix": PARETO_MIX}
