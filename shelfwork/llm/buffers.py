@@ -94,8 +94,8 @@ class Words:
 
     __slots__ = ("start", "length", "per_row", "hash", "lower")
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, hashed: bool = True, apart: np.ndarray = SPACE):
-        """``apart`` marks the bytes between words."""
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, hashed: bool = True, apart: np.ndarray = SPACE, fold: bool = True):
+        """``apart`` marks the bytes between words; ``fold`` lower-cases A-Z."""
         n = len(data)
         space = apart[data]
         before = np.empty(n, dtype=bool)
@@ -110,7 +110,7 @@ class Words:
         self.start = np.flatnonzero(inside & before)
         self.length = np.flatnonzero(inside & after) + 1 - self.start
         self.per_row = np.diff(np.searchsorted(self.start, offsets))
-        self.lower = LOWER[data]
+        self.lower = LOWER[data] if fold else data
         self.hash = self._hashes(inside) if hashed else None
 
     def _hashes(self, inside: np.ndarray) -> np.ndarray:

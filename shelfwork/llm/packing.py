@@ -12,6 +12,7 @@ an empty result; other columns don't matter. Numbers of sequences are unique but
 
 from __future__ import annotations
 
+import os
 import zlib
 
 import numpy as np
@@ -25,50 +26,92 @@ from shelfwork.llm.storage import stash
 CAPACITY = 2048
 #: Pieces dealt to a partition; so many are packed in one task's memory, as numbers only.
 PER_PARTITION = 20_000
-#: Words remembered by a worker; beyond, the memory starts anew.
-REMEMBERED = 400_000
-
-_ENCODERS: dict[str, tuple] = {}
-
-
-def _encoder(path: str):
-    from tokenizers import Tokenizer
-
+#: A worker remembers the ids of words in 2 ** MEMORY_BITS places, and so many ids; beyond, the memory starts anew.
+MEMORY_BITS = 21
+MEMORY_IDS = 12_000_000
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+class Encoder:
+    """Ids of words by a tokenizer whose splitter never joins characters across white space and drops it: a text's ids
+    are those of its words. A word's ids are remembered in the place that its hash gives, until another word takes it."""
+
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.clear()
+
+    def clear(self) -> None:
+        self.tag = np.zeros(1 << MEMORY_BITS, np.uint64)
+        self.at = np.zeros(1 << MEMORY_BITS, np.int64)
+        self.size = np.zeros(1 << MEMORY_BITS, np.int64)
+        self.ids = np.zeros(1 << 16, np.uint32)
+        self.used = 0
+
+    def _add(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        size = np.fromiter(map(len, got), np.int64, len(got))
+        flat = np.fromiter((i for x in got for i in x), np.uint32, int(size.sum()))
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(flat)] = flat
+        at = self.used + np.cumsum(size) - size
+        self.used += len(flat)
+        return at, size
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each closed by 0; how many each text has)."""
+        if self.used > MEMORY_IDS:
+            self.clear()
+        words = buffers.Words(data, offsets, fold=False)
+        h, n = words.hash, len(words.per_row)
+        slot = (h >> np.uint64(64 - MEMORY_BITS)).astype(np.int64)
+        at, size = self.at[slot], self.size[slot]
+        missing = np.flatnonzero(self.tag[slot] != h)
+        if len(missing):
+            fresh, first, where = np.unique(h[missing], return_index=True, return_inverse=True)
+            own = missing[first]
+            body = data.tobytes()
+            texts = [body[s : s + k].decode("utf-8", "replace") for s, k in zip(words.start[own].tolist(), words.length[own].tolist(), strict=True)]
+            new_at, new_size = self._add(texts)
+            at[missing], size[missing] = new_at[where], new_size[where]
+            self.tag[slot[own]], self.at[slot[own]], self.size[slot[own]] = fresh, new_at, new_size
+        total = buffers.sums(size, words.per_row) + 1
+        row = np.repeat(np.arange(n), words.per_row)
+        # a text's ids follow those of the texts before, each of which has one closing id more than its words give
+        put = np.cumsum(size) - size + row
+        out = np.zeros(int(total.sum()), np.uint32)
+        step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        out[np.repeat(put, size) + step] = self.ids[np.repeat(at, size) + step]
+        return out, total
+
+
+def encoder(path: str) -> Encoder:
     if path not in _ENCODERS:
-        _ENCODERS[path] = (Tokenizer.from_file(path), {})
+        _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
 
 
-def encode(texts: list[str], path: str) -> list[np.ndarray]:
-    """Ids of each text and a closing 0.
-
-    The vocabulary's splitter never joins characters across a space or line break and drops these, so a text's ids are
-    those of its chunks between them: each chunk is encoded once and remembered.
-    """
-    tokenizer, known = _encoder(path)
-    chunks = [t.replace("\n", " ").split(" ") for t in texts]
-    fresh = list({c for row in chunks for c in row if c not in known})
-    if len(known) + len(fresh) > REMEMBERED:
-        known.clear()
-        fresh = list({c for row in chunks for c in row})
-    for c, e in zip(fresh, tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-        known[c] = np.array(e.ids, dtype="<u4").tobytes()
-    return [np.frombuffer(b"".join([known[c] for c in row]) + b"\0\0\0\0", dtype="<u4") for row in chunks]
-
-
 def _pieces(path: str, capacity: int):
     def cut(batches):
+        tokens = encoder(path)
         for batch in batches:
-            uid, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for first, end, _, _ in buffers.blocks(batch.column(2), 1 << 22):
-                texts = batch.column(2).slice(first, end - first).fill_null("").to_pylist()
-                rows = []
-                for k, tokens in enumerate(encode(texts, path)):
-                    for piece, start in enumerate(range(0, len(tokens), capacity)):
-                        part = tokens[start : start + capacity]
-                        rows.append((uid[first + k], ids[first + k], piece, start, len(part), zlib.crc32(part.tobytes())))
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["uid", "doc_id", "piece", "start", "length", "ids_crc32"])
+            uid, ids = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            for first, _, data, at in buffers.blocks(batch.column(2)):
+                flat, total = tokens.encode(data, at)
+                begin = np.cumsum(total) - total
+                count = -(-total // capacity)
+                row = np.repeat(np.arange(len(total)), count)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                start = piece * capacity
+                length = np.minimum(capacity, total[row] - start)
+                view = memoryview(flat.astype("<u4", copy=False)).cast("B")
+                crc = [zlib.crc32(view[4 * a : 4 * (a + k)]) for a, k in zip((begin[row] + start).tolist(), length.tolist(), strict=True)]
+                cols = [pa.array(uid[first + row]), pa.array([ids[first + r] for r in row.tolist()], pa.int64()), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, names=["uid", "doc_id", "piece", "start", "length", "ids_crc32"])
 
     return cut
 
@@ -134,9 +177,10 @@ _PACKED = "uid long, piece int, length long, bin long, offset long, closed boole
 
 def _pack(round_no: int, capacity: int):
     def run(batches):
-        table = pa.Table.from_batches(batches)
-        if not table.num_rows:
+        held = list(batches)  # numbers of one part, PER_PARTITION pieces on average
+        if not sum(b.num_rows for b in held):
             return
+        table = pa.Table.from_batches(held)
         group = table["part"].to_numpy()
         for part in np.unique(group):
             own = table.filter(pa.array(group == part)).sort_by([("length", "descending"), ("uid", "ascending"), ("piece", "ascending")])
