@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwork.llm import exact_dedup, langid, mixing, packing, quality, toxicity, warc
+from shelfwork.llm import exact_dedup, langid, mixing, mixing_lm, packing, quality, toxicity, warc
 from shelfwork.llm.storage import fold, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -33,6 +33,13 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op5_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id"), 7) == 2
+    scored = mixing_lm.score(docs, docs.where(~held_out))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = fold(F.col("doc_id"), 5) == 0
@@ -57,7 +64,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_exact_dedup, op4_warc, op6_language, op7_best_fit_packing, op8_pareto_mix, op9_toxicity)}
+    return {f.__name__: f for f in (op1_quality, op2_exact_dedup, op4_warc, op5_context_mixing, op6_language, op7_best_fit_packing, op8_pareto_mix, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
