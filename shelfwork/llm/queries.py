@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwork.llm import exact_dedup, langid, mixing, mixing_lm, packing, quality, toxicity, warc
+from shelfwork.llm import edit_embedding, exact_dedup, langid, mixing, mixing_lm, packing, quality, toxicity, warc
 from shelfwork.llm.storage import fold, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -63,8 +63,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op10_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_embedding.edit_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_exact_dedup, op4_warc, op5_context_mixing, op6_language, op7_best_fit_packing, op8_pareto_mix, op9_toxicity)}
+    return {f.__name__: f for f in (op1_quality, op2_exact_dedup, op4_warc, op5_context_mixing, op6_language, op7_best_fit_packing, op8_pareto_mix, op9_toxicity, op10_edit_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
