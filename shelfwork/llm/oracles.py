@@ -43,4 +43,20 @@ select page_id, cast(strlen(html) as bigint) as payload_bytes, digest as payload
   case when page_id <> keep then keep end as refers_to from b
 """
 
-ORACLES = {"op4_warc": WARC, "op2_exact_dedup": EXACT_DEDUP, "op8_pareto_mix": PARETO_MIX}
+NGRAM_JOIN = f"""
+with recursive t as (select cast(doc_id as bigint) as doc_id, regexp_extract_all({LOWER}, '[^\\x20\\x09-\\x0D]+') as w from documents),
+u as (select dense_rank() over (order by w) as uid, w, doc_id from t),
+k as (select distinct uid, w from u where len(w) > 0),
+s as (select distinct uid, unnest(case when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as g from k),
+n as (select uid, count(*) as n from s group by uid),
+c as (select a.uid as a, b.uid as b, count(*) as common from s a join s b on a.g = b.g and a.uid < b.uid group by 1, 2),
+e as (select c.a, c.b from c join n x on x.uid = c.a join n y on y.uid = c.b where common * 5 >= (x.n + y.n - common) * 4),
+sym as (select a, b from e union all select b, a from e),
+reach as (select uid, uid as root from k union select sym.b, reach.root from reach join sym on sym.a = reach.uid),
+cls as (select uid, min(root) as root from reach group by uid),
+l as (select a as uid, count(*) as n_links from sym group by a),
+r as (select u.doc_id, case when len(u.w) = 0 then -1 - u.doc_id else cls.root end as class, coalesce(l.n_links, 0) as n_links from u left join cls on cls.uid = u.uid left join l on l.uid = u.uid)
+select doc_id, min(doc_id) over (partition by class) as class_id, cast(n_links as bigint) as n_links, count(*) over (partition by class) as class_size, doc_id = min(doc_id) over (partition by class) as kept from r
+"""
+
+ORACLES = {"op3_ngram_join": NGRAM_JOIN, "op4_warc": WARC, "op2_exact_dedup": EXACT_DEDUP, "op8_pareto_mix": PARETO_MIX}

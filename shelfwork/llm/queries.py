@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwork.llm import edit_embedding, exact_dedup, langid, mixing, mixing_lm, packing, quality, toxicity, warc
+from shelfwork.llm import edit_embedding, exact_dedup, langid, mixing, mixing_lm, ngram_join, packing, quality, toxicity, warc
 from shelfwork.llm.storage import fold, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -29,6 +29,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("row_hash")
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents")).drop("row_hash")
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -68,7 +72,7 @@ def op10_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_exact_dedup, op4_warc, op5_context_mixing, op6_language, op7_best_fit_packing, op8_pareto_mix, op9_toxicity, op10_edit_fingerprints)}
+    return {f.__name__: f for f in (op1_quality, op2_exact_dedup, op3_ngram_join, op4_warc, op5_context_mixing, op6_language, op7_best_fit_packing, op8_pareto_mix, op9_toxicity, op10_edit_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
