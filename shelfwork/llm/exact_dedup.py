@@ -20,17 +20,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from shelfwork.llm import buffers
+from shelfwork.llm import bloom, buffers
 from shelfwork.llm.storage import stash
 
 #: Two primes below 2 ** 31 and a base for each: a product of residues fits in 64 bits.
 PRIMES = (2147483647, 2147483629)
 BASES = (1103515245, 1812433253)
 CHUNK = 1 << 16
-#: The filter of repeated keys has 2 ** BLOOM_BITS bits, however many keys there are; a false hit only costs a comparison.
-BLOOM_BITS = 24
 SALTS = 16
 
 _TABLES: dict[int, list[np.ndarray]] = {}
@@ -101,27 +98,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_fingerprints, "uid long, doc_id long, fp long, n_bytes long, text_sha256 string, row_hash long")
 
 
-def _slots(fp: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
-    """Three bit positions for each key."""
-    h = buffers.mix(fp.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + n_bytes.astype(np.uint64))
-    return np.stack([(h >> np.uint64(k)) & np.uint64((1 << BLOOM_BITS) - 1) for k in (0, 19, 38)])
+def _joint(fp, n_bytes):
+    """One number for a key, for the filter."""
+    return fp.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + n_bytes.astype(np.uint64)
 
 
-def _filter_words(batches):
+def _joined(batches):
     for batch in batches:
-        slot = _slots(batch.column(0).to_numpy(), batch.column(1).to_numpy()).ravel()
-        word, at = np.unique(slot >> np.uint64(6), return_inverse=True)
-        bits = np.zeros(len(word), np.uint64)
-        np.bitwise_or.at(bits, at, np.uint64(1) << (slot & np.uint64(63)))
-        yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(bits.view(np.int64))], names=["word", "bits"])
-
-
-def _repeated_filter(groups: DataFrame) -> np.ndarray:
-    """Bloom filter of repeated keys, 2 ** BLOOM_BITS bits in all."""
-    words = groups.select("fp", "n_bytes").mapInArrow(_filter_words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    table = np.zeros(1 << (BLOOM_BITS - 6), np.uint64)
-    table[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
-    return table
+        key = _joint(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], names=["key"])
 
 
 _PART = "doc_id long, fp long, n_bytes long, part int, data binary, differs boolean"
@@ -144,8 +129,7 @@ def _parts(table):
                 low = _normal(data[at[i] : at[i + 1]])
                 a, b, n = fingerprint(np.frombuffer(low, np.uint8))
                 key = _key(a, b)
-                slot = _slots(np.array([key]), np.array([n]))
-                if not ((bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1)).all():
+                if not bloom.maybe(bits, _joint(np.array([key]), np.array([n])))[0]:
                     continue
                 for part, k in enumerate(range(0, max(n, 1), CHUNK)):
                     rows.append((doc, key, n, part, low[k : k + CHUNK], False))
@@ -183,7 +167,7 @@ def _compared(parts: DataFrame, salts: int) -> DataFrame:
 def colliding(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """The keys (fp, n_bytes) of ``groups`` under which ``docs`` has texts that are not equal."""
     spark = docs.sparkSession
-    table = spark.sparkContext.broadcast(_repeated_filter(groups))
+    table = spark.sparkContext.broadcast(bloom.gather(groups.select("fp", "n_bytes").mapInArrow(_joined, "key long")))
     parts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_parts(table), _PART)
     inside = stash(_compared(parts, SALTS), "compared")
     across = _compared(inside, 1)
@@ -206,11 +190,3 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
         (F.coalesce("top.uid", "uid") == F.col("uid")).alias("kept"), "text_sha256", "row_hash",
     )
 
-
-def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` named in ``kept`` (doc_id, row_hash), once each, with the columns of ``docs``."""
-    mark = [F.col("__doc").eqNullSafe(F.col("__kept_doc")), F.col("__hash") == F.col("__kept_hash")]
-    rows = docs.withColumns({"__doc": F.col("doc_id").cast("long"), "__hash": F.xxhash64(F.col("text").cast("string"))})
-    found = rows.join(kept.select(F.col("doc_id").alias("__kept_doc"), F.col("row_hash").alias("__kept_hash")), mark, "left_semi")
-    w = Window.partitionBy("__doc", "__hash").orderBy(F.lit(1))
-    return found.withColumn("__n", F.row_number().over(w)).where("__n = 1").select(docs.columns)
