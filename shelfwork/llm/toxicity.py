@@ -7,7 +7,7 @@ about the same probability from both.
 
 Words of little evidence would drown the few that count in a long text, so differences below a margin are kept apart
 from clear ones, and a logistic regression weighs both. It is fitted on a quarter of the labelled rows, chosen by hash,
-that the counts leave out. Labelled rows are a bounded sample, ``cap`` toxic and twice as many ordinary ones; counting
+that the counts leave out. Labelled rows are a bounded sample, ``cap`` toxic and as many ordinary ones; counting
 is done in Spark, and what exceeds the size of the model's table is left out by frequency. Texts are scored whole.
 
 Words are runs of letters, digits and non-ASCII bytes, lower-cased.
@@ -150,7 +150,7 @@ def calibrate(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1e-2
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, cap: int = 8000) -> tuple[Model | None, float]:
+def train(docs: DataFrame, labels: DataFrame, cap: int = 4000) -> tuple[Model | None, float]:
     """(model, share of toxic rows) from ``docs`` (doc_id, text) of the training fold and ``labels`` (doc_id, toxic)."""
     known = labels.where("toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -159,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, cap: int = 8000) -> tuple[Model |
     share = seen.get(1, 0) / max(1, sum(seen.values()))
     if not seen.get(1) or not seen.get(0):
         return None, share
-    chosen = sampled(known.where("toxic = 1"), "doc_id", seen[1], cap).unionByName(sampled(known.where("toxic = 0"), "doc_id", seen[0], 2 * cap))
+    chosen = sampled(known.where("toxic = 1"), "doc_id", seen[1], cap).unionByName(sampled(known.where("toxic = 0"), "doc_id", seen[0], cap))
     rows = stash(chosen.join(texts, "doc_id").withColumn("apart", F.pmod(F.xxhash64("text", F.lit(9)), F.lit(4)) == 0), "labelled")
     counts = rows.where("not apart").select("toxic", "text").mapInArrow(_counted, "order int, key long, before long, word long, toxic long, ordinary long")
     counts = stash(counts.groupBy("order", "key").agg(F.min("before").alias("before"), F.min("word").alias("word"), F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")), "expressions")
