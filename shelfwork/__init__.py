@@ -1,0 +1 @@
+"""Batch jobs for a game catalogue and its users' backlogs, on Spark DataFrames."""
