@@ -53,11 +53,11 @@ def targets(sources: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: floa
     before, after = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(0, Window.unboundedFollowing)
     total = F.sum("source_size").over(Window.partitionBy()) * F.lit(share)
     level = (total - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / F.sum("weight").over(after)
-    rows = rows.withColumn("level", level)
+    rows = rows.withColumn("level", level).withColumn("turn", F.row_number().over(by))
     # the level that holds: the first at which the source in turn is not above its cap
-    free = F.min(F.when(F.col("level") * F.col("weight") <= F.col("most"), F.struct(F.col("most") / F.col("weight"), "level"))).over(Window.partitionBy())
+    free = F.min(F.when(F.col("level") * F.col("weight") <= F.col("most"), F.struct("turn", "level"))).over(Window.partitionBy())
     rows = rows.withColumn("free", free["level"])
-    return rows.withColumn("target", F.when(F.col("free").isNull(), F.col("most")).otherwise(F.least("most", F.col("free") * F.col("weight")))).drop("level", "free", "most")
+    return rows.withColumn("target", F.when(F.col("free").isNull(), F.col("most")).otherwise(F.least("most", F.col("free") * F.col("weight")))).drop("level", "free", "most", "turn")
 
 
 def pareto_mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: str = "mix:", measure: str | None = None) -> DataFrame:
@@ -122,8 +122,8 @@ def _held(rows: DataFrame, cut: DataFrame, bucket: str) -> DataFrame:
 
 def take_copies(docs: DataFrame, mix: DataFrame) -> DataFrame:
     """The rows of ``docs``, as many times as ``mix`` takes them, with the columns of ``docs``."""
-    rows = docs.withColumns({"__doc": F.col("doc_id").cast("long"), "__hash": F.xxhash64(F.col("text").cast("string"))})
-    n = mix.where("copies > 0").groupBy(F.col("doc_id").alias("__d"), F.col("row_hash").alias("__h")).agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
-    w = Window.partitionBy("__doc", "__hash").orderBy(F.lit(1))
-    found = rows.join(n, F.col("__doc").eqNullSafe(F.col("__d")) & (F.col("__hash") == F.col("__h"))).withColumn("__k", F.row_number().over(w)).where("__k = 1")
-    return found.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(docs.columns)
+    rows = docs.withColumns({"__shelfwork_doc": F.col("doc_id").cast("long"), "__shelfwork_hash": F.xxhash64(F.col("text").cast("string"))})
+    n = mix.where("copies > 0").groupBy(F.col("doc_id").alias("__shelfwork_d"), F.col("row_hash").alias("__shelfwork_h")).agg(F.sum("copies").alias("__shelfwork_copies"))
+    w = Window.partitionBy("__shelfwork_doc", "__shelfwork_hash").orderBy(F.lit(1))
+    found = rows.join(n, F.col("__shelfwork_doc").eqNullSafe(F.col("__shelfwork_d")) & (F.col("__shelfwork_hash") == F.col("__shelfwork_h"))).withColumn("__shelfwork_k", F.row_number().over(w)).where("__shelfwork_k = 1")
+    return found.withColumn("__shelfwork_copy", F.explode(F.sequence(F.lit(1), F.col("__shelfwork_copies").cast("int")))).select(docs.columns)

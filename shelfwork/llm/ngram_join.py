@@ -149,16 +149,15 @@ def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshol
 def _verified(threshold):
     """Rows come sorted by (root, lo, hi, uid): uid, least linked uid of its group, number of links."""
 
-    def check(uids, sides, texts):
+    def check(key, uids, sides, texts):
         column = pa.array(texts, pa.string())
         sets = []
         for _, _, data, at in buffers.blocks(column, 1 << 22):
             hashes, per = buffers.shingles(buffers.Words(data, at), WIDTH)
             sets += [np.unique(x) for x in np.split(hashes, np.cumsum(per)[:-1])]
         uid, side = np.array(uids, np.int64), np.array(sides)
-        same = not (side == 1).any()
         left = np.flatnonzero(side == 0)
-        right = left if same else np.flatnonzero(side == 1)
+        right = left if key[1] == key[2] else np.flatnonzero(side == 1)
         if not len(left) or not len(right):
             return None
         near = linked(sets, left, right, threshold)
@@ -188,7 +187,7 @@ def _verified(threshold):
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("root", "lo", "hi", "uid", "side", "text")), strict=True):
                 if row[:3] != key:
-                    if len(uids) > 1 and (got := check(uids, sides, texts)):
+                    if len(uids) > 1 and (got := check(key, uids, sides, texts)):
                         out.append(got)
                     key, uids, sides, texts = row[:3], [], [], []
                 elif uids and uids[-1] == row[3]:
@@ -199,7 +198,7 @@ def _verified(threshold):
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["uid", "least", "links"])
                 out = []
-        if len(uids) > 1 and (got := check(uids, sides, texts)):
+        if len(uids) > 1 and (got := check(key, uids, sides, texts)):
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in got], names=["uid", "least", "links"])
 
     return run

@@ -15,8 +15,8 @@ base as (select cast(doc_id as bigint) as doc_id, source, cast(coalesce(len(rege
 src as (select source, sum(size) as source_size from base group by source),
 w as (select source, source_size, source_size * 2.0::double as most, list_value(5.0::double, 2.0::double, 1.0::double)[1 + (row_number() over (order by source is null, source) - 1) % 3] as weight from src),
 lev as (select *, (sum(source_size) over () * 1.5::double - coalesce(sum(most) over (order by most / weight, source is null, source rows between unbounded preceding and 1 preceding), 0))
-   / sum(weight) over (order by most / weight, source is null, source rows between current row and unbounded following) as level from w),
-free as (select arg_min(level, most / weight) as free from lev where level * weight <= most),
+   / sum(weight) over (order by most / weight, source is null, source rows between current row and unbounded following) as level, row_number() over (order by most / weight, source is null, source) as turn from w),
+free as (select arg_min(level, turn) as free from lev where level * weight <= most),
 goal as (select source, cast(source_size as bigint) as source_size, coalesce(least(most, (select free from free) * weight), most) as target from lev)
 """
 

@@ -3,8 +3,8 @@
 Documents become token ids with a closing 0; only those longer than a sequence are cut. Pieces that fill a sequence are
 sequences of their own. The others are dealt to partitions, each packed by best-fit decreasing. A lower bound from
 dual-feasible functions certifies a partition when it equals the number of its bins. Partitions with a gap keep their
-full bins and put the pieces of all others in common; these are dealt anew to fewer partitions and packed again, until
-all are certified or one partition is left.
+full bins and put the pieces of all others in common; these are dealt anew to fewer and larger partitions and packed
+again, until all are certified, one partition is left, the exchange gains nothing, or ROUNDS are over.
 
 Defined results: null text is empty and gives one piece of one id; repeated rows are packed each; an empty table gives
 an empty result; other columns don't matter. Numbers of sequences are unique but not consecutive.
@@ -26,6 +26,8 @@ from shelfwork.llm.storage import stash
 CAPACITY = 2048
 #: Pieces dealt to a partition; so many are packed in one task's memory, as numbers only.
 PER_PARTITION = 20_000
+#: Packings of what is still open; each deals twice as many pieces to a partition as the one before.
+ROUNDS = 5
 #: A worker remembers the ids of words in 2 ** MEMORY_BITS places, and so many ids; beyond, the memory starts anew.
 MEMORY_BITS = 21
 MEMORY_IDS = 12_000_000
@@ -212,22 +214,23 @@ def pack(items: DataFrame, capacity: int = CAPACITY, per_partition: int = PER_PA
     """uid, piece, sequence_id, offset of ``items`` (uid, piece, length up to ``capacity``, each pair once)."""
     full = items.where(F.col("length") == capacity).select("uid", "piece", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = items.where(F.col("length") < capacity).select("uid", "piece", "length")
-    done, round_no = full, 0
-    n = rest.count()
-    while n:
-        partitions = max(1, -(-n // per_partition))
+    done, last, bins = full, None, 0
+    place = lambda rows: rows.select("uid", "piece", F.col("bin").alias("sequence_id"), "offset")
+    for round_no in range(ROUNDS):
+        n = rest.count()
+        if not n:
+            return done
+        partitions = max(1, -(-n // (per_partition << round_no)))
         packed = stash(_packed(rest, partitions, round_no, capacity), "packed")
-        closed = packed if partitions == 1 else packed.where("closed")
-        done = done.unionByName(closed.select("uid", "piece", F.col("bin").alias("sequence_id"), "offset"))
+        if last is not None and packed.select("bin").distinct().count() >= bins:
+            break  # the exchange gained nothing: the packing before it stays
+        done = done.unionByName(place(packed.where("closed")))
+        last = packed.where("not closed")
+        bins = last.select("bin").distinct().count()
         if partitions == 1:
             break
-        rest = packed.where("not closed").select("uid", "piece", "length")
-        before, n = n, rest.count()
-        if n > 0.9 * before:  # the exchange no longer helps: what is left is packed and kept as it is
-            done = done.unionByName(packed.where("not closed").select("uid", "piece", F.col("bin").alias("sequence_id"), "offset"))
-            break
-        round_no += 1
-    return done
+        rest = last.select("uid", "piece", "length")
+    return done if last is None else done.unionByName(place(last))
 
 
 def best_fit_packing(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, per_partition: int = PER_PARTITION) -> DataFrame:
