@@ -145,7 +145,9 @@ def register_users(users: DataFrame, commands: DataFrame, rounds: int = 64) -> t
     first in both, refuse those who share a key with them, and again with the others. The undecided of a round are
     written to the checkpoint folder; the first round decides nearly all.
     """
-    spark = commands.sparkSession
+    context = commands.sparkSession.sparkContext
+    if not context.getCheckpointDir() and (folder := commands.sparkSession.conf.get("spark.checkpoint.dir", None)):
+        context.setCheckpointDir(folder)
     taken_u, taken_e = users.select("username").distinct(), users.select("email").distinct()
     free = commands.join(taken_u, "username", "left_anti").join(taken_e, "email", "left_anti")
     accepted, open_ = None, free
@@ -155,9 +157,7 @@ def register_users(users: DataFrame, commands: DataFrame, rounds: int = 64) -> t
         now = ranked.where("__u = 1 and __e = 1").drop("__u", "__e")
         accepted = now if accepted is None else accepted.unionByName(now)
         rest = open_.join(now.select("username"), "username", "left_anti").join(now.select("email"), "email", "left_anti")
-        if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
-            rest = rest.checkpoint()
-        open_ = rest
+        open_ = rest.checkpoint() if context.getCheckpointDir() else rest
         if open_.isEmpty():
             break
     rejects = commands.join(accepted.select("seq"), "seq", "left_anti").select("seq", F.lit("DUPLICATE_USER").alias("reason"))
