@@ -22,6 +22,7 @@ training; without training rows each bit has probability 1/2; other columns don'
 from __future__ import annotations
 
 import uuid
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwork.llm import buffers
-from shelfwork.llm.storage import stash
+from shelfwork.llm.storage import drop, short_batches, stash
 
 #: Orders 0 to ORDERS - 1, so a bit depends on ORDERS bytes; 8 at most.
 ORDERS = 7
 SLOT_BITS = 22
 END = 255
-MEMORY_BITS = 21
+MEMORY_BITS = 22
 #: Words in the broadcast table at most.
 TOP = 1 << 20
 GATES = 4 * ORDERS + 1
@@ -64,10 +65,19 @@ def codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return code[keep], lengths + 1
 
 
-def slots(code: np.ndarray, order: int, node: np.ndarray) -> np.ndarray:
+def slots(code: np.ndarray, order: int) -> list[np.ndarray]:
+    """Places of the counts of the eight bits, the highest first. A context has 16 neighbouring places for the first four
+    bits and, for each value of these, 16 others for the last four."""
     context = (code >> _U(8)) & _U((1 << (8 * order)) - 1)
-    h = buffers.mix(context * _U(0x9E3779B97F4A7C15) + _U(order * 256) + node)
-    return (h >> _U(64 - SLOT_BITS)).astype(np.int64)
+    h = context * _U(0x9E3779B97F4A7C15) + _U(order * 1000003 + 1)
+    byte = (code & _U(255)).astype(np.int64)
+    out = []
+    for half, before in ((0, _U(0)), (1, (code & _U(0xF0)) + _U(1))):
+        base = (buffers.mix(h + before * _U(0xD1342543DE82EF95)) >> _U(64 - SLOT_BITS)).astype(np.int64) & ~15
+        for k in range(4):
+            shift = 8 - 4 * half - k
+            out.append(base + ((byte >> shift) & ((1 << k) - 1)) + (1 << k))
+    return out
 
 
 def _reduced(keys: list, counts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -77,7 +87,7 @@ def _reduced(keys: list, counts: list) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _emit(kind: int, key: np.ndarray, n: np.ndarray):
-    part = ((key >> _U(8)) & _U(0xFFFF)).astype(np.int32)
+    part = ((key >> _U(8)) & _U(0xFFFFFF)).astype(np.int32)
     cols = [pa.array(np.full(len(key), kind, np.int32)), pa.array(part), pa.array(key.view(np.int64)), pa.array(n)]
     return pa.RecordBatch.from_arrays(cols, names=["kind", "part", "key", "n"])
 
@@ -128,101 +138,126 @@ def _tables(batches):
     for order in range(ORDERS):
         table = np.zeros((2, 1 << SLOT_BITS))
         own = n >= (2 if order > 4 else 1)  # what occurs once says nothing of other texts, but would fill the table
-        node = np.ones(int(own.sum()), _U)
-        for j in range(7, -1, -1):
-            bit = (byte[own] >> _U(j)) & _U(1)
-            np.add.at(table, (bit.astype(np.int64), slots(code[own], order, node)), n[own])
-            node = node * _U(2) + bit
+        for k, slot in enumerate(slots(code[own], order)):
+            bit = ((byte[own] >> _U(7 - k)) & _U(1)).astype(np.int64)
+            np.add.at(table, (bit, slot), n[own])
         at = np.flatnonzero(table.sum(axis=0))
         for k in range(0, len(at), 200_000):
             own = at[k : k + 200_000]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), order, np.int32)), pa.array(own.astype(np.int32)), pa.array(table[0, own]), pa.array(table[1, own])], names=["ord", "slot", "n0", "n1"])
 
 
-def stretch(p):
-    return np.log(p / (1 - p))
-
-
 def squash(x):
     return 1 / (1 + np.exp(-np.clip(x, -14, 14)))
 
 
+#: A count in one byte: exact up to 16, then in steps of 3 percent.
+COUNT = np.concatenate([np.arange(16), 16 * np.exp(0.03 * np.arange(240))]).astype(np.float32)
+
+
+def as_bytes(n: np.ndarray) -> np.ndarray:
+    n = np.maximum(np.asarray(n, np.float64), 0)
+    return np.where(n < 16, np.rint(n), np.minimum(255, np.rint(16 + np.log(np.maximum(n, 16) / 16) / 0.03))).astype(np.uint8)
+
+
+def _pairs() -> tuple[np.ndarray, np.ndarray]:
+    """For each pair of counts in bytes (zeros low, ones high): the stretched probability of a one, and how often seen."""
+    n0, n1 = np.tile(COUNT.astype(np.float64), 256), np.repeat(COUNT.astype(np.float64), 256)
+    n = n0 + n1
+    spare = 0.05 + 0.02 * n / (n + 4)
+    x = np.clip(np.log((n1 + spare) / (n0 + spare)), -9, 9)
+    often = np.where(n > 0, 1 + (n >= 3).astype(np.int64) + (n >= 12) + (n >= 60), 0)
+    return x.astype(np.float32), often.astype(np.int8)
+
+
+STRETCHED, OFTEN = _pairs()
+
+
 class Model:
-    def __init__(self, table: np.ndarray):
-        """``table``: (orders, 2, slots) counts of zeros and ones."""
-        self.name = uuid.uuid4().hex
+    """``table``: (orders, slots), counts of zeros and ones in two bytes, with the weights and the refinement."""
+
+    def __init__(self, table: np.ndarray, weights: np.ndarray | None = None, refined: np.ndarray | None = None):
         self.table = table
-        self.weights = np.full((GATES, INPUTS), 0.0)
-        self.weights[:, :ORDERS] = 0.35
-        self.refined = np.zeros((256, BUCKETS, 2))
-
-    def inputs(self, code: np.ndarray, node: np.ndarray, bit: np.ndarray | None = None):
-        """(inputs, gate) of a bit; with ``bit``, of one that the counts hold: its own occurrence doesn't count."""
-        x = np.empty((len(code), INPUTS))
-        gate = np.zeros(len(code), np.int64)
-        for order in range(ORDERS):
-            slot = slots(code, order, node)
-            n0, n1 = self.table[order, 0, slot].astype(np.float64), self.table[order, 1, slot].astype(np.float64)
-            if bit is not None:
-                n0, n1 = np.maximum(n0 - (1 - bit), 0), np.maximum(n1 - bit, 0)
-            n = n0 + n1
-            x[:, order] = np.clip(np.log((n1 + 0.05 + 0.02 * n / (n + 4)) / (n0 + 0.05 + 0.02 * n / (n + 4))), -9, 9)
-            often = 4 * order + 1 + (n >= 3) + (n >= 12) + (n >= 60)
-            gate = np.where(n > 0, often, gate)
-        x[:, ORDERS] = 0.3
-        return x, gate
+        if weights is None:
+            weights = np.zeros((GATES, INPUTS))
+            weights[:, :ORDERS] = 0.35
+        self.weights = weights
+        self.refined = np.zeros((256, BUCKETS, 2)) if refined is None else refined
+
+    def bits(self, code: np.ndarray, apart: bool = False):
+        """For each of the eight bits: (bit, order-0 context, inputs, gate). With ``apart`` the counts hold these bits
+        themselves, and they are left out."""
+        places = [slots(code, order) for order in range(ORDERS)]
+        byte = (code & _U(255)).astype(np.int64)
+        for k in range(8):
+            bit = (byte >> (7 - k)) & 1
+            x = np.empty((len(code), INPUTS), np.float32)
+            gate = np.zeros(len(code), np.int64)
+            for order in range(ORDERS):
+                pair = self.table[order].take(places[order][k])
+                if apart:  # counts above 16 hardly change by one
+                    own = np.where(bit == 1, pair >> 8, pair & 255)
+                    pair = pair - np.where((own > 0) & (own <= 16), np.where(bit == 1, 256, 1), 0).astype(np.uint16)
+                x[:, order] = STRETCHED.take(pair)
+                often = OFTEN.take(pair)
+                gate = np.where(often > 0, 4 * order + often, gate)
+            x[:, ORDERS] = 0.3
+            yield bit, (byte >> (8 - k)) | (1 << k), x, gate
+
+    def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
+        """The weighted sum, in the stretched domain."""
+        return np.einsum("ij,ij->i", self.weights.astype(np.float32).take(gate, axis=0), x).astype(np.float64)
 
     def _bucket(self, z: np.ndarray) -> np.ndarray:
         return np.clip(np.rint((z + 8) * 2), 0, BUCKETS - 1).astype(np.int64)
 
-    def probability(self, x, gate, node) -> np.ndarray:
-        """Of a one: the mixture, averaged with what came out before where it said the same."""
-        z = np.einsum("ij,ij->i", self.weights[gate], x)
-        p = squash(z)
-        seen = self.refined[node.astype(np.int64), self._bucket(z)]
-        r = (seen[:, 1] + 8 * p) / (seen[:, 0] + seen[:, 1] + 8)
-        return np.clip(0.5 * p + 0.5 * r, 1e-6, 1 - 1e-6)
-
     def log10(self, code: np.ndarray) -> np.ndarray:
-        """log10 of the probability of the last byte after those before it."""
-        out, node = np.zeros(len(code)), np.ones(len(code), _U)
-        for j in range(7, -1, -1):
-            bit = ((code & _U(255)) >> _U(j)) & _U(1)
-            x, gate = self.inputs(code, node)
-            p = self.probability(x, gate, node)
+        """log10 of the probability of the last byte after those before it: the mixture of each bit, averaged with what
+        came out before where it said the same."""
+        out = np.zeros(len(code))
+        for bit, node, x, gate in self.bits(code):
+            z = self.mixed(x, gate)
+            p = squash(z)
+            seen = self.refined[node, self._bucket(z)]
+            r = (seen[:, 1] + 8 * p) / (seen[:, 0] + seen[:, 1] + 8)
+            p = np.clip(0.5 * p + 0.5 * r, 1e-6, 1 - 1e-6)
             out += np.log10(np.where(bit == 1, p, 1 - p))
-            node = node * _U(2) + bit
         return out
 
     def learn(self, code: np.ndarray, n: np.ndarray, rate: float) -> None:
         """One online step for each of the eight bits of a small run of sequences."""
-        node = np.ones(len(code), _U)
-        for j in range(7, -1, -1):
-            bit = ((code & _U(255)) >> _U(j)) & _U(1)
-            b = bit.astype(np.float64)
-            x, gate = self.inputs(code, node, b)
-            error = (b - squash(np.einsum("ij,ij->i", self.weights[gate], x))) * n
-            step = np.zeros_like(self.weights)
-            np.add.at(step, gate, error[:, None] * x)
+        for bit, _, x, gate in self.bits(code, apart=True):
+            error = (bit - squash(self.mixed(x, gate))) * n
+            step = np.stack([np.bincount(gate, weights=error * x[:, k], minlength=GATES) for k in range(INPUTS)], axis=1)
             mass = np.bincount(gate, weights=n, minlength=GATES)
             self.weights += rate * step / (mass + 1)[:, None]
-            node = node * _U(2) + bit
 
     def observe(self, code: np.ndarray, n: np.ndarray, seen: np.ndarray) -> None:
         """Add to ``seen`` what came out, by order-0 context and bucket of the mixture."""
-        node = np.ones(len(code), _U)
-        for j in range(7, -1, -1):
-            bit = ((code & _U(255)) >> _U(j)) & _U(1)
-            x, gate = self.inputs(code, node, bit.astype(np.float64))
-            z = np.einsum("ij,ij->i", self.weights[gate], x)
-            np.add.at(seen, (node.astype(np.int64), self._bucket(z), bit.astype(np.int64)), n)
-            node = node * _U(2) + bit
+        for bit, node, x, gate in self.bits(code, apart=True):
+            cell = (node * BUCKETS + self._bucket(self.mixed(x, gate))) * 2 + bit
+            seen += np.bincount(cell, weights=n, minlength=seen.size).reshape(seen.shape)
+
+
+_TABLES: dict[str, np.ndarray] = {}
+
+
+def _shared(table: np.ndarray, spark):
+    """A broadcast of the table, packed: mostly zeros where texts are few."""
+    return spark.sparkContext.broadcast((uuid.uuid4().hex, zlib.compress(table.tobytes(), 1)))
+
+
+def _unpacked(shared) -> np.ndarray:
+    name, packed = shared.value
+    if name not in _TABLES:
+        _TABLES.clear()
+        _TABLES[name] = np.frombuffer(zlib.decompress(packed), np.uint16).reshape(ORDERS, -1)
+    return _TABLES[name]
 
 
-def _learned(shared, rate: float):
+def _learned(shared, weights: np.ndarray, rate: float):
     def run(batches):
-        model, mass = shared.value, 0.0
-        model.weights = model.weights.copy()
+        model, mass = Model(_unpacked(shared), weights.copy()), 0.0
         for batch in batches:
             code, n = batch.column(0).to_numpy().view(_U), batch.column(1).to_numpy().astype(np.float64)
             order = np.argsort(buffers.mix(code.copy()))  # neighbours in a run aren't neighbours in the table
@@ -236,11 +271,11 @@ def _learned(shared, rate: float):
     return run
 
 
-def _observed(shared):
+def _observed(shared, weights: np.ndarray):
     def run(batches):
-        seen = np.zeros((256, BUCKETS, 2))
+        model, seen = Model(_unpacked(shared), weights), np.zeros((256, BUCKETS, 2))
         for batch in batches:
-            shared.value.observe(batch.column(0).to_numpy().view(_U), batch.column(1).to_numpy().astype(np.float64), seen)
+            model.observe(batch.column(0).to_numpy().view(_U), batch.column(1).to_numpy().astype(np.float64), seen)
         flat = seen.ravel()
         at = np.flatnonzero(flat)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(flat[at])], names=["cell", "n"])
@@ -248,35 +283,30 @@ def _observed(shared):
     return run
 
 
-def train(counted: DataFrame, rounds=(0.03, 0.01)) -> Model:
-    """A model from ``counts``."""
+def train(counted: DataFrame, rounds=(0.03, 0.01)):
+    """(broadcast of the table, model) from ``counts``."""
     spark = counted.sparkSession
     grams = counted.where("kind = 0").select("key", "n")
     tables = counted.where("kind = 0").select("part", "key", "n").repartition("part").select("key", "n").mapInArrow(_tables, "ord int, slot int, n0 double, n1 double")
     tables = stash(tables.groupBy("ord", "slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "slots")
-    table = np.zeros((ORDERS, 2, 1 << SLOT_BITS), np.float16)
+    table = np.zeros((ORDERS, 1 << SLOT_BITS), np.uint16)
     for order in range(ORDERS):  # at most 2 ** SLOT_BITS rows each
         got = tables.where(F.col("ord") == order).select("slot", F.col("n0").cast("float").alias("n0"), F.col("n1").cast("float").alias("n1")).toArrow()
-        both = np.maximum(got["n0"].to_numpy(), got["n1"].to_numpy())
-        scale = np.where(both > 2048, both / 2048, 1)  # exact up to 2048; larger counts keep their ratio
-        for bit in (0, 1):
-            table[order, bit, got["slot"].to_numpy()] = got[f"n{bit}"].to_numpy() / scale
+        zeros, ones = (as_bytes(got[c].to_numpy()).astype(np.uint16) for c in ("n0", "n1"))
+        table[order, got["slot"].to_numpy()] = zeros | ones << np.uint16(8)
         del got
-    model = Model(table)
+    drop(tables)
+    model, shared = Model(table), _shared(table, spark)
     for rate in rounds:
-        shared = spark.sparkContext.broadcast(model)
-        rows = grams.mapInArrow(_learned(shared, rate), "mass double, w binary").orderBy("mass", "w").collect()
+        rows = grams.mapInArrow(_learned(shared, model.weights, rate), "mass double, w binary").orderBy("mass", "w").collect()
         total = sum(r["mass"] for r in rows)
         if total:
             model.weights = sum(r["mass"] / total * np.frombuffer(bytes(r["w"])) for r in rows).reshape(GATES, INPUTS)
-        shared.unpersist()
-    shared = spark.sparkContext.broadcast(model)
-    cells = grams.mapInArrow(_observed(shared), "cell int, n double").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    cells = grams.mapInArrow(_observed(shared, model.weights), "cell int, n double").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     refined = np.zeros(256 * BUCKETS * 2)
     refined[cells["cell"].to_numpy()] = cells["n"].to_numpy()
     model.refined = refined.reshape(256, BUCKETS, 2)
-    shared.unpersist()
-    return model
+    return shared, model
 
 
 class Remembered:
@@ -293,7 +323,7 @@ class Remembered:
         missing = np.flatnonzero(self.key[slot] != code)
         if len(missing):
             fresh, where = np.unique(code[missing], return_inverse=True)
-            value = np.concatenate([self.model.log10(fresh[k : k + 8192]) for k in range(0, len(fresh), 8192)])
+            value = np.concatenate([self.model.log10(fresh[k : k + 4096]) for k in range(0, len(fresh), 4096)])
             out[missing] = value[where]
             own = ((fresh * _U(0x9E3779B97F4A7C15)) >> _U(64 - MEMORY_BITS)).astype(np.int64)
             self.key[own], self.value[own] = fresh, value
@@ -303,15 +333,15 @@ class Remembered:
 _MEMORY: dict[str, Remembered] = {}
 
 
-def _scored(shared, vocabulary, whole: bool):
+def _scored(shared, weights: np.ndarray, refined: np.ndarray, vocabulary, whole: bool):
     """uid, doc_id, bits; of the words found in ``vocabulary``: how many and the sum of log10(count + 1); the other words."""
 
     def run(batches):
-        model = shared.value
-        if model.name not in _MEMORY:
+        table, name = _unpacked(shared), shared.value[0]
+        if name not in _MEMORY:
             _MEMORY.clear()
-            _MEMORY[model.name] = Remembered(model)
-        memory, (words, count) = _MEMORY[model.name], vocabulary.value
+            _MEMORY[name] = Remembered(Model(table, weights, refined))
+        memory, (words, count) = _MEMORY[name], vocabulary.value
         logs = np.log10(count + 1.0)
         for batch in batches:
             for first, end, data, at in buffers.blocks(batch.column(2), 1 << 22):
@@ -322,7 +352,7 @@ def _scored(shared, vocabulary, whole: bool):
                 place = np.minimum(np.searchsorted(words, h.hash), max(len(words) - 1, 0))
                 hit = words[place] == h.hash if len(words) else np.zeros(len(row), bool)
                 known = np.bincount(row[hit], minlength=end - first)
-                total = np.bincount(row[hit], weights=logs[place[hit]], minlength=end - first)
+                total = np.bincount(row[hit], weights=logs[place[hit]], minlength=end - first).astype(np.float64)
                 other = h.hash[~hit].view(np.int64) if not whole else np.zeros(0, np.int64)
                 upto = np.concatenate([[0], np.cumsum(np.bincount(row[~hit], minlength=end - first) if not whole else np.zeros(end - first, np.int64))])
                 yield pa.RecordBatch.from_arrays([
@@ -348,9 +378,10 @@ def _least_count(words: DataFrame, most: int) -> int:
 
 def score(docs: DataFrame, training: DataFrame, top: int = TOP) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every row of ``docs``, by what ``training`` (text) has."""
+    short_batches(docs)
     spark = docs.sparkSession
     counted = counts(training)
-    model = train(counted)
+    shared, model = train(counted)
     words = counted.where("kind = 1").select("key", "n")
     ends = training.count()
     stats = words.agg(F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
@@ -364,7 +395,7 @@ def score(docs: DataFrame, training: DataFrame, top: int = TOP) -> DataFrame:
     text = F.col("text").cast("string")
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     schema = "uid long, doc_id long, score double, n_tokens long, known long, total double, others array<long>"
-    out = rows.mapInArrow(_scored(spark.sparkContext.broadcast(model), vocabulary, whole), schema)
+    out = rows.mapInArrow(_scored(shared, model.weights, model.refined, vocabulary, whole), schema)
     if whole:
         out = out.withColumns({"more": F.lit(0), "more_total": F.lit(0.0)})
     else:
