@@ -18,13 +18,16 @@ without rows of both classes all scores are the share of toxic rows (0 with no l
 
 from __future__ import annotations
 
+import uuid
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwork.llm import buffers
-from shelfwork.llm.storage import sampled, stash
+from shelfwork.llm.storage import sampled, short_batches, stash
 
 DISCOUNT = 0.75
 #: Differences up to this many nats are taken for noise of estimation.
@@ -65,6 +68,9 @@ def _counted(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(distinct), order, np.int32)), *cols], names=["order", "key", "before", "word", "toxic", "ordinary"])
 
 
+_MODELS: dict[str, Model] = {}
+
+
 class Model:
     """A hashed table from words and pairs to differences of log-probabilities, and the calibration."""
 
@@ -75,6 +81,24 @@ class Model:
         self.offset = 0.0
         self.weights = np.array([4.0, -1.0, 1.0, -2.0])
 
+    def packed(self) -> tuple:
+        """What goes to the workers, without the calibration: the table is mostly zeros where texts are few."""
+        return uuid.uuid4().hex, zlib.compress(self.tag.tobytes(), 1), zlib.compress(self.value.tobytes(), 1), self.unseen, self.offset
+
+    @staticmethod
+    def unpacked(packed: tuple, weights: np.ndarray) -> Model:
+        """A worker unpacks a model once."""
+        name = packed[0]
+        if name not in _MODELS:
+            _MODELS.clear()
+            _MODELS[name] = model = Model.__new__(Model)
+            model.tag = np.frombuffer(zlib.decompress(packed[1]), np.uint32)
+            model.value = np.frombuffer(zlib.decompress(packed[2]), np.float32).reshape(-1, 2)
+            model.unseen, model.offset = packed[3], packed[4]
+        model = _MODELS[name]
+        model.weights = weights
+        return model
+
     def put(self, key: np.ndarray, value: np.ndarray) -> None:
         """Entries come in ascending importance: where two share a slot, the later stays."""
         slot = (key >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
@@ -139,9 +163,9 @@ def build(words: dict, pairs: dict) -> Model:
 
 
 def calibrate(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1e-2) -> np.ndarray:
-    """Logistic regression with both classes of equal weight, by Newton's method."""
+    """Logistic regression with 0.3 of the weight on toxic rows, by Newton's method."""
     w = np.zeros(x.shape[1])
-    weight = np.where(y == 1, 0.5 / max((y == 1).mean(), 1e-9), 0.5 / max((y == 0).mean(), 1e-9))
+    weight = np.where(y == 1, 0.3 / max((y == 1).mean(), 1e-9), 0.7 / max((y == 0).mean(), 1e-9))
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         g = x.T @ (weight * (p - y)) + ridge * w
@@ -150,8 +174,9 @@ def calibrate(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1e-2
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, cap: int = 4000) -> tuple[Model | None, float]:
-    """(model, share of toxic rows) from ``docs`` (doc_id, text) of the training fold and ``labels`` (doc_id, toxic)."""
+def train(docs: DataFrame, labels: DataFrame, cap: int = 4000) -> tuple[tuple | None, float]:
+    """((broadcast of the model, calibration), share of toxic rows) from ``docs`` (doc_id, text) of the training fold and ``labels`` (doc_id, toxic)."""
+    short_batches(docs)
     known = labels.where("toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = known.join(texts.select("doc_id").distinct(), "doc_id", "left_semi")
@@ -168,11 +193,12 @@ def train(docs: DataFrame, labels: DataFrame, cap: int = 4000) -> tuple[Model |
     words = _most_frequent(stash(words, "words"), 1)
     pairs = _most_frequent(counts.where("order = 2").select("key", "before", "toxic", "ordinary"), LEAST_PAIR)
     model = build(_columns(words), _columns(pairs))
-    apart = _evidence(rows.where("apart").select(F.col("toxic").cast("long").alias("doc_id"), "text"), model).toArrow()
+    shared = docs.sparkSession.sparkContext.broadcast(model.packed())
+    apart = _evidence(rows.where("apart").select(F.col("toxic").cast("long").alias("doc_id"), "text"), shared, model.weights).toArrow()
     y = apart["doc_id"].to_numpy()
     if (y == 0).any() and (y == 1).any():
         model.weights = calibrate(design(np.stack([apart[c].to_numpy() for c in ("above", "below", "total", "n")], axis=1)), y)
-    return model, share
+    return (shared, model.weights), share
 
 
 def _most_frequent(counts: DataFrame, least: int) -> DataFrame:
@@ -186,11 +212,9 @@ def _columns(rows: DataFrame) -> dict:
     return {c: got[c].to_numpy().view(np.uint64) if c in ("key", "before") else got[c].to_numpy() for c in rows.columns}
 
 
-def _evidence(rows: DataFrame, model: Model) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(model)
-
+def _evidence(rows: DataFrame, shared, weights: np.ndarray) -> DataFrame:
     def run(batches):
-        own = shared.value
+        own = Model.unpacked(shared.value, weights)
         for batch in batches:
             for first, end, data, at in buffers.blocks(batch.column(1)):
                 e = own.evidence(data, at)
@@ -199,9 +223,10 @@ def _evidence(rows: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, above double, below double, total double, n double, score double")
 
 
-def score(docs: DataFrame, model: Model | None, share: float) -> DataFrame:
+def score(docs: DataFrame, model: tuple | None, share: float) -> DataFrame:
     """doc_id, score of every row, from its whole text."""
+    short_batches(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     if model is None:
         return rows.select("doc_id", F.lit(share).alias("score"))
-    return _evidence(rows, model).select("doc_id", "score")
+    return _evidence(rows, *model).select("doc_id", "score")
