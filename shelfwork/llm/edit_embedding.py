@@ -27,10 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwork.llm import buffers
+from shelfwork.llm.storage import short_batches
 
 SAMPLES = 96
 #: Characters walked together, about.
-TOGETHER = 8 << 20
+TOGETHER = 5 << 20
 _STEPS = 1024
 _SEED = np.uint64(0x2545F4914F6CDD1D)
 
@@ -184,6 +185,7 @@ def edit_fingerprints(docs: DataFrame, runs: int | None = None) -> DataFrame:
     Documents follow each other by descending doc_id (then by text), and the last is followed by the first. The order is
     cut in runs at quantiles of the ids; what follows a run's last row is sent to it along with its own.
     """
+    short_batches(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     runs = runs or 2 * rows.rdd.getNumPartitions()
     ids = rows.select("doc_id")
@@ -203,7 +205,7 @@ def edit_fingerprints(docs: DataFrame, runs: int | None = None) -> DataFrame:
     order = sorted(first)
     heads = {first[r]: order[(k + 1) % len(order)] for k, r in enumerate(order)}
     dealt = rows.mapInArrow(_dealt(splits, heads), "run int, ghost boolean, doc_id long, text string")
-    placed = dealt.repartition(max(1, len(order)), "run").sortWithinPartitions("run", "ghost", F.desc_nulls_last("doc_id"), "text")
+    placed = dealt.repartitionById(len(splits) + 1, "run").sortWithinPartitions("run", "ghost", F.desc_nulls_last("doc_id"), "text")
     return placed.mapInArrow(_walked, _OUT)
 
 
