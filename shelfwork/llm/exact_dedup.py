@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwork.llm import bloom, buffers
-from shelfwork.llm.storage import stash
+from shelfwork.llm.storage import short_batches, stash
 
 #: Two primes below 2 ** 31 and a base for each: a product of residues fits in 64 bits.
 PRIMES = (2147483647, 2147483629)
@@ -176,6 +176,7 @@ def colliding(docs: DataFrame, groups: DataFrame) -> DataFrame:
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 and row_hash for each row; the largest doc_id of equal texts stays."""
+    short_batches(docs)
     base = stash(fingerprints(docs), "fingerprints")
     keys = ["fp", "n_bytes", "split"]
     base = base.withColumn("split", F.lit(""))

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwork.llm import buffers
+from shelfwork.llm.storage import short_batches
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -142,6 +143,7 @@ def _sample_windows(per_document: int):
 
 def train(docs: DataFrame, per_language: int = 1200, per_document: int = 3) -> ByteCNN | None:
     """A network for the languages of ``docs`` (text, lang), from a bounded sample of it."""
+    short_batches(docs)
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
@@ -184,6 +186,7 @@ def _predict(model: ByteCNN):
 
 def identify(docs: DataFrame, model: ByteCNN | None) -> DataFrame:
     """doc_id, row_hash (xxhash64 of the text), lang_pred, score of every row."""
+    short_batches(docs)
     text = F.col("text").cast("string")
     letter: Column = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row_hash"), F.when(letter, text).alias("text"), letter.alias("letter"))

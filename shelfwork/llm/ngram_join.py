@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from shelfwork.llm import bloom, buffers
 from shelfwork.llm.components import components
-from shelfwork.llm.storage import stash
+from shelfwork.llm.storage import short_batches, stash
 
 WIDTH = 5
 TREES = 32
@@ -223,6 +223,7 @@ def links(docs: DataFrame, grouped: DataFrame, threshold=THRESHOLD) -> DataFrame
 def ngram_join(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """doc_id, class_id (least doc_id of its class), n_links (other texts it is linked with), class_size, kept (one row
     of each class), row_hash for every row."""
+    short_batches(docs)
     depth = depth_for(threshold[0] / threshold[1], recall)
     signed = stash(signatures(docs, depth).withColumn("row", F.monotonically_increasing_id()), "signatures")
     found = links(docs, candidates(signed), threshold).withColumnRenamed("uid", "u")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwork.llm import buffers
-from shelfwork.llm.storage import stash
+from shelfwork.llm.storage import short_batches, stash
 
 CAPACITY = 2048
 #: Pieces dealt to a partition; so many are packed in one task's memory, as numbers only.
@@ -29,8 +29,10 @@ PER_PARTITION = 20_000
 #: Packings of what is still open; each deals twice as many pieces to a partition as the one before.
 ROUNDS = 5
 #: A worker remembers the ids of words in 2 ** MEMORY_BITS places, and so many ids; beyond, the memory starts anew.
-MEMORY_BITS = 21
-MEMORY_IDS = 12_000_000
+MEMORY_BITS = 20
+MEMORY_IDS = 4_000_000
+#: Words encoded at once: an encoding is large beside its ids.
+ENCODED = 8192
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -48,15 +50,18 @@ class Encoder:
 
     def clear(self) -> None:
         self.tag = np.zeros(1 << MEMORY_BITS, np.uint64)
-        self.at = np.zeros(1 << MEMORY_BITS, np.int64)
-        self.size = np.zeros(1 << MEMORY_BITS, np.int64)
-        self.ids = np.zeros(1 << 16, np.uint32)
+        self.at = np.zeros(1 << MEMORY_BITS, np.int32)
+        self.size = np.zeros(1 << MEMORY_BITS, np.int32)
+        self.ids = np.zeros(1 << 16, np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
         self.used = 0
 
     def _add(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        size = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((i for x in got for i in x), np.uint32, int(size.sum()))
+        sizes, ids = [], []
+        for k in range(0, len(texts), ENCODED):
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(texts[k : k + ENCODED], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, got), np.int64, len(got)))
+            ids.append(np.fromiter((i for x in got for i in x), self.ids.dtype, int(sizes[-1].sum())))
+        size, flat = np.concatenate(sizes), np.concatenate(ids)
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.ids[self.used : self.used + len(flat)] = flat
@@ -71,7 +76,7 @@ class Encoder:
         words = buffers.Words(data, offsets, fold=False)
         h, n = words.hash, len(words.per_row)
         slot = (h >> np.uint64(64 - MEMORY_BITS)).astype(np.int64)
-        at, size = self.at[slot], self.size[slot]
+        at, size = self.at[slot].astype(np.int64), self.size[slot].astype(np.int64)
         missing = np.flatnonzero(self.tag[slot] != h)
         if len(missing):
             fresh, first, where = np.unique(h[missing], return_index=True, return_inverse=True)
@@ -235,6 +240,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, per_partition: int = PER_PA
 
 def best_fit_packing(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, per_partition: int = PER_PARTITION) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every document."""
+    short_batches(docs)
     items = stash(pieces(docs, tokenizer, capacity), "pieces")
     placed = pack(items, capacity, per_partition)
     return items.join(placed, ["uid", "piece"]).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

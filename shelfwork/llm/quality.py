@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwork.llm import buffers
-from shelfwork.llm.storage import sampled
+from shelfwork.llm.storage import sampled, short_batches
 
 #: Byte classes: 0 white space, 1 line break, 2 lower case, 3 upper case, 4 digit, 5 other characters, 6 sentence marks, then single marks.
 CLASS = np.full(256, 15, np.uint8)
@@ -137,6 +137,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
 
 def train(docs: DataFrame, labels: DataFrame, cap: int = 6000) -> tuple[Network | None, float]:
     """(network, class prior) from ``docs`` (doc_id, text) of the training fold and ``labels`` (doc_id, quality)."""
+    short_batches(docs)
     known = labels.where("quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     n = ids.count()
@@ -160,6 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, cap: int = 6000) -> tuple[Network
 
 def score(docs: DataFrame, net: Network | None, prior: float) -> DataFrame:
     """doc_id, score of every row, from its whole text."""
+    short_batches(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     if net is None:
         return rows.select("doc_id", F.lit(prior).alias("score"))

@@ -37,6 +37,18 @@ def drop(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, False)
 
 
+#: Rows of text are long: so many go to a Python worker at once.
+BATCH_ROWS = 1000
+
+
+def short_batches(df: DataFrame) -> None:
+    """Lower the session's number of rows in an Arrow batch, whose buffers are held on both sides, if it is higher."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(conf.get(name, "10000"))
+    if now <= 0 or now > BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwork.llm import buffers
-from shelfwork.llm.storage import new_path, stash
+from shelfwork.llm.storage import new_path, short_batches, stash
 
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1."
@@ -244,6 +244,7 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
 
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
     """Write ``pages`` and read the archives back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    short_batches(pages)
     path = new_path(pages.sparkSession, "warc")
     write(pages, path, least)
     found = read(pages.sparkSession, path, payloads=False).where("kind = 'record'")
