@@ -99,14 +99,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def _joint(fp, n_bytes):
-    """One number for a key, for the filter."""
-    return fp.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + n_bytes.astype(np.uint64)
-
-
-def _joined(batches):
-    for batch in batches:
-        key = _joint(batch.column(0).to_numpy(), batch.column(1).to_numpy())
-        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], names=["key"])
+    """One number for a key, for the filter; of numpy arrays."""
+    return fp ^ (n_bytes << 24)
 
 
 _PART = "doc_id long, fp long, n_bytes long, part int, data binary, differs boolean"
@@ -167,7 +161,7 @@ def _compared(parts: DataFrame, salts: int) -> DataFrame:
 def colliding(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """The keys (fp, n_bytes) of ``groups`` under which ``docs`` has texts that are not equal."""
     spark = docs.sparkSession
-    table = spark.sparkContext.broadcast(bloom.gather(groups.select("fp", "n_bytes").mapInArrow(_joined, "key long")))
+    table = spark.sparkContext.broadcast(bloom.gather(groups.select(F.col("fp").bitwiseXOR(F.shiftleft("n_bytes", 24)).alias("key"))))
     parts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_parts(table), _PART)
     inside = stash(_compared(parts, SALTS), "compared")
     across = _compared(inside, 1)
