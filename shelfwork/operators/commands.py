@@ -138,28 +138,34 @@ def membership(backlogs: DataFrame, categories: DataFrame, commands: DataFrame,
     return out.select(backlogs.columns), rejects
 
 
-def register_users(users: DataFrame, commands: DataFrame, rounds: int = 64) -> tuple[DataFrame, DataFrame]:
+def register_users(users: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(new users, rejects): first come by (ts, seq) takes a username and an email; who finds either taken is rejected.
 
     A row that is refused for its email doesn't keep its username, so it is decided in rounds: accept those that are
-    first in both, refuse those who share a key with them, and again with the others. The undecided of a round are
-    written to the checkpoint folder; the first round decides nearly all.
+    first in both, refuse those who share a key with them, and again with the others until none is open. The first of
+    all open rows is always accepted, so each round settles some; a round's rows are written to the checkpoint folder.
+    The first round decides nearly all; chains of shared names and emails take a round for every two rows. A null name
+    or email is shared with nobody.
     """
     context = commands.sparkSession.sparkContext
     if not context.getCheckpointDir() and (folder := commands.sparkSession.conf.get("spark.checkpoint.dir", None)):
         context.setCheckpointDir(folder)
+
+    def cut(rows: DataFrame) -> DataFrame:
+        return rows.checkpoint() if context.getCheckpointDir() else rows.localCheckpoint()
+
     taken_u, taken_e = users.select("username").distinct(), users.select("email").distinct()
     free = commands.join(taken_u, "username", "left_anti").join(taken_e, "email", "left_anti")
-    accepted, open_ = None, free
-    for _ in range(rounds):
-        by_u, by_e = Window.partitionBy("username").orderBy("ts", "seq"), Window.partitionBy("email").orderBy("ts", "seq")
-        ranked = open_.withColumns({"__u": F.row_number().over(by_u), "__e": F.row_number().over(by_e)})
-        now = ranked.where("__u = 1 and __e = 1").drop("__u", "__e")
-        accepted = now if accepted is None else accepted.unionByName(now)
-        rest = open_.join(now.select("username"), "username", "left_anti").join(now.select("email"), "email", "left_anti")
-        open_ = rest.checkpoint() if context.getCheckpointDir() else rest
-        if open_.isEmpty():
-            break
+    columns, keys = free.columns, ("username", "email")
+    open_ = cut(free.withColumn("__id", F.monotonically_increasing_id()))
+    accepted = open_.where(F.lit(False)).select(columns)
+    while not open_.isEmpty():
+        first = [F.col(k).isNull() | (F.row_number().over(Window.partitionBy(k).orderBy("ts", "seq", "__id")) == 1) for k in keys]
+        ranked = open_.withColumns({"__u": first[0], "__e": first[1]}).withColumn("__now", F.col("__u") & F.col("__e"))
+        met = [F.col(k).isNotNull() & F.max("__now").over(Window.partitionBy(k)) for k in keys]
+        settled = cut(ranked.withColumn("__settled", F.col("__now") | met[0] | met[1]))
+        accepted = accepted.unionByName(settled.where("__now").select(columns))
+        open_ = settled.where("not __settled").select(*columns, "__id")
     rejects = commands.join(accepted.select("seq"), "seq", "left_anti").select("seq", F.lit("DUPLICATE_USER").alias("reason"))
     return accepted, rejects
 

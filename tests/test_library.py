@@ -94,6 +94,17 @@ def test_registration_refused_for_email_frees_the_name(spark):
     assert [r.name for r in commands.seed_categories(new.where("seq = 1")).orderBy("place").collect()] == list(commands.DEFAULT_CATEGORIES)
 
 
+def test_registration_settles_long_chains(spark):
+    """Each row shares its username or its email with the one before: every second one is a valid sign-up."""
+    n = 140
+    users = spark.createDataFrame([], "_id string, username string, email string, password string")
+    rows = [(i, i, f"u{i // 2}", f"e{(i + 1) // 2}") for i in range(n)] + [(n, n, None, None), (n + 1, n + 1, None, None)]
+    cmd = spark.createDataFrame(rows, "seq bigint, ts bigint, username string, email string").coalesce(1)
+    new, rejects = commands.register_users(users, cmd)
+    assert sorted(r.seq for r in new.select("seq").collect()) == [*range(0, n, 2), n, n + 1]
+    assert {r.seq for r in rejects.collect()} == set(range(1, n, 2))
+
+
 def test_lookup_and_pages(spark):
     rows = backlogs(spark, [(str(i), "u", ["a"]) for i in range(5)])
     keys = spark.createDataFrame([("1", "u"), ("1", "v"), ("9", "u")], "_id string, userId string")
