@@ -8,7 +8,8 @@ about the same probability from both.
 Words of little evidence would drown the few that count in a long text, so differences below a margin are kept apart
 from clear ones, and a logistic regression weighs both. It is fitted on a quarter of the labelled rows, chosen by hash,
 that the counts leave out. Labelled rows are a bounded sample, ``cap`` toxic and as many ordinary ones; counting
-is done in Spark, and what exceeds the size of the model's table is left out by frequency. Texts are scored whole.
+is done in Spark. All words and pairs of the sample are in the model, those seen once too: its table has a place for each
+and grows with their number. Texts are scored whole. Words and pairs are told apart by 64-bit hashes.
 
 Words are runs of letters, digits and non-ASCII bytes, lower-cased.
 
@@ -32,11 +33,6 @@ from shelfwork.llm.storage import sampled, short_batches, stash
 DISCOUNT = 0.75
 #: Differences up to this many nats are taken for noise of estimation.
 MARGIN = 1.0
-#: Pairs seen less often are left to the unigrams.
-LEAST_PAIR = 4
-SLOT_BITS = 22
-#: Distinct words, and distinct pairs, that a model holds at most.
-MOST_ENTRIES = 1_200_000
 _PAIR = np.uint64(0xD1342543DE82EF95)
 _EDGE = np.uint64(0x5851F42D4C957F2D)
 
@@ -72,18 +68,20 @@ _MODELS: dict[str, Model] = {}
 
 
 class Model:
-    """A hashed table from words and pairs to differences of log-probabilities, and the calibration."""
+    """Words and pairs, sorted by hash, with their probabilities in both classes, and the calibration.
+
+    ``start`` says for the first bits of a hash where its entries begin: about one entry for each value of them.
+    """
 
     def __init__(self):
-        self.tag = np.zeros(1 << SLOT_BITS, np.uint32)
-        self.value = np.zeros((1 << SLOT_BITS, 2), np.float32)
+        self.put(np.zeros(0, np.uint64), np.zeros((0, 2), np.float32))
         self.unseen = np.ones(2)
         self.offset = 0.0
         self.weights = np.array([4.0, -1.0, 1.0, -2.0])
 
     def packed(self) -> tuple:
-        """What goes to the workers, without the calibration: the table is mostly zeros where texts are few."""
-        return uuid.uuid4().hex, zlib.compress(self.tag.tobytes(), 1), zlib.compress(self.value.tobytes(), 1), self.unseen, self.offset
+        """What goes to the workers, without the calibration."""
+        return uuid.uuid4().hex, self.key.tobytes(), zlib.compress(self.value.tobytes(), 1), self.unseen, self.offset
 
     @staticmethod
     def unpacked(packed: tuple, weights: np.ndarray) -> Model:
@@ -92,22 +90,35 @@ class Model:
         if name not in _MODELS:
             _MODELS.clear()
             _MODELS[name] = model = Model.__new__(Model)
-            model.tag = np.frombuffer(zlib.decompress(packed[1]), np.uint32)
-            model.value = np.frombuffer(zlib.decompress(packed[2]), np.float32).reshape(-1, 2)
+            model.put(np.frombuffer(packed[1], np.uint64), np.frombuffer(zlib.decompress(packed[2]), np.float32).reshape(-1, 2))
             model.unseen, model.offset = packed[3], packed[4]
         model = _MODELS[name]
         model.weights = weights
         return model
 
     def put(self, key: np.ndarray, value: np.ndarray) -> None:
-        """Entries come in ascending importance: where two share a slot, the later stays."""
-        slot = (key >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-        self.tag[slot] = (key & np.uint64(0xFFFFFFFF)).astype(np.uint32) | np.uint32(1)
-        self.value[slot] = value
+        """All entries, by ascending key."""
+        self.key, self.value = key, value
+        bits = max(1, len(key).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.start = np.zeros((1 << bits) + 1, np.int32)
+        np.cumsum(np.bincount((key >> self.shift).astype(np.int64), minlength=1 << bits), out=self.start[1:])
 
     def get(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        slot = (key >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-        return self.tag[slot] == ((key & np.uint64(0xFFFFFFFF)).astype(np.uint32) | np.uint32(1)), self.value[slot]
+        """(whether each key is an entry, its value, or 0): keys go on along the entries of their first bits until met or passed."""
+        top = (key >> self.shift).astype(np.int64)
+        at, end = self.start[top].astype(np.int64), self.start[top + 1]
+        known, value = np.zeros(len(key), bool), np.zeros((len(key), 2), np.float32)
+        left = np.flatnonzero(at < end)
+        while len(left):
+            found = self.key[at[left]]
+            met = found == key[left]
+            known[left[met]] = True
+            value[left[met]] = self.value[at[left[met]]]
+            left = left[found < key[left]]
+            at[left] += 1
+            left = left[at[left] < end[left]]
+        return known, value
 
     def evidence(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """For each row the sums of log P(toxic) - log P(ordinary) above MARGIN, below -MARGIN and in all, and its words."""
@@ -134,31 +145,34 @@ def design(evidence: np.ndarray) -> np.ndarray:
 
 
 def build(words: dict, pairs: dict) -> Model:
-    """Kneser-Ney estimates. words: key, follows, toxic, ordinary; pairs: key, before, toxic, ordinary (those that recur)."""
-    model = Model()
-    both = lambda x: np.stack([x["toxic"], x["ordinary"]], axis=1).astype(np.float64)
+    """Kneser-Ney estimates. words: key, follows, toxic, ordinary; pairs: key, before, toxic, ordinary."""
+    model, classes = Model(), ("toxic", "ordinary")
     rank = np.argsort(words["key"])
     words = {k: v[rank] for k, v in words.items()}
-    c1, c2 = both(words), both(pairs)
+    c1 = np.stack([words[c] for c in classes], axis=1).astype(np.float64)
     total = np.maximum(c1.sum(axis=0), 1)
     # shared backoff: how many different words come before a word, in either class
     kinds = words["follows"].sum() + len(c1) + 1
     own1 = np.maximum(c1 - DISCOUNT, 0) / total
     left = np.maximum(1 - own1.sum(axis=0), 1e-6)
-    uni = own1 + left * ((words["follows"] + 1) / kinds)[:, None]
+    uni = (own1 + left * ((words["follows"] + 1) / kinds)[:, None]).astype(np.float32)
     model.unseen, model.offset = left / kinds, float(np.log(left[0] / left[1]))
-    # a word's own continuations, where they recur; what they leave goes to the unigrams
-    at = np.minimum(np.searchsorted(words["key"], pairs["before"]), max(len(c1) - 1, 0))
-    known = words["key"][at] == pairs["before"] if len(c1) else np.zeros(len(c2), bool)
-    at, c2, key2 = at[known], c2[known], pairs["key"][known]
-    own2 = np.minimum(np.maximum(c2 - DISCOUNT, 0) / np.maximum(c1[at], 1), 1)
-    spent = np.stack([np.bincount(at, weights=own2[:, k], minlength=len(c1)) for k in (0, 1)], axis=1)
+    # a word's own continuations; what they leave goes to the unigrams. Pairs are many: no wide arrays of them
+    at = np.minimum(np.searchsorted(words["key"], pairs["before"]), max(len(c1) - 1, 0)).astype(np.int32)
+    known = np.flatnonzero(words["key"][at] == pairs["before"]) if len(c1) else np.zeros(0, np.int64)
+    at = at[known]
+    own2, spent = np.empty((len(known), 2), np.float32), np.zeros((len(c1), 2))
+    for k, c in enumerate(classes):
+        own2[:, k] = np.minimum(np.maximum(pairs[c][known].astype(np.float32) - np.float32(DISCOUNT), 0) / np.maximum(c1[:, k], 1).astype(np.float32)[at], 1)
+        spent[:, k] = np.bincount(at, weights=own2[:, k], minlength=len(c1))
     heads = np.flatnonzero(spent.sum(axis=1) > 0)
-    back = np.clip(1 - spent[heads], 0.01, 1)
-    keys = np.concatenate([key2, words["key"][heads] ^ _EDGE, words["key"]])
-    weight = np.concatenate([c2.sum(axis=1), c1[heads].sum(axis=1), c1.sum(axis=1) + 0.5])
-    rank = np.lexsort((keys, weight))
-    model.put(keys[rank], np.concatenate([own2, back, uni])[rank].astype(np.float32))
+    back = np.clip(1 - spent[heads], 0.01, 1).astype(np.float32)
+    keys = np.concatenate([pairs["key"][known], words["key"][heads] ^ _EDGE, words["key"]])
+    del at, known, spent
+    value = np.concatenate([own2, back, uni])
+    del own2
+    rank = np.argsort(keys)
+    model.put(keys[rank], value[rank])
     return model
 
 
@@ -190,8 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, cap: int = 4000) -> tuple[tuple |
     counts = stash(counts.groupBy("order", "key").agg(F.min("before").alias("before"), F.min("word").alias("word"), F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")), "expressions")
     follows = counts.where("order = 2").groupBy(F.col("word").alias("key")).agg(F.count(F.lit(1)).alias("follows"))
     words = counts.where("order = 1").select("key", "toxic", "ordinary").join(follows, "key", "left").withColumn("follows", F.coalesce("follows", F.lit(0)))
-    words = _most_frequent(stash(words, "words"), 1)
-    pairs = _most_frequent(counts.where("order = 2").select("key", "before", "toxic", "ordinary"), LEAST_PAIR)
+    pairs = counts.where("order = 2").select("key", "before", "toxic", "ordinary")
     model = build(_columns(words), _columns(pairs))
     shared = docs.sparkSession.sparkContext.broadcast(model.packed())
     apart = _evidence(rows.where("apart").select(F.col("toxic").cast("long").alias("doc_id"), "text"), shared, model.weights).toArrow()
@@ -201,14 +214,9 @@ def train(docs: DataFrame, labels: DataFrame, cap: int = 4000) -> tuple[tuple |
     return (shared, model.weights), share
 
 
-def _most_frequent(counts: DataFrame, least: int) -> DataFrame:
-    while (kept := counts.where(F.col("toxic") + F.col("ordinary") >= least)).count() > MOST_ENTRIES:
-        least *= 2
-    return kept
-
-
 def _columns(rows: DataFrame) -> dict:
-    got = rows.toArrow()
+    """Hashes and counts at the driver, counts in four bytes."""
+    got = rows.select([F.col(c) if c in ("key", "before") else F.col(c).cast("int") for c in rows.columns]).toArrow()
     return {c: got[c].to_numpy().view(np.uint64) if c in ("key", "before") else got[c].to_numpy() for c in rows.columns}
 
 

@@ -362,6 +362,39 @@ def test_kneser_ney_treats_words_unknown_to_both_classes_alike():
     assert model.evidence(data, np.array([0, 10]))[0, 2] == pytest.approx(0, abs=1e-6)
 
 
+def test_toxicity_keeps_all_words_and_pairs():
+    rng = np.random.default_rng(4)
+    keys = rng.integers(0, 1 << 63, 300_000, dtype=np.uint64) * np.uint64(2)
+    keys[:40] = (np.uint64(7) << np.uint64(60)) + np.arange(40, dtype=np.uint64) * np.uint64(2)  # the same first bits
+    keys = np.unique(keys)
+    model = toxicity.Model()
+    model.put(keys, np.stack([np.arange(len(keys)), np.ones(len(keys))], axis=1).astype(np.float32))
+    known, value = model.get(keys)
+    assert known.all() and (value[:, 0] == np.arange(len(keys))).all()
+    assert not model.get(keys + np.uint64(1))[0].any() and not toxicity.Model().get(keys)[0].any()
+
+
+def test_toxicity_learns_pairs_that_occur_rarely(spark, make):
+    """Phrases that toxic texts say a few times are in the model, whatever their number."""
+    rng = random.Random(3)
+    docs, labels = [], []
+    for i in range(400):
+        k = i % 2
+        pair = rng.sample(range(200), 2)
+        words = [f"p{p} q{p}" if k else f"q{p} x p{p}" for p in pair]
+        docs.append((i, " ".join([f"w{rng.randrange(9)}", *words, "x" if k else ""])))
+        labels.append((i, k))
+    shared, _ = toxicity.train(make(docs), spark.createDataFrame(labels, "doc_id bigint, toxic int"))
+    model = toxicity.Model.unpacked(shared[0].value, shared[1])
+    apart = {r.doc_id for r in make(docs).where(F.pmod(F.xxhash64("text", F.lit(9)), F.lit(4)) == 0).collect()}
+    said = {w for i, t in docs if i not in apart and i % 2 for w in zip(t.split(), t.split()[1:])}
+    rare = [f"{a} {b}" for a, b in sorted(said) if a[0] == "p"]
+    for phrase in rare:
+        data = np.frombuffer(phrase.encode(), np.uint8)
+        _, pair, _, _ = toxicity.expressions(data, np.array([0, len(data)]))
+        assert model.get(pair[1:])[0].all()
+
+
 # --- op7 -------------------------------------------------------------------------------------------------------------
 
 
