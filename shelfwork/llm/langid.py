@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwork.llm import buffers
-from shelfwork.llm.storage import short_batches
+from shelfwork.llm.storage import sampled, short_batches
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -184,11 +184,25 @@ def _predict(model: ByteCNN):
     return run
 
 
+def has_letter(text: Column) -> Column:
+    return F.coalesce(text.cast("string").rlike(r"\p{L}"), F.lit(False))
+
+
+def least_score(docs: DataFrame, model: ByteCNN, lost: float = 0.001, cap: int = 20_000) -> float:
+    """The score that at most a share ``lost`` of labelled documents with letters stay below, by ``docs`` that the network
+    hasn't learnt from (``cap`` of them, chosen by hash); 0 where they are too few to tell, so nothing is rejected."""
+    known = docs.where(F.col("lang").isNotNull() & has_letter(F.col("text")))
+    chosen = sampled(known, "text", known.count(), cap)
+    scores = np.sort(identify(chosen, model).select("score").toArrow()["score"].to_numpy())
+    k = int(lost * (len(scores) + 1))
+    return float(scores[k - 1]) if k else 0.0
+
+
 def identify(docs: DataFrame, model: ByteCNN | None) -> DataFrame:
     """doc_id, row_hash (xxhash64 of the text), lang_pred, score of every row."""
     short_batches(docs)
     text = F.col("text").cast("string")
-    letter: Column = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+    letter = has_letter(text)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row_hash"), F.when(letter, text).alias("text"), letter.alias("letter"))
     if model is None:
         return rows.select("doc_id", "row_hash", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))

@@ -2,12 +2,13 @@ from __future__ import annotations
 
 import random
 import re
+import zlib
 from collections import Counter
 
 import pytest
 
 import corpus_pipeline
-from shelfwork.llm import ngram_join
+from shelfwork.llm import langid, ngram_join
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -63,6 +64,31 @@ def test_run_on_no_documents(spark, empty, tmp_path):
     assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
 
 
+def test_language_stage_without_labels(spark, make):
+    """Nothing to learn from: all documents with letters stay."""
+    rows = [(i, t) for i, t in enumerate(["one two", "été", None, "", "12 34", "漢字"])]
+    assert {r.doc_id for r in corpus_pipeline.language_id(spark, make(rows), "").collect()} == {0, 1, 5}
+    held_out = [(i, "alpha beta", "en") for i in range(60) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert corpus_pipeline.language_id(spark, make(held_out), "").count() == len(held_out) > 0
+
+
+def test_language_stage_rejects_by_score(spark, make):
+    rng = random.Random(7)
+    letters = {"aa": "abcdefgh", "bb": "ijklmnop"}
+    text = lambda k: " ".join("".join(rng.choice(letters[k]) for _ in range(5)) for _ in range(12))
+    clean = [(i, text(k), k) for i in range(6000) for k in ["aa" if i % 2 else "bb"]]
+    mixed = [(10_000 + i, " ".join(a + " " + b for a, b in zip(text("aa").split(), text("bb").split(), strict=True)), None) for i in range(60)]
+    left = {r.doc_id for r in corpus_pipeline.language_id(spark, make(clean + mixed), "").collect()}
+    assert sum(i < 10_000 for i in left) >= 0.995 * len(clean)
+    assert sum(i >= 10_000 for i in left) < 40
+
+
+def test_least_score_needs_enough_labels(make):
+    docs = make([(i, f"some text {i}", "en" if i % 2 else "fr") for i in range(40)])
+    model = langid.train(docs)
+    assert langid.least_score(docs, model) == 0.0 < langid.least_score(docs, model, lost=0.1)
+
+
 def test_near_duplicates_keep_the_least_id(make):
     rng = random.Random(2)
     t = _prose(rng, 100)
