@@ -1,22 +1,26 @@
 """Language-model scoring by online logistic context mixing.
 
 Texts (A-Z lower-cased) are coded byte by byte, bit by bit, with a closing byte that UTF-8 doesn't have. Bit predictors
-of orders 0 to 6 look up counts of zeros and ones under a hash of their last bytes and of the bits so far. Their
-stretched probabilities are summed with weights that a gate picks (the longest context seen before, and how often); the
-weights are learnt online, by a gradient step after each small run of coded bits, and a further table refines the
-result adaptively, by what came out before where the mixture said the same. Bits add up to the text's log-probability.
-
-How it is spread: a bit's inputs depend on a few bytes alone, so Spark counts the byte sequences of all training
-texts, and everything is learnt from each of them as often as it occurs, without its own occurrence (what is left out
-keeps rare contexts honest). Tasks learn weights from their share, these are averaged by the bytes they stand for, and
-a second round starts from the average. In scoring, the model stands still, so a score depends on the text alone, and
-the probability of a byte sequence is worked out once and remembered by each worker. Tables have fixed sizes.
-
-Beside it, the base score of words with add-one smoothing: frequent words (at most TOP) are looked up in a broadcast
-table, the others are joined with the whole vocabulary. Words count by a 64-bit hash.
+of orders 0 to 6 look up counts of zeros and ones under their last bytes and the bits so far. Their stretched
+probabilities are summed with weights that a gate picks (the longest context seen before, and how often); the weights are
+learnt online, by a gradient step after each small run of coded bits, and a further table refines the result adaptively,
+by what came out before where the mixture said the same. Bits add up to the text's log-probability and bits per byte.
+
+How it is spread. What is predicted of a byte depends on the byte sequence that ends at it alone, so all work is done
+once for each distinct sequence. Rows are gathered in blocks of some megabytes; a block's distinct sequences are packed
+by parts: the last three context bytes are hashed by a bijection of 24 bits, and a part is a range of the hash. Spark
+brings the packs of a part together and adds up counts, so a part has all that orders 3 to 6 need, whole and exact,
+sequences that occur once too; orders 0 to 2 have a table of fixed size (2 ** 24 places) that is broadcast. To score,
+blocks send their sequences to the parts, get the log-probabilities back in the same order, and sum them up by text.
+Words go the same way for the base score. So no table that grows with the corpus is ever in one place.
+
+Everything is learnt from each sequence as often as it occurs, without its own occurrence (what is left out keeps rare
+contexts honest). Tasks learn weights from their share, Spark averages these by the bytes they stand for, and a second
+round starts from the average. In scoring, the model stands still, so a score depends on the text alone.
 
 Defined results: null counts as empty; an empty text has its end alone; repeated rows are scored each, and count each in
-training; without training rows each bit has probability 1/2; other columns don't matter.
+training; without training rows each bit has probability 1/2; other columns don't matter. Words count by a 64-bit hash.
+A text longer than a block is a block of its own, worked through in windows.
 """
 
 from __future__ import annotations
@@ -26,182 +30,386 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwork.llm import buffers
 from shelfwork.llm.storage import drop, short_batches, stash
 
-#: Orders 0 to ORDERS - 1, so a bit depends on ORDERS bytes; 8 at most.
+#: Orders 0 to ORDERS - 1, so a bit depends on ORDERS bytes.
 ORDERS = 7
-SLOT_BITS = 22
 END = 255
-MEMORY_BITS = 22
-#: Words in the broadcast table at most.
-TOP = 1 << 20
+#: Bytes of text in a block, and in a window of it.
+BLOCK = 16 << 20
+WINDOW = 1 << 21
+#: Ranges of hashed contexts, and as many of word hashes behind them.
+PART_BITS = 10
+PARTS = 1 << PART_BITS
+#: Sequences in a row of the merged table, about; a row has all sequences of its three-byte contexts.
+ROW = 1 << 16
 GATES = 4 * ORDERS + 1
 INPUTS = ORDERS + 1
 BUCKETS = 33
 _U = np.uint64
+_LOW24 = _U((1 << 24) - 1)
+#: An odd factor for the hash of three context bytes, and its inverse modulo 2 ** 24.
+_FACTOR = _U(0x9E3779)
+_INVERSE = _U(pow(0x9E3779, -1, 1 << 24))
+
+
+def hashed(context: np.ndarray) -> np.ndarray:
+    """A bijection of 24 bits."""
+    t = (context * _FACTOR) & _LOW24
+    t ^= t >> _U(12)
+    return (t * _FACTOR) & _LOW24
+
+
+def unhashed(t: np.ndarray) -> np.ndarray:
+    t = (t * _INVERSE) & _LOW24
+    t = t ^ (t >> _U(12))
+    return (t * _INVERSE) & _LOW24
+
+
+class Stream:
+    """The bytes of some texts, lower-cased, each with its closing byte, and where each text starts."""
+
+    def __init__(self, texts: list[bytes]):
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        self.end = np.cumsum(sizes)
+        self.start = self.end - sizes
+        self.data = np.frombuffer((b"\xff".join(texts) + b"\xff").translate(buffers.LOWER.tobytes()), np.uint8) if texts else np.zeros(0, np.uint8)
+
+    def windows(self):
+        """(first position, code of the sequence that ends at each position) of windows of the stream.
+
+        A code has the hashed last three context bytes, then the three before them, the nearest first, then the byte.
+        Before a text's start, contexts have closing bytes.
+        """
+        before = ORDERS - 1
+        for first in range(0, len(self.data), WINDOW):
+            last = min(first + WINDOW, len(self.data))
+            wide = np.full(last - first + before, END, np.uint8)
+            have = min(first, before)
+            wide[before - have :] = self.data[first - have : last]
+            context = [wide[before - k : len(wide) - k].copy() for k in range(1, before + 1)]
+            a, b = np.searchsorted(self.start, [first - before, last])
+            for k in range(1, before + 1):  # context byte k of a text's first k positions
+                at = (self.start[a:b, None] + np.arange(k)[None]).ravel() - first
+                at = at[(at >= 0) & (at < last - first)]
+                context[k - 1][at] = END
+            code = context[0].astype(_U)
+            for c in context[1:3]:
+                code <<= _U(8)
+                code |= c
+            code = hashed(code)
+            for c in (*context[3:], wide[before:]):
+                code <<= _U(8)
+                code |= c
+            yield first, code
+
+    def sums(self, first: int, values: np.ndarray, out: np.ndarray) -> None:
+        """Add to ``out`` the values of a window, by text."""
+        a, b = np.searchsorted(self.end, first, "right"), np.searchsorted(self.start, first + len(values))
+        out[a:b] += np.add.reduceat(values, np.maximum(self.start[a:b] - first, 0))
+
+
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """Sorted, each once."""
+    keys = np.sort(keys)
+    if not len(keys):
+        return keys
+    first = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=first[1:])
+    return keys[first]
+
+
+def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys = np.sort(keys)
+    if not len(keys):
+        return keys, np.zeros(0, np.int64)
+    first = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=first[1:])
+    at = np.flatnonzero(first)
+    return keys[at], np.diff(np.append(at, len(keys)))
+
+
+def added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and the sums of their counts."""
+    k, c = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(k, kind="stable")
+    k, c = k[order], c[order]
+    at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+    return k[at], np.add.reduceat(c, at) if len(at) else c
 
 
-def codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(byte sequences, the last byte lowest, that end at each byte of a text and at its closing byte; how many each text has)."""
-    lengths = np.diff(offsets)
-    n = len(lengths)
-    before = ORDERS - 1
-    padded = np.full(len(data) + ORDERS * n, END, np.uint8)
-    body = np.arange(len(data)) + np.repeat(ORDERS * np.arange(n) + before, lengths)
-    padded[body] = buffers.LOWER[data]
-    wide = padded.astype(_U)
-    code = wide[before:].copy()
-    for k in range(1, ORDERS):
-        code |= wide[before - k : len(wide) - k] << _U(8 * k)
-    # the padding before each later text belongs to none
-    keep = np.ones(len(code), bool)
-    heads = np.cumsum(lengths + ORDERS)[:-1]
-    for k in range(before):
-        keep[heads + k - before] = False
-    return code[keep], lengths + 1
-
-
-def slots(code: np.ndarray, order: int) -> list[np.ndarray]:
-    """Places of the counts of the eight bits, the highest first. A context has 16 neighbouring places for the first four
-    bits and, for each value of these, 16 others for the last four."""
-    context = (code >> _U(8)) & _U((1 << (8 * order)) - 1)
-    h = context * _U(0x9E3779B97F4A7C15) + _U(order * 1000003 + 1)
-    byte = (code & _U(255)).astype(np.int64)
-    out = []
-    for half, before in ((0, _U(0)), (1, (code & _U(0xF0)) + _U(1))):
-        base = (buffers.mix(h + before * _U(0xD1342543DE82EF95)) >> _U(64 - SLOT_BITS)).astype(np.int64) & ~15
-        for k in range(4):
-            shift = 8 - 4 * half - k
-            out.append(base + ((byte >> shift) & ((1 << k) - 1)) + (1 << k))
-    return out
+def _planes(x: np.ndarray) -> bytes:
+    """Compressed bytes of numbers, the lowest bytes of all first."""
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).data, codec="zstd", asbytes=True)
 
 
-def _reduced(keys: list, counts: list) -> tuple[np.ndarray, np.ndarray]:
-    k, c = np.concatenate(keys), np.concatenate(counts)
-    distinct, where = np.unique(k, return_inverse=True)
-    return distinct, np.bincount(where, weights=c, minlength=len(distinct)).astype(np.int64)
+def _unplaned(data: bytes, n: int, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    raw = np.frombuffer(pa.decompress(data, n * size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(size, n).T).reshape(-1).view(kind)
 
 
-def _emit(kind: int, key: np.ndarray, n: np.ndarray):
-    part = ((key >> _U(8)) & _U(0xFFFFFF)).astype(np.int32)
-    cols = [pa.array(np.full(len(key), kind, np.int32)), pa.array(part), pa.array(key.view(np.int64)), pa.array(n)]
-    return pa.RecordBatch.from_arrays(cols, names=["kind", "part", "key", "n"])
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys, packed by their differences."""
+    return _planes(np.diff(keys, prepend=_U(0)))
 
 
-def _counted(batches):
-    """Counts of byte sequences (kind 0) and of words (kind 1) of a partition, in pieces of bounded size."""
-    held: dict[int, tuple[list, list]] = {0: ([], []), 1: ([], [])}
-    size = {0: 0, 1: 0}
+def unpacked_keys(data: bytes, n: int) -> np.ndarray:
+    return np.cumsum(_unplaned(data, n, _U), dtype=_U)
 
-    def add(kind, keys):
-        distinct, n = np.unique(keys, return_counts=True)
-        held[kind][0].append(distinct)
-        held[kind][1].append(n)
-        size[kind] += len(distinct)
 
-    for batch in batches:
-        for _, _, data, at in buffers.blocks(batch.column(0), 1 << 22):
-            add(0, codes(data, at)[0])
-            add(1, buffers.Words(data, at).hash)
+def _ranges(keys: np.ndarray, kind: int):
+    """(part, first, last) of the parts that sorted keys of a kind (0: sequences, 1: words) fall into."""
+    shift = _U((56 if kind == 0 else 64) - PART_BITS)
+    edges = np.searchsorted(keys >> shift, np.arange(PARTS + 1, dtype=_U))
+    for part in np.flatnonzero(np.diff(edges)).tolist():
+        yield part + kind * PARTS, int(edges[part]), int(edges[part + 1])
+
+
+# --- counting --------------------------------------------------------------------------------------------------------
+
+
+def _texts(column: pa.Array) -> list[bytes]:
+    data, at = buffers.raw(column)
+    return [data[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
+def _words(texts: list[bytes]):
+    """Word hashes of texts in pieces of bounded size, with the number of each text's words; a long text comes in several
+    pieces, cut at spaces where it has any in reach."""
+    row = 0
+    while row < len(texts):
+        end, size = row, 0
+        while end < len(texts) and (end == row or size + len(texts[end]) <= WINDOW):
+            size += len(texts[end])
+            end += 1
+        if end == row + 1 and size > WINDOW:
+            for piece in _cut(texts[row]):
+                w = buffers.Words(np.frombuffer(piece, np.uint8), np.array([0, len(piece)]))
+                yield row, w.per_row, w.hash
+        else:
+            at = np.concatenate([[0], np.cumsum([len(t) for t in texts[row:end]])])
+            w = buffers.Words(np.frombuffer(b"".join(texts[row:end]), np.uint8), at)
+            yield row, w.per_row, w.hash
+        row = end
+
+
+def _cut(text: bytes):
+    """Pieces of a long text, of whole words; a piece is about WINDOW bytes, and more where a word is longer."""
+    view, at = np.frombuffer(text, np.uint8), 0
+    while at < len(text):
+        end = at + WINDOW
+        while end < len(text):
+            gap = np.flatnonzero(buffers.SPACE[view[end : end + WINDOW]])
+            if len(gap):
+                end += int(gap[0])
+                break
+            end += WINDOW
+        yield text[at:end]
+        at = end
+
+
+def _counts_of(texts: list[bytes], kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct sequences (kind 0) or words (1) of texts, and their counts."""
+    found = [counted(code) for _, code in Stream(texts).windows()] if kind == 0 else [counted(h) for _, _, h in _words(texts)]
+    return added([k for k, _ in found], [n for _, n in found])
+
+
+_COUNTS = "part int, rows int, keys binary, n binary"
+
+
+def _count(batches):
+    """Packed counts of a partition's blocks; sequences and words of texts that aren't learnt from have count 0."""
+
+    def emit(held):
+        rows = []
         for kind in (0, 1):
-            if size[kind] > 3_000_000:
-                key, n = _reduced(*held[kind])
-                if len(key) > 1_500_000:
-                    yield _emit(kind, key, n)
-                    key, n = key[:0], n[:0]
-                held[kind], size[kind] = ([key], [n]), len(key)
-    for kind in (0, 1):
-        if size[kind]:
-            yield _emit(kind, *_reduced(*held[kind]))
-
-
-def counts(docs: DataFrame) -> DataFrame:
-    """kind, part, key, n over all of ``docs`` (text). ``part`` is the key's own, so parts of a kind share no key."""
-    raw = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_counted, "kind int, part int, key long, n long")
-    return stash(raw.repartition("kind", "part").groupBy("kind", "part", "key").agg(F.sum("n").alias("n")), "counts")
-
-
-def _tables(batches):
-    """Counts of bits by order and slot from a partition's sequences."""
-    keys, ns = [], []
+            keys, n = [], []
+            for learn in (True, False):
+                if held[learn]:
+                    k, c = _counts_of(held[learn], kind)
+                    keys.append(k)
+                    n.append(c if learn else np.zeros_like(c))
+            if keys:
+                k, c = added(keys, n)
+                rows += [(part, b - a, packed_keys(k[a:b]), _planes(c[a:b])) for part, a, b in _ranges(k, kind)]
+        if rows:
+            yield _table(rows, _COUNTS)
+
+    held, size = {True: [], False: []}, 0
     for batch in batches:
-        keys.append(batch.column(0).to_numpy().view(_U))
-        ns.append(batch.column(1).to_numpy())
-    if not keys or not sum(map(len, keys)):
-        return
-    code, n = np.concatenate(keys), np.concatenate(ns).astype(np.float64)
-    byte = code & _U(255)
-    for order in range(ORDERS):
-        table = np.zeros((2, 1 << SLOT_BITS))
-        own = n >= (2 if order > 4 else 1)  # what occurs once says nothing of other texts, but would fill the table
-        for k, slot in enumerate(slots(code[own], order)):
-            bit = ((byte[own] >> _U(7 - k)) & _U(1)).astype(np.int64)
-            np.add.at(table, (bit, slot), n[own])
-        at = np.flatnonzero(table.sum(axis=0))
-        for k in range(0, len(at), 200_000):
-            own = at[k : k + 200_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), order, np.int32)), pa.array(own.astype(np.int32)), pa.array(table[0, own]), pa.array(table[1, own])], names=["ord", "slot", "n0", "n1"])
+        learn = batch.column(0).to_pylist()
+        for one, text in zip(learn, _texts(batch.column(1)), strict=True):
+            if size and size + len(text) > BLOCK:
+                yield from emit(held)
+                held, size = {True: [], False: []}, 0
+            held[one].append(text)
+            size += len(text) + 1
+    if size:
+        yield from emit(held)
 
 
-def squash(x):
-    return 1 / (1 + np.exp(-np.clip(x, -14, 14)))
+_TYPES = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "double": pa.float64()}
+
+
+def _table(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, _TYPES[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
+
+
+_MERGED = "part int, rows int, keys binary, n binary, known long, total long"
+
+
+def _merge(batches):
+    """Rows come sorted by part. The sums of each part, cut where the first three context bytes change."""
+
+    def emit(part, keys, n):
+        k, c = added(keys, n)
+        if part < PARTS:
+            head = k >> _U(32)
+            starts = np.flatnonzero(np.concatenate([[True], head[1:] != head[:-1]]))
+            cuts = [0]
+            for s in starts[1:].tolist():
+                if s - cuts[-1] >= ROW:
+                    cuts.append(s)
+        else:
+            cuts = list(range(0, len(k), ROW))
+        cuts.append(len(k))
+        yield _table([(part, b - a, packed_keys(k[a:b]), _planes(c[a:b]), int((c[a:b] > 0).sum()), int(c[a:b].sum())) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], _MERGED)
+
+    now, keys, n, held = None, [], [], 0
+    for batch in batches:
+        for part, rows, k, c in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if part != now and keys:
+                yield from emit(now, keys, n)
+                keys, n, held = [], [], 0
+            now = part
+            keys.append(unpacked_keys(k, rows))
+            n.append(_unplaned(c, rows, np.int64))
+            held += rows
+            if held > 4_000_000:
+                one = added(keys, n)
+                keys, n, held = [one[0]], [one[1]], len(one[0]) // 2
+    if keys:
+        yield from emit(now, keys, n)
 
 
-#: A count in one byte: exact up to 16, then in steps of 3 percent.
-COUNT = np.concatenate([np.arange(16), 16 * np.exp(0.03 * np.arange(240))]).astype(np.float32)
+def counts(docs: DataFrame, learn: Column) -> DataFrame:
+    """The merged table of all sequences and words of ``docs`` (text), counted where ``learn`` holds."""
+    rows = docs.select(F.coalesce(learn, F.lit(False)).alias("learn"), F.col("text").cast("string").alias("text"))
+    raw = rows.mapInArrow(_count, _COUNTS)
+    return stash(raw.repartition("part").sortWithinPartitions("part").mapInArrow(_merge, _MERGED), "counts")
 
 
-def as_bytes(n: np.ndarray) -> np.ndarray:
-    n = np.maximum(np.asarray(n, np.float64), 0)
-    return np.where(n < 16, np.rint(n), np.minimum(255, np.rint(16 + np.log(np.maximum(n, 16) / 16) / 0.03))).astype(np.uint8)
+# --- the model -------------------------------------------------------------------------------------------------------
 
 
-def _pairs() -> tuple[np.ndarray, np.ndarray]:
-    """For each pair of counts in bytes (zeros low, ones high): the stretched probability of a one, and how often seen."""
-    n0, n1 = np.tile(COUNT.astype(np.float64), 256), np.repeat(COUNT.astype(np.float64), 256)
+def squash(x):
+    return 1 / (1 + np.exp(-np.clip(x, -14, 14)))
+
+
+def stretched(n0: np.ndarray, n1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretched probability of a one after so many zeros and ones, and how often that is (0 to 4)."""
     n = n0 + n1
-    spare = 0.05 + 0.02 * n / (n + 4)
+    spare = np.float32(0.05) + np.float32(0.02) * n / (n + 4)
     x = np.clip(np.log((n1 + spare) / (n0 + spare)), -9, 9)
-    often = np.where(n > 0, 1 + (n >= 3).astype(np.int64) + (n >= 12) + (n >= 60), 0)
-    return x.astype(np.float32), often.astype(np.int8)
+    return x, (n > 0).astype(np.int8) + (n >= 3) + (n >= 12) + (n >= 60)
+
+
+def bit_counts(context: np.ndarray, byte: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """(8, 2, entries) zeros and ones that were counted at each of the eight bits, after the bits before it, for entries
+    (context, byte, n) sorted by context and byte."""
+    out = np.zeros((8, 2, len(n)), np.float32)
+    total = np.concatenate([[0], np.cumsum(n, dtype=np.float64)])
+    for k in range(8):
+        node = (context << _U(8)) | (byte >> _U(8 - k)) if k else context
+        first = np.concatenate([[True], node[1:] != node[:-1]])
+        start = np.flatnonzero(first)
+        end = np.append(start[1:], len(n))
+        group = np.cumsum(first) - 1
+        ones = np.concatenate([[0], np.cumsum(n * ((byte >> _U(7 - k)) & _U(1)), dtype=np.float64)])
+        n1 = ones[end] - ones[start]
+        out[k, 1] = n1[group]
+        out[k, 0] = (total[end] - total[start] - n1)[group]
+    return out
 
 
-STRETCHED, OFTEN = _pairs()
+def small_orders(cells: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A dense table of 2 ** 24 counts by (nearest context byte, the one before, byte)."""
+    out = np.zeros(1 << 24, np.float32)
+    out[cells] = n
+    return out
 
 
 class Model:
-    """``table``: (orders, slots), counts of zeros and ones in two bytes, with the weights and the refinement."""
+    """``small``: counts of order 2 (and so of 1 and 0) by nearest context byte, the one before and the byte."""
 
-    def __init__(self, table: np.ndarray, weights: np.ndarray | None = None, refined: np.ndarray | None = None):
-        self.table = table
+    def __init__(self, small: np.ndarray, weights: np.ndarray | None = None, refined: np.ndarray | None = None):
+        self.small = small.reshape(256, 256, 256)
+        self.tables = [self.small.sum(axis=(0, 1), dtype=np.float64).astype(np.float32)[None, :], self.small.sum(axis=1, dtype=np.float64).astype(np.float32)]
         if weights is None:
             weights = np.zeros((GATES, INPUTS))
             weights[:, :ORDERS] = 0.35
         self.weights = weights
         self.refined = np.zeros((256, BUCKETS, 2)) if refined is None else refined
 
-    def bits(self, code: np.ndarray, apart: bool = False):
-        """For each of the eight bits: (bit, order-0 context, inputs, gate). With ``apart`` the counts hold these bits
-        themselves, and they are left out."""
-        places = [slots(code, order) for order in range(ORDERS)]
-        byte = (code & _U(255)).astype(np.int64)
+    def _low(self, near: np.ndarray, far: np.ndarray) -> list[tuple]:
+        """For orders 0 to 2: the counts of all bytes in each context that occurs, and which is whose."""
+        out = []
+        for table, context in ((self.tables[0], near * 0), (self.tables[1], near), (self.small.reshape(65536, 256), near * 256 + far)):
+            own, where = np.unique(context, return_inverse=True)
+            out.append((table[own], where))
+        return out
+
+    def inputs(self, keys: np.ndarray, n: np.ndarray, apart: bool = False):
+        """For each of the eight bits: (bit, order-0 context, inputs, gate) of sorted sequences, all those of their
+        three-byte contexts. With ``apart`` what occurs is left out once of the counts."""
+        byte64 = keys & _U(255)
+        byte = byte64.astype(np.int64)
+        last = unhashed(keys >> _U(32))
+        near, far = (last >> _U(16)).astype(np.int64), ((last >> _U(8)) & _U(255)).astype(np.int64)
+        held = []
+        key, count, where = keys, n.astype(np.float64), None
+        for order in range(ORDERS - 1, 2, -1):
+            if order < ORDERS - 1:
+                short = ((key >> _U(16)) << _U(8)) | (key & _U(255))
+                rank = np.argsort(short, kind="stable")
+                short = short[rank]
+                first = np.concatenate([[True], short[1:] != short[:-1]])
+                at = np.flatnonzero(first)
+                back = np.empty(len(rank), np.int64)
+                back[rank] = np.cumsum(first) - 1
+                key, count = short[at], np.add.reduceat(count[rank], at)
+                where = back if where is None else back[where]
+            held.append((order, where, key & _U(255), bit_counts(key >> _U(8), key & _U(255), count)))
+        low = self._low(near, far)
         for k in range(8):
             bit = (byte >> (7 - k)) & 1
-            x = np.empty((len(code), INPUTS), np.float32)
-            gate = np.zeros(len(code), np.int64)
-            for order in range(ORDERS):
-                pair = self.table[order].take(places[order][k])
-                if apart:  # counts above 16 hardly change by one
-                    own = np.where(bit == 1, pair >> 8, pair & 255)
-                    pair = pair - np.where((own > 0) & (own <= 16), np.where(bit == 1, 256, 1), 0).astype(np.uint16)
-                x[:, order] = STRETCHED.take(pair)
-                often = OFTEN.take(pair)
-                gate = np.where(often > 0, 4 * order + often, gate)
+            x = np.empty((len(keys), INPUTS), np.float32)
             x[:, ORDERS] = 0.3
+            often = np.zeros((ORDERS, len(keys)), np.int8)
+            for order, index, own, pairs in held:
+                n0, n1 = pairs[k]
+                if apart:
+                    one = ((own >> _U(7 - k)) & _U(1)).astype(bool)
+                    n0, n1 = np.maximum(n0 - ~one, 0), np.maximum(n1 - one, 0)
+                value, seen = stretched(n0, n1)
+                x[:, order] = value if index is None else value[index]
+                often[order] = seen if index is None else seen[index]
+            at = byte >> (7 - k) & ~1
+            for order, (table, where) in enumerate(low):
+                node = table.reshape(len(table), 2 << k, -1).sum(axis=2)  # counts below each of the nodes of this depth
+                n0, n1 = node[where, at], node[where, at | 1]
+                if apart:
+                    n0, n1 = np.maximum(n0 - (bit == 0), 0), np.maximum(n1 - (bit == 1), 0)
+                x[:, order], often[order] = stretched(n0, n1)
+            gate = np.zeros(len(keys), np.int64)
+            for order in range(ORDERS):
+                gate = np.where(often[order] > 0, 4 * order + often[order], gate)
             yield bit, (byte >> (8 - k)) | (1 << k), x, gate
 
     def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
@@ -211,11 +419,11 @@ class Model:
     def _bucket(self, z: np.ndarray) -> np.ndarray:
         return np.clip(np.rint((z + 8) * 2), 0, BUCKETS - 1).astype(np.int64)
 
-    def log10(self, code: np.ndarray) -> np.ndarray:
-        """log10 of the probability of the last byte after those before it: the mixture of each bit, averaged with what
-        came out before where it said the same."""
-        out = np.zeros(len(code))
-        for bit, node, x, gate in self.bits(code):
+    def log10(self, keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """log10 of the probability of each sequence's last byte after those before it: the mixture of each bit, averaged
+        with what came out before where it said the same."""
+        out = np.zeros(len(keys))
+        for bit, node, x, gate in self.inputs(keys, n):
             z = self.mixed(x, gate)
             p = squash(z)
             seen = self.refined[node, self._bucket(z)]
@@ -224,26 +432,31 @@ class Model:
             out += np.log10(np.where(bit == 1, p, 1 - p))
         return out
 
-    def learn(self, code: np.ndarray, n: np.ndarray, rate: float) -> None:
-        """One online step for each of the eight bits of a small run of sequences."""
-        for bit, _, x, gate in self.bits(code, apart=True):
-            error = (bit - squash(self.mixed(x, gate))) * n
-            step = np.stack([np.bincount(gate, weights=error * x[:, k], minlength=GATES) for k in range(INPUTS)], axis=1)
-            mass = np.bincount(gate, weights=n, minlength=GATES)
-            self.weights += rate * step / (mass + 1)[:, None]
-
-    def observe(self, code: np.ndarray, n: np.ndarray, seen: np.ndarray) -> None:
-        """Add to ``seen`` what came out, by order-0 context and bucket of the mixture."""
-        for bit, node, x, gate in self.bits(code, apart=True):
-            cell = (node * BUCKETS + self._bucket(self.mixed(x, gate))) * 2 + bit
-            seen += np.bincount(cell, weights=n, minlength=seen.size).reshape(seen.shape)
+    def learn(self, keys: np.ndarray, n: np.ndarray, rate: float, seen: np.ndarray | None = None) -> float:
+        """Online steps over the bits of small runs of sequences; ``seen`` gathers what came out, by order-0 context and
+        bucket of the mixture. Returns the bytes learnt from."""
+        own = np.flatnonzero(n > 0)
+        own = own[np.argsort(buffers.mix(keys[own].copy()))]  # neighbours in a run aren't neighbours in the table
+        mass = n.astype(np.float64)
+        for bit, node, x, gate in self.inputs(keys, n, apart=True):
+            for k in range(0, len(own), 1024):
+                run = own[k : k + 1024]
+                xr, gr, br, m = x[run], gate[run], bit[run], mass[run]
+                z = self.mixed(xr, gr)
+                if seen is not None:
+                    cell = (node[run] * BUCKETS + self._bucket(z)) * 2 + br
+                    np.add.at(seen.reshape(-1), cell, m)
+                error = (br - squash(z)) * m
+                step = np.stack([np.bincount(gr, weights=error * xr[:, i], minlength=GATES) for i in range(INPUTS)], axis=1)
+                self.weights += rate * step / (np.bincount(gr, weights=m, minlength=GATES) + 1)[:, None]
+        return float(mass[own].sum())
 
 
 _TABLES: dict[str, np.ndarray] = {}
 
 
 def _shared(table: np.ndarray, spark):
-    """A broadcast of the table, packed: mostly zeros where texts are few."""
+    """A broadcast of the table of low orders, packed: mostly zeros where texts are few."""
     return spark.sparkContext.broadcast((uuid.uuid4().hex, zlib.compress(table.tobytes(), 1)))
 
 
@@ -251,160 +464,258 @@ def _unpacked(shared) -> np.ndarray:
     name, packed = shared.value
     if name not in _TABLES:
         _TABLES.clear()
-        _TABLES[name] = np.frombuffer(zlib.decompress(packed), np.uint16).reshape(ORDERS, -1)
+        _TABLES[name] = np.frombuffer(zlib.decompress(packed), np.float32)
     return _TABLES[name]
 
 
-def _learned(shared, weights: np.ndarray, rate: float):
-    def run(batches):
-        model, mass = Model(_unpacked(shared), weights.copy()), 0.0
-        for batch in batches:
-            code, n = batch.column(0).to_numpy().view(_U), batch.column(1).to_numpy().astype(np.float64)
-            order = np.argsort(buffers.mix(code.copy()))  # neighbours in a run aren't neighbours in the table
-            for k in range(0, len(code), 1024):
-                own = order[k : k + 1024]
-                model.learn(code[own], n[own], rate)
-            mass += float(n.sum())
-        if mass:
-            yield pa.RecordBatch.from_arrays([pa.array([mass]), pa.array([model.weights.tobytes()], pa.binary())], names=["mass", "w"])
+def _sequences(batch: pa.RecordBatch):
+    """Keys and counts of a batch's rows (part, rows, keys, n)."""
+    for rows, keys, n in zip(*(batch.column(c).to_pylist() for c in ("rows", "keys", "n")), strict=True):
+        yield unpacked_keys(keys, rows), _unplaned(n, rows, np.int64)
 
-    return run
+
+def _low(batches):
+    """Counts of (nearest context byte, the one before, byte) of a partition's rows."""
+    for batch in batches:
+        for keys, n in _sequences(batch):
+            cell, count = added(*([x] for x in (unhashed(keys >> _U(32)) >> _U(8) << _U(8) | (keys & _U(255)), n)))
+            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(count.astype(np.float64))], names=["cell", "n"])
 
 
-def _observed(shared, weights: np.ndarray):
+def _learned(shared, weights: np.ndarray, rate: float, observe: bool):
+    """kind 0: weights times the bytes learnt from; 1: what came out; 2: the bytes."""
+
     def run(batches):
-        model, seen = Model(_unpacked(shared), weights), np.zeros((256, BUCKETS, 2))
+        model, mass = Model(_unpacked(shared), weights.copy()), 0.0
+        seen = np.zeros((256, BUCKETS, 2)) if observe else None
         for batch in batches:
-            model.observe(batch.column(0).to_numpy().view(_U), batch.column(1).to_numpy().astype(np.float64), seen)
-        flat = seen.ravel()
-        at = np.flatnonzero(flat)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(flat[at])], names=["cell", "n"])
+            for keys, n in _sequences(batch):
+                mass += model.learn(keys, n, rate, seen)
+        if mass:
+            flat = np.zeros(0) if seen is None else seen.ravel()
+            at = np.flatnonzero(flat)
+            kinds = np.concatenate([np.zeros(model.weights.size, np.int32), np.ones(len(at), np.int32), [2]]).astype(np.int32)
+            cells = np.concatenate([np.arange(model.weights.size), at, [0]]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(cells), pa.array(np.concatenate([model.weights.ravel() * mass, flat[at], [mass]]))], names=["kind", "cell", "v"])
 
     return run
 
 
-def train(counted: DataFrame, rounds=(0.03, 0.01)):
-    """(broadcast of the table, model) from ``counts``."""
-    spark = counted.sparkSession
-    grams = counted.where("kind = 0").select("key", "n")
-    tables = counted.where("kind = 0").select("part", "key", "n").repartition("part").select("key", "n").mapInArrow(_tables, "ord int, slot int, n0 double, n1 double")
-    tables = stash(tables.groupBy("ord", "slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "slots")
-    table = np.zeros((ORDERS, 1 << SLOT_BITS), np.uint16)
-    for order in range(ORDERS):  # at most 2 ** SLOT_BITS rows each
-        got = tables.where(F.col("ord") == order).select("slot", F.col("n0").cast("float").alias("n0"), F.col("n1").cast("float").alias("n1")).toArrow()
-        zeros, ones = (as_bytes(got[c].to_numpy()).astype(np.uint16) for c in ("n0", "n1"))
-        table[order, got["slot"].to_numpy()] = zeros | ones << np.uint16(8)
-        del got
-    drop(tables)
+def train(merged: DataFrame, rounds=(0.03, 0.01)):
+    """(broadcast of the table of low orders, weights, refinement) from ``counts``."""
+    spark = merged.sparkSession
+    grams = merged.where(F.col("part") < PARTS).select("rows", "keys", "n")
+    got = grams.mapInArrow(_low, "cell int, n double").groupBy("cell").agg(F.sum("n").cast("float").alias("n")).toArrow()  # at most 2 ** 24 rows
+    table = small_orders(got["cell"].to_numpy(), got["n"].to_numpy())
+    del got
     model, shared = Model(table), _shared(table, spark)
-    for rate in rounds:
-        rows = grams.mapInArrow(_learned(shared, model.weights, rate), "mass double, w binary").orderBy("mass", "w").collect()
-        total = sum(r["mass"] for r in rows)
-        if total:
-            model.weights = sum(r["mass"] / total * np.frombuffer(bytes(r["w"])) for r in rows).reshape(GATES, INPUTS)
-    cells = grams.mapInArrow(_observed(shared, model.weights), "cell int, n double").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    refined = np.zeros(256 * BUCKETS * 2)
-    refined[cells["cell"].to_numpy()] = cells["n"].to_numpy()
-    model.refined = refined.reshape(256, BUCKETS, 2)
-    return shared, model
-
-
-class Remembered:
-    """log10 of byte sequences, each worked out once; a place in memory holds the last sequence that fell on it."""
-
-    def __init__(self, model: Model):
-        self.model = model
-        self.key = np.full(1 << MEMORY_BITS, np.iinfo(np.uint64).max, _U)
-        self.value = np.zeros(1 << MEMORY_BITS)
-
-    def log10(self, code: np.ndarray) -> np.ndarray:
-        slot = ((code * _U(0x9E3779B97F4A7C15)) >> _U(64 - MEMORY_BITS)).astype(np.int64)
-        out = self.value[slot]
-        missing = np.flatnonzero(self.key[slot] != code)
-        if len(missing):
-            fresh, where = np.unique(code[missing], return_inverse=True)
-            value = np.concatenate([self.model.log10(fresh[k : k + 4096]) for k in range(0, len(fresh), 4096)])
-            out[missing] = value[where]
-            own = ((fresh * _U(0x9E3779B97F4A7C15)) >> _U(64 - MEMORY_BITS)).astype(np.int64)
-            self.key[own], self.value[own] = fresh, value
-        return out
+    for turn, rate in enumerate(rounds):
+        last = turn == len(rounds) - 1
+        # sums of numbers from all tasks, at most 17,130 rows; rounded, so that the order of adding doesn't show
+        sums = grams.mapInArrow(_learned(shared, model.weights, rate, last), "kind int, cell int, v double").groupBy("kind", "cell").agg(F.sum("v").alias("v")).toArrow()
+        kind, cell, v = (sums[c].to_numpy() for c in ("kind", "cell", "v"))
+        if not len(kind):
+            break
+        weights = np.zeros(GATES * INPUTS)
+        weights[cell[kind == 0]] = v[kind == 0] / v[kind == 2][0]
+        model.weights = np.round(weights, 9).reshape(GATES, INPUTS)
+        if last:
+            model.refined.reshape(-1)[cell[kind == 1]] = v[kind == 1]
+    return shared, model.weights, model.refined
 
 
-_MEMORY: dict[str, Remembered] = {}
+# --- scoring ---------------------------------------------------------------------------------------------------------
 
+#: kind 0: values of a part's keys; 1: a block's keys; 2: a text. ``dest`` is the part, and for texts a number above all.
+_ASKED = "dest long, kind int, block long, seq long, rows int, keys binary, vals binary, doc_id long, text string"
+_TEXTS = 1 << 40
 
-def _scored(shared, weights: np.ndarray, refined: np.ndarray, vocabulary, whole: bool):
-    """uid, doc_id, bits; of the words found in ``vocabulary``: how many and the sum of log10(count + 1); the other words."""
+
+def _valued(shared, weights, refined):
+    """The merged table with log10 of the probability of each sequence, and the count of each word, as four bytes or eight."""
 
     def run(batches):
-        table, name = _unpacked(shared), shared.value[0]
-        if name not in _MEMORY:
-            _MEMORY.clear()
-            _MEMORY[name] = Remembered(Model(table, weights, refined))
-        memory, (words, count) = _MEMORY[name], vocabulary.value
-        logs = np.log10(count + 1.0)
+        model = Model(_unpacked(shared), weights, refined)
         for batch in batches:
-            for first, end, data, at in buffers.blocks(batch.column(2), 1 << 22):
-                code, per = codes(data, at)
-                score = np.add.reduceat(memory.log10(code), np.cumsum(per) - per)
-                h = buffers.Words(data, at)
-                row = np.repeat(np.arange(end - first), h.per_row)
-                place = np.minimum(np.searchsorted(words, h.hash), max(len(words) - 1, 0))
-                hit = words[place] == h.hash if len(words) else np.zeros(len(row), bool)
-                known = np.bincount(row[hit], minlength=end - first)
-                total = np.bincount(row[hit], weights=logs[place[hit]], minlength=end - first).astype(np.float64)
-                other = h.hash[~hit].view(np.int64) if not whole else np.zeros(0, np.int64)
-                upto = np.concatenate([[0], np.cumsum(np.bincount(row[~hit], minlength=end - first) if not whole else np.zeros(end - first, np.int64))])
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(first, end - first), batch.column(1).slice(first, end - first), pa.array(score), pa.array(h.per_row.astype(np.int64) + 1),
-                    pa.array(known.astype(np.int64)), pa.array(total), pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(other)),
-                ], names=["uid", "doc_id", "score", "n_tokens", "known", "total", "others"])
+            out = []
+            for part, rows, keys, n in zip(*(batch.column(c).to_pylist() for c in ("part", "rows", "keys", "n")), strict=True):
+                k, c = unpacked_keys(keys, rows), _unplaned(n, rows, np.int64)
+                out.append((part, 0, 0, 0, rows, keys, _planes(model.log10(k, c).astype(np.float32) if part < PARTS else c), None, None))
+            if out:
+                yield _table(out, _ASKED)
 
     return run
 
 
-def _least_count(words: DataFrame, most: int) -> int:
-    """The least count such that at most ``most`` words have it or more (counts in steps of a sixteenth of an octave)."""
-    step = F.floor(F.log2("n") * 16).cast("int")
-    rows = words.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("n")).collect()
-    held, least = 0, None
-    for r in sorted(rows, key=lambda r: -r["step"]):
-        held += r["words"]
-        if held > most:
-            break
-        least = r["n"]
-    return least if least is not None else 1 << 62
+def _ask(batches):
+    """Each block's texts as they are, and its distinct keys by part."""
+    from pyspark import TaskContext
 
+    block = TaskContext.get().partitionId() << 32
+    held, size, seq = [], 0, 0
 
-def score(docs: DataFrame, training: DataFrame, top: int = TOP) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every row of ``docs``, by what ``training`` (text) has."""
+    def asked():
+        stream = Stream(held)
+        rows = []
+        for kind, keys in ((0, _all(distinct(code) for _, code in stream.windows())), (1, _all(distinct(h) for _, _, h in _words(held)))):
+            rows += [(part, 1, block, part, b - a, packed_keys(keys[a:b]), None, None, None) for part, a, b in _ranges(keys, kind)]
+        return _table(rows, _ASKED)
+
+    for batch in batches:
+        texts = _texts(batch.column(1))
+        first = 0
+        for i, text in enumerate(texts):
+            if held and size + len(text) > BLOCK:
+                if first < i:
+                    yield _passed(batch, first, i, block, seq)
+                yield asked()
+                held, size, seq, first, block = [], 0, 0, i, block + 1
+            held.append(text)
+            size += len(text) + 1
+        if first < len(texts):
+            yield _passed(batch, first, len(texts), block, seq)
+        seq += len(texts) - first
+    if held:
+        yield asked()
+
+
+def _all(found) -> np.ndarray:
+    parts = list(found)
+    return distinct(np.concatenate(parts)) if parts else np.zeros(0, _U)
+
+
+def _passed(batch: pa.RecordBatch, first: int, end: int, block: int, seq: int) -> pa.RecordBatch:
+    n = end - first
+    text = batch.column(1).slice(first, n)
+    cols = {
+        "dest": pa.array(np.full(n, _TEXTS + block)), "kind": pa.array(np.full(n, 2, np.int32)), "block": pa.array(np.full(n, block)), "seq": pa.array(np.arange(seq, seq + n)),
+        "rows": pa.nulls(n, pa.int32()), "keys": pa.nulls(n, pa.binary()), "vals": pa.nulls(n, pa.binary()), "doc_id": batch.column(0).slice(first, n), "text": text,
+    }
+    return pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+
+
+def _answer(batches):
+    """Rows come sorted by dest and kind: a part's values, then the blocks' keys, which get theirs; texts pass."""
+    now, keys, vals, ready = None, [], [], None
+    for batch in batches:
+        dest, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        texts = int(np.searchsorted(dest, _TEXTS))
+        out = []
+        own = batch.slice(0, texts)
+        for i, rows, k, v, block in zip(range(texts), own.column(4).to_pylist(), own.column(5).to_pylist(), own.column(6).to_pylist(), own.column(2).to_pylist(), strict=True):
+            part = int(dest[i])
+            kind_of = np.float32 if part < PARTS else np.int64
+            if part != now:
+                now, keys, vals, ready = part, [], [], None
+            if kind[i] == 0:
+                keys.append(unpacked_keys(k, rows))
+                vals.append(_unplaned(v, rows, kind_of))
+                continue
+            if ready is None:
+                all_, value = np.concatenate(keys), np.concatenate(vals)
+                order = np.argsort(all_, kind="stable")
+                ready = all_[order], value[order]
+                keys, vals = [], []
+            asked = unpacked_keys(k, rows)
+            at = np.minimum(np.searchsorted(ready[0], asked), len(ready[0]) - 1)
+            if not np.array_equal(ready[0][at], asked):
+                raise ValueError("a block has keys that weren't counted: the input changed between two readings")
+            out.append((part, 1, block, part, rows, None, _planes(ready[1][at]), None, None))
+        if out:
+            yield _table(out, _ASKED)
+        if texts < batch.num_rows:
+            yield batch.slice(texts)
+
+
+class Lookup:
+    """Values of sorted keys, found by two direct places for each key and, for what lies in neither, by search."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.keys, self.values = keys, values
+        bits = max(8, len(keys).bit_length())
+        self.shift = _U(64 - bits)
+        self.place = []
+        for factor in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95):
+            place = np.zeros(1 << bits, np.int32)
+            place[(keys * _U(factor)) >> self.shift] = np.arange(len(keys), dtype=np.int32)
+            self.place.append((_U(factor), place))
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        (f, place), (g, other) = self.place
+        at = place[(keys * f) >> self.shift]
+        missing = np.flatnonzero(self.keys[at] != keys)
+        if len(missing):
+            some = keys[missing]
+            found = other[(some * g) >> self.shift]
+            left = np.flatnonzero(self.keys[found] != some)
+            found[left] = np.searchsorted(self.keys, some[left])
+            at[missing] = found
+        return self.values[at]
+
+
+_SCORED = "doc_id long, n_bytes long, score double, n_words long, known long, total double"
+
+
+def _score(batches):
+    """Rows come sorted by block and kind: values in the order of parts, then the block's texts in their order."""
+
+    def done(values, ids, texts):
+        if not texts:
+            return None
+        stream = Stream(texts)
+        score, words = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+        look = Lookup(_all(distinct(code) for _, code in stream.windows()), np.concatenate(values[0]))
+        for first, code in stream.windows():
+            stream.sums(first, look(code).astype(np.float64), score)
+        known, total = np.zeros(len(texts), np.int64), np.zeros(len(texts))
+        keys = _all(distinct(h) for _, _, h in _words(texts))
+        if len(keys):
+            look = Lookup(keys, np.concatenate(values[1]))
+            for row, per, h in _words(texts):
+                n = look(h)
+                own = slice(row, row + len(per))
+                words[own] += per
+                known[own] += buffers.sums((n > 0).astype(np.int64), per)
+                total[own] += buffers.sums(np.log10(n + 1.0), per)
+        cols = [pa.array(ids, pa.int64()), pa.array(stream.end - stream.start), pa.array(score), pa.array(words), pa.array(known), pa.array(total)]
+        return pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in _SCORED.split(", ")])
+
+    now, values, ids, texts = None, ([], []), [], []
+    for batch in batches:
+        blocks, kinds = batch.column(2).to_numpy(), batch.column(1).to_numpy()
+        edges = np.flatnonzero(np.concatenate([[True], (blocks[1:] != blocks[:-1]) | (kinds[1:] != kinds[:-1])])).tolist()
+        for a, b in zip(edges, [*edges[1:], batch.num_rows], strict=True):
+            if blocks[a] != now:
+                if (got := done(values, ids, texts)) is not None:
+                    yield got
+                now, values, ids, texts = blocks[a], ([], []), [], []
+            own = batch.slice(a, b - a)
+            if kinds[a] == 1:
+                for part, rows, v in zip(*(own.column(i).to_pylist() for i in (3, 4, 6)), strict=True):
+                    values[part >= PARTS].append(_unplaned(v, rows, np.float32 if part < PARTS else np.int64))
+            else:
+                ids += own.column(7).to_pylist()
+                texts += _texts(own.column(8))
+    if (got := done(values, ids, texts)) is not None:
+        yield got
+
+
+def score(docs: DataFrame, learn: Column) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score, n_bytes (coded ones: the text's and its end), bits_per_byte
+    of every row of ``docs`` (doc_id, text), by the texts of those rows for which ``learn`` holds."""
     short_batches(docs)
-    spark = docs.sparkSession
-    counted = counts(training)
-    shared, model = train(counted)
-    words = counted.where("kind = 1").select("key", "n")
-    ends = training.count()
-    stats = words.agg(F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    tokens, distinct = stats["n"] + ends, stats["v"] + (ends > 0)
-    least = _least_count(words, top)
-    whole = words.where(F.col("n") < least).isEmpty()
-    got = words.where(F.col("n") >= least).toArrow()
-    keys = got["key"].to_numpy().view(_U)
-    rank = np.argsort(keys)
-    vocabulary = spark.sparkContext.broadcast((keys[rank], got["n"].to_numpy()[rank]))
-    text = F.col("text").cast("string")
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    schema = "uid long, doc_id long, score double, n_tokens long, known long, total double, others array<long>"
-    out = rows.mapInArrow(_scored(shared, model.weights, model.refined, vocabulary, whole), schema)
-    if whole:
-        out = out.withColumns({"more": F.lit(0), "more_total": F.lit(0.0)})
-    else:
-        out = stash(out, "scores")
-        rare = words.where(F.col("n") < least)
-        tail = out.select("uid", F.explode("others").alias("key")).groupBy("uid", "key").agg(F.count(F.lit(1)).alias("tf")).join(rare, "key")
-        tail = tail.groupBy(F.col("uid").alias("u")).agg(F.sum("tf").alias("more"), F.sum(F.col("tf") * F.log10(F.col("n") + 1)).alias("more_total"))
-        out = out.join(tail, F.col("uid") == F.col("u"), "left").withColumns({"more": F.coalesce("more", F.lit(0)), "more_total": F.coalesce("more_total", F.lit(0.0))})
-    floor = float(np.log10(tokens + distinct + 1))
-    base = F.col("total") + F.col("more_total") + F.lit(float(np.log10(ends + 1.0))) - F.col("n_tokens") * F.lit(floor)
-    known = F.col("known") + F.col("more") + F.lit(int(ends > 0))
-    return out.select("doc_id", "n_tokens", known.cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    merged = counts(docs, learn)
+    shared, weights, refined = train(merged)
+    ends = docs.where(learn).count()
+    stats = merged.where(F.col("part") >= PARTS).agg(F.coalesce(F.sum("known"), F.lit(0)).alias("v"), F.coalesce(F.sum("total"), F.lit(0)).alias("n")).first()
+    tokens, kinds = stats["n"] + ends, stats["v"] + (ends > 0)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    asked = rows.mapInArrow(_ask, _ASKED).unionByName(merged.mapInArrow(_valued(shared, weights, refined), _ASKED))
+    answered = asked.repartition("dest").sortWithinPartitions("dest", "kind").mapInArrow(_answer, _ASKED)
+    out = answered.repartition("block").sortWithinPartitions("block", "kind", "seq").mapInArrow(_score, _SCORED)
+    floor = float(np.log10(tokens + kinds + 1))
+    base = F.col("total") + F.lit(float(np.log10(ends + 1.0))) - (F.col("n_words") + 1) * F.lit(floor)
+    return out.select(
+        "doc_id", (F.col("n_words") + 1).alias("n_tokens"), (F.col("known") + F.lit(int(ends > 0))).cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
+        base.alias("base_score"), "score", "n_bytes", (-F.col("score") * F.lit(float(np.log2(10))) / F.col("n_bytes")).alias("bits_per_byte"),
+    )

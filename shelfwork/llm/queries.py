@@ -40,8 +40,8 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = fold(F.col("doc_id"), 7) == 2
-    scored = mixing_lm.score(docs, docs.where(~held_out))
-    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    scored = mixing_lm.score(docs, ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte")
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
