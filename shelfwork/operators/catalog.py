@@ -7,14 +7,25 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from shelfwork.functions.scalars import large_image
+from shelfwork.sources.schemas import GAMES, parse
 
 #: Fixed values of the catalogue's answers.
 MOST_ROWS, DEFAULT_ROWS, MOST_DIMENSIONS, MOST_LISTED, BEST = 500, 100, 50, 200, 50
 
-SHORT = ["id", "name", "cover", "category", "version_parent", "first_release_date", "genres", "platforms", "total_rating", "summary"]
+#: What the two cards show of a record, by paths. A referenced record's id comes along with its fields.
+FULL_CARD = (
+    "id", "name", "summary", "storyline", "first_release_date", "genres.name", "platforms.name", "platforms.platform_logo.url", "cover.url", "screenshots.url", "artworks.url",
+    "involved_companies.company.name", "involved_companies.publisher", "rating", "aggregated_rating", "follows", "hypes", "game_localizations.name", "game_localizations.region",
+    "language_supports.language.name", "language_supports.language_support_type.name", "similar_games.name", "franchise.name", "collection.name", "version_parent", "category", "status",
+)
+SHORT_CARD = (
+    "id", "name", "first_release_date", "genres.name", "platforms.name", "cover.url", "involved_companies.company.name", "involved_companies.publisher", "aggregated_rating",
+    "version_parent", "category", "status",
+)
 
 
 def epoch(iso: str) -> Column:
@@ -106,12 +117,41 @@ def meta(matches: DataFrame | None, shown: DataFrame, limit: int | None, offset:
     )
 
 
+def _tree(paths: tuple[str, ...]) -> dict:
+    tree: dict = {}
+    for path in paths:
+        now = tree
+        for step in path.split("."):
+            now = now.setdefault(step, {})
+    return tree
+
+
+def _part(value: Column, kind: T.DataType, fields: dict) -> Column:
+    """``value`` with those of its fields only that are asked for; ids of records stay."""
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: _part(x, kind.elementType, fields))
+    if not isinstance(kind, T.StructType) or not fields:
+        return value
+    own = [f for f in kind.fields if f.name in fields or f.name == "id"]
+    return F.when(value.isNotNull(), F.struct(*[_part(value[f.name], f.dataType, fields.get(f.name, {})).alias(f.name) for f in own]))
+
+
+def projected(games: DataFrame, paths: tuple[str, ...]) -> DataFrame:
+    """The paths of a card, in their order, by the catalogue's schema. What the input hasn't is null, what it has besides goes."""
+    schema = parse(GAMES)
+    columns = []
+    for name, fields in _tree(paths).items():
+        kind = games.schema[name].dataType if name in games.columns else schema[name].dataType
+        columns.append(_part(F.col(name) if name in games.columns else F.lit(None).cast(kind), kind, fields).alias(name))
+    return games.select(columns)
+
+
 def full_card(games: DataFrame) -> DataFrame:
-    return games.select(*[c for c in games.columns if c != "rank"])
+    return projected(games, FULL_CARD)
 
 
 def short_card(games: DataFrame) -> DataFrame:
-    return games.select(*[c for c in SHORT if c in games.columns])
+    return projected(games, SHORT_CARD)
 
 
 def card(games: DataFrame, short: str | None) -> DataFrame:
@@ -159,44 +199,107 @@ def expand_references(games: DataFrame, column: str, dimension: DataFrame, field
     return rows.withColumn(column, F.when(F.col(column).isNotNull(), value)).drop("__id", "__rows")
 
 
+#: Levels of nested spans of time, each of SPAN of the level below; seconds from 2 ** 35 before to 2 ** 35 after 1970.
+LEVELS, SPAN_BITS = 9, 4
+_START = 1 << 35
+
+
+def _at(level: int):
+    return lambda span: F.struct(F.lit(level).alias("level"), span.alias("span"))
+
+
+def _later(since: Column) -> Column:
+    """(level, span) of the spans that together hold all times from ``since`` on: at most 16 of each level; null: the whole."""
+    at = F.greatest(F.lit(0), F.least(F.lit((1 << 36) - 1), since + _START)).cast("bigint")
+    found = []
+    for level in range(LEVELS):
+        own = F.shiftright(at, SPAN_BITS * level)
+        first, last = (own if level == 0 else own + 1), F.shiftleft(F.shiftright(own, SPAN_BITS), SPAN_BITS) + (1 << SPAN_BITS) - 1
+        spans = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+        found.append(F.transform(spans, _at(level)))
+    whole = F.array(F.struct(F.lit(LEVELS).alias("level"), F.lit(0).cast("bigint").alias("span")))
+    return F.when(since.isNull(), whole).otherwise(F.flatten(F.array(*found)))
+
+
+def _spans(time: Column) -> Column:
+    """The span of each level that holds a time; a game without one is in the whole only."""
+    at = F.greatest(F.lit(0), F.least(F.lit((1 << 36) - 1), time + _START)).cast("bigint")
+    own = [F.struct(F.lit(level).alias("level"), F.shiftright(at, SPAN_BITS * level).cast("bigint").alias("span")) for level in range(LEVELS)]
+    whole = F.struct(F.lit(LEVELS).alias("level"), F.lit(0).cast("bigint").alias("span"))
+    return F.when(time.isNull(), F.array(whole)).otherwise(F.array(*own, whole))
+
+
+def _by_request_order() -> list[Column]:
+    """Nulls last, then as sort_by and direction of the row say, then by id."""
+    number = F.when(F.col("sort_by") == "total_rating", F.col("total_rating")).when(F.col("sort_by") == "first_release_date", F.col("first_release_date").cast("double"))
+    whole = F.when(F.col("sort_by") == "id", F.col("id"))
+    text, up = F.when(F.col("sort_by") == "name", F.col("name")), F.col("direction") == "asc"
+    return [F.coalesce(number.cast("string"), whole.cast("string"), text).isNull(), F.when(up, number).asc(), F.when(~up, number).desc(), F.when(up, text).asc(), F.when(~up, text).desc(), F.when(~up, whole).desc(), F.col("id").asc()]
+
+
+def _substrings(text: Column) -> Column:
+    """All different substrings, the empty one too. Names of a dimension are short."""
+    n = F.length(text)
+    every = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substring(text, i, k))))
+    return F.array_distinct(F.concat(F.array(F.lit("")), F.when(n > 0, every).otherwise(F.array().cast("array<string>"))))
+
+
+#: The fields that an answer can be sorted by.
+SORTS = ("total_rating", "first_release_date", "name", "id")
+
+
 def batch_search(requests: DataFrame, games: DataFrame, platforms: DataFrame, genres: DataFrame) -> DataFrame:
     """req_id, rank (from 0) and id of every request's page.
 
     ``requests``: req_id, since (ISO date), platform, genre, sort_by (total_rating, first_release_date, name or id),
-    direction, limit, offset; any may be null. Names are matched once for each different text, games by equi-joins on
-    exploded ids; a name that matches nothing doesn't filter.
+    direction, limit, offset; any but req_id may be null. A name that matches nothing doesn't filter. An unknown sort_by
+    sorts by id.
+
+    Requests that differ in req_id, limit and offset only are one search, ranked once and only as far as the deepest
+    page goes. Names are matched once for each different text, games by equi-joins on exploded ids. A search without
+    names that match looks at all games: these are ranked once for each order and span of time, and the search
+    takes the best of the spans after its date, again by equality. Pages then take their places by (search, place).
     """
-    wanted = requests.select("req_id", F.unix_seconds(F.col("since").cast("timestamp")).alias("__since"), "platform", "genre", F.coalesce("sort_by", F.lit("total_rating")).alias("sort_by"), F.lower(F.coalesce("direction", F.lit("desc"))).alias("direction"), F.least(F.coalesce("limit", F.lit(DEFAULT_ROWS)), F.lit(MOST_ROWS)).alias("limit"), F.coalesce("offset", F.lit(0)).alias("offset"))
+    sort_by = F.coalesce("sort_by", F.lit("total_rating"))
+    up = ~sort_by.isin(*SORTS) | (F.lower(F.coalesce("direction", F.lit("desc"))) == "asc")
+    wanted = requests.select(
+        "req_id", F.unix_seconds(F.col("since").cast("timestamp")).alias("since"), "platform", "genre", F.when(sort_by.isin(*SORTS), sort_by).otherwise("id").alias("sort_by"), F.when(up, "asc").otherwise("desc").alias("direction"),
+        F.least(F.coalesce("limit", F.lit(DEFAULT_ROWS)), F.lit(MOST_ROWS)).alias("limit"), F.coalesce("offset", F.lit(0)).alias("offset"),
+    )
+    deepest = wanted.agg(F.max(F.col("limit") + F.col("offset"))).first()[0] or 0
     main = games.where(main_only())
     plain = main.select("id", "name", "total_rating", "first_release_date")
 
     def matches(text: str, dimension: DataFrame, column: str):
         texts = wanted.select(text).where(F.col(text).isNotNull()).distinct()
-        near = texts.join(F.broadcast(dimension), F.contains(F.lower("name"), F.lower(text)))
+        named = dimension.select("id", F.explode(_substrings(F.lower("name"))).alias("__sub"))
+        near = texts.join(named, F.col("__sub") == F.lower(text))
         near = near.withColumn("__n", F.row_number().over(Window.partitionBy(text).orderBy("id"))).where(f"__n <= {MOST_DIMENSIONS}")
         near = near.select(F.col(text).alias("__text"), F.col("id").alias("__dim"))
         held = main.select(F.col("id").alias("__game"), F.explode(F.array_distinct(F.transform(column, lambda x: x["id"]))).alias("__dim"))
-        return near.select("__text").distinct(), near.join(held, "__dim").select("__text", "__game").distinct()
+        return near.select("__text").distinct(), near.join(held, "__dim").select(F.col("__text").alias(text), F.col("__game").alias("id")).distinct()
 
-    rows = None
     known_p, of_p = matches("platform", platforms, "platforms")
     known_g, of_g = matches("genre", genres, "genres")
-    asked = wanted.join(known_p.select(F.col("__text").alias("platform"), F.lit(True).alias("__p")), "platform", "left").join(known_g.select(F.col("__text").alias("genre"), F.lit(True).alias("__g")), "genre", "left")
-    by_p, by_g = F.col("__p").isNotNull(), F.col("__g").isNotNull()
-    p, g = of_p.select(F.col("__text").alias("platform"), F.col("__game").alias("id")), of_g.select(F.col("__text").alias("genre"), F.col("__game").alias("id"))
-    both = asked.where(by_p & by_g).join(p, "platform").join(g, ["genre", "id"])
-    only_p, only_g = asked.where(by_p & ~by_g).join(p, "platform"), asked.where(~by_p & by_g).join(g, "genre")
-    shared = [*asked.columns, "id"]
-    rows = both.select(shared).unionByName(only_p.select(shared)).unionByName(only_g.select(shared)).join(plain, "id")
-    # requests without a name that matches look at every game; they are broadcast to them
-    free = asked.where(~by_p & ~by_g)
-    rows = rows.unionByName(plain.join(F.broadcast(free), F.col("__since").isNull() | (F.col("first_release_date") >= F.col("__since"))).select(rows.columns))
-    rows = rows.where(F.col("__since").isNull() | (F.col("first_release_date") >= F.col("__since")))
-    number = F.when(F.col("sort_by") == "total_rating", F.col("total_rating")).when(F.col("sort_by") == "first_release_date", F.col("first_release_date").cast("double")).when(F.col("sort_by") == "id", F.col("id").cast("double"))
-    text = F.when(F.col("sort_by") == "name", F.col("name"))
-    up = F.col("direction") == "asc"
-    w = Window.partitionBy("req_id").orderBy(
-        F.coalesce(number.cast("string"), text).isNull(), F.when(up, number).asc(), F.when(~up, number).desc(), F.when(up, text).asc(), F.when(~up, text).desc(), F.col("id").asc()
-    )
-    ranked = rows.withColumn("__n", F.row_number().over(w))
-    return ranked.where((F.col("__n") > F.col("offset")) & (F.col("__n") <= F.col("offset") + F.col("limit"))).select("req_id", (F.col("__n") - 1 - F.col("offset")).cast("bigint").alias("rank"), "id")
+    asked = wanted.join(known_p.select(F.col("__text").alias("platform"), F.col("__text").alias("__p")), "platform", "left").join(known_g.select(F.col("__text").alias("genre"), F.col("__text").alias("__g")), "genre", "left")
+    shape = ["since", "platform", "genre", "sort_by", "direction"]
+    asked = asked.select("req_id", "since", F.col("__p").alias("platform"), F.col("__g").alias("genre"), "sort_by", "direction", "limit", "offset").withColumn("search", F.to_json(F.struct(*shape)))
+    searches = asked.select("search", *shape).distinct()
+    by_p, by_g = F.col("platform").isNotNull(), F.col("genre").isNotNull()
+    both = searches.where(by_p & by_g).join(of_p, "platform").join(of_g, ["genre", "id"])
+    only_p, only_g = searches.where(by_p & ~by_g).join(of_p, "platform"), searches.where(~by_p & by_g).join(of_g, "genre")
+    found = ["search", "sort_by", "direction", "since", "id"]
+    named = both.select(found).unionByName(only_p.select(found)).unionByName(only_g.select(found)).join(plain, "id")
+    rows = named.where(F.col("since").isNull() | (F.col("first_release_date") >= F.col("since"))).drop("since")
+    # all games by order and span of time, as far as a page can go
+    free = searches.where(~by_p & ~by_g)
+    orders = [F.struct(F.lit(r["sort_by"]).alias("sort_by"), F.lit(r["direction"]).alias("direction")) for r in free.select("sort_by", "direction").distinct().collect()]  # of four fields and two ways
+    spread = plain.withColumn("order", F.explode(F.array(*orders) if orders else F.array().cast("array<struct<sort_by: string, direction: string>>"))).withColumn("at", F.explode(_spans(F.col("first_release_date"))))
+    spread = spread.select("id", "name", "total_rating", "first_release_date", "order.sort_by", "order.direction", "at.level", "at.span")
+    best = Window.partitionBy("sort_by", "direction", "level", "span").orderBy(*_by_request_order())
+    spread = spread.withColumn("__n", F.row_number().over(best)).where(F.col("__n") <= deepest).drop("__n")
+    spans = free.select("search", "sort_by", "direction", F.explode(_later(F.col("since"))).alias("at")).select("search", "sort_by", "direction", "at.level", "at.span")
+    rows = rows.unionByName(spans.join(spread, ["sort_by", "direction", "level", "span"]).drop("level", "span"))
+    ranked = rows.withColumn("__n", F.row_number().over(Window.partitionBy("search").orderBy(*_by_request_order()))).where(F.col("__n") <= deepest).select("search", "__n", "id")
+    places = asked.where(F.col("limit") > 0).select("req_id", "search", "offset", F.explode(F.sequence(F.col("offset") + 1, F.col("offset") + F.col("limit"))).alias("__n"))
+    return places.join(ranked, ["search", "__n"]).select("req_id", (F.col("__n") - 1 - F.col("offset")).cast("bigint").alias("rank"), "id")

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from shelfwork.functions.scalars import is_object_id
 from shelfwork.sources.schemas import GAME_COPY, PLAYER
+from shelfwork.sources.tables import scratch_folder
 
 #: The categories that a new user starts with.
 DEFAULT_CATEGORIES = ("Favoritos", "Na fila", "Jogando", "Zerados", "Dropados")
@@ -148,22 +149,18 @@ def register_users(users: DataFrame, commands: DataFrame) -> tuple[DataFrame, Da
     or email is shared with nobody.
     """
     context = commands.sparkSession.sparkContext
-    if not context.getCheckpointDir() and (folder := commands.sparkSession.conf.get("spark.checkpoint.dir", None)):
-        context.setCheckpointDir(folder)
-
-    def cut(rows: DataFrame) -> DataFrame:
-        return rows.checkpoint() if context.getCheckpointDir() else rows.localCheckpoint()
-
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(scratch_folder(commands.sparkSession))
     taken_u, taken_e = users.select("username").distinct(), users.select("email").distinct()
     free = commands.join(taken_u, "username", "left_anti").join(taken_e, "email", "left_anti")
     columns, keys = free.columns, ("username", "email")
-    open_ = cut(free.withColumn("__id", F.monotonically_increasing_id()))
+    open_ = free.withColumn("__id", F.monotonically_increasing_id()).checkpoint()
     accepted = open_.where(F.lit(False)).select(columns)
     while not open_.isEmpty():
         first = [F.col(k).isNull() | (F.row_number().over(Window.partitionBy(k).orderBy("ts", "seq", "__id")) == 1) for k in keys]
         ranked = open_.withColumns({"__u": first[0], "__e": first[1]}).withColumn("__now", F.col("__u") & F.col("__e"))
         met = [F.col(k).isNotNull() & F.max("__now").over(Window.partitionBy(k)) for k in keys]
-        settled = cut(ranked.withColumn("__settled", F.col("__now") | met[0] | met[1]))
+        settled = ranked.withColumn("__settled", F.col("__now") | met[0] | met[1]).checkpoint()
         accepted = accepted.unionByName(settled.where("__now").select(columns))
         open_ = settled.where("not __settled").select(*columns, "__id")
     rejects = commands.join(accepted.select("seq"), "seq", "left_anti").select("seq", F.lit("DUPLICATE_USER").alias("reason"))

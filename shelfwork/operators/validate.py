@@ -22,6 +22,33 @@ def entry_reasons() -> Column:
     )
 
 
+def _kind(body: str, field: str) -> Column:
+    """What a field of a command's JSON text is, as Spark names types of variants; null where it is null or missing."""
+    value = F.variant_get(F.try_parse_json(F.col(body)), f"$.{field}", "variant")
+    return F.when(~F.is_variant_null(value), F.schema_of_variant(value))
+
+
+def create_reasons(body: str = "body") -> Column:
+    """Of a create command as JSON text: category_ids is an array of strings (it may be empty), igdb_data an object,
+    player_data an object if it is given."""
+    ids, game, player = (_kind(body, f) for f in ("category_ids", "igdb_data", "player_data"))
+    return reasons(
+        BAD_BODY=F.col(body).isNotNull() & F.try_parse_json(F.col(body)).isNull(), BAD_CATEGORY_IDS=~F.coalesce(ids.isin("ARRAY<STRING>", "ARRAY<VOID>") & ~_holds_null(body), F.lit(False)),
+        BAD_GAME=~F.coalesce(game.startswith("OBJECT<"), F.lit(False)), BAD_PLAYER=~player.startswith("OBJECT<"),
+    )
+
+
+def _holds_null(body: str) -> Column:
+    ids = F.try_variant_get(F.try_parse_json(F.col(body)), "$.category_ids", "array<string>")
+    return F.coalesce(F.exists(ids, lambda x: x.isNull()), F.lit(False))
+
+
+def update_reasons(body: str = "body") -> Column:
+    """Of an update command as JSON text: what is given of categories, igdb_data and player_data is an array or an object."""
+    categories, game, player = (_kind(body, f) for f in ("categories", "igdb_data", "player_data"))
+    return reasons(BAD_BODY=F.col(body).isNotNull() & F.try_parse_json(F.col(body)).isNull(), BAD_CATEGORIES=~categories.startswith("ARRAY<"), BAD_GAME=~game.startswith("OBJECT<"), BAD_PLAYER=~player.startswith("OBJECT<"))
+
+
 def category_reasons() -> Column:
     return reasons(NO_NAME=F.col("name").isNull())
 
@@ -32,10 +59,12 @@ def user_reasons() -> Column:
 
 
 def search_reasons() -> Column:
-    number = lambda c: ~F.col(c).rlike(r"^\d+$")
+    """Numbers are texts with an optional sign and fraction. A limit below 1 is refused here, as pages would be divided by it."""
+    number = lambda c: ~F.col(c).rlike(r"^[+-]?([0-9]*\.)?[0-9]+$")
+    date = F.col("releaseDate")
     return reasons(
-        BAD_DATE=F.col("releaseDate").isNotNull() & F.col("releaseDate").try_cast("timestamp").isNull(), BAD_LIMIT=number("limit") | (F.col("limit").try_cast("bigint") < 1), BAD_OFFSET=number("offset"), BAD_PAGE=number("page"),
-        BAD_SHORT=number("short"), BAD_LAST_RATING=~F.col("lastRating").rlike(r"^\d+(\.\d+)?$"), BAD_ORDER=~F.col("order").isin("asc", "desc"),
+        BAD_DATE=date.isNotNull() & (~date.rlike(r"^\d{4}-") | date.try_cast("timestamp").isNull()), BAD_LIMIT=number("limit") | (F.col("limit").try_cast("double") < 1), BAD_OFFSET=number("offset"), BAD_PAGE=number("page"),
+        BAD_SHORT=number("short"), BAD_LAST_RATING=number("lastRating"), BAD_ORDER=~F.col("order").isin("asc", "desc"),
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +37,7 @@ def joined(c, separator: str = "|"):
 
 @query(f"select category_id as _id, user_id as \"userId\", name, {SLUG} as slug, cast(count(distinct backlog_id) as bigint) as \"countGames\" from categories left join backlog_categories using (category_id, user_id) group by 1, 2, 3")
 def category_counts(d: Domain) -> DataFrame:
-    return library.category_list(d.categories(), d.backlogs())
+    return library.category_list(d.categories(), d.memberships())
 
 
 @query(f"select id, name, {SLUG} as slug from games union all select category_id, name, {SLUG} from categories")
@@ -134,7 +136,7 @@ def search_listing(d: Domain) -> DataFrame:
 REQUESTS = """select c_custkey as req_id, case c_custkey % 3 when 0 then '2011-01-01' when 1 then '2005-01-01' end as since,
  case c_custkey % 4 when 0 then 'nation_2' when 1 then 'none' when 2 then concat('_', cast(c_custkey % 25 as string)) end as platform, case c_custkey % 5 when 0 then 'a' when 1 then 'asia' when 2 then 'none' end as genre,
  case c_custkey % 3 when 0 then 'total_rating' when 1 then 'first_release_date' when 2 then 'name' end as sort_by, case c_custkey % 2 when 0 then 'asc' else 'desc' end as direction, cast(5 + c_custkey % 7 as bigint) as "limit", cast(c_custkey % 4 as bigint) as "offset"
- from {customer} where c_custkey % 10 = 3"""
+ from {customer}"""
 
 
 @query(f"""with rq as ({REQUESTS.format(customer="customer")}),
@@ -259,7 +261,7 @@ def library_sorted_page(d: Domain) -> DataFrame:
 
 
 #: Update commands made of orders: own categories, another user's, a repeated one, none.
-UPDATES = """select o_orderkey as seq, o_orderdate as ts, case when o_orderkey % 13 = 0 then o_orderkey + 100000000 else o_orderkey end as _id, o_custkey as user_id,
+UPDATES = """select o_orderkey as seq, timestamp '2024-05-06 00:00:00' as ts, case when o_orderkey % 13 = 0 then o_orderkey + 100000000 else o_orderkey end as _id, o_custkey as user_id,
  case o_orderkey % 6 when 0 then {a}o_custkey * 5 + 1, o_custkey * 5 + 3{z} when 1 then {a}o_custkey * 5 + 7{z} when 2 then {a}o_custkey * 5, o_custkey * 5{z} when 3 then {none} end as categories,
  case when o_orderkey % 4 = 0 then 'Dropado' end as status from {orders}"""
 UPDATES_SQL = UPDATES.format(a="[", z="]", none="cast([] as bigint[])", orders="orders")
@@ -282,13 +284,13 @@ def owned_check(d: Domain) -> DataFrame:
 
 
 @query(f"""with {ENTRIES}, up as ({UPDATES_SQL}), {OWN}, j as (select u.*, {OK} as ok from up u left join own using (seq))
- select e.backlog_id as key, array_to_string(coalesce(j.categories, e.categories), '|') as categories, case when j.status is not null then 'Dropado' else e.status end as status, case when j.status is not null then 0 else e.hours_played end as hours, case when j.status is not null then 7.5::double end as rating, 'row' as kind
+ select e.backlog_id as key, array_to_string(coalesce(j.categories, e.categories), '|') as categories, case when j.status is not null then 'Dropado' else e.status end as status, case when j.status is not null then 0 else e.hours_played end as hours, case when j.status is not null then 7.5::double end as rating, strftime(coalesce(j.ts, e.created_at), '%Y-%m-%d') as updated, 'row' as kind
  from entries e left join j on j._id = e.backlog_id and j.user_id = e.user_id and j.ok
- union all select seq, '', case when not ok then 'CATEGORIES_NOT_OWNED' else 'GAME_NOT_FOUND' end, 0, null, 'reject' from j left join backlogs b on b.backlog_id = j._id and b.user_id = j.user_id where not ok or b.backlog_id is null""")
+ union all select seq, '', case when not ok then 'CATEGORIES_NOT_OWNED' else 'GAME_NOT_FOUND' end, 0, null, null, 'reject' from j left join backlogs b on b.backlog_id = j._id and b.user_id = j.user_id where not ok or b.backlog_id is null""")
 def update_entries(d: Domain) -> DataFrame:
     rows, rejects = commands.update_entries(d.backlogs(), d.categories(), _updates(d))
-    flat = rows.select(F.col("_id").alias("key"), joined(F.col("categories").cast("array<string>")).alias("categories"), F.col("player_data.status").alias("status"), F.col("player_data.hours_played").cast("bigint").alias("hours"), F.col("player_data.rating").alias("rating"), F.lit("row").alias("kind"))
-    return flat.unionByName(rejects.select(F.col("seq").alias("key"), F.lit("").alias("categories"), F.col("reason").alias("status"), F.lit(0).cast("bigint").alias("hours"), F.lit(None).cast("double").alias("rating"), F.lit("reject").alias("kind")))
+    flat = rows.select(F.col("_id").alias("key"), joined(F.col("categories").cast("array<string>")).alias("categories"), F.col("player_data.status").alias("status"), F.col("player_data.hours_played").cast("bigint").alias("hours"), F.col("player_data.rating").alias("rating"), F.date_format("updatedAt", "yyyy-MM-dd").alias("updated"), F.lit("row").alias("kind"))
+    return flat.unionByName(rejects.select(F.col("seq").alias("key"), F.lit("").alias("categories"), F.col("reason").alias("status"), F.lit(0).cast("bigint").alias("hours"), F.lit(None).cast("double").alias("rating"), F.lit(None).cast("string").alias("updated"), F.lit("reject").alias("kind")))
 
 
 @query(f"""with {ENTRIES} select backlog_id as _id, user_id, {TEXT} as categories, status, hours_played as hours, strftime(created_at, '%Y-%m-%d') as created from entries
@@ -315,17 +317,17 @@ def delete_entries(d: Domain) -> DataFrame:
 @query(f"""with recursive {ENTRIES},
  cmd as (select m.*, row_number() over (partition by m.backlog_id order by m.ts, m.seq) as k, exists (select 1 from categories c where c.category_id = m.category_id) as there from membership_commands m),
  ok as (select *, row_number() over (partition by backlog_id order by ts, seq) as n from cmd where there or op = 'remove'),
- fold as (select e.backlog_id, e.categories as cats, cast(0 as bigint) as n, cast(null as bigint) as seq, cast(null as varchar) as reason from entries e
+ fold as (select e.backlog_id, e.categories as cats, cast(0 as bigint) as n, cast(null as bigint) as seq, cast(null as varchar) as reason, cast(e.created_at as timestamp) as changed from entries e
   union all
-  select f.backlog_id, case when r.reason is not null then f.cats when o.op = 'add' then list_append(f.cats, o.category_id) else list_concat(f.cats[1:list_position(f.cats, o.category_id) - 1], f.cats[list_position(f.cats, o.category_id) + 1:]) end, o.n, o.seq, r.reason
+  select f.backlog_id, case when r.reason is not null then f.cats when o.op = 'add' then list_append(f.cats, o.category_id) else list_concat(f.cats[1:list_position(f.cats, o.category_id) - 1], f.cats[list_position(f.cats, o.category_id) + 1:]) end, o.n, o.seq, r.reason, case when r.reason is null then cast(o.ts as timestamp) else f.changed end
   from fold f join ok o on o.backlog_id = f.backlog_id and o.n = f.n + 1, lateral (select case when o.op = 'add' and list_contains(f.cats, o.category_id) then 'ALREADY_IN_CATEGORY' when o.op = 'remove' and not list_contains(f.cats, o.category_id) then 'NOT_IN_CATEGORY' when o.op = 'remove' and len(f.cats) = 1 then 'LAST_CATEGORY' end as reason) r)
- select backlog_id as key, array_to_string(arg_max(cats, n), '|') as value, 'row' as kind from fold group by backlog_id
- union all select seq, reason, 'reject' from fold where reason is not null
- union all select seq, 'CATEGORY_NOT_FOUND', 'reject' from cmd where not there and op = 'add'""")
+ select backlog_id as key, array_to_string(arg_max(cats, n), '|') as value, strftime(arg_max(changed, n), '%Y-%m-%d %H:%M:%S') as updated, 'row' as kind from fold group by backlog_id
+ union all select seq, reason, null, 'reject' from fold where reason is not null
+ union all select seq, 'CATEGORY_NOT_FOUND', null, 'reject' from cmd where not there and op = 'add'""")
 def membership_commands(d: Domain) -> DataFrame:
     rows, rejects = commands.membership(d.backlogs(), d.categories(), d.commands(), check_ids=False)
-    flat = rows.select(F.col("_id").alias("key"), joined(F.col("categories").cast("array<string>")).alias("value"), F.lit("row").alias("kind"))
-    return flat.unionByName(rejects.select(F.col("seq").alias("key"), F.col("reason").alias("value"), F.lit("reject").alias("kind")))
+    flat = rows.select(F.col("_id").alias("key"), joined(F.col("categories").cast("array<string>")).alias("value"), F.date_format("updatedAt", "yyyy-MM-dd HH:mm:ss").alias("updated"), F.lit("row").alias("kind"))
+    return flat.unionByName(rejects.select(F.col("seq").alias("key"), F.col("reason").alias("value"), F.lit(None).cast("string").alias("updated"), F.lit("reject").alias("kind")))
 
 
 @query("select category_id as _id, name, user_id from categories union all select 800000000 + s_suppkey, concat('Lista ', cast(s_suppkey as string)), s_suppkey from supplier")
@@ -350,15 +352,16 @@ DROPS = "select c_custkey as seq, timestamp '2024-02-01 00:00:00' as ts, c_custk
 
 
 @query(f"""with {ENTRIES}, dr as ({DROPS.format(customer="customer")}), gone as (select dr.* from dr join categories c on c.category_id = dr._id and c.user_id = dr.user_id),
- e as (select backlog_id, categories, list_filter(categories, lambda x: not coalesce(list_contains(g.ids, x), false)) as rest from entries left join (select user_id, list(_id) as ids from gone group by 1) g using (user_id))
- select backlog_id as key, array_to_string(rest, '|') as value, 'entry' as kind from e where len(rest) > 0 or len(rest) = len(categories)
- union all select category_id, name, 'category' from categories c where not exists (select 1 from gone where gone._id = c.category_id)
- union all select seq, 'CATEGORY_NOT_FOUND', 'reject' from dr where not exists (select 1 from gone where gone.seq = dr.seq)""")
+ e as (select backlog_id, categories, created_at, list_filter(categories, lambda x: not coalesce(list_contains(g.ids, x), false)) as rest from entries left join (select user_id, list(_id) as ids from gone group by 1) g using (user_id))
+ select backlog_id as key, array_to_string(rest, '|') as value, case when len(rest) < len(categories) then '2024-02-01' else strftime(created_at, '%Y-%m-%d') end as updated, 'entry' as kind from e where len(rest) > 0 or len(rest) = len(categories)
+ union all select category_id, name, null, 'category' from categories c where not exists (select 1 from gone where gone._id = c.category_id)
+ union all select seq, 'CATEGORY_NOT_FOUND', null, 'reject' from dr where not exists (select 1 from gone where gone.seq = dr.seq)""")
 def delete_categories(d: Domain) -> DataFrame:
     cmd = d.spark.sql(DROPS, customer=d.flat("customer")).withColumnRenamed("user_id", "userId")
     kept, rows, rejects = commands.delete_categories(d.categories(), d.backlogs(), cmd)
-    part = lambda t, value, kind, key="_id": t.select(F.col(key).alias("key"), value.alias("value"), F.lit(kind).alias("kind"))
-    return part(rows, joined(F.col("categories").cast("array<string>")), "entry").unionByName(part(kept, F.col("name"), "category")).unionByName(part(rejects, F.col("reason"), "reject", "seq"))
+    none = F.lit(None).cast("string")
+    part = lambda t, value, kind, key="_id", updated=none: t.select(F.col(key).alias("key"), value.alias("value"), updated.alias("updated"), F.lit(kind).alias("kind"))
+    return part(rows, joined(F.col("categories").cast("array<string>")), "entry", updated=F.date_format("updatedAt", "yyyy-MM-dd")).unionByName(part(kept, F.col("name"), "category")).unionByName(part(rejects, F.col("reason"), "reject", "seq"))
 
 
 #: Two thirds of the suppliers ask for names of the form of the users' ones, some of them taken, some twice.
@@ -429,13 +432,146 @@ def catalog_json(d: Domain) -> DataFrame:
 @query(f"with {ENTRIES} select backlog_id as _id, user_id, {TEXT} as categories, game_name as name from entries")
 def library_roundtrip(d: Domain) -> DataFrame:
     """The library as a new version of its table, read back by its schema."""
-    spark = d.spark
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        import tempfile
-
-        shared = "file://" + tempfile.mkdtemp(prefix="shelfwork-")
+    spark, shared = d.spark, tables.scratch_folder(d.spark)
     rows = d.backlogs().withColumns({"_id": F.col("_id").cast("string"), "userId": F.col("userId").cast("string"), "categories": F.col("categories").cast("array<string>")})
     path = tables.write_version(rows, f"{shared}/backlogs")
     got = tables.read(spark, "backlogs", path)
     return got.select(F.col("_id").cast("bigint").alias("_id"), F.col("userId").cast("bigint").alias("user_id"), joined("categories").alias("categories"), F.col("igdb_data.name").alias("name"))
+
+
+RECORDS = """p as (select game_id, string_agg(concat(pl.id, ':', pl.name{logo}), '|' order by pl.id) as platforms from game_platforms join platforms pl on pl.id = platform_id group by game_id),
+ g as (select game_id, string_agg(concat(gn.id, ':', gn.name), '|' order by gn.id) as genres from game_genres join genres gn on gn.id = genre_id group by game_id)"""
+FULL_FIELDS = "id,name,summary,storyline,first_release_date,genres,platforms,cover,screenshots,artworks,involved_companies,rating,aggregated_rating,follows,hypes,game_localizations,language_supports,similar_games,franchise,collection,version_parent,category,status"
+SHORT_FIELDS = "id,name,first_release_date,genres,platforms,cover,involved_companies,aggregated_rating,version_parent,category,status"
+
+
+def _text(d: DataFrame, column: str) -> F.Column:
+    """A field as text, all that it holds: parts of a struct by colons, elements of an array by bars."""
+    from pyspark.sql import types as T
+
+    def flat(value, kind):
+        if isinstance(kind, T.ArrayType):
+            return joined(F.transform(value, lambda x: flat(x, kind.elementType)))
+        if isinstance(kind, T.StructType):
+            return F.when(value.isNotNull(), F.concat_ws(":", *[F.coalesce(flat(value[f.name], f.dataType), F.lit("")) for f in kind.fields]))
+        return value.cast("string")
+
+    return F.coalesce(flat(F.col(column), d.schema[column].dataType), F.lit(""))
+
+
+def _card(rows: DataFrame) -> DataFrame:
+    plain = [c for c in ("id", "name", "first_release_date", "rating", "aggregated_rating", "follows", "hypes", "version_parent") if c in rows.columns]
+    return rows.select(*plain, *[_text(rows, c).alias(c) for c in rows.columns if c not in plain], F.lit(",".join(rows.columns)).alias("fields"))
+
+
+@query(f"""with {RECORDS.format(logo=", ':', case when logo_url is not null then concat(pl.id, ':', logo_url) else '' end")}
+ select id, name, first_release_date, (id % 100) / 4.0::double as rating, case when id % 3 <> 0 then (id % 64) / 8.0::double end as aggregated_rating, id % 77 as follows, id % 5 as hypes, version_parent,
+ '' as summary, case when id % 3 = 0 then concat('Story ', id) else '' end as storyline, coalesce(genres, '') as genres, coalesce(platforms, '') as platforms, coalesce(cover_url, '') as cover,
+ case when id % 4 <> 0 then concat(id * 10, '://img.example/t_thumb/s', id, '|', id * 10, '://img.example/t_thumb/t', id) else '' end as screenshots, case when id % 5 <> 0 then concat(id * 10, '://img.example/t_thumb/a', id) else '' end as artworks,
+ case when id % 6 <> 0 then concat(id, ':', id % 50, ':Company ', id % 50, ':', case when id % 2 = 0 then 'true' else 'false' end) else '' end as involved_companies,
+ case when id % 2 = 0 then concat(id, ':Jogo ', id, ':', id % 9) else '' end as game_localizations, case when id % 3 = 1 then concat(id, ':', id % 4, ':Language ', id % 4, ':', id % 3, ':Support ', id % 3) else '' end as language_supports,
+ concat(id + 1, ':Game ', id + 1, '|', id + 2, ':Game ', id + 2) as similar_games, case when id % 8 = 0 then concat(id % 10, ':Franchise ', id % 10) else '' end as franchise, case when id % 9 = 0 then concat(id % 12, ':Collection ', id % 12) else '' end as collection,
+ cast(category as varchar) as category, cast(id % 4 as varchar) as status, '{FULL_FIELDS}' as fields from games left join p on p.game_id = id left join g on g.game_id = id""")
+def full_cards(d: Domain) -> DataFrame:
+    return _card(catalog.card(d.records(), None))
+
+
+@query(f"""with {RECORDS.format(logo="")}
+ select id, name, first_release_date, case when id % 3 <> 0 then (id % 64) / 8.0::double end as aggregated_rating, version_parent, coalesce(genres, '') as genres, coalesce(platforms, '') as platforms, coalesce(cover_url, '') as cover,
+ case when id % 6 <> 0 then concat(id, ':', id % 50, ':Company ', id % 50, ':', case when id % 2 = 0 then 'true' else 'false' end) else '' end as involved_companies,
+ cast(category as varchar) as category, cast(id % 4 as varchar) as status, '{SHORT_FIELDS}' as fields from games left join p on p.game_id = id left join g on g.game_id = id""")
+def short_cards(d: Domain) -> DataFrame:
+    return _card(catalog.card(d.records(), "0"))
+
+
+def _landed(d: Domain, rows: DataFrame, name: str) -> DataFrame:
+    """Rows landed as JSON lines and read by the table's schema."""
+    path = f"{tables.scratch_folder(d.spark)}/landed-{name}-{uuid.uuid4().hex}"
+    tables.json_rows(rows).write.text(path)
+    return tables.read(d.spark, name, path, "json")
+
+
+@query(f"""with {RECORDS.format(logo=", ':', case when logo_url is not null then concat(pl.id, ':', logo_url) else '' end")}
+ select id, name, first_release_date, total_rating, coalesce(genres, '') as genres, coalesce(platforms, '') as platforms, coalesce(cover_url, '') as cover, id % 4 as status, {len(FULL_FIELDS.split(",")) + 1} as columns
+ from games left join p on p.game_id = id left join g on g.game_id = id""")
+def landed_games(d: Domain) -> DataFrame:
+    """Records as they land, with a field that the schema doesn't have, read by the schema."""
+    rows = _landed(d, d.records(), "games")
+    return rows.select("id", "name", "first_release_date", "total_rating", *[_text(rows, c).alias(c) for c in ("genres", "platforms", "cover")], F.col("status").cast("bigint").alias("status"), F.lit(len(rows.columns)).alias("columns"))
+
+
+@query("""select 'platform' as kind, id, name, upper(substr(name, 1, 3)) as abbreviation, logo_url as url from platforms
+ union all select 'genre', id, name, null, null from genres""")
+def landed_dimensions(d: Domain) -> DataFrame:
+    platforms, genres = _landed(d, d.platforms(), "platforms"), _landed(d, d.genres(), "genres")
+    none = F.lit(None).cast("string")
+    p = platforms.select(F.lit("platform").alias("kind"), "id", "name", "abbreviation", F.col("platform_logo.url").alias("url"))
+    return p.unionByName(genres.select(F.lit("genre").alias("kind"), "id", "name", none.alias("abbreviation"), none.alias("url")))
+
+
+@query("with " + _grouped(PAGE, False).strip() + f""",
+ n as (select count(*) as after from res), t as (select count(*) as total from games where category = 0 and first_release_date >= epoch(timestamp '{SINCE}') and {_having("platforms", PLATFORM)})
+ select 'data' as part, id, name, cast(null as bigint) as total, cast(null as bigint) as pages, cast(null as boolean) as more from ({PAGE})
+ union all select 'meta', 1, null, total, cast(case when total > 0 then ceil(total / 50.0) end as bigint), after = 50 from n, t""")
+def search_answer(d: Domain) -> DataFrame:
+    """The answer of a search as landed JSON: its listing and its meta row, read back."""
+    matches = _matches(d)
+    page = catalog.page(matches, catalog.ordering(), 50, 20)
+    folder = f"{tables.scratch_folder(d.spark)}/answer-{uuid.uuid4().hex}"
+    tables.write_answer(catalog.listing(page), catalog.meta(matches, versions.group_versions(page, d.games()), 50, 20, page), folder)
+    data, meta = d.spark.read.schema("id bigint, name string").json(f"{folder}/data"), d.spark.read.schema("page bigint, total bigint, totalPages bigint, hasMore boolean").json(f"{folder}/meta")
+    none = F.lit(None)
+    rows = data.select(F.lit("data").alias("part"), "id", "name", none.cast("bigint").alias("total"), none.cast("bigint").alias("pages"), none.cast("boolean").alias("more"))
+    return rows.unionByName(meta.select(F.lit("meta").alias("part"), F.col("page").alias("id"), none.cast("string").alias("name"), "total", F.col("totalPages").alias("pages"), F.col("hasMore").alias("more")))
+
+
+def _judged(rows: DataFrame, reasons) -> DataFrame:
+    valid, rejected = validate.split(rows, reasons)
+    return valid.select("id", F.lit("").alias("reasons"), F.lit(True).alias("valid")).unionByName(rejected.select("id", joined("reasons").alias("reasons"), F.lit(False).alias("valid")))
+
+
+def _rules(source: str, rules: str) -> str:
+    return f"with r as ({source}), x as (select id, array_to_string(list_filter([{rules}], lambda v: v is not null), '|') as reasons from r) select id, reasons, reasons = '' as valid from x"
+
+
+#: Bodies of create and update commands, of all kinds of right and wrong fields in turn.
+BODIES = """select o_orderkey as id, case when o_orderkey % 101 = 0 then 'no json' else concat('{{', concat_ws(',', case o_orderkey % 7 when 0 then '"{list}":[]' when 1 then '"{list}":["a","b"]' when 2 then '"{list}":["a",1]' when 3 then '"{list}":"a"' when 4 then '"{list}":null' when 5 then '"{list}":["a",null]' end,
+ case o_orderkey % 5 when 0 then '"igdb_data":{{"id":1}}' when 1 then '"igdb_data":{{}}' when 2 then '"igdb_data":"x"' when 3 then '"igdb_data":null' end, case o_orderkey % 3 when 0 then '"player_data":{{"status":"Jogando"}}' when 1 then '"player_data":7' end, '"more":1'), '}}') end as body from {orders}"""
+_JSON = "case when id % 101 = 0 then 'BAD_BODY' end"
+
+
+@query(_rules(BODIES.format(list="category_ids", orders="orders"), f"{_JSON}, case when id % 101 = 0 or id % 7 > 1 then 'BAD_CATEGORY_IDS' end, case when id % 101 = 0 or id % 5 > 1 then 'BAD_GAME' end, case when id % 101 <> 0 and id % 3 = 1 then 'BAD_PLAYER' end"))
+def validate_create_commands(d: Domain) -> DataFrame:
+    return _judged(_bodies(d, "category_ids"), validate.create_reasons())
+
+
+@query(_rules(BODIES.format(list="categories", orders="orders"), f"{_JSON}, case when id % 101 <> 0 and id % 7 = 3 then 'BAD_CATEGORIES' end, case when id % 101 <> 0 and id % 5 = 2 then 'BAD_GAME' end, case when id % 101 <> 0 and id % 3 = 1 then 'BAD_PLAYER' end"))
+def validate_update_commands(d: Domain) -> DataFrame:
+    return _judged(_bodies(d, "categories"), validate.update_reasons())
+
+
+def _bodies(d: Domain, name: str) -> DataFrame:
+    return d.spark.sql(BODIES.replace("{list}", name), orders=d.flat("orders"))
+
+
+@query("select category_id as id, case when category_id % 6 = 0 then 'NO_NAME' else '' end as reasons, category_id % 6 <> 0 as valid from categories")
+def validate_categories(d: Domain) -> DataFrame:
+    rows = d.categories().select(F.col("_id").alias("id"), F.when(F.col("_id") % 6 != 0, F.col("name")).alias("name"))
+    return _judged(rows, validate.category_reasons())
+
+
+SIGNS = "select c_custkey as id, case c_custkey % 6 when 0 then null when 1 then 'a@b' when 2 then 'a b@c.d' when 3 then 'a.b@c-d.example' when 4 then '@c.d' else concat('u', cast(c_custkey as string), '@example.com') end as email, case c_custkey % 4 when 0 then null when 1 then '12345' else '123456' end as password from {customer}"
+
+
+@query(_rules(SIGNS.format(customer="customer"), "case when id % 6 in (0, 1, 2, 4) then 'BAD_EMAIL' end, case when id % 4 in (0, 1) then 'SHORT_PASSWORD' end"))
+def validate_users(d: Domain) -> DataFrame:
+    return _judged(d.spark.sql(SIGNS, customer=d.flat("customer")), validate.user_reasons())
+
+
+SEARCHES = """select o_orderkey as id, case o_orderkey % 5 when 0 then '2012-06-01' when 1 then '2012-06-01T10:00:00Z' when 2 then 'June' when 3 then '2012-13-01' end as {q}releaseDate{q}, case o_orderkey % 7 when 0 then '10' when 1 then '0' when 2 then '-1' when 3 then '1.5' when 4 then 'ten' when 5 then '' end as {q}limit{q},
+ case o_orderkey % 4 when 0 then '+3' when 1 then '.5' when 2 then '5.' end as {q}offset{q}, case o_orderkey % 3 when 0 then '2' when 1 then 'two' end as page, case o_orderkey % 2 when 0 then '1' else 'yes' end as short, case o_orderkey % 11 when 0 then '8.5' when 1 then 'x' end as {q}lastRating{q}, case o_orderkey % 13 when 0 then 'asc' when 1 then 'desc' when 2 then 'up' end as {q}order{q} from {orders}"""
+
+
+@query(_rules(SEARCHES.format(q='"', orders="orders"), "case when id % 5 in (2, 3) then 'BAD_DATE' end, case when id % 7 in (1, 2, 4, 5) then 'BAD_LIMIT' end, case when id % 4 = 2 then 'BAD_OFFSET' end, case when id % 3 = 1 then 'BAD_PAGE' end, case when id % 2 = 1 then 'BAD_SHORT' end, case when id % 11 = 1 then 'BAD_LAST_RATING' end, case when id % 13 = 2 then 'BAD_ORDER' end"))
+def validate_searches(d: Domain) -> DataFrame:
+    return _judged(d.spark.sql(SEARCHES.replace("{q}", "`"), orders=d.flat("orders")), validate.search_reasons())

@@ -79,6 +79,27 @@ class Domain:
         games = self.games()
         return games.join(p, F.col("id") == F.col("platforms_of"), "left").join(g, F.col("id") == F.col("genres_of"), "left").drop("platforms_of", "genres_of")
 
+    def records(self) -> DataFrame:
+        """Games with all fields of the catalogue's schema, and one (``checksum``) that it doesn't have."""
+        i = F.col("id")
+        image = lambda kind: F.struct((i * 10).alias("id"), F.concat(F.lit(f"//img.example/t_thumb/{kind}"), i.cast("string")).alias("url"), F.lit(90).alias("width"))
+        named = lambda key, text: F.struct(key.cast("bigint").alias("id"), F.concat(F.lit(text), key.cast("string")).alias("name"), F.lit("x").alias("slug"))
+        company = F.struct(i.alias("id"), named(i % 50, "Company ").alias("company"), (i % 2 == 0).alias("publisher"), F.lit(True).alias("developer"))
+        localised = F.struct(i.alias("id"), F.concat(F.lit("Jogo "), i.cast("string")).alias("name"), (i % 9).alias("region"))
+        language = F.struct(i.alias("id"), named(i % 4, "Language ").alias("language"), named(i % 3, "Support ").alias("language_support_type"))
+        return self.full_games().withColumns({
+            "storyline": F.when(i % 3 == 0, F.concat(F.lit("Story "), i.cast("string"))), "screenshots": F.when(i % 4 != 0, F.array(image("s"), image("t"))), "artworks": F.when(i % 5 != 0, F.array(image("a"))),
+            "involved_companies": F.when(i % 6 != 0, F.array(company)), "rating": (i % 100) / F.lit(4.0), "aggregated_rating": F.when(i % 3 != 0, (i % 64) / F.lit(8.0)), "follows": i % 77, "hypes": i % 5,
+            "game_localizations": F.when(i % 2 == 0, F.array(localised)), "language_supports": F.when(i % 3 == 1, F.array(language)), "similar_games": F.array(named(i + 1, "Game "), named(i + 2, "Game ")),
+            "franchise": F.when(i % 8 == 0, named(i % 10, "Franchise ")), "collection": F.when(i % 9 == 0, named(i % 12, "Collection ")), "status": (i % 4).cast("int"), "checksum": i,
+        })
+
+    def memberships(self) -> DataFrame:
+        """Entries with their category ids alone."""
+        held = self.flat("backlog_categories").groupBy("backlog_id").agg(F.array_sort(F.collect_list("category_id")).alias("categories"))
+        rows = self.flat("backlogs").select("backlog_id", "user_id")
+        return rows.join(held, "backlog_id", "left").select(F.col("backlog_id").alias("_id"), F.col("user_id").alias("userId"), "categories")
+
     def categories(self) -> DataFrame:
         return self.flat("categories").select(F.col("category_id").alias("_id"), "name", F.col("user_id").alias("userId"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,18 @@ def read(spark: SparkSession, name: str, path: str, kind: str = "parquet") -> Da
     return reader.json(path) if kind == "json" else reader.parquet(path)
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` says. Only a session in one process does
+    with a temporary one of its own; on a cluster the setting has to be there."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="shelfwork-")
+    return found.rstrip("/")
+
+
 def write_version(table: DataFrame, folder: str, *partition_by: str) -> str:
     """Write a new version of a table beside its older ones and return its path; no version is written over."""
     path = f"{folder.rstrip('/')}/v-{uuid.uuid4().hex}"

@@ -99,7 +99,7 @@ def test_listing_fills_what_is_missing(spark):
 
 def test_search_validation(spark):
     kind = "releaseDate string, limit string, offset string, page string, short string, lastRating string, `order` string"
-    rows = spark.createDataFrame([("2020-01-01", "5", None, None, None, "8.5", "asc"), ("soon", "0", "x", "-1", "y", "z", "up")], kind)
+    rows = spark.createDataFrame([("2020-01-01", "5", None, None, None, "8.5", "asc"), ("soon", "0", "x", "1-", "y", "z", "up")], kind)
     good, bad = validate.split(rows, validate.search_reasons())
     assert good.count() == 1
     assert len(bad.first().reasons) == 7
@@ -116,3 +116,34 @@ def test_tables_round_trip(spark, tmp_path):
     assert one != two and tables.read(spark, "games", two).first().id == 1
     tables.write_answer(got.select("id"), got.select("name"), str(tmp_path / "answer"))
     assert spark.read.json(f"{tmp_path}/answer/meta").first().name == "x"
+
+
+def test_batch_search_against_single_searches(spark):
+    """Hot and rare searches, dates on and off the edges of spans, unknown sorts, deep pages."""
+    import random
+
+    rng = random.Random(4)
+    kind = "id bigint, name string, category int, total_rating double, first_release_date bigint, platforms array<struct<id: bigint, name: string>>, genres array<struct<id: bigint, name: string>>"
+    pick = lambda: [(i, f"d{i}") for i in rng.sample(range(5), rng.randrange(4))] or None
+    games = [(i, f"g{i % 37}", 0 if i % 9 else 1, rng.choice([None, float(i % 17)]), rng.choice([None, -5, 0, 946684800 + (i % 23) * 3600, 1 << 33]), pick(), pick()) for i in range(300)]
+    dims = spark.createDataFrame([(i, f"Dim{i}") for i in range(5)], "id bigint, name string")
+    sinces = [None, "1969-12-31", "1970-01-01", "2000-01-01T05:00:00", "2000-01-01T05:00:01", "2100-01-01"]
+    requests = [(k, rng.choice(sinces), rng.choice([None, "dim", "M3", "zz", ""]), rng.choice([None, "dim1", "none"]), rng.choice([None, "name", "id", "first_release_date", "odd"]), rng.choice([None, "ASC", "desc"]), rng.choice([None, 0, 3, 600]), rng.choice([None, 0, 7])) for k in range(80)]
+    got: dict = {}
+    table = spark.createDataFrame(requests, "req_id int, since string, platform string, genre string, sort_by string, direction string, `limit` bigint, offset bigint")
+    for r in catalog.batch_search(table, spark.createDataFrame(games, kind), dims, dims).collect():
+        got.setdefault(r.req_id, {})[r["rank"]] = r.id
+    from datetime import UTC, datetime
+
+    for k, since, platform, genre, sort_by, direction, limit, offset in requests:
+        at = None if since is None else int(datetime.fromisoformat(since).replace(tzinfo=UTC).timestamp())
+        ids = lambda t: None if t is None else {i for i in range(5) if t.lower() in f"dim{i}"} or None
+        rows = [g for g in games if g[2] == 0 and (at is None or (g[4] is not None and g[4] >= at))]
+        for wanted, c in ((ids(platform), 5), (ids(genre), 6)):
+            rows = [g for g in rows if wanted is None or any(x[0] in wanted for x in g[c] or [])]
+        up = sort_by == "odd" or (direction or "desc").lower() == "asc"
+        column = {None: 3, "name": 1, "id": 0, "first_release_date": 4, "odd": 0}[sort_by]
+        some, none = sorted((g for g in rows if g[column] is not None), key=lambda g: g[0]), sorted((g for g in rows if g[column] is None), key=lambda g: g[0])
+        some.sort(key=lambda g: g[column], reverse=not up)
+        n, skip = min(100 if limit is None else limit, 500), offset or 0
+        assert got.get(k, {}) == dict(enumerate(g[0] for g in (some + none)[skip : skip + n])), requests[k]

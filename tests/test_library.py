@@ -124,3 +124,19 @@ def test_commands_as_a_stream(spark, tmp_path):
     stream = spark.readStream.schema("seq bigint, _id string, userId string").json(f"{tmp_path}/in")
     apply_stream(stream, lambda s: rows, commands.delete_rows, lambda table, rejects, n: got.update({n: cats(table)}), f"{tmp_path}/check").awaitTermination()
     assert got == {0: {"2": ["a"]}}
+
+
+def test_registration_decides_long_chains_and_null_names(spark, tmp_path):
+    """A chain of shared names and emails, and rows without a name, against the sequential rule."""
+    rows = [(i, f"u{(i + 1) // 2}", f"e{i // 2}") for i in range(60)] + [(100 + i, None, f"n{i}") for i in range(40)] + [(200, "u1000", "n3")]
+    commands_ = spark.createDataFrame([(i, 0, f"id{i}", u, e) for i, u, e in rows], "seq bigint, ts int, _id string, username string, email string")
+    users = spark.createDataFrame([], "username string, email string")
+    accepted, rejects = commands.register_users(users, commands_)
+    names, emails, want = set(), set(), set()
+    for i, u, e in rows:
+        if (u is None or u not in names) and (e is None or e not in emails):
+            want.add(i)
+            names.add(u)
+            emails.add(e)
+    assert {r.seq for r in accepted.collect()} == want
+    assert {r.seq for r in rejects.collect()} == {i for i, _, _ in rows} - want
