@@ -526,7 +526,8 @@ def train(merged: DataFrame, rounds=(0.03, 0.01)):
 
 # --- scoring ---------------------------------------------------------------------------------------------------------
 
-#: kind 0: values of a part's keys; 1: a block's keys; 2: a text. ``dest`` is the part, and for texts a number above all.
+#: kind 0: values of a part's keys; 1: a block's keys; 2: a text. ``dest`` is the part, and for texts, which only pass on
+#: their way to their block, any of some numbers above all.
 _ASKED = "dest long, kind int, block long, seq long, rows int, keys binary, vals binary, doc_id long, text string"
 _TEXTS = 1 << 40
 
@@ -551,7 +552,7 @@ def _ask(batches):
     """Each block's texts as they are, and its distinct keys by part."""
     from pyspark import TaskContext
 
-    block = TaskContext.get().partitionId() << 32
+    block = TaskContext.get().partitionId() << 20
     held, size, seq = [], 0, 0
 
     def asked():
@@ -588,7 +589,7 @@ def _passed(batch: pa.RecordBatch, first: int, end: int, block: int, seq: int) -
     n = end - first
     text = batch.column(1).slice(first, n)
     cols = {
-        "dest": pa.array(np.full(n, _TEXTS + block)), "kind": pa.array(np.full(n, 2, np.int32)), "block": pa.array(np.full(n, block)), "seq": pa.array(np.arange(seq, seq + n)),
+        "dest": pa.array(_TEXTS + (block + np.arange(seq, seq + n)) % 1009), "kind": pa.array(np.full(n, 2, np.int32)), "block": pa.array(np.full(n, block)), "seq": pa.array(np.arange(seq, seq + n)),
         "rows": pa.nulls(n, pa.int32()), "keys": pa.nulls(n, pa.binary()), "vals": pa.nulls(n, pa.binary()), "doc_id": batch.column(0).slice(first, n), "text": text,
     }
     return pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
@@ -712,7 +713,10 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     asked = rows.mapInArrow(_ask, _ASKED).unionByName(merged.mapInArrow(_valued(shared, weights, refined), _ASKED))
     answered = asked.repartition("dest").sortWithinPartitions("dest", "kind").mapInArrow(_answer, _ASKED)
-    out = answered.repartition("block").sortWithinPartitions("block", "kind", "seq").mapInArrow(_score, _SCORED)
+    # blocks of the same and of neighbouring input partitions go to different ones, evenly
+    spread = (F.shiftright("block", 20) + F.col("block").bitwiseAND((1 << 20) - 1)).cast("int")
+    partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
+    out = answered.repartitionById(partitions, spread).sortWithinPartitions("block", "kind", "seq").mapInArrow(_score, _SCORED)
     floor = float(np.log10(tokens + kinds + 1))
     base = F.col("total") + F.lit(float(np.log10(ends + 1.0))) - (F.col("n_words") + 1) * F.lit(floor)
     return out.select(

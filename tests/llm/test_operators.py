@@ -240,30 +240,148 @@ def _base_by_hand(docs, training):
     return Counter((r.doc_id, len(tokens(r.text)), sum(x in c for x in tokens(r.text)), n, round(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in tokens(r.text)), 6)) for r in docs.collect())
 
 
-@pytest.mark.parametrize("top", [1 << 20, 3])
-def test_base_score_whatever_is_broadcast(odd, top):
-    training = odd.where("doc_id in (1, 4, 6, 7, 9)")
-    got = mixing_lm.score(odd, training, top=top).collect()
-    assert Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == _base_by_hand(odd, training)
+def test_base_score(odd):
+    learn = F.col("doc_id").isin(1, 4, 6, 7, 9)
+    got = mixing_lm.score(odd, learn).collect()
+    assert Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == _base_by_hand(odd, odd.where(learn))
     assert all(r.score < 0 and math.isfinite(r.score) for r in got)
+    for r in got:
+        assert r.bits_per_byte == pytest.approx(-r.score * math.log2(10) / r.n_bytes)
 
 
 def test_without_training_every_bit_is_a_coin(odd, empty):
-    got = {r.doc_id: r.score for r in mixing_lm.score(odd, empty).collect()}
+    got = {r.doc_id: r.score for r in mixing_lm.score(odd, F.lit(False)).collect()}
     for r in odd.collect():
         assert got[r.doc_id] == pytest.approx(-8 * math.log10(2) * (len((r.text or "").encode()) + 1), rel=1e-6)
-    assert mixing_lm.score(empty, empty).count() == 0
+    assert mixing_lm.score(empty, F.lit(True)).count() == 0
+
+
+def _by_hand(training, texts, weights, refined):
+    """log10 of the probability of texts: every count by looking through the training texts, a bit at a time."""
+    coded = lambda t: b"\xff" * 6 + lower(t).encode() + b"\xff"
+    seen = [(c[k - 6 : k], c[k]) for c in map(coded, training) for k in range(6, len(c))]
+    out = []
+    for text in map(coded, texts):
+        total = 0.0
+        for k in range(6, len(text)):
+            for bit in range(8):
+                x, gate = np.zeros(8, np.float32), 0
+                for order in range(7):
+                    own = [b for c, b in seen if c[6 - order :] == text[k - order : k] and b >> (8 - bit) == text[k] >> (8 - bit)]
+                    n1 = np.float32(sum(b >> (7 - bit) & 1 for b in own))
+                    value, often = mixing_lm.stretched(np.float32(len(own)) - n1, n1)
+                    x[order] = value
+                    gate = 4 * order + int(often) if len(own) else gate
+                x[7] = 0.3
+                z = float(weights[gate].astype(np.float32) @ x)
+                p = 1 / (1 + math.exp(-min(14, max(-14, z))))
+                n0, n1 = refined[text[k] >> (8 - bit) | 1 << bit, int(min(32, max(0, np.rint((z + 8) * 2))))]
+                p = min(1 - 1e-6, max(1e-6, 0.5 * p + 0.5 * (n1 + 8 * p) / (n0 + n1 + 8)))
+                total += math.log10(p if text[k] >> (7 - bit) & 1 else 1 - p)
+        out.append(total)
+    return out
+
+
+def test_scores_are_those_of_counting_by_hand(make):
+    texts = ["Abcab abcab!", "abcabcab", "", "xyz abc", "été abc"]
+    docs = make(list(enumerate(texts)))
+    learn = F.col("doc_id") < 3
+    merged = mixing_lm.counts(docs, learn)
+    _, weights, refined = mixing_lm.train(merged)
+    got = {r.doc_id: r.score for r in mixing_lm.score(docs, learn).collect()}
+    assert [got[i] for i in range(5)] == pytest.approx(_by_hand(texts[:3], texts, weights, refined), rel=1e-5)
+
+
+def test_learning_leaves_out_what_occurs():
+    """Of a sequence that was counted once, nothing is left in the contexts that it alone has."""
+    keys = np.sort(np.concatenate([code for _, code in mixing_lm.Stream([b"abcdefgh", b"zbcdefgh"]).windows()]))
+    distinct, n = mixing_lm.counted(keys)
+    last = mixing_lm.unhashed(distinct >> np.uint64(32))
+    cell = (last >> np.uint64(8) << np.uint64(8) | distinct & np.uint64(255)).astype(np.int64)
+    small = np.bincount(cell, weights=n, minlength=1 << 24).astype(np.float32)
+    model = mixing_lm.Model(small)
+    for _, _, x, gate in model.inputs(distinct, n, apart=True):
+        once = (n == 1) & (last != (0xFFFFFF))
+        assert (gate[n == 2] > 4 * 3).all()  # seen once more, in the other text
+        assert (x[once, 6] == 0).all()
+
+
+def test_learning_improves_the_mixture(make):
+    rng = random.Random(5)
+    docs = make([(i, prose(rng, 80, 30)) for i in range(40)])
+    learn = F.col("doc_id") < 30
+    merged = mixing_lm.counts(docs, learn)
+    shared, weights, refined = mixing_lm.train(merged)
+    rows = merged.where(F.col("part") < mixing_lm.PARTS).toArrow()
+    first, last = mixing_lm.Model(mixing_lm._unpacked(shared)), mixing_lm.Model(mixing_lm._unpacked(shared), weights, refined)
+    unseen = [0.0, 0.0]
+    for batch in rows.to_batches():
+        for keys, n in mixing_lm._sequences(batch):
+            for k, model in enumerate((first, last)):
+                unseen[k] += model.log10(keys, n)[n == 0].sum()
+    assert unseen[1] > unseen[0]
 
 
 def test_probabilities_of_a_context_sum_to_one(make):
     rng = random.Random(3)
-    docs = make([(i, prose(rng, 60, 9)) for i in range(30)])
-    shared, model = mixing_lm.train(mixing_lm.counts(docs))
-    context = np.frombuffer(b"\0 ba3 be", ">u8").astype(np.uint64)[0] & np.uint64((1 << (8 * (mixing_lm.ORDERS - 1))) - 1)
-    codes = (context << np.uint64(8)) | np.arange(256, dtype=np.uint64)
-    assert (10 ** model.log10(codes)).sum() == pytest.approx(1, abs=1e-6)
-    cached = mixing_lm.Remembered(model)
-    assert cached.log10(np.tile(codes, 3)) == pytest.approx(np.tile(model.log10(codes), 3))
+    texts = [prose(rng, 60, 9).encode() for i in range(30)]
+    # every byte after one context, counted or not
+    seen = np.concatenate([code for _, code in mixing_lm.Stream(texts).windows()])
+    head = seen[1000] >> np.uint64(8)
+    keys, n = mixing_lm.counted(seen)
+    one = (keys >> np.uint64(32)) == (seen[1000] >> np.uint64(32))
+    every = (head << np.uint64(8)) | np.arange(256, dtype=np.uint64)
+    keys, n = mixing_lm.added([keys[one], every], [n[one], np.zeros(256, np.int64)])
+    rng = np.random.default_rng(0)
+    model = mixing_lm.Model(rng.integers(0, 3, 1 << 24).astype(np.float32), rng.normal(0, 0.3, (mixing_lm.GATES, mixing_lm.INPUTS)), rng.random((256, mixing_lm.BUCKETS, 2)))
+    assert (10 ** model.log10(keys, n)[np.isin(keys, every)]).sum() == pytest.approx(1, abs=1e-5)
+
+
+def test_streams_are_those_of_single_texts(monkeypatch):
+    """Codes, sums and words in small windows; a text of several windows; blocks of several megabytes stay bounded."""
+    rng = random.Random(8)
+    texts = [prose(rng, rng.randrange(40), 9).encode() if i % 5 else b"" for i in range(60)] + [prose(rng, 3000).encode()]
+    want = []
+    for t in texts:
+        padded = b"\xff" * 6 + t + b"\xff"
+        for k in range(6, len(padded)):
+            c = [padded[k - j] for j in range(1, 7)]
+            want.append((int(mixing_lm.hashed(np.array([c[0] << 16 | c[1] << 8 | c[2]], np.uint64))[0]) << 32) | c[3] << 24 | c[4] << 16 | c[5] << 8 | padded[k])
+    monkeypatch.setattr(mixing_lm, "WINDOW", 257)
+    stream = mixing_lm.Stream(texts)
+    got, sums = [], np.zeros(len(texts))
+    for first, code in stream.windows():
+        assert first == len(got)
+        got += code.tolist()
+        stream.sums(first, (code & np.uint64(255)).astype(np.float64), sums)
+    assert got == want
+    assert sums.tolist() == [sum(t) + 255 for t in texts]
+    per, hashes = np.zeros(len(texts), np.int64), []
+    for row, n, h in mixing_lm._words(texts):
+        per[row : row + len(n)] += n
+        hashes += h.tolist()
+    assert per.tolist() == [len(t.split()) for t in texts] and len(hashes) == per.sum()
+    assert mixing_lm.unhashed(mixing_lm.hashed(np.arange(0, 1 << 24, 97, dtype=np.uint64))).tolist() == list(range(0, 1 << 24, 97))
+
+
+def test_packs_and_lookups():
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(0, 1 << 56, 5000, dtype=np.uint64))
+    assert (mixing_lm.unpacked_keys(mixing_lm.packed_keys(keys), len(keys)) == keys).all()
+    look = mixing_lm.Lookup(keys, np.arange(len(keys)))
+    assert (look(keys[::-1]) == np.arange(len(keys))[::-1]).all()
+    parts = list(mixing_lm._ranges(keys, 0))
+    assert [p for p, _, _ in parts] == sorted({int(k) >> 46 for k in keys.tolist()}) and parts[-1][2] == len(keys)
+
+
+def test_a_long_text_among_others_is_scored(make):
+    """A text of several megabytes, in blocks and windows of its own."""
+    rng = random.Random(2)
+    long = " ".join(prose(rng, 400, 50) for _ in range(1500))
+    docs = make([(1, long), (2, "abc def"), (3, long[:1000])])
+    got = {r.doc_id: r for r in mixing_lm.score(docs, F.col("doc_id") == 1).collect()}
+    assert got[1].n_bytes == len(long) + 1 > 2_500_000 and got[1].n_tokens == len(long.split()) + 1
+    assert got[3].bits_per_byte < 4 < got[2].bits_per_byte * 3
 
 
 # --- op6 -------------------------------------------------------------------------------------------------------------
