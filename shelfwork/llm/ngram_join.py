@@ -1,18 +1,25 @@
 """N-gram Jaccard self-join by a MinHash LSH forest.
 
-Documents are sets of shingles of five words. A signature has TREES groups of MAX_DEPTH minima; each group is a path in
-a prefix trie of its own. Matching starts at full depth and the prefixes are shortened as long as texts at the
-threshold would be missed: the depth taken is the largest at which texts of similarity ``threshold`` share a prefix in
-some tree with probability ``recall`` at least. Texts under one prefix are candidates of one another.
-
-Candidates are gathered to components (narrow edges to the least text of each prefix), and the texts of a component are
-verified against each other exactly, by products of their shingle incidence matrices, in blocks of bounded size. So
-links are counted without being emitted, and large groups are spread over many tasks. Texts of the same word sequence
-are one text to the join. Classes are components of verified links.
+Documents are sets of shingles of five words. A signature has TREES groups of MAX_DEPTH minima; each group is a path in a
+prefix trie of its own, and a trie is its paths in sorted order (a path is one number: a hash of its first LEAST minima
+and a byte of each later one, so prefixes of paths are prefixes of numbers). Paths that share no prefix of LEAST minima
+with another text go at once.
+
+Matching starts at full depth, and a text's prefixes are shortened as long as a partner could be missed: down to the
+depth at which one of the least similarity that is possible for a text of its size (and at least ``threshold``) shares a
+prefix in some trie with probability ``recall`` (a text of two shingles has only partners with the same two: it stays at
+full depth). At each depth the texts under one prefix are verified exactly by their shingles: first each with the
+least one of its prefix, then all those that aren't of one class yet, in blocks of bounded size; a prefix whose texts
+are all of one class by then isn't looked at again. Sets of shingle hashes travel, not texts, and only those of texts
+that share a prefix.
+
+Classes are components of verified links. In a class, links are counted by products of the shingle incidence matrices
+of blocks, spread over many tasks, without being emitted. Texts of the same word sequence are one text to the join.
 
 Defined results: a text without words is alone; one of fewer than five words has one shingle of all of them; repeated
-rows are in one class; of null ids the class has the least non-null one, if there is one; an empty table gives an empty
-result; other columns don't matter. Word sequences are told apart by a 64-bit hash.
+rows are in one class; ties for the row that stays go to the least row of the least id; of null ids the class has the
+least non-null one, if there is one; an empty table gives an empty result; other columns don't matter. Word sequences
+and shingles are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -24,15 +31,20 @@ from pyspark.sql import functions as F
 
 from shelfwork.llm import bloom, buffers
 from shelfwork.llm.components import components
-from shelfwork.llm.storage import short_batches, stash
+from shelfwork.llm.storage import drop, short_batches, stash
 
 WIDTH = 5
 TREES = 32
 MAX_DEPTH = 10
+#: No text needs a shorter prefix at the thresholds and recalls that are allowed.
+LEAST = 8
+#: Texts of more shingles have partners of about any similarity.
+SMALL = 64
 THRESHOLD = (4, 5)
 RECALL = 0.995
-#: Texts that meet in one verification; a larger component is dealt to pairs of such blocks.
+#: Texts that meet in one verification, and bytes of their shingle hashes, about; a larger group is dealt to pairs of such blocks.
 BLOCK = 400
+BLOCK_BYTES = 16 << 20
 
 _A = (buffers.mix(np.arange(1, TREES * MAX_DEPTH + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = (buffers.mix(np.arange(1001, TREES * MAX_DEPTH + 1001, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
@@ -46,8 +58,23 @@ def depth_for(threshold: float, recall: float, trees: int = TREES, longest: int
     return depth
 
 
-def prefixes(hashes: np.ndarray, per_row: np.ndarray, depth: int) -> np.ndarray:
-    """(rows with shingles, TREES) hashes of the signatures' prefixes of ``depth`` minima."""
+def least_similarity(n: int, threshold: tuple[int, int] = THRESHOLD) -> float:
+    """The least similarity of at least ``threshold`` that a set of ``n`` shingles can have with any set."""
+    up, down = threshold
+    # of i shared shingles the union has n at least, and i * down / up at most
+    return min(i / (i * down // up) for i in range(-(-up * n // down), n + 1))
+
+
+def depths(threshold: tuple[int, int], recall: float) -> np.ndarray:
+    """The depth that texts of 1 to SMALL distinct shingles are shortened to, and at 0 that of larger ones."""
+    every = depth_for(threshold[0] / threshold[1], recall)
+    if every < LEAST:
+        raise ValueError(f"{TREES} tries of {LEAST} to {MAX_DEPTH} minima don't reach this recall at this threshold")
+    return np.array([every] + [max(LEAST, depth_for(least_similarity(n, threshold), recall)) for n in range(1, SMALL + 1)], np.int32)
+
+
+def paths(hashes: np.ndarray, per_row: np.ndarray) -> np.ndarray:
+    """(rows with shingles, TREES) paths: 47 bits of a hash of the first LEAST minima, then 8 bits of each of the others."""
     starts, _ = buffers.segments(per_row)
     x = (hashes >> np.uint64(32)).astype(np.uint32)
     out = np.zeros((len(starts), TREES), np.uint64)
@@ -55,9 +82,13 @@ def prefixes(hashes: np.ndarray, per_row: np.ndarray, depth: int) -> np.ndarray:
         return out
     for tree in range(TREES):
         key = np.full(len(starts), tree + 1, np.uint64)
-        for level in range(depth):
+        for level in range(MAX_DEPTH):
             k = tree * MAX_DEPTH + level
-            key = buffers.mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(x * _A[k] ^ _B[k], starts))
+            least = np.minimum.reduceat(x * _A[k] ^ _B[k], starts).astype(np.uint64)
+            if level < LEAST:
+                key = buffers.mix(key * np.uint64(0x9E3779B97F4A7C15) + least)
+            else:
+                key = (key >> np.uint64(17) if level == LEAST else key) << np.uint64(8) | buffers.mix(least + np.uint64(level)) >> np.uint64(56)
         out[:, tree] = key
     return out
 
@@ -68,52 +99,105 @@ def _identity(words: buffers.Words) -> np.ndarray:
     return buffers.mix(a ^ buffers.mix(b))
 
 
-def _signed(depth: int):
+def _stops(hashes: np.ndarray, per: np.ndarray, depth: np.ndarray) -> np.ndarray:
+    """The depth of each row with shingles."""
+    own = per[per > 0]
+    small = np.repeat(own <= SMALL, own)
+    row = np.repeat(np.arange(len(own)), own)[small]
+    order = np.lexsort((hashes[small], row))
+    h, row = hashes[small][order], row[order]
+    first = np.ones(len(h), bool)
+    first[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    return depth[np.bincount(row[first], minlength=len(own))]
+
+
+def _signed(depth: np.ndarray):
     def run(batches):
         for batch in batches:
             for first, end, data, at in buffers.blocks(batch.column(2)):
                 words = buffers.Words(data, at)
                 hashes, per = buffers.shingles(words, WIDTH)
                 some = per > 0
-                keys = prefixes(hashes, per, depth).view(np.int64)
+                keys = paths(hashes, per).view(np.int64)
+                stop = np.zeros(len(per), np.int32)
+                stop[some] = _stops(hashes, per, depth)
                 upto = np.concatenate([[0], np.cumsum(some * TREES)]).astype(np.int32)
                 uid = pa.array(_identity(words).view(np.int64), mask=~some)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), batch.column(1).slice(first, end - first), uid, pa.ListArray.from_arrays(pa.array(upto), pa.array(keys.ravel()))], names=["doc_id", "row_hash", "uid", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), batch.column(1).slice(first, end - first), uid, pa.array(stop), pa.ListArray.from_arrays(pa.array(upto), pa.array(keys.ravel()))], names=["doc_id", "row_hash", "uid", "stop", "paths"])
 
     return run
 
 
-def signatures(docs: DataFrame, depth: int) -> DataFrame:
+def signatures(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, recall: float = RECALL) -> DataFrame:
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row_hash"), text.alias("text"))
-    return rows.mapInArrow(_signed(depth), "doc_id long, row_hash long, uid long, keys array<long>")
+    return rows.mapInArrow(_signed(depths(threshold, recall)), "doc_id long, row_hash long, uid long, stop int, paths array<long>")
+
+
+def _prefix(depth: int):
+    return F.shiftright("path", 8 * (MAX_DEPTH - depth))
 
 
-def candidates(signed: DataFrame) -> DataFrame:
-    """(node, root): texts that may have a partner, by component."""
-    own = stash(signed.where("uid is not null").select("uid", "keys").dropDuplicates(["uid"]), "texts")
-    rows = own.select("uid", F.posexplode("keys").alias("tree", "key"))
-    shared = rows.groupBy("tree", "key").agg(F.min("uid").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return components(rows.join(shared, ["tree", "key"]).where("uid <> least").select(F.col("uid").alias("a"), F.col("least").alias("b")))
+def forest(signed: DataFrame) -> DataFrame:
+    """uid, stop, tree, path of all texts, each once, under a prefix of LEAST minima that another text has too, in the
+    order of the tries."""
+    rows = signed.where("uid is not null").groupBy("uid").agg(F.first("stop").alias("stop"), F.first("paths").alias("paths"))
+    rows = stash(rows, "texts").select("uid", "stop", F.posexplode("paths").alias("tree", "path")).withColumn("prefix", _prefix(LEAST))
+    shared = rows.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    found = rows.join(shared, ["tree", "prefix"]).select("uid", "stop", "tree", "path")
+    return stash(found.sortWithinPartitions("tree", "path"), "forest")
 
 
-def _texts(table):
-    """(uid, text) of texts that may be candidates, each once in a task."""
+def _sets(table):
+    """(uid, shingles) of texts that may be in the forest, each once in a block: sorted distinct hashes of 64 bits."""
 
     def run(batches):
-        seen: set[int] = set()
         for batch in batches:
-            for first, end, data, at in buffers.blocks(batch.column(0)):
+            for _, _, data, at in buffers.blocks(batch.column(0)):
                 words = buffers.Words(data, at)
+                hashes, per = buffers.shingles(words, WIDTH)
                 uid = _identity(words)
                 hit = np.flatnonzero(bloom.maybe(table.value, uid) & (words.per_row > 0))
-                keep = []
-                for i in hit.tolist():
-                    if int(uid[i]) not in seen:
-                        seen.add(int(uid[i]))
-                        keep.append(i)
-                if keep:
-                    yield pa.RecordBatch.from_arrays([pa.array(uid[keep].view(np.int64)), batch.column(0).slice(first, end - first).take(pa.array(keep))], names=["uid", "text"])
+                hit = hit[np.sort(np.unique(uid[hit], return_index=True)[1])]
+                end = np.cumsum(per)
+                if len(hit):
+                    sets = [_distinct(hashes[end[i] - per[i] : end[i]]).tobytes() for i in hit.tolist()]
+                    yield pa.RecordBatch.from_arrays([pa.array(uid[hit].view(np.int64)), pa.array(sets, pa.binary())], names=["uid", "shingles"])
+
+    return run
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    first = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=first[1:])
+    return x[first]
+
+
+def shingle_sets(docs: DataFrame, uids: DataFrame) -> DataFrame:
+    """uid, shingles of each text that ``uids`` (uid) has."""
+    table = docs.sparkSession.sparkContext.broadcast(bloom.gather(uids.select("uid")))
+    sets = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_sets(table), "uid long, shingles binary")
+    return stash(sets.join(uids, "uid", "left_semi").dropDuplicates(["uid"]), "sets")
+
+
+def _similar(threshold: tuple[int, int]):
+    """(uid, head) of those rows whose two sets are similar enough."""
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                if min(len(a), len(b)) * threshold[1] < max(len(a), len(b)) * threshold[0]:
+                    continue
+                both = np.concatenate([a, b])
+                both.sort(kind="stable")
+                common = int((both[1:] == both[:-1]).sum())
+                if common * threshold[1] >= (len(a) + len(b) - common) * threshold[0]:
+                    keep.append(i)
+            if keep:
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep))], names=["a", "b"])
 
     return run
 
@@ -147,14 +231,10 @@ def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshol
 
 
 def _verified(threshold):
-    """Rows come sorted by (root, lo, hi, uid): uid, least linked uid of its group, number of links."""
+    """Rows come sorted by (unit, lo, hi, uid): uid, least linked uid of its group, number of links."""
 
     def check(key, uids, sides, texts):
-        column = pa.array(texts, pa.string())
-        sets = []
-        for _, _, data, at in buffers.blocks(column, 1 << 22):
-            hashes, per = buffers.shingles(buffers.Words(data, at), WIDTH)
-            sets += [np.unique(x) for x in np.split(hashes, np.cumsum(per)[:-1])]
+        sets = [np.frombuffer(x, np.uint64) for x in texts]
         uid, side = np.array(uids, np.int64), np.array(sides)
         left = np.flatnonzero(side == 0)
         right = left if key[1] == key[2] else np.flatnonzero(side == 1)
@@ -185,13 +265,11 @@ def _verified(threshold):
         key, uids, sides, texts = None, [], [], []
         out = []
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("root", "lo", "hi", "uid", "side", "text")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("unit", "lo", "hi", "uid", "side", "shingles")), strict=True):
                 if row[:3] != key:
                     if len(uids) > 1 and (got := check(key, uids, sides, texts)):
                         out.append(got)
                     key, uids, sides, texts = row[:3], [], [], []
-                elif uids and uids[-1] == row[3]:
-                    continue  # the same text from another task
                 uids.append(row[3])
                 sides.append(row[4])
                 texts.append(row[5])
@@ -204,29 +282,79 @@ def _verified(threshold):
     return run
 
 
-def links(docs: DataFrame, grouped: DataFrame, threshold=THRESHOLD) -> DataFrame:
-    """uid, root, links of all texts with a verified partner; ``grouped`` (node, root) says which may be partners."""
-    grouped = stash(grouped, "grouped")
-    sizes = grouped.groupBy("root").agg(F.count(F.lit(1)).alias("n")).select("root", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
-    table = docs.sparkSession.sparkContext.broadcast(bloom.gather(grouped.select("node")))
-    texts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_texts(table), "uid long, text string")
-    placed = stash(grouped.join(sizes, "root").select(F.col("node").alias("uid"), "root", "parts"), "placed")
-    rows = texts.join(placed, "uid").withColumn("own", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "uid", (F.col("own") > F.col("other")).cast("int").alias("side"), "text")
-    key = ["root", "lo", "hi"]
-    got = stash(rows.repartition(*key).sortWithinPartitions(*key, "uid").mapInArrow(_verified(threshold), "uid long, least long, links long"), "verified")
-    total = got.groupBy("uid").agg(F.sum("links").alias("links"))
-    classes = components(got.select(F.col("uid").alias("a"), F.col("least").alias("b")))
-    return total.join(classes, F.col("uid") == F.col("node")).select("uid", "root", "links")
+def _met(rows: DataFrame, sets: DataFrame, threshold) -> DataFrame:
+    """uid, least, links of verified blocks. ``rows``: unit, lo, hi (a block, or a pair of them), uid, side."""
+    key = ["unit", "lo", "hi"]
+    met = rows.join(sets, "uid").repartition(*key).sortWithinPartitions(*key, "uid")
+    return met.select(*key, "uid", "side", "shingles").mapInArrow(_verified(threshold), "uid long, least long, links long")
+
+
+def _parts(n, size):
+    """Blocks for so many texts of so many bytes."""
+    return F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES), F.lit(1)).cast("int")
+
+
+def _dealt(parts):
+    return F.pmod(F.xxhash64("uid"), parts).cast("int")
+
+
+def mixed_links(rows: DataFrame, sets: DataFrame, threshold) -> DataFrame:
+    """(a, b): verified links between texts under one prefix (tree, prefix) that aren't of one class. ``rows``: uid, class,
+    tree, prefix. Of a group, its largest class isn't compared with itself, so a hot class costs a row for each
+    text and stranger's block. Groups of the same texts in several tries are one."""
+    key = ["tree", "prefix"]
+    groups = rows.groupBy(*key).agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("uid").cast("decimal(20,0)")).alias("names")).where("lo <> hi")
+    groups = groups.dropDuplicates(["n", "names"]).select(*key, F.xxhash64(*key).alias("unit"))
+    members = stash(rows.join(groups, key).join(sets.select("uid", F.length("shingles").alias("size")), "uid").select("unit", "uid", "class", "size"), "members")
+    by_class = members.groupBy("unit", "class").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    units = by_class.groupBy("unit").agg(F.max(F.struct("n", "class", "size")).alias("big"), F.sum("n").alias("n"), F.sum("size").alias("size"))
+    units = units.select("unit", F.col("big.class").alias("big"), _parts(F.col("big.n"), F.col("big.size")).alias("of_big"), _parts(F.col("n") - F.col("big.n"), F.col("size") - F.col("big.size")).alias("of_rest"))
+    placed = members.join(units, "unit").withColumn("own", F.when(F.col("class") == F.col("big"), _dealt(F.col("of_big")) + F.col("of_rest")).otherwise(_dealt(F.col("of_rest"))))
+    # blocks of strangers come first: each meets all blocks, those of the largest class meet only strangers
+    last = F.when(F.col("own") < F.col("of_rest"), F.col("of_rest") + F.col("of_big") - 1).otherwise(F.col("of_rest") - 1)
+    pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    pairs = pairs.select("unit", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "uid", (F.col("own") > F.col("other")).cast("int").alias("side"))
+    return _met(pairs, sets, threshold).select(F.col("uid").alias("a"), F.col("least").alias("b"))
+
+
+def classes(tries: DataFrame, sets: DataFrame, threshold) -> DataFrame:
+    """(node, root) of all texts that have a verified link."""
+    at = tries.select("uid", "tree", _prefix(MAX_DEPTH).alias("prefix"))
+    heads = at.groupBy("tree", "prefix").agg(F.min("uid").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    pairs = stash(at.join(heads, ["tree", "prefix"]).where("uid <> head").select("uid", "head").distinct(), "pairs")
+    both = pairs.join(sets.select("uid", F.col("shingles").alias("x")), "uid").join(sets.select(F.col("uid").alias("head"), F.col("shingles").alias("y")), "head")
+    edges = stash(both.select("uid", "head", "x", "y").mapInArrow(_similar(threshold), "a long, b long"), "links")
+    found = stash(components(edges), "classes")
+    for depth in range(MAX_DEPTH, LEAST - 1, -1):
+        own = found.select(F.col("node").alias("uid"), F.col("root").alias("class"))
+        rows = tries.where(F.col("stop") <= depth).select("uid", "tree", _prefix(depth).alias("prefix")).join(own, "uid", "left").withColumn("class", F.coalesce("class", "uid"))
+        more = stash(mixed_links(rows, sets, threshold), "links")
+        if not more.isEmpty():
+            edges = more.unionByName(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+            found = stash(components(edges), "classes")
+    return found
+
+
+def links(docs: DataFrame, tries: DataFrame, threshold=THRESHOLD) -> DataFrame:
+    """uid, root, links of all texts with a verified partner."""
+    sets = shingle_sets(docs, stash(tries.select("uid").distinct(), "uids"))
+    found = classes(tries, sets, threshold)
+    members = found.select(F.col("node").alias("uid"), F.col("root").alias("unit")).join(sets.select("uid", F.length("shingles").alias("size")), "uid")
+    parts = members.groupBy("unit").agg(_parts(F.count(F.lit(1)), F.sum("size")).alias("parts"))
+    placed = members.join(parts, "unit").withColumn("own", _dealt(F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = placed.select("unit", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "uid", (F.col("own") > F.col("other")).cast("int").alias("side"))
+    total = _met(rows, sets, threshold).groupBy("uid").agg(F.sum("links").alias("links"))
+    out = stash(total.join(found, F.col("uid") == F.col("node")).select("uid", "root", "links"), "linked")
+    drop(sets)
+    return out
 
 
 def ngram_join(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """doc_id, class_id (least doc_id of its class), n_links (other texts it is linked with), class_size, kept (one row
     of each class), row_hash for every row."""
     short_batches(docs)
-    depth = depth_for(threshold[0] / threshold[1], recall)
-    signed = stash(signatures(docs, depth).withColumn("row", F.monotonically_increasing_id()), "signatures")
-    found = links(docs, candidates(signed), threshold).withColumnRenamed("uid", "u")
+    signed = stash(signatures(docs, threshold, recall).withColumn("row", F.monotonically_increasing_id()), "signatures")
+    found = links(docs, forest(signed), threshold).withColumnRenamed("uid", "u")
     rows = signed.select("row", "doc_id", "row_hash", "uid").join(found, F.col("uid") == F.col("u"), "left")
     # a text without words is a class of its own, and named apart from all hashes
     rows = rows.select("row", "doc_id", "row_hash", F.coalesce("links", F.lit(0)).alias("n_links"), F.coalesce("root", "uid").alias("class"), F.when(F.col("uid").isNull(), F.col("row")).alias("alone"))

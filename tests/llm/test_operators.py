@@ -162,6 +162,43 @@ def test_depth_is_shortened_until_the_recall_is_met():
     assert 1 - (1 - 0.8**d) ** ngram_join.TREES >= 0.995 > 1 - (1 - 0.8 ** (d + 1)) ** ngram_join.TREES
 
 
+def test_texts_of_few_shingles_stay_at_greater_depth():
+    for n in range(1, 40):  # by trying all sizes of the other set and of what both share
+        every = [i / (n + m - i) for m in range(1, 60) for i in range(1, min(n, m) + 1) if i * 5 >= (n + m - i) * 4]
+        assert ngram_join.least_similarity(n) == pytest.approx(min(every))
+    found = ngram_join.depths((4, 5), 0.995)
+    assert found[0] == 8 and found[1] == found[3] == 10 and found[4] == 8 and found[6] == 10
+    words = buffers.Words(np.frombuffer(b"a a a a a a a b c d e f", np.uint8), np.array([0, 15, 15, 23]))
+    hashes, per = buffers.shingles(words)
+    assert ngram_join._stops(hashes, per, found).tolist() == [found[len(set(hashes[: per[0]].tolist()))], found[1]]
+
+
+def test_prefixes_of_paths_are_those_of_signatures():
+    rng = np.random.default_rng(2)
+    sets = [rng.integers(0, 1 << 63, 50, dtype=np.uint64)]
+    sets += [np.concatenate([sets[0][:48], rng.integers(0, 1 << 63, 2, dtype=np.uint64)]) for _ in range(30)]
+    got = ngram_join.paths(np.concatenate(sets), np.array([len(x) for x in sets]))
+    least = np.stack([((x >> np.uint64(32)).astype(np.uint32)[:, None] * ngram_join._A[None] ^ ngram_join._B[None]).min(axis=0) for x in sets]).reshape(len(sets), ngram_join.TREES, -1)
+    for depth in (8, 9, 10):
+        same = (least[:, None, :, :depth] == least[None, :, :, :depth]).all(axis=3)
+        prefix = got >> np.uint64(8 * (10 - depth))
+        assert (same <= (prefix[:, None] == prefix[None])).all() and (same == (prefix[:, None] == prefix[None])).mean() > 0.99
+    assert (got.view(np.int64) >= 0).all()
+
+
+def test_links_between_strangers_of_a_head_are_found(make):
+    """A crowd that shares half of its words, with near copies inside it and a hot class beside them."""
+    rng = random.Random(11)
+    common = prose(rng, 90, 5000).split()
+    texts = []
+    for _ in range(60):
+        own = common + prose(rng, 40, 5000).split()
+        texts += [" ".join(own), " ".join(own[:-1] + ["other"])]
+    texts += [" ".join([*common, *common[:20], f"copy{i}"]) for i in range(60)]
+    docs = make(list(enumerate(texts)))
+    assert _found(docs) == _classes_by_hand(docs)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(100, 101), (105, 100), (7, 7)], "a bigint, b bigint")
     got = {r.node: r.root for r in components.components(edges).collect()}
