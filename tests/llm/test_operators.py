@@ -8,13 +8,14 @@ import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from shelfwork.llm import buffers, components, edit_embedding, exact_dedup, langid, mixing, mixing_lm, ngram_join, packing, quality, rows, toxicity, warc
+from shelfwork.llm import bloom, buffers, components, edit_embedding, exact_dedup, langid, mixing, mixing_lm, ngram_join, packing, quality, rows, toxicity, warc
 from shelfwork.llm.queries import tokenizer_path
 from shelfwork.llm.storage import fold, stash
 
@@ -77,25 +78,93 @@ def test_exact_dedup(odd, empty):
     assert exact_dedup.exact_dedup(empty).count() == 0
 
 
-def test_exact_dedup_splits_colliding_fingerprints(make, monkeypatch):
-    docs = make([(1, "same"), (2, "same"), (3, "else"), (4, "else"), (5, "diff")])
-    base = exact_dedup.fingerprints(docs).drop("fp").withColumn("fp", F.lit(7).cast("bigint")).select("uid", "doc_id", "fp", "n_bytes", "text_sha256", "row_hash")
-    monkeypatch.setattr(exact_dedup, "fingerprints", lambda d: base)
-    monkeypatch.setattr(exact_dedup, "colliding", lambda d, g: g.select("fp", "n_bytes").distinct())
+def _short_vectors(basis):
+    """Lenstra-Lenstra-Lovasz reduction in exact numbers, for small lattices."""
+    n, b = len(basis), [list(map(Fraction, v)) for v in basis]
+    dot = lambda u, v: sum(x * y for x, y in zip(u, v, strict=True))
+
+    def orthogonal():
+        star, mu = [], [[Fraction(0)] * n for _ in range(n)]
+        for i in range(n):
+            v = list(b[i])
+            for j in range(i):
+                mu[i][j] = dot(b[i], star[j]) / dot(star[j], star[j])
+                v = [x - mu[i][j] * y for x, y in zip(v, star[j], strict=True)]
+            star.append(v)
+        return star, mu
+
+    star, mu = orthogonal()
+    k = 1
+    while k < n:
+        for j in range(k - 1, -1, -1):
+            if q := round(mu[k][j]):
+                b[k] = [x - q * y for x, y in zip(b[k], b[j], strict=True)]
+                star, mu = orthogonal()
+        if dot(star[k], star[k]) >= (Fraction(3, 4) - mu[k][k - 1] ** 2) * dot(star[k - 1], star[k - 1]):
+            k += 1
+        else:
+            b[k], b[k - 1] = b[k - 1], b[k]
+            star, mu = orthogonal()
+            k = max(k - 1, 1)
+    return [[int(x) for x in v] for v in b]
+
+
+def _collision(n=13):
+    """Two different texts of small letters with one fingerprint."""
+    (p, q), (r, t) = exact_dedup.PRIMES, exact_dedup.BASES
+    both = [(pow(r, i, p) * q * pow(q, -1, p) + pow(t, i, q) * p * pow(p, -1, q)) % (p * q) for i in range(n)]
+    rows_ = [[p * q] + [0] * (n - 1)] + [[-both[i]] + [int(i == j) for j in range(1, n)] for i in range(1, n)]
+    for v in _short_vectors(rows_):
+        v = v[::-1]  # the first weighs the power 0
+        if any(v) and max(map(abs, v)) <= 25:
+            return "".join(chr(97 + max(x, 0)) for x in v), "".join(chr(97 + max(-x, 0)) for x in v)
+    raise AssertionError("no short vector")
+
+
+def test_texts_of_one_fingerprint_are_told_apart(make):
+    """A real collision: the texts meet, differ, and keep rows of their own."""
+    one, two = _collision()
+    a, b = (exact_dedup.fingerprint(np.frombuffer(x.encode(), np.uint8)) for x in (one, two))
+    assert a == b and one != two
+    docs = make([(1, one), (2, two), (3, one.upper()), (4, two), (5, "else"), (6, "else"), (7, one + "x")])
+    base = exact_dedup.fingerprints(docs)
+    groups = base.groupBy("fp", "n_bytes").agg(F.count(F.lit(1)).alias("n"), F.collect_set("crc").alias("crcs")).where("n > 1").select(F.explode("crcs").alias("crc"), "n_bytes", "n")
+    assert {(r.fp, r.n_bytes) for r in exact_dedup.colliding(docs, groups).collect()} == {(exact_dedup._key(*a[:2]), len(one))}
     got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(docs).collect()}
-    assert got == {1: (2, 2, False), 2: (2, 2, True), 3: (4, 2, False), 4: (4, 2, True), 5: (5, 1, True)}
+    assert got == {1: (3, 2, False), 2: (4, 2, False), 3: (3, 2, True), 4: (4, 2, True), 5: (6, 2, False), 6: (6, 2, True), 7: (7, 1, True)}
+    apart = [make([(k, x) for k, x in enumerate(texts)]).coalesce(1) for texts in ([one, two], [two] * 3 + [one] * 3)]
+    for d in apart:  # also where they meet in one batch
+        assert exact_dedup.exact_dedup(d).where("kept").count() == 2
+
+
+def test_long_texts_are_hashed_in_chunks(make):
+    rng = random.Random(9)
+    long = prose(rng, 400, 99) + " " + "Ab1 " * 700_000
+    docs = make([(1, long), (2, long.upper()), (3, long + "."), (4, "Ab1 "), (5, long)])
+    assert len(long) > 2 * exact_dedup.LONG
+    base = {r.doc_id: r for r in exact_dedup.fingerprints(docs).collect()}
+    for i, text in ((1, long), (3, long + "."), (4, "Ab1 ")):
+        a, b, n = exact_dedup.fingerprint(np.frombuffer(lower(text).encode(), np.uint8))
+        assert (base[i].fp, base[i].n_bytes) == (exact_dedup._key(a, b), n)
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(docs).collect()}
+    assert got == {1: (5, 3), 2: (5, 3), 5: (5, 3), 3: (3, 1), 4: (4, 1)}
 
 
 def test_texts_of_one_key_are_compared(spark):
     rows_ = [(i, 1, 4, p, data, False) for i, parts in enumerate([(b"ab", b"cd")] * 40 + [(b"ab", b"cX")]) for p, data in enumerate(parts)]
     parts = spark.createDataFrame([(*r[:4], bytearray(r[4]), r[5]) for r in rows_], exact_dedup._PART)
     inside = stash(exact_dedup._compared(parts, exact_dedup.SALTS), "t")
-    across = exact_dedup._compared(inside, 1)
-    assert inside.where("differs").unionByName(across.where("differs")).count() >= 1
+    assert exact_dedup._compared(inside, 1).where("differs").count() >= 1
     same = spark.createDataFrame([(*r[:4], bytearray(b"q"), False) for r in rows_], exact_dedup._PART)
     assert exact_dedup._compared(exact_dedup._compared(same, exact_dedup.SALTS), 1).where("differs").count() == 0
 
 
+def test_the_filter_knows_its_keys(spark):
+    keys = np.random.default_rng(0).integers(-(1 << 62), 1 << 62, 2000)
+    table = bloom.gather(spark.createDataFrame([(int(k),) for k in keys[:1000]], "k bigint"))
+    assert bloom.maybe(table, keys[:1000]).all() and bloom.maybe(table, keys[1000:]).mean() < 0.01
+
+
 # --- op3 -------------------------------------------------------------------------------------------------------------
 
 
