@@ -6,23 +6,27 @@ copies and the rest is an inclusion probability ``p``. Documents are ranked by r
 ``u / (1 - u) / (p / (1 - p))``, and the first in that order are taken until the source's remaining words are met: of
 the document that crosses the mark the nearer side decides, so a source is off by half a document at most.
 
-``measure`` names a column for unequal probabilities inside a source: p is in proportion to it, at most 1 in all.
+Inside a source, p is in proportion to ``measure``, at most 1 (such documents are certain and come first): the name of a
+column, or a function of the size; by default the number of binary digits of the size, so longer documents are likelier.
 
 No source is sorted in one task: order keys are counted in buckets (source x 4096), the bucket with the mark is counted
 again in 4096 finer ones, and only the documents of that one are ordered.
 
 Defined results: null or empty text has size 0 and is never taken; a null source is a source, last in order; ``u`` comes
-from the doc_id, so repeated rows share a rank and are ordered among themselves arbitrarily but count each; an empty
-table gives an empty result; other columns don't matter. Reruns agree.
+from the doc_id, so repeated rows share a rank; of those that differ in text or source the lesser hash comes first, equal
+ones count each; an empty table gives an empty result; other columns don't matter, whatever their names. Reruns agree.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from shelfwork.llm.storage import stash
+from shelfwork.llm.storage import drop, stash
 
 WORD = r"[^\x20\x09-\x0D]+"
 FINE = 4096
@@ -60,26 +64,56 @@ def targets(sources: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: floa
     return rows.withColumn("target", F.when(F.col("free").isNull(), F.col("most")).otherwise(F.least("most", F.col("free") * F.col("weight")))).drop("level", "free", "most", "turn")
 
 
-def pareto_mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: str = "mix:", measure: str | None = None) -> DataFrame:
-    """doc_id, source, row_hash, size, source_size, target, copies (whole times the mix takes the document), taken (words)."""
-    m = F.col(measure).cast("double") if measure else F.lit(1.0)
+def binary_digits(size: Column) -> Column:
+    return F.length(F.bin(size))
+
+
+def _described(docs: DataFrame, measure: str | Callable[[Column], Column] | None) -> DataFrame:
+    """row (all columns of ``docs``), doc_id, source, row_hash, size, m."""
     text = F.col("text").cast("string")
-    base = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(text).alias("row_hash"), words(text).alias("size"), F.greatest(F.coalesce(m, F.lit(0.0)), F.lit(0.0)).alias("m"))
-    base = stash(base, "sizes")
+    named = F.col(f"`{measure}`") if isinstance(measure, str) else F.lit(1.0)
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(text).alias("row_hash"),
+        words(text).alias("size"), F.greatest(F.coalesce(named.cast("double"), F.lit(0.0)), F.lit(0.0)).alias("m"),
+    )
+    return rows.withColumn("m", measure(F.col("size")).cast("double")) if callable(measure) else rows
+
+
+def _ranked(rows: DataFrame, seed: str) -> DataFrame:
+    """With rank_key in (0, 1), random odds over inclusion odds in their order, and its two buckets; null is never taken."""
+    u = uniform(F.col("doc_id"), seed)
+    q = u / (1 - u) * (1 - F.col("p")) / F.col("p")
+    # what is certain comes first
+    rows = rows.withColumn("p", F.col("m") * F.col("rate"))
+    rows = rows.withColumn("rank_key", F.when(F.col("size") == 0, F.lit(None)).when(F.col("p") >= 1, F.lit(0.0)).when(F.col("p") > 0, q / (1 + q)))
+    cell = lambda scale, x: F.least(F.floor(x * scale), F.lit(scale - 1)).cast("int")
+    return rows.withColumn("b1", cell(FINE, F.col("rank_key"))).withColumn("b2", cell(FINE, F.col("rank_key") * FINE - F.col("b1")))
+
+
+def _with_marks(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    """``rows`` with their source's row of ``marks``."""
+    own = marks.withColumnRenamed("source", "__source")
+    return rows.join(F.broadcast(own) if _few(marks) else own, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+
+
+def _extra() -> Column:
+    """1 or 0 copies beside the whole ones; null in the bucket with the mark, where documents are ordered."""
+    # without a mark in a source all that can be taken is taken
+    below = (F.col("b1") < F.col("c1")) | F.col("c1").isNull() | ((F.col("b1") == F.col("c1")) & ((F.col("b2") < F.col("c2")) | F.col("c2").isNull()))
+    return F.when(F.col("rank_key").isNull() | (F.col("rest") <= 0), 0).when(below, 1).when((F.col("b1") == F.col("c1")) & (F.col("b2") == F.col("c2")), F.lit(None)).otherwise(0)
+
+
+def _plan(docs: DataFrame, weights, share: float, cap: float, seed: str, measure) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(ranked rows without their texts, a row of targets and marks for each source, rows taken at the mark)."""
+    base = stash(_described(docs, measure).drop("row").withColumn("uid", F.monotonically_increasing_id()), "sizes")
     by_source = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("m")).alias("weighed"))
     goal = stash(targets(by_source, weights, share, cap), "targets")
     # whole copies leave a remainder of the target for which p * size sums up over the source
     goal = goal.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     goal = goal.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")).withColumn("rate", F.when(F.col("weighed") > 0, F.col("rest") / F.col("weighed")).otherwise(F.lit(0.0)))
-    same = base.source.eqNullSafe(goal.source)
-    rows = base.join(F.broadcast(goal) if _few(goal) else goal, same).select("uid", "doc_id", base.source, "row_hash", "size", "source_size", "target", "whole", "rest", (F.col("m") * F.col("rate")).alias("p"))
-    u = uniform(F.col("doc_id"), seed)
-    # odds over odds, mapped to (0, 1) in the same order; what is certain comes first, what can't be taken last
-    q = u / (1 - u) * (1 - F.col("p")) / F.col("p")
-    rows = rows.withColumn("rank_key", F.when(F.col("size") == 0, F.lit(None)).when(F.col("p") >= 1, F.lit(0.0)).when(F.col("p") > 0, q / (1 + q)))
-    cell = lambda scale, x: F.least(F.floor(x * scale), F.lit(scale - 1)).cast("int")
-    rows = rows.withColumn("b1", cell(FINE, F.col("rank_key"))).withColumn("b2", cell(FINE, F.col("rank_key") * FINE - F.col("b1")))
-    rows = stash(rows, "ranked")
+    goal = stash(goal.select("source", "source_size", "target", "whole", "rest", "rate"), "targets")
+    rows = stash(_ranked(_with_marks(base, goal), seed), "ranked")
+    drop(base)
     key = ["source", "rest"]
     cut1 = _cut(rows.where("b1 is not null").groupBy(*key, "b1").agg(F.sum("size").alias("n")).withColumn("done", F.lit(0).cast("long")), key, "b1")
     edge1 = _held(rows, cut1, "b1")
@@ -87,18 +121,45 @@ def pareto_mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: floa
     edge2 = _held(edge1.drop("done"), cut2, "b2")
     w = Window.partitionBy("source").orderBy("rank_key", "doc_id", "row_hash", "uid")
     after = F.col("done") + F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    last = edge2.withColumn("after", after).where((F.col("after") - F.col("size") < F.col("rest")) & (F.col("after") - F.col("rest") <= F.col("rest") - (F.col("after") - F.col("size")))).select("uid").withColumn("in", F.lit(1))
+    last = edge2.withColumn("after", after).where((F.col("after") - F.col("size") < F.col("rest")) & (F.col("after") - F.col("rest") <= F.col("rest") - (F.col("after") - F.col("size"))))
+    last = stash(last.select("uid", "doc_id", "row_hash", "source"), "taken")
     c1 = cut1.select(F.col("source").alias("s1"), F.col("b1").alias("c1"))
     c2 = cut2.select(F.col("source").alias("s2"), F.col("b2").alias("c2"))
-    few = _few(goal)
-    out = rows.join(F.broadcast(c1) if few else c1, F.col("source").eqNullSafe(F.col("s1")), "left").join(F.broadcast(c2) if few else c2, F.col("source").eqNullSafe(F.col("s2")), "left").join(last, "uid", "left")
-    # without a mark in a source all that can be taken is taken
-    below = (F.col("b1") < F.col("c1")) | F.col("c1").isNull() | ((F.col("b1") == F.col("c1")) & ((F.col("b2") < F.col("c2")) | F.col("c2").isNull()))
-    extra = F.when(F.col("rank_key").isNull() | (F.col("rest") <= 0), F.lit(0)).when(below, F.lit(1)).otherwise(F.coalesce("in", F.lit(0)))
-    copies = F.when(F.col("size") > 0, F.col("whole") + extra).otherwise(F.lit(0)).cast("long")
+    marks = goal.join(c1, F.col("source").eqNullSafe(F.col("s1")), "left").join(c2, F.col("source").eqNullSafe(F.col("s2")), "left").drop("s1", "s2")
+    return rows, stash(marks, "marks"), last
+
+
+def pareto_mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: str = "mix:", measure: str | Callable[[Column], Column] | None = binary_digits) -> DataFrame:
+    """uid, doc_id, source, row_hash, size, source_size, target, copies (whole times the mix takes the document), taken (words)."""
+    rows, marks, last = _plan(docs, weights, share, cap, seed, measure)
+    out = _with_marks(rows, marks.select("source", "c1", "c2")).withColumn("extra", _extra()).join(last.select("uid", F.lit(1).alias("in")), "uid", "left")
+    copies = F.when(F.col("size") > 0, F.col("whole") + F.coalesce("extra", "in", F.lit(0))).otherwise(F.lit(0)).cast("long")
     return out.select("uid", "doc_id", "source", "row_hash", "size", "source_size", F.col("target").cast("double").alias("target"), copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
 
 
+def mixed(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: str = "mix:", measure: str | Callable[[Column], Column] | None = binary_digits) -> DataFrame:
+    """The rows of ``docs``, with its columns, as many times as ``pareto_mix`` takes them.
+
+    No text is shuffled: a row's rank is worked out where it is, by the marks of its source. Only the documents at a mark
+    are joined with what is taken of them; of those that are the same in doc_id, text and source the first ones by
+    their columns are taken.
+    """
+    _, marks, last = _plan(docs, weights, share, cap, seed, measure)
+    rows = _ranked(_with_marks(_described(docs, measure), marks), seed).withColumn("extra", _extra()).where("size > 0")
+    sure = rows.where("extra is not null or rank_key is null").select("row", (F.col("whole") + F.coalesce("extra", F.lit(0))).alias("copies"))
+    edge = rows.where("extra is null and rank_key is not null")
+    same = Window.partitionBy("doc_id", "row_hash", "source").orderBy(*[F.col(f"row.`{f.name}`") for f in docs.schema.fields if _orderable(f.dataType)])
+    taken = last.groupBy(F.col("doc_id").alias("d"), F.col("row_hash").alias("h"), F.col("source").alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    met = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row_hash") == F.col("h")) & F.col("source").eqNullSafe(F.col("s"))
+    edge = edge.withColumn("k", F.row_number().over(same)).join(taken, met, "left").select("row", (F.col("whole") + (F.col("k") <= F.coalesce("n", F.lit(0))).cast("int")).alias("copies"))
+    every = sure.unionByName(edge).where("copies > 0")
+    return every.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
+
+
+def _orderable(kind: T.DataType) -> bool:
+    return isinstance(kind, T.AtomicType) and not isinstance(kind, T.VariantType)
+
+
 #: A table of sources is broadcast only up to this many rows.
 FEW_SOURCES = 100_000
 
@@ -119,11 +180,3 @@ def _held(rows: DataFrame, cut: DataFrame, bucket: str) -> DataFrame:
     c = cut.select(F.col("source").alias("__s"), F.col(bucket).alias("__b"), "done")
     return rows.join(c, F.col("source").eqNullSafe(F.col("__s")) & (F.col(bucket) == F.col("__b"))).drop("__s", "__b")
 
-
-def take_copies(docs: DataFrame, mix: DataFrame) -> DataFrame:
-    """The rows of ``docs``, as many times as ``mix`` takes them, with the columns of ``docs``."""
-    rows = docs.withColumns({"__shelfwork_doc": F.col("doc_id").cast("long"), "__shelfwork_hash": F.xxhash64(F.col("text").cast("string"))})
-    n = mix.where("copies > 0").groupBy(F.col("doc_id").alias("__shelfwork_d"), F.col("row_hash").alias("__shelfwork_h")).agg(F.sum("copies").alias("__shelfwork_copies"))
-    w = Window.partitionBy("__shelfwork_doc", "__shelfwork_hash").orderBy(F.lit(1))
-    found = rows.join(n, F.col("__shelfwork_doc").eqNullSafe(F.col("__shelfwork_d")) & (F.col("__shelfwork_hash") == F.col("__shelfwork_h"))).withColumn("__shelfwork_k", F.row_number().over(w)).where("__shelfwork_k = 1")
-    return found.withColumn("__shelfwork_copy", F.explode(F.sequence(F.lit(1), F.col("__shelfwork_copies").cast("int")))).select(docs.columns)

@@ -11,20 +11,21 @@ from t window w as (partition by low)
 """
 
 MIX_BASE = """
-base as (select cast(doc_id as bigint) as doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) as bigint) as size from documents),
-src as (select source, sum(size) as source_size from base group by source),
-w as (select source, source_size, source_size * 2.0::double as most, list_value(5.0::double, 2.0::double, 1.0::double)[1 + (row_number() over (order by source is null, source) - 1) % 3] as weight from src),
+sized as (select cast(doc_id as bigint) as doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) as bigint) as size from documents),
+base as (select *, length(bin(size)) as m from sized),
+src as (select source, sum(size) as source_size, sum(size * m) as weighed from base group by source),
+w as (select source, source_size, weighed, source_size * 2.0::double as most, list_value(5.0::double, 2.0::double, 1.0::double)[1 + (row_number() over (order by source is null, source) - 1) % 3] as weight from src),
 lev as (select *, (sum(source_size) over () * 1.5::double - coalesce(sum(most) over (order by most / weight, source is null, source rows between unbounded preceding and 1 preceding), 0))
    / sum(weight) over (order by most / weight, source is null, source rows between current row and unbounded following) as level, row_number() over (order by most / weight, source is null, source) as turn from w),
 free as (select arg_min(level, turn) as free from lev where level * weight <= most),
-goal as (select source, cast(source_size as bigint) as source_size, coalesce(least(most, (select free from free) * weight), most) as target from lev)
+goal as (select source, cast(source_size as bigint) as source_size, cast(weighed as double) as weighed, coalesce(least(most, (select free from free) * weight), most) as target from lev)
 """
 
 PARETO_MIX = f"""
 with {MIX_BASE},
-r as (select b.doc_id, b.size, g.source_size, g.target, b.source, case when g.source_size > 0 then cast(floor(g.target / g.source_size) as bigint) else 0 end as whole
+r as (select b.doc_id, b.size, b.m, g.source_size, g.weighed, g.target, b.source, case when g.source_size > 0 then cast(floor(g.target / g.source_size) as bigint) else 0 end as whole
   from base b join goal g on b.source is not distinct from g.source),
-p as (select *, target - whole * source_size as rest, case when source_size > 0 then 1.0::double * ((target - whole * source_size) / source_size) else 0 end as p,
+p as (select *, target - whole * source_size as rest, case when weighed > 0 then m::double * ((target - whole * source_size) / weighed) else 0 end as p,
   (cast('0x' || substr(md5('mix:' || cast(doc_id as varchar)), 1, 13) as bigint)::double + 0.5::double) / 4503599627370496.0::double as u from r),
 q as (select *, case when size = 0 then null when p >= 1 then 0 when p > 0 then u / (1 - u) * (1 - p) / p end as odds from p),
 k as (select *, odds / (1 + odds) as rank_key from q),

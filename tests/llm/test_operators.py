@@ -805,12 +805,30 @@ def test_mix_meets_targets_and_reruns_agree(make, odd, empty):
         target[r.source] = r.target
     for s, t in target.items():
         assert abs(taken[s] - t) <= 30
-    rows_ = mixing.take_copies(docs, mixing.pareto_mix(docs))
+    rows_ = mixing.mixed(docs)
     assert rows_.columns == docs.columns and sum(len(WORD.findall(r.text)) for r in rows_.collect()) == sum(taken.values())
+    assert Counter(r.doc_id for r in mixing.mixed(docs.repartition(5)).collect()) == Counter(r.doc_id for r in rows_.collect() for _ in [0])
     assert mixing.pareto_mix(odd).count() == odd.count()
     assert mixing.pareto_mix(empty).count() == 0
 
 
+def test_rows_of_one_id_keep_their_sources(make):
+    """Rows that differ in their source only, and repeated ones, are each taken as the mix says."""
+    docs = make([(i // 3, "w " * (1 + i // 3 % 9), None, "abb"[i % 3]) for i in range(900)])
+    want = Counter()
+    for r in mixing.pareto_mix(docs).collect():
+        want[r.doc_id, r.source] += r.copies
+    got = Counter((r.doc_id, r.source) for r in mixing.mixed(docs).collect())
+    assert got == +want
+
+
+def test_longer_documents_are_likelier(make):
+    docs = make([(i, "w " * (1 if i % 2 else 127), None, "a") for i in range(4000)])
+    got = {r.doc_id: r.copies for r in mixing.pareto_mix(docs, share=0.5).collect()}
+    short, long = (np.mean([n for i, n in got.items() if i % 2 == k]) for k in (1, 0))
+    assert short == pytest.approx(0.5 / 7, abs=0.03) and long == pytest.approx(0.5, abs=0.03)
+
+
 def test_unequal_probabilities(make):
     docs = make([(i, "w " * 10, None, "a" if i % 2 else "b") for i in range(4000)]).withColumn("m", F.when(F.col("doc_id") % 4 < 2, 1.0).otherwise(3.0))
     got = {r.doc_id: r.copies for r in mixing.pareto_mix(docs, weights=(1, 1), share=0.4, measure="m").collect()}
