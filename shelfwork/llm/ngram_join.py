@@ -182,26 +182,48 @@ def shingle_sets(docs: DataFrame, uids: DataFrame) -> DataFrame:
 
 
 def _similar(threshold: tuple[int, int]):
-    """(uid, head) of those rows whose two sets are similar enough."""
+    """Rows come sorted by (head, part), the head's own first: the links of a head with the others."""
 
     def run(batches):
+        now, x = None, None
         for batch in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if min(len(a), len(b)) * threshold[1] < max(len(a), len(b)) * threshold[0]:
+            found = []
+            for head, part, own, uid, shingles in zip(*(batch.column(c).to_pylist() for c in ("head", "part", "own", "uid", "shingles")), strict=True):
+                y = np.frombuffer(shingles, np.uint64)
+                if own == 0:
+                    now, x = (head, part), y
                     continue
-                both = np.concatenate([a, b])
-                both.sort(kind="stable")
+                if now != (head, part) or min(len(x), len(y)) * threshold[1] < max(len(x), len(y)) * threshold[0]:
+                    continue
+                both = np.concatenate([x, y])
+                both.sort()
                 common = int((both[1:] == both[:-1]).sum())
-                if common * threshold[1] >= (len(a) + len(b) - common) * threshold[0]:
-                    keep.append(i)
-            if keep:
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep))], names=["a", "b"])
+                if common * threshold[1] >= (len(x) + len(y) - common) * threshold[0]:
+                    found.append((uid, head))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
 
     return run
 
 
+#: Texts that are compared with their head in one task, about.
+PER_HEAD = 2000
+#: Tries that are looked at first; in the others, texts that are of one class by then aren't compared again.
+FIRST_TREES = 4
+
+
+def head_links(at: DataFrame, sets: DataFrame, threshold) -> DataFrame:
+    """(a, b): verified links of texts with the least one of their prefix. ``at``: uid, class, tree, prefix."""
+    heads = at.groupBy("tree", "prefix").agg(F.min(F.struct("uid", "class")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    heads = heads.select("tree", "prefix", F.col("first.uid").alias("head"), F.col("first.class").alias("of_head"))
+    pairs = stash(at.join(heads, ["tree", "prefix"]).where("class <> of_head").select("uid", "head").distinct(), "pairs")
+    parts = pairs.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / PER_HEAD).cast("int").alias("parts"))
+    members = pairs.join(parts, "head").select("head", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("own"), "uid")
+    own = parts.select("head", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("own"), F.col("head").alias("uid"))
+    met = members.unionByName(own).join(sets, "uid").repartition("head", "part").sortWithinPartitions("head", "part", "own")
+    return met.select("head", "part", "own", "uid", "shingles").mapInArrow(_similar(threshold), "a long, b long")
+
+
 def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: tuple[int, int] = THRESHOLD) -> np.ndarray:
     """Boolean matrix: which of ``left`` and ``right`` (positions in ``sets``) are similar enough, exactly."""
     size = np.array([len(s) for s in sets])
@@ -317,21 +339,24 @@ def mixed_links(rows: DataFrame, sets: DataFrame, threshold) -> DataFrame:
     return _met(pairs, sets, threshold).select(F.col("uid").alias("a"), F.col("least").alias("b"))
 
 
+def _grown(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Classes (node, root) with more links between their members."""
+    more = stash(links, "links")
+    return found if more.isEmpty() else components(more.unionByName(found.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+
+
 def classes(tries: DataFrame, sets: DataFrame, threshold) -> DataFrame:
     """(node, root) of all texts that have a verified link."""
-    at = tries.select("uid", "tree", _prefix(MAX_DEPTH).alias("prefix"))
-    heads = at.groupBy("tree", "prefix").agg(F.min("uid").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    pairs = stash(at.join(heads, ["tree", "prefix"]).where("uid <> head").select("uid", "head").distinct(), "pairs")
-    both = pairs.join(sets.select("uid", F.col("shingles").alias("x")), "uid").join(sets.select(F.col("uid").alias("head"), F.col("shingles").alias("y")), "head")
-    edges = stash(both.select("uid", "head", "x", "y").mapInArrow(_similar(threshold), "a long, b long"), "links")
-    found = stash(components(edges), "classes")
-    for depth in range(MAX_DEPTH, LEAST - 1, -1):
+    found = tries.select(F.col("uid").alias("node"), F.col("uid").alias("root")).where(F.lit(False))
+
+    def at(rows: DataFrame, depth: int) -> DataFrame:
         own = found.select(F.col("node").alias("uid"), F.col("root").alias("class"))
-        rows = tries.where(F.col("stop") <= depth).select("uid", "tree", _prefix(depth).alias("prefix")).join(own, "uid", "left").withColumn("class", F.coalesce("class", "uid"))
-        more = stash(mixed_links(rows, sets, threshold), "links")
-        if not more.isEmpty():
-            edges = more.unionByName(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-            found = stash(components(edges), "classes")
+        return rows.select("uid", "tree", _prefix(depth).alias("prefix")).join(own, "uid", "left").withColumn("class", F.coalesce("class", "uid"))
+
+    for some in (F.col("tree") < FIRST_TREES, F.col("tree") >= FIRST_TREES):
+        found = _grown(found, head_links(at(tries.where(some), MAX_DEPTH), sets, threshold))
+    for depth in range(MAX_DEPTH, LEAST - 1, -1):
+        found = _grown(found, mixed_links(at(tries.where(F.col("stop") <= depth), depth), sets, threshold))
     return found
 
 
