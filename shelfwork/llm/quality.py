@@ -2,16 +2,22 @@
 
 Trusted positives and unlabelled text train a small network by the non-negative unbiased risk
 ``prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives))`` with the logistic loss, so its output is a
-probability of good quality. The class prior is estimated from the labelled rows of the training fold. When the
-bracket turns negative, its gradient is followed upwards instead.
+probability of good quality. When the bracket turns negative, its gradient is followed upwards instead.
+
+The class prior is estimated from positives and unlabelled text alone, no row labelled bad is looked at: a classifier of
+positives against unlabelled rows is fitted on a part of both; on the rest, the share of unlabelled rows above a score over
+that of positives above it bounds the prior from above at every score, and is nearest to it at the top, where hardly
+any bad row is left. The score is taken at which the bound, widened for what is left to chance, is least.
 
 A text is described by shares of byte classes, shares of pairs of byte classes, and figures of repetition; lexical
 content plays no part, so the description has a fixed size for any language.
 
-Fitting takes a bounded sample, ``cap`` positives and ``cap`` unlabelled rows chosen by hash; all texts are scored whole.
+Fitting takes bounded samples chosen by hash, ``positives`` trusted rows and ``unlabelled`` others (None: all that there are,
+at the driver, some 1.2 KB each); all texts are scored whole.
 
 Defined results: null and empty texts are scored like any other, from zeros; repeated rows are scored each; without a
-positive row all scores are the prior, 0.5 where nothing is labelled; other columns don't matter.
+positive row all scores are 0.5; rows of equal texts get equal scores; a document labelled both ways counts as good;
+other columns don't matter.
 """
 
 from __future__ import annotations
@@ -107,24 +113,18 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 900, batch: int = 256, rate: float = 4e-3, decay: float = 1e-3, seed: int = 5) -> Network:
-    """Minimise the non-negative unbiased risk by Adam."""
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, steps: int = 900, batch: int = 256, rate: float = 4e-3, decay: float = 1e-3, seed: int = 5) -> Network:
+    """Minimise the non-negative unbiased risk by Adam; without a prior, the logistic loss of positives against unlabelled."""
     net = Network(unlabelled.shape[1])
     net.mean, net.scale = unlabelled.mean(axis=0), unlabelled.std(axis=0) + 0.02
     xp, xu = net.standard(positive.astype(np.float64)), net.standard(unlabelled.astype(np.float64))
     rng = np.random.default_rng(seed)
     m, v = [np.zeros_like(q) for q in net.p], [np.zeros_like(q) for q in net.p]
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     for step in range(1, steps + 1):
         a, b = xp[rng.integers(0, len(xp), batch)], xu[rng.integers(0, len(xu), 2 * batch)]
         ha, za = net.forward(a)
         hb, zb = net.forward(b)
-        negative = np.logaddexp(0, zb).mean() - prior * np.logaddexp(0, za).mean()
-        if negative >= 0:
-            da = prior * (sig(za) - 1) / len(a) - prior * sig(za) / len(a)
-            db = sig(zb) / len(b)
-        else:  # the unbiased estimate has gone below what any risk can be: step back
-            da, db = prior * sig(za) / len(a), -sig(zb) / len(b)
+        da, db = slopes(za, zb, prior)
         g = [x + y for x, y in zip(net.gradient(a, ha, da), net.gradient(b, hb, db), strict=True)]
         g[0] = g[0] + decay * net.p[0]
         now = rate * (0.5 + 0.5 * np.cos(np.pi * step / steps))
@@ -135,28 +135,61 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
     return net
 
 
-def train(docs: DataFrame, labels: DataFrame, cap: int = 6000) -> tuple[Network | None, float]:
+def slopes(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """What the risk changes by with the outputs for positives and unlabelled rows."""
+    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+    n, m = len(positive), len(unlabelled)
+    if prior is None:
+        return (sig(positive) - 1) / n, sig(unlabelled) / m
+    if np.logaddexp(0, unlabelled).mean() >= prior * np.logaddexp(0, positive).mean():
+        return prior * (sig(positive) - 1) / n - prior * sig(positive) / n, sig(unlabelled) / m
+    # the unbiased estimate has gone below what any risk can be: step back
+    return prior * sig(positive) / n, -sig(unlabelled) / m
+
+
+def bounded_prior(positive: np.ndarray, unlabelled: np.ndarray, doubt: float = 0.1) -> float:
+    """The share of positives among unlabelled rows, from the scores of both."""
+    at = np.unique(positive)
+    above = lambda x: 1 - np.searchsorted(np.sort(x), at, side="left") / len(x)
+    p, u = above(positive), above(unlabelled)
+    chance = np.sqrt(np.log(4 / doubt) / 2) * (1 / np.sqrt(len(unlabelled)) + 1 / np.sqrt(len(positive)))
+    best = int(np.argmin((u + chance) / p))
+    return float(np.clip(u[best] / p[best], 0.01, 0.99))
+
+
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The prior by classifiers of one half, on the other half, both ways."""
+    found = []
+    for k in (0, 1):
+        net = fit(positive[k::2], unlabelled[k::2], None, steps=400)
+        found.append(bounded_prior(net.score(positive[1 - k :: 2]), net.score(unlabelled[1 - k :: 2])))
+    return float(np.mean(found))
+
+
+def train(docs: DataFrame, labels: DataFrame, positives: int = 6000, unlabelled: int | None = 6000) -> tuple[Network | None, float]:
     """(network, class prior) from ``docs`` (doc_id, text) of the training fold and ``labels`` (doc_id, quality)."""
     short_batches(docs)
     known = labels.where("quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     n = ids.count()
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality")).join(ids.distinct(), "doc_id", "left_semi")
-    seen = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
-    good, total = seen.get(1, 0), sum(seen.values())
-    prior = min(0.99, max(0.01, good / total)) if total else 0.5
+    known = known.where("quality = 1").select("doc_id")
+    good = known.count()
     if not good:
-        return None, prior
-    trusted = sampled(known.where("quality = 1").select("doc_id"), "doc_id", good, cap)
+        return None, 0.5
+    trusted = sampled(known, "doc_id", good, positives)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     positive = trusted.join(texts, "doc_id").select(F.lit(1).alias("kind"), "text")
-    open_ = sampled(texts.withColumn("h", F.xxhash64("doc_id")), "h", n, cap).select(F.lit(0).alias("kind"), "text")
+    open_ = (texts if unlabelled is None else sampled(texts, "doc_id", n, unlabelled)).select(F.lit(0).alias("kind"), "text")
     got = positive.unionByName(open_).mapInArrow(_described, "kind int, f binary").orderBy("kind", "f").toArrow()
     x = np.frombuffer(b"".join(got["f"].to_pylist()), np.float32).reshape(-1, FEATURES)
     kind = got["kind"].to_numpy()
-    if not (kind == 0).any() or not (kind == 1).any():
-        return None, prior
-    return fit(x[kind == 1], x[kind == 0], prior), prior
+    if (kind == 0).sum() < 2 or (kind == 1).sum() < 2:
+        return None, 0.5
+    rng = np.random.default_rng(1)
+    positive, rest = (rng.permutation(x[kind == k]) for k in (1, 0))
+    prior = class_prior(positive, rest)
+    return fit(positive, rest, prior), prior
 
 
 def score(docs: DataFrame, net: Network | None, prior: float) -> DataFrame:
@@ -169,6 +202,6 @@ def score(docs: DataFrame, net: Network | None, prior: float) -> DataFrame:
     def run(batches):
         for batch in batches:
             for first, end, data, at in buffers.blocks(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(net.score(features(data, at)))], names=["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(np.round(net.score(features(data, at)), 9))], names=["doc_id", "score"])
 
     return rows.mapInArrow(run, "doc_id long, score double")

@@ -8,12 +8,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Set to a temporary one only where unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only a session in one process does with a
+    temporary one of its own, the same for all its tables."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="shelfwork-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if spark.sparkContext.applicationId not in _OWN:
+            _OWN[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="shelfwork-")
+        found = _OWN[spark.sparkContext.applicationId]
     return found.rstrip("/")
 
 

@@ -597,6 +597,33 @@ def test_language_id_odd(odd, empty):
     assert langid.identify(empty, model).count() == 0
 
 
+def test_predictions_are_those_of_convolving_by_hand(make):
+    """Each filter at each place of each window of a text, in plain loops."""
+    rng = random.Random(4)
+    model = langid.ByteCNN(["aa", "bb", "cc"], seed=2)
+    model.bias = np.random.default_rng(1).normal(0, 0.2, model.bias.shape).astype(np.float32)
+    texts = ["ab", "été", prose(rng, 120), prose(rng, 90) + "!"]
+    got = langid.identify(make(list(enumerate(texts))), model).collect()
+    stride, width = langid.WINDOW - max(langid.WIDTHS) + 1, max(langid.WIDTHS)
+    for r in got:
+        data, total, size = texts[r.doc_id].encode(), np.zeros(3), 0
+        for first in range(0, max(1, len(data) - width + 1), stride):
+            window = data[first : first + langid.WINDOW]
+            padded = window + bytes(langid.WINDOW - len(window))
+            best = [-math.inf] * len(model.bias)
+            for at in range(langid.WINDOW - width + 1):
+                for f in range(len(best)):
+                    k = langid.WIDTHS[f // langid.FILTERS]
+                    value = sum(float(model.embed[padded[at + j]] @ model.filters[j * langid.EMBED : (j + 1) * langid.EMBED, f]) for j in range(k))
+                    best[f] = max(best[f], value)
+            z = np.maximum(np.array(best) + model.bias, 0) @ model.out + model.out_bias
+            total += (z - np.log(np.exp(z).sum())) * len(window)
+            size += len(window)
+        p = np.exp(total / size)
+        p /= p.sum()
+        assert r.lang_pred == model.classes[int(p.argmax())] and r.score == pytest.approx(p.max(), rel=1e-4)
+
+
 def test_windows_cover_whole_texts():
     data = np.arange(1, 1001, dtype=np.int64).astype(np.uint8)
     x, row, size = langid.windows(data, np.array([0, 3, 3, 1000]))
@@ -624,6 +651,58 @@ def test_quality_on_held_out_texts(spark, make):
     assert 0 <= got[900] == got[901] <= 1
 
 
+def test_features_and_scores_are_those_of_single_texts(spark, make):
+    texts = ["Abc, abc  abc! 12", "", "x", "a b c a b c a b\nQ.", "ü?"]
+    net = quality.Network(quality.FEATURES, seed=1)
+    net.mean, net.scale = np.full(quality.FEATURES, 0.1), np.full(quality.FEATURES, 0.7)
+    got = {r.doc_id: r.score for r in quality.score(make(list(enumerate(texts))), net, 0.5).collect()}
+    for i, text in enumerate(texts):
+        data = text.encode()
+        n, kind = max(len(data), 1), [int(quality.CLASS[b]) for b in data]
+        single = [math.sqrt(kind.count(c) / n) for c in range(16)]
+        pairs = Counter(zip(kind, kind[1:], strict=False))
+        double = [math.sqrt(pairs[a, b] / n) for a in range(16) for b in range(16)]
+        w = WORD.findall(lower(text))
+        some, runs = max(len(w), 1), [tuple(w[k : k + 3]) for k in range(len(w) - 2)] or [tuple(w)] * bool(w)
+        ends = [int(quality.CLASS[x.encode()[-1]]) for x in w]
+        more = [
+            math.log1p(len(data)), math.log1p(len(w)), len(set(w)) / some, len(set(runs)) / max(len(runs), 1), sum(a == b for a, b in zip(w, w[1:], strict=False)) / some,
+            sum(k >= 6 for k in ends) / some, sum(k >= 8 for k in ends) / some, min(len(data) / some, 40) / 10,
+        ]
+        x = np.clip((np.array(single + double + more, np.float32).astype(np.float64) - 0.1) / 0.7, -6, 6)
+        z = sum(math.tanh(sum(x[j] * net.p[0][j, h] for j in range(len(x))) + net.p[1][h]) * net.p[2][h] for h in range(len(net.p[1]))) + net.p[3][0]
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-z)), rel=1e-6)
+
+
+@pytest.mark.parametrize("shift", [0.0, 3.0])
+def test_slopes_are_those_of_the_non_negative_risk(shift):
+    """Differences of the risk as it is defined; where its bracket is below zero, of its negative."""
+    rng = np.random.default_rng(3)
+    a, b, prior = rng.normal(shift, 1, 5), rng.normal(-shift, 1, 7), 0.6
+    loss = lambda z: math.log1p(math.exp(-z))
+    bracket = lambda a, b: np.mean([loss(-z) for z in b]) - prior * np.mean([loss(-z) for z in a])
+    up = bracket(a, b) >= 0
+    assert up == (shift == 0.0)
+    risk = lambda a, b: prior * np.mean([loss(z) for z in a]) + bracket(a, b) if up else -bracket(a, b)
+    da, db = quality.slopes(a, b, prior)
+    for x, d, k in ((a, da, 0), (b, db, 1)):
+        for i in range(len(x)):
+            more, less = x.copy(), x.copy()
+            more[i] += 1e-5
+            less[i] -= 1e-5
+            pair = lambda y, k=k: (y, b) if k == 0 else (a, y)
+            assert d[i] == pytest.approx((risk(*pair(more)) - risk(*pair(less))) / 2e-5, abs=1e-6)
+
+
+@pytest.mark.parametrize("share", [0.3, 0.7, 0.95])
+def test_the_prior_is_estimated_without_bad_rows(share):
+    rng = np.random.default_rng(5)
+    good = lambda n: rng.normal(1.2, 1, (n, 5))
+    bad = lambda n: rng.normal(-1.2, 1, (n, 5))
+    k = int(3000 * share)
+    assert quality.class_prior(good(1500), rng.permutation(np.concatenate([good(k), bad(3000 - k)]))) == pytest.approx(share, abs=0.1)
+
+
 def test_classifiers_without_labels(spark, odd, empty):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     net, prior = quality.train(odd, none)
@@ -661,6 +740,41 @@ def test_toxicity_on_held_out_texts(spark, make):
     assert sum((got[i] >= 0.5) == kinds[i] for i in ids) / len(ids) > 0.95
 
 
+def test_evidence_is_that_of_kneser_ney_by_hand(spark, make):
+    """Discounted pairs, class unigrams and shared continuation counts, from dictionaries of words."""
+    rng = random.Random(1)
+    texts = [(" ".join(rng.choice("abcdefg") for _ in range(rng.randrange(1, 30))), k % 3 == 0) for k in range(40)]
+    split = lambda t: ["<"] + t.split()
+    one, two = [Counter(), Counter()], [Counter(), Counter()]
+    for t, toxic in texts:
+        w = split(t)
+        one[not toxic].update(w[1:])
+        two[not toxic].update(zip(w, w[1:], strict=False))
+    follows = Counter(b for _, b in {*two[0], *two[1]})
+    kinds = sum(follows.values()) + len(follows) + 1
+
+    def p(c, a, b):
+        total = sum(one[c].values())
+        left = 1 - sum(max(n - 0.75, 0) for n in one[c].values()) / total
+        uni = lambda x: max(one[c][x] - 0.75, 0) / total + left * (follows[x] + 1) / kinds
+        if a not in one[0] | one[1] or not any((a, x) in two[k] and two[k][a, x] > 0.75 for k in (0, 1) for x in one[0] | one[1]):
+            return uni(b)
+        n = max(one[c][a], 1)
+        spent = sum(max(m - 0.75, 0) / n for (x, _), m in two[c].items() if x == a)
+        return max(two[c][a, b] - 0.75, 0) / n + min(1, max(0.01, 1 - spent)) * uni(b)
+
+    left = [1 - sum(max(n - 0.75, 0) for n in one[c].values()) / sum(one[c].values()) for c in (0, 1)]
+    rows_ = spark.createDataFrame([(int(x), t) for t, x in texts], "toxic int, text string")
+    counts = rows_.mapInArrow(toxicity._counted, "order int, key long, before long, word long, toxic long, ordinary long").groupBy("order", "key").agg(F.min("before").alias("before"), F.min("word").alias("word"), F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    heads = counts.where("order = 2").groupBy(F.col("word").alias("key")).agg(F.count(F.lit(1)).alias("follows"))
+    words_ = counts.where("order = 1").select("key", "toxic", "ordinary").join(heads, "key", "left").fillna(0)
+    model = toxicity.build(toxicity._columns(words_), toxicity._columns(counts.where("order = 2").select("key", "before", "toxic", "ordinary")))
+    for text in ("a b c d", "g a zz b", "zz yy", "c"):
+        want = [math.log(p(0, a, b) / p(1, a, b)) - math.log(left[0] / left[1]) for a, b in zip(split(text), text.split(), strict=False)]
+        got = model.evidence(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))[0]
+        assert got == pytest.approx([sum(max(d - 1, 0) for d in want), sum(max(-d - 1, 0) for d in want), sum(want), len(want)], rel=1e-4, abs=1e-5)
+
+
 def test_kneser_ney_treats_words_unknown_to_both_classes_alike():
     words = {"key": np.array([10, 20], np.uint64), "follows": np.array([3, 3]), "toxic": np.array([5, 0]), "ordinary": np.array([0, 5])}
     pairs = {k: np.zeros(0, np.uint64 if k in ("key", "before") else np.int64) for k in ("key", "before", "toxic", "ordinary")}
