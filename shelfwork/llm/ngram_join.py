@@ -29,8 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwork.llm import bloom, buffers
-from shelfwork.llm.components import components
+from shelfwork.llm import bloom, buckets, buffers
 from shelfwork.llm.storage import drop, short_batches, stash
 
 WIDTH = 5
@@ -42,9 +41,10 @@ LEAST = 8
 SMALL = 64
 THRESHOLD = (4, 5)
 RECALL = 0.995
-#: Texts that meet in one verification, and bytes of their shingle hashes, about; a larger group is dealt to pairs of such blocks.
+#: Texts that meet in one verification; a larger group is dealt to pairs of such blocks.
 BLOCK = 400
-BLOCK_BYTES = 16 << 20
+#: Tries that are looked at first; in the others, texts that are of one class by then aren't compared again.
+FIRST_TREES = 4
 
 _A = (buffers.mix(np.arange(1, TREES * MAX_DEPTH + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = (buffers.mix(np.arange(1001, TREES * MAX_DEPTH + 1001, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
@@ -149,7 +149,7 @@ def forest(signed: DataFrame) -> DataFrame:
 
 
 def _sets(table):
-    """(uid, shingles) of texts that may be in the forest, each once in a block: sorted distinct hashes of 64 bits."""
+    """(uid, payload) of texts that may be in the forest, each once in a block: sorted distinct hashes of 64 bits."""
 
     def run(batches):
         for batch in batches:
@@ -162,7 +162,7 @@ def _sets(table):
                 end = np.cumsum(per)
                 if len(hit):
                     sets = [_distinct(hashes[end[i] - per[i] : end[i]]).tobytes() for i in hit.tolist()]
-                    yield pa.RecordBatch.from_arrays([pa.array(uid[hit].view(np.int64)), pa.array(sets, pa.binary())], names=["uid", "shingles"])
+                    yield pa.RecordBatch.from_arrays([pa.array(uid[hit].view(np.int64)), pa.array(sets, pa.binary())], names=["uid", "payload"])
 
     return run
 
@@ -175,55 +175,12 @@ def _distinct(x: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, uids: DataFrame) -> DataFrame:
-    """uid, shingles of each text that ``uids`` (uid) has."""
+    """uid, payload (sorted shingle hashes) of each text that ``uids`` (uid) has."""
     table = docs.sparkSession.sparkContext.broadcast(bloom.gather(uids.select("uid")))
-    sets = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_sets(table), "uid long, shingles binary")
+    sets = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_sets(table), "uid long, payload binary")
     return stash(sets.join(uids, "uid", "left_semi").dropDuplicates(["uid"]), "sets")
 
 
-def _similar(threshold: tuple[int, int]):
-    """Rows come sorted by (head, part), the head's own first: the links of a head with the others."""
-
-    def run(batches):
-        now, x = None, None
-        for batch in batches:
-            found = []
-            for head, part, own, uid, shingles in zip(*(batch.column(c).to_pylist() for c in ("head", "part", "own", "uid", "shingles")), strict=True):
-                y = np.frombuffer(shingles, np.uint64)
-                if own == 0:
-                    now, x = (head, part), y
-                    continue
-                if now != (head, part) or min(len(x), len(y)) * threshold[1] < max(len(x), len(y)) * threshold[0]:
-                    continue
-                both = np.concatenate([x, y])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                if common * threshold[1] >= (len(x) + len(y) - common) * threshold[0]:
-                    found.append((uid, head))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
-
-    return run
-
-
-#: Texts that are compared with their head in one task, about.
-PER_HEAD = 2000
-#: Tries that are looked at first; in the others, texts that are of one class by then aren't compared again.
-FIRST_TREES = 4
-
-
-def head_links(at: DataFrame, sets: DataFrame, threshold) -> DataFrame:
-    """(a, b): verified links of texts with the least one of their prefix. ``at``: uid, class, tree, prefix."""
-    heads = at.groupBy("tree", "prefix").agg(F.min(F.struct("uid", "class")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    heads = heads.select("tree", "prefix", F.col("first.uid").alias("head"), F.col("first.class").alias("of_head"))
-    pairs = stash(at.join(heads, ["tree", "prefix"]).where("class <> of_head").select("uid", "head").distinct(), "pairs")
-    parts = pairs.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / PER_HEAD).cast("int").alias("parts"))
-    members = pairs.join(parts, "head").select("head", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("own"), "uid")
-    own = parts.select("head", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("own"), F.col("head").alias("uid"))
-    met = members.unionByName(own).join(sets, "uid").repartition("head", "part").sortWithinPartitions("head", "part", "own")
-    return met.select("head", "part", "own", "uid", "shingles").mapInArrow(_similar(threshold), "a long, b long")
-
-
 def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: tuple[int, int] = THRESHOLD) -> np.ndarray:
     """Boolean matrix: which of ``left`` and ``right`` (positions in ``sets``) are similar enough, exactly."""
     size = np.array([len(s) for s in sets])
@@ -252,123 +209,35 @@ def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshol
     return both * threshold[1] >= union * threshold[0]
 
 
-def _verified(threshold):
-    """Rows come sorted by (unit, lo, hi, uid): uid, least linked uid of its group, number of links."""
-
-    def check(key, uids, sides, texts):
-        sets = [np.frombuffer(x, np.uint64) for x in texts]
-        uid, side = np.array(uids, np.int64), np.array(sides)
-        left = np.flatnonzero(side == 0)
-        right = left if key[1] == key[2] else np.flatnonzero(side == 1)
-        if not len(left) or not len(right):
-            return None
-        near = linked(sets, left, right, threshold)
-        n = len(uid)
-        full = np.zeros((n, n), bool)
-        full[np.ix_(left, right)] = near
-        full |= full.T
-        np.fill_diagonal(full, False)
-        links = full.sum(axis=1)
-        root = np.arange(n)
-        unseen = links > 0
-        while unseen.any():
-            start = int(np.flatnonzero(unseen)[0])
-            member, edge = np.zeros(n, bool), np.zeros(n, bool)
-            member[start] = edge[start] = True
-            while edge.any():
-                edge = full[edge].any(axis=0) & ~member
-                member |= edge
-            root[member] = np.flatnonzero(member)[np.argmin(uid[member])]
-            unseen &= ~member
-        own = links > 0
-        return (uid[own], uid[root[own]], links[own].astype(np.int64)) if own.any() else None
-
-    def run(batches):
-        key, uids, sides, texts = None, [], [], []
-        out = []
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("unit", "lo", "hi", "uid", "side", "shingles")), strict=True):
-                if row[:3] != key:
-                    if len(uids) > 1 and (got := check(key, uids, sides, texts)):
-                        out.append(got)
-                    key, uids, sides, texts = row[:3], [], [], []
-                uids.append(row[3])
-                sides.append(row[4])
-                texts.append(row[5])
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["uid", "least", "links"])
-                out = []
-        if len(uids) > 1 and (got := check(key, uids, sides, texts)):
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in got], names=["uid", "least", "links"])
-
-    return run
-
-
-def _met(rows: DataFrame, sets: DataFrame, threshold) -> DataFrame:
-    """uid, least, links of verified blocks. ``rows``: unit, lo, hi (a block, or a pair of them), uid, side."""
-    key = ["unit", "lo", "hi"]
-    met = rows.join(sets, "uid").repartition(*key).sortWithinPartitions(*key, "uid")
-    return met.select(*key, "uid", "side", "shingles").mapInArrow(_verified(threshold), "uid long, least long, links long")
-
-
-def _parts(n, size):
-    """Blocks for so many texts of so many bytes."""
-    return F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES), F.lit(1)).cast("int")
-
-
-def _dealt(parts):
-    return F.pmod(F.xxhash64("uid"), parts).cast("int")
-
-
-def mixed_links(rows: DataFrame, sets: DataFrame, threshold) -> DataFrame:
-    """(a, b): verified links between texts under one prefix (tree, prefix) that aren't of one class. ``rows``: uid, class,
-    tree, prefix. Of a group, its largest class isn't compared with itself, so a hot class costs a row for each
-    text and stranger's block. Groups of the same texts in several tries are one."""
-    key = ["tree", "prefix"]
-    groups = rows.groupBy(*key).agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("uid").cast("decimal(20,0)")).alias("names")).where("lo <> hi")
-    groups = groups.dropDuplicates(["n", "names"]).select(*key, F.xxhash64(*key).alias("unit"))
-    members = stash(rows.join(groups, key).join(sets.select("uid", F.length("shingles").alias("size")), "uid").select("unit", "uid", "class", "size"), "members")
-    by_class = members.groupBy("unit", "class").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
-    units = by_class.groupBy("unit").agg(F.max(F.struct("n", "class", "size")).alias("big"), F.sum("n").alias("n"), F.sum("size").alias("size"))
-    units = units.select("unit", F.col("big.class").alias("big"), _parts(F.col("big.n"), F.col("big.size")).alias("of_big"), _parts(F.col("n") - F.col("big.n"), F.col("size") - F.col("big.size")).alias("of_rest"))
-    placed = members.join(units, "unit").withColumn("own", F.when(F.col("class") == F.col("big"), _dealt(F.col("of_big")) + F.col("of_rest")).otherwise(_dealt(F.col("of_rest"))))
-    # blocks of strangers come first: each meets all blocks, those of the largest class meet only strangers
-    last = F.when(F.col("own") < F.col("of_rest"), F.col("of_rest") + F.col("of_big") - 1).otherwise(F.col("of_rest") - 1)
-    pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
-    pairs = pairs.select("unit", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "uid", (F.col("own") > F.col("other")).cast("int").alias("side"))
-    return _met(pairs, sets, threshold).select(F.col("uid").alias("a"), F.col("least").alias("b"))
-
-
-def _grown(found: DataFrame, links: DataFrame) -> DataFrame:
-    """Classes (node, root) with more links between their members."""
-    more = stash(links, "links")
-    return found if more.isEmpty() else components(more.unionByName(found.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-
+def _similar(threshold: tuple[int, int]):
+    def similar(x: bytes, y: bytes) -> bool:
+        a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        if min(len(a), len(b)) * threshold[1] < max(len(a), len(b)) * threshold[0]:
+            return False
+        both = np.concatenate([a, b])
+        both.sort()
+        common = int((both[1:] == both[:-1]).sum())
+        return common * threshold[1] >= (len(a) + len(b) - common) * threshold[0]
 
-def classes(tries: DataFrame, sets: DataFrame, threshold) -> DataFrame:
-    """(node, root) of all texts that have a verified link."""
-    found = tries.select(F.col("uid").alias("node"), F.col("uid").alias("root")).where(F.lit(False))
+    return similar
 
-    def at(rows: DataFrame, depth: int) -> DataFrame:
-        own = found.select(F.col("node").alias("uid"), F.col("root").alias("class"))
-        return rows.select("uid", "tree", _prefix(depth).alias("prefix")).join(own, "uid", "left").withColumn("class", F.coalesce("class", "uid"))
 
-    for some in (F.col("tree") < FIRST_TREES, F.col("tree") >= FIRST_TREES):
-        found = _grown(found, head_links(at(tries.where(some), MAX_DEPTH), sets, threshold))
-    for depth in range(MAX_DEPTH, LEAST - 1, -1):
-        found = _grown(found, mixed_links(at(tries.where(F.col("stop") <= depth), depth), sets, threshold))
-    return found
+def _near(threshold: tuple[int, int]):
+    return lambda payloads, left, right: linked([np.frombuffer(x, np.uint64) for x in payloads], left, right, threshold)
 
 
 def links(docs: DataFrame, tries: DataFrame, threshold=THRESHOLD) -> DataFrame:
     """uid, root, links of all texts with a verified partner."""
     sets = shingle_sets(docs, stash(tries.select("uid").distinct(), "uids"))
-    found = classes(tries, sets, threshold)
-    members = found.select(F.col("node").alias("uid"), F.col("root").alias("unit")).join(sets.select("uid", F.length("shingles").alias("size")), "uid")
-    parts = members.groupBy("unit").agg(_parts(F.count(F.lit(1)), F.sum("size")).alias("parts"))
-    placed = members.join(parts, "unit").withColumn("own", _dealt(F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    at = lambda rows, depth: rows.select("uid", "tree", _prefix(depth).alias("prefix"))
+    first = [at(tries.where(some), MAX_DEPTH) for some in (F.col("tree") < FIRST_TREES, F.col("tree") >= FIRST_TREES)]
+    then = [at(tries.where(F.col("stop") <= depth), depth) for depth in range(MAX_DEPTH, LEAST - 1, -1)]
+    found = buckets.classes(first, then, sets, _similar(threshold), _near(threshold), BLOCK)
+    members = found.select(F.col("node").alias("uid"), F.col("root").alias("unit")).join(sets.select("uid", F.length("payload").alias("size")), "uid")
+    parts = members.groupBy("unit").agg(buckets.blocks(F.count(F.lit(1)), F.sum("size"), BLOCK).alias("parts"))
+    placed = members.join(parts, "unit").withColumn("own", buckets.dealt(F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = placed.select("unit", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "uid", (F.col("own") > F.col("other")).cast("int").alias("side"))
-    total = _met(rows, sets, threshold).groupBy("uid").agg(F.sum("links").alias("links"))
+    total = buckets.met(rows, sets, _near(threshold)).groupBy("uid").agg(F.sum("links").alias("links"))
     out = stash(total.join(found, F.col("uid") == F.col("node")).select("uid", "root", "links"), "linked")
     drop(sets)
     return out

@@ -71,8 +71,13 @@ def op10_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_embedding.edit_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def near_edit_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second half of operator 10: banding and verification."""
+    return edit_embedding.near_classes(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_exact_dedup, op3_ngram_join, op4_warc, op5_context_mixing, op6_language, op7_best_fit_packing, op8_pareto_mix, op9_toxicity, op10_edit_fingerprints)}
+    return {f.__name__: f for f in (op1_quality, op2_exact_dedup, op3_ngram_join, op4_warc, op5_context_mixing, op6_language, op7_best_fit_packing, op8_pareto_mix, op9_toxicity, op10_edit_fingerprints, near_edit_classes)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -992,16 +992,54 @@ def test_edit_fingerprints(odd, empty, make):
     assert edit_embedding.edit_fingerprints(empty).count() == 0
 
 
-def test_near_pairs(make, empty):
-    rng = random.Random(13)
-    a, b = prose(rng, 80), prose(rng, 80)
-    docs = make([(1, a), (2, a[:100] + "XY" + a[101:]), (3, b), (4, b), (5, prose(rng, 80)), (6, None)])
-    got = {(r.doc_id, r.other): r.distance for r in edit_embedding.near_pairs(docs).collect()}
-    assert set(got) == {(2, 1), (4, 3)} and got[4, 3] == 0 and 1 <= got[2, 1] <= 2
-    assert edit_embedding.near_pairs(empty).count() == 0
+def _distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
 
 
-# --- rows ------------------------------------------------------------------------------------------------------------
+def test_edit_distances_are_those_of_the_table():
+    rng = random.Random(2)
+    for _ in range(300):
+        a = "".join(rng.choice("abc\U0001f600") for _ in range(rng.randrange(12)))
+        b = "".join(rng.choice("abc") for _ in range(rng.randrange(12)))
+        d = _distance(a, b)
+        assert [edit_embedding.within(a, b, k) for k in range(13)] == [d <= k for k in range(13)]
+    long = prose(rng, 4000)
+    assert edit_embedding.within(long, "x" + long[:500] + long[510:] + "y", 12) and not edit_embedding.within(long, "x" + long[:500] + long[510:] + "y", 11)
+
+
+def _edited(rng, text, n):
+    chars = list(text)
+    for _ in range(n):
+        at = rng.randrange(len(chars))
+        chars[at : at + 1] = rng.choice([[], [rng.choice("xyz")], [chars[at], rng.choice("xyz")]])
+    return "".join(chars)
+
+
+def test_near_classes_in_crowded_buckets(make, odd, empty):
+    """Texts with a common first half crowd the buckets; recall of links between texts of few edits, against all pairs."""
+    rng = random.Random(12)
+    common, texts = prose(rng, 40, 99), []
+    for _ in range(25):
+        base = (common + " " if rng.random() < 0.5 else "") + prose(rng, 40, 99)
+        texts += [base, *(_edited(rng, base, rng.randrange(1, 5)) for _ in range(rng.randrange(3)))]
+    texts += [texts[0], texts[3]]
+    got = {r.doc_id: r.class_id for r in edit_embedding.near_classes(make(list(enumerate(texts)))).collect()}
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if _distance(texts[i], texts[j]) * 10 <= max(len(texts[i]), len(texts[j]))]
+    assert len(near) > 20 and sum(got[i] == got[j] for i, j in near) / len(near) >= 0.9
+    root = list(range(len(texts)))
+    for i, j in near:  # nothing is in one class but by near texts
+        a, b = (next(x for x in iter(lambda k=k: root[k], None)) for k in (i, j))
+        root = [min(a, b) if x in (a, b) else x for x in root]
+    assert all(root[i] == root[c] for i, c in got.items())
+    rows_ = edit_embedding.near_classes(odd).collect()
+    assert len(rows_) == odd.count() and {(r.class_id, r.class_size) for r in rows_ if r.doc_id in (3, 4)} == {(3, 2)}
+    assert {r.class_id for r in rows_ if r.doc_id in (7, 8)} == {7}
+    assert edit_embedding.near_classes(empty).count() == 0
 
 
 def test_keep_leaves_one_of_repeated_rows(make):
