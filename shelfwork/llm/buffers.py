@@ -94,8 +94,9 @@ class Words:
 
     __slots__ = ("start", "length", "per_row", "hash", "lower")
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, hashed: bool = True, apart: np.ndarray = SPACE, fold: bool = True):
-        """``apart`` marks the bytes between words; ``fold`` lower-cases A-Z."""
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, hashed: bool = True, apart: np.ndarray = SPACE, fold: bool = True, kinds: np.ndarray | None = None):
+        """``apart`` marks the bytes between words; ``fold`` lower-cases A-Z. With ``kinds`` (1, 2 or 0 for each byte) words
+        end also where a byte of kind 1 is beside one of kind 2."""
         n = len(data)
         space = apart[data]
         before = np.empty(n, dtype=bool)
@@ -106,6 +107,11 @@ class Words:
         edges = offsets[:-1][lengths > 0]
         before[edges] = True
         after[offsets[1:][lengths > 0] - 1] = True
+        if kinds is not None:
+            own = kinds[data]
+            change = (own[1:] ^ own[:-1]) == 3
+            before[1:] |= change
+            after[:-1] |= change
         inside = ~space
         self.start = np.flatnonzero(inside & before)
         self.length = np.flatnonzero(inside & after) + 1 - self.start

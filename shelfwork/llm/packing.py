@@ -4,9 +4,10 @@ Documents become token ids with a closing 0; only those longer than a sequence a
 sequences of their own. The others are dealt to partitions, each packed by best-fit decreasing. A lower bound from
 dual-feasible functions certifies a partition when it equals the number of its bins. Partitions with a gap keep their
 full bins and put the pieces of all others in common; these are dealt anew to fewer and larger partitions and packed
-again, until all are certified, one partition is left, the exchange gains nothing, or ROUNDS are over.
+again, until all are certified, one partition is left, or ROUNDS are over; an exchange that gains nothing is undone.
 
-Defined results: null text is empty and gives one piece of one id; repeated rows are packed each; an empty table gives
+Defined results: null text is empty and gives one piece of one id; repeated rows are packed each; among pieces of one
+length those of earlier rows go first, among bins with the same room the one opened or filled last; an empty table gives
 an empty result; other columns don't matter. Numbers of sequences are unique but not consecutive.
 """
 
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwork.llm import buffers
-from shelfwork.llm.storage import short_batches, stash
+from shelfwork.llm.storage import drop, short_batches, stash
 
 CAPACITY = 2048
 #: Pieces dealt to a partition; so many are packed in one task's memory, as numbers only.
@@ -39,15 +40,29 @@ _ENCODERS: dict[str, Encoder] = {}
 
 class Encoder:
     """Ids of words by a tokenizer whose splitter never joins characters across white space and drops it: a text's ids
-    are those of its words. A word's ids are remembered in the place that its hash gives, until another word takes it."""
+    are those of its words. Where the tokenizer lower-cases and splits ASCII letters and digits from ASCII marks (but the
+    apostrophe), which is tried out on all of them, words are cut there and lower-cased first, so there are fewer different ones.
+    A word's ids are remembered in the place that its hash gives, until another word takes it."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.fold, self.kinds = self._tried()
         self.clear()
 
+    def _tried(self) -> tuple[bool, np.ndarray | None]:
+        """(whether A-Z and a-z have the same ids, kinds of bytes that words are cut between)."""
+        letters, marks = [chr(c) for c in range(128) if chr(c).isalnum()], [chr(c) for c in range(33, 127) if not chr(c).isalnum() and c != 39]
+        one = {c: e.ids for c, e in zip(letters + marks, self.tokenizer.encode_batch_fast(letters + marks, add_special_tokens=False), strict=True)}
+        pairs = [x + y for a in letters for m in marks for x, y in ((a, m), (m, a))]
+        apart = all(e.ids == one[p[0]] + one[p[1]] for p, e in zip(pairs, self.tokenizer.encode_batch_fast(pairs, add_special_tokens=False), strict=True))
+        fold = all(one[c] == one[c.lower()] for c in letters)
+        kinds = np.zeros(256, np.uint8)
+        kinds[[ord(c) for c in letters]], kinds[[ord(c) for c in marks]] = 1, 2
+        return fold, kinds if apart else None
+
     def clear(self) -> None:
         self.tag = np.zeros(1 << MEMORY_BITS, np.uint64)
         self.at = np.zeros(1 << MEMORY_BITS, np.int32)
@@ -73,7 +88,7 @@ class Encoder:
         """(ids of all texts, each closed by 0; how many each text has)."""
         if self.used > MEMORY_IDS:
             self.clear()
-        words = buffers.Words(data, offsets, fold=False)
+        words = buffers.Words(data, offsets, fold=self.fold, kinds=self.kinds)
         h, n = words.hash, len(words.per_row)
         slot = (h >> np.uint64(64 - MEMORY_BITS)).astype(np.int64)
         at, size = self.at[slot].astype(np.int64), self.size[slot].astype(np.int64)
@@ -81,7 +96,7 @@ class Encoder:
         if len(missing):
             fresh, first, where = np.unique(h[missing], return_index=True, return_inverse=True)
             own = missing[first]
-            body = data.tobytes()
+            body = words.lower.tobytes()
             texts = [body[s : s + k].decode("utf-8", "replace") for s, k in zip(words.start[own].tolist(), words.length[own].tolist(), strict=True)]
             new_at, new_size = self._add(texts)
             at[missing], size[missing] = new_at[where], new_size[where]
@@ -183,44 +198,55 @@ _PACKED = "uid long, piece int, length long, bin long, offset long, closed boole
 
 
 def _pack(round_no: int, capacity: int):
+    """Rows come sorted by part: the numbers of one part are held at a time, PER_PARTITION pieces in the first round."""
+
+    def packed(part: int, held: list) -> pa.RecordBatch:
+        own = pa.Table.from_batches(held).sort_by([("length", "descending"), ("uid", "ascending"), ("piece", "ascending")])
+        lengths = own["length"].to_numpy()
+        bins = best_fit(lengths, capacity)
+        order = np.argsort(bins, kind="stable")
+        b, n = bins[order], lengths[order]
+        upto = np.cumsum(n) - n
+        first = np.searchsorted(b, np.arange(b[-1] + 1))
+        filled = np.add.reduceat(n, first)
+        gap = int(b[-1] + 1 - lower_bound(lengths, capacity))
+        closed = (filled == capacity)[b] | (gap == 0)
+        code = (np.int64(round_no) << 56) + (np.int64(part) << 28) + b
+        return pa.RecordBatch.from_arrays(
+            [pa.array(own["uid"].to_numpy()[order]), pa.array(own["piece"].to_numpy()[order]), pa.array(n), pa.array(code), pa.array(upto - upto[first][b]), pa.array(closed), pa.array(np.full(len(b), gap))],
+            names=["uid", "piece", "length", "bin", "offset", "closed", "gap"],
+        )
+
     def run(batches):
-        held = list(batches)  # numbers of one part, PER_PARTITION pieces on average
-        if not sum(b.num_rows for b in held):
-            return
-        table = pa.Table.from_batches(held)
-        group = table["part"].to_numpy()
-        for part in np.unique(group):
-            own = table.filter(pa.array(group == part)).sort_by([("length", "descending"), ("uid", "ascending"), ("piece", "ascending")])
-            lengths = own["length"].to_numpy()
-            bins = best_fit(lengths, capacity)
-            order = np.argsort(bins, kind="stable")
-            b, n = bins[order], lengths[order]
-            upto = np.cumsum(n) - n
-            first = np.searchsorted(b, np.arange(b[-1] + 1))
-            filled = np.add.reduceat(n, first)
-            gap = int(b[-1] + 1 - lower_bound(lengths, capacity))
-            closed = (filled == capacity)[b] | (gap == 0)
-            code = (np.int64(round_no) << 56) + (np.int64(part) << 28) + b
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(own["uid"].to_numpy()[order]), pa.array(own["piece"].to_numpy()[order]), pa.array(n), pa.array(code), pa.array(upto - upto[first][b]), pa.array(closed), pa.array(np.full(len(b), gap))],
-                names=["uid", "piece", "length", "bin", "offset", "closed", "gap"],
-            )
+        now, held = None, []
+        for batch in batches:
+            part = batch.column(3).to_numpy()
+            edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])).tolist() if len(part) else []
+            for a, b in zip(edges, [*edges[1:], len(part)], strict=False):
+                if part[a] != now and held:
+                    yield packed(now, held)
+                    held = []
+                now = int(part[a])
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield packed(now, held)
 
     return run
 
 
 def _packed(open_pieces: DataFrame, partitions: int, round_no: int, capacity: int) -> DataFrame:
     part = F.pmod(F.xxhash64("uid", "piece", F.lit(round_no)), F.lit(partitions)).cast("int")
-    rows = open_pieces.select("uid", "piece", "length", part.alias("part")).repartition(partitions, "part")
+    rows = open_pieces.select("uid", "piece", "length", part.alias("part")).repartition("part").sortWithinPartitions("part")
     return rows.mapInArrow(_pack(round_no, capacity), _PACKED)
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY, per_partition: int = PER_PARTITION) -> DataFrame:
-    """uid, piece, sequence_id, offset of ``items`` (uid, piece, length up to ``capacity``, each pair once)."""
-    full = items.where(F.col("length") == capacity).select("uid", "piece", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    """uid, piece, sequence_id, offset, gap of ``items`` (uid, piece, length up to ``capacity``, each pair once). ``gap``: by how
+    many bins the packing of its part is above the lower bound; 0 is a certificate that none can do with fewer."""
+    full = items.where(F.col("length") == capacity).select("uid", "piece", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(0).cast("long").alias("gap"))
     rest = items.where(F.col("length") < capacity).select("uid", "piece", "length")
     done, last, bins = full, None, 0
-    place = lambda rows: rows.select("uid", "piece", F.col("bin").alias("sequence_id"), "offset")
+    place = lambda rows: rows.select("uid", "piece", F.col("bin").alias("sequence_id"), "offset", "gap")
     for round_no in range(ROUNDS):
         n = rest.count()
         if not n:
@@ -228,7 +254,10 @@ def pack(items: DataFrame, capacity: int = CAPACITY, per_partition: int = PER_PA
         partitions = max(1, -(-n // (per_partition << round_no)))
         packed = stash(_packed(rest, partitions, round_no, capacity), "packed")
         if last is not None and packed.select("bin").distinct().count() >= bins:
-            break  # the exchange gained nothing: the packing before it stays
+            drop(packed)  # this deal gained nothing: the packing before it stays, and a larger deal is tried
+            if partitions == 1:
+                break
+            continue
         done = done.unionByName(place(packed.where("closed")))
         last = packed.where("not closed")
         bins = last.select("bin").distinct().count()
@@ -239,8 +268,8 @@ def pack(items: DataFrame, capacity: int = CAPACITY, per_partition: int = PER_PA
 
 
 def best_fit_packing(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, per_partition: int = PER_PARTITION) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every document."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset, gap for every piece of every document."""
     short_batches(docs)
     items = stash(pieces(docs, tokenizer, capacity), "pieces")
     placed = pack(items, capacity, per_partition)
-    return items.join(placed, ["uid", "piece"]).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return items.join(placed, ["uid", "piece"]).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "gap")

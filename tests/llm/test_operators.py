@@ -884,6 +884,39 @@ def test_packing(odd, empty, make):
     got = packing.best_fit_packing(docs, tokenizer_path(), capacity=256, per_partition=150).collect()
     used = _check_packing(docs, got, 256)
     assert used <= packing.lower_bound(np.array([r.length for r in got]), 256) * 1.05 + 2
+    assert all(r.gap >= 0 for r in got)
+
+
+def test_open_parts_exchange_pieces_round_by_round(spark):
+    """Pieces that leave a gap in parts of a few; each round deals more to a part, until a part has as few bins as can be."""
+    rng = random.Random(1)
+    sizes = [rng.randrange(30, 52) for _ in range(400)]
+    items = spark.createDataFrame([(i, 0, n) for i, n in enumerate(sizes)], "uid bigint, piece int, length bigint")
+    got = packing.pack(items, 100, 20).collect()
+    assert sorted(r.uid for r in got) == list(range(400))
+    bins = {}
+    for r in got:
+        bins.setdefault(r.sequence_id, []).append((r.offset, sizes[r.uid]))
+    for own in bins.values():
+        assert sum(n for _, n in own) <= 100 and [o for o, _ in sorted(own)] == np.cumsum([0, *[n for _, n in sorted(own)]])[:-1].tolist()
+    assert len({r.sequence_id >> 56 for r in got}) > 2  # three rounds and more closed bins
+    apart = sum(packing.best_fit(np.array(sizes[k::20]), 100).max() + 1 for k in range(20))
+    assert len(bins) < apart and len(bins) <= packing.best_fit(np.array(sizes), 100).max() + 4
+
+
+def test_the_encoder_gives_the_ids_of_whole_texts():
+    """Letters, digits, marks, apostrophes, composed and decomposed characters and marks of other scripts, side by side."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(6)
+    parts = ["don't", "A", "b", "Z9", "7", ",", ".", "'", "'s", "!?", "\u00e9", "e\u0301", "=\u0338", "\u00bb", "\u201d", "_", "\u4e2d", "\U0001f600", " ", "\n", "\u00a0", "I'LL", "\u0130"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(400)] + [""]
+    whole, own = Tokenizer.from_file(tokenizer_path()), packing.Encoder(tokenizer_path())
+    assert own.fold and own.kinds is not None
+    data = [t.encode() for t in texts]
+    ids, per = own.encode(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    want = [[*e.ids, 0] for e in whole.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(per)[:-1])] == want
 
 
 # --- op8 -------------------------------------------------------------------------------------------------------------
