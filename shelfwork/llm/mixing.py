@@ -71,10 +71,11 @@ def binary_digits(size: Column) -> Column:
 def _described(docs: DataFrame, measure: str | Callable[[Column], Column] | None) -> DataFrame:
     """row (all columns of ``docs``), doc_id, source, row_hash, size, m."""
     text = F.col("text").cast("string")
+    size = F.explode(F.array(words(text)))  # a generator is a step of its own: counted once, however often it is asked for
     named = F.col(f"`{measure}`") if isinstance(measure, str) else F.lit(1.0)
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(text).alias("row_hash"),
-        words(text).alias("size"), F.greatest(F.coalesce(named.cast("double"), F.lit(0.0)), F.lit(0.0)).alias("m"),
+        size.alias("size"), F.greatest(F.coalesce(named.cast("double"), F.lit(0.0)), F.lit(0.0)).alias("m"),
     )
     return rows.withColumn("m", measure(F.col("size")).cast("double")) if callable(measure) else rows
 
