@@ -199,6 +199,9 @@ def train(docs: DataFrame, labels: DataFrame, cap: int = 4000) -> tuple[tuple |
     if not seen.get(1) or not seen.get(0):
         return None, share
     chosen = sampled(known.where("toxic = 1"), "doc_id", seen[1], cap).unionByName(sampled(known.where("toxic = 0"), "doc_id", seen[0], cap))
+    chosen = stash(chosen, "chosen")
+    if chosen.count() <= 4 * cap:  # ``cap`` of each class, give or take what a hash does; texts stay where they are
+        chosen = F.broadcast(chosen)
     rows = stash(chosen.join(texts, "doc_id").withColumn("apart", F.pmod(F.xxhash64("text", F.lit(9)), F.lit(4)) == 0), "labelled")
     counts = rows.where("not apart").select("toxic", "text").mapInArrow(_counted, "order int, key long, before long, word long, toxic long, ordinary long")
     counts = stash(counts.groupBy("order", "key").agg(F.min("before").alias("before"), F.min("word").alias("word"), F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")), "expressions")
