@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwork.llm.components import components
-from shelfwork.llm.storage import stash
+from shelfwork.llm.storage import drop, stash
 
 #: Bytes of the texts that meet in one verification, about.
 BLOCK_BYTES = 16 << 20
@@ -42,9 +42,9 @@ def _with_head(similar: Callable[[bytes, bytes], bool]):
     return run
 
 
-def head_links(at: DataFrame, payloads: DataFrame, similar: Callable[[bytes, bytes], bool]) -> DataFrame:
+def head_links(at: DataFrame, payloads: DataFrame, similar: Callable[[bytes, bytes], bool]) -> tuple[DataFrame, DataFrame]:
     """(a, b): verified links of texts with the least one of their bucket. ``at``: uid, class, tree, prefix; ``payloads``: uid,
-    payload."""
+    payload. The second table is scratch."""
     heads = at.groupBy("tree", "prefix").agg(F.min(F.struct("uid", "class")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     heads = heads.select("tree", "prefix", F.col("first.uid").alias("head"), F.col("first.class").alias("of_head"))
     pairs = stash(at.join(heads, ["tree", "prefix"]).where("class <> of_head").select("uid", "head").distinct(), "pairs")
@@ -52,7 +52,7 @@ def head_links(at: DataFrame, payloads: DataFrame, similar: Callable[[bytes, byt
     members = pairs.join(parts, "head").select("head", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("own"), "uid")
     own = parts.select("head", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("own"), F.col("head").alias("uid"))
     met = members.unionByName(own).join(payloads, "uid").repartition("head", "part").sortWithinPartitions("head", "part", "own")
-    return met.select("head", "part", "own", "uid", "payload").mapInArrow(_with_head(similar), "a long, b long")
+    return met.select("head", "part", "own", "uid", "payload").mapInArrow(_with_head(similar), "a long, b long"), pairs
 
 
 def _verified(near: Callable[[list[bytes], np.ndarray, np.ndarray], np.ndarray]):
@@ -121,7 +121,7 @@ def dealt(parts):
     return F.pmod(F.xxhash64("uid"), parts).cast("int")
 
 
-def mixed_links(rows: DataFrame, payloads: DataFrame, near, block: int) -> DataFrame:
+def mixed_links(rows: DataFrame, payloads: DataFrame, near, block: int) -> tuple[DataFrame, DataFrame]:
     """(a, b): verified links between texts in one bucket (tree, prefix) that aren't of one class. ``rows``: uid, class,
     tree, prefix. Of a group, its largest class isn't compared with itself, so a hot class costs a row for each
     text and stranger's block. Groups of the same texts in several trees are one."""
@@ -137,12 +137,13 @@ def mixed_links(rows: DataFrame, payloads: DataFrame, near, block: int) -> DataF
     last = F.when(F.col("own") < F.col("of_rest"), F.col("of_rest") + F.col("of_big") - 1).otherwise(F.col("of_rest") - 1)
     pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
     pairs = pairs.select("unit", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "uid", (F.col("own") > F.col("other")).cast("int").alias("side"))
-    return met(pairs, payloads, near).select(F.col("uid").alias("a"), F.col("least").alias("b"))
+    return met(pairs, payloads, near).select(F.col("uid").alias("a"), F.col("least").alias("b")), members
 
 
-def _grown(found: DataFrame, links: DataFrame) -> DataFrame:
+def _grown(found: DataFrame, links: DataFrame, scratch: DataFrame) -> DataFrame:
     """Classes (node, root) with more links between their members."""
     more = stash(links, "links")
+    drop(scratch)
     return found if more.isEmpty() else components(more.unionByName(found.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
 
@@ -157,7 +158,7 @@ def classes(first: list[DataFrame], then: list[DataFrame], payloads: DataFrame,
         return rows.join(own, "uid", "left").withColumn("class", F.coalesce("class", "uid"))
 
     for rows in first:
-        found = _grown(found, head_links(at(rows), payloads, similar))
+        found = _grown(found, *head_links(at(rows), payloads, similar))
     for rows in then:
-        found = _grown(found, mixed_links(at(rows), payloads, near, block))
+        found = _grown(found, *mixed_links(at(rows), payloads, near, block))
     return found

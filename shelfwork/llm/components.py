@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwork.llm.storage import stash
+from shelfwork.llm.storage import drop, stash
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -32,7 +32,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = stash(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = _state(now)
     while state[0]:
-        now = stash(_small(_large(now)), "edges")
+        old, now = now, stash(_small(_large(now)), "edges")
+        drop(old)
         before, state = state, _state(now)
         if state == before:
             break

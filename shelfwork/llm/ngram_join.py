@@ -8,10 +8,10 @@ with another text go at once.
 Matching starts at full depth, and a text's prefixes are shortened as long as a partner could be missed: down to the
 depth at which one of the least similarity that is possible for a text of its size (and at least ``threshold``) shares a
 prefix in some trie with probability ``recall`` (a text of two shingles has only partners with the same two: it stays at
-full depth). At each depth the texts under one prefix are verified exactly by their shingles: first each with the
-least one of its prefix, then all those that aren't of one class yet, in blocks of bounded size; a prefix whose texts
-are all of one class by then isn't looked at again. Sets of shingle hashes travel, not texts, and only those of texts
-that share a prefix.
+full depth). Texts under one prefix are verified exactly by their shingles: at full depth each with the least one of its
+prefix, then, at full depth and under the shortened prefixes, all those that aren't of one class yet, in blocks of
+bounded size; a prefix whose texts are all of one class by then isn't looked at again. Sets of shingle hashes travel, not
+texts, and only those of texts that share a prefix.
 
 Classes are components of verified links. In a class, links are counted by products of the shingle incidence matrices
 of blocks, spread over many tasks, without being emitted. Texts of the same word sequence are one text to the join.
@@ -24,6 +24,8 @@ and shingles are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -231,8 +233,8 @@ def links(docs: DataFrame, tries: DataFrame, threshold=THRESHOLD) -> DataFrame:
     sets = shingle_sets(docs, stash(tries.select("uid").distinct(), "uids"))
     at = lambda rows, depth: rows.select("uid", "tree", _prefix(depth).alias("prefix"))
     first = [at(tries.where(some), MAX_DEPTH) for some in (F.col("tree") < FIRST_TREES, F.col("tree") >= FIRST_TREES)]
-    then = [at(tries.where(F.col("stop") <= depth), depth) for depth in range(MAX_DEPTH, LEAST - 1, -1)]
-    found = buckets.classes(first, then, sets, _similar(threshold), _near(threshold), BLOCK)
+    shortened = [at(tries.where(F.col("stop") <= depth), depth).withColumn("tree", F.col("tree") + TREES * (MAX_DEPTH - depth)) for depth in range(MAX_DEPTH, LEAST - 1, -1)]
+    found = buckets.classes(first, [reduce(DataFrame.unionByName, shortened)], sets, _similar(threshold), _near(threshold), BLOCK)
     members = found.select(F.col("node").alias("uid"), F.col("root").alias("unit")).join(sets.select("uid", F.length("payload").alias("size")), "uid")
     parts = members.groupBy("unit").agg(buckets.blocks(F.count(F.lit(1)), F.sum("size"), BLOCK).alias("parts"))
     placed = members.join(parts, "unit").withColumn("own", buckets.dealt(F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
