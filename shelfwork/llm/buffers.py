@@ -124,9 +124,14 @@ class Words:
             return np.zeros(0, np.uint64)
         body = self.lower[inside]
         first = np.cumsum(self.length) - self.length
-        at = np.arange(len(body), dtype=np.int64) - np.repeat(first, self.length)
-        value = BYTE_VALUE[body] * powers(int(self.length.max()))[at]
-        return mix(np.add.reduceat(value, first))
+        power, out = powers(int(self.length.max())), np.empty(len(first), np.uint64)
+        # some megabytes at a time: a byte takes 24 here
+        cuts = np.unique(np.append(np.searchsorted(first, np.arange(0, len(body), BLOCK)), len(first)))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            start, end = int(first[a]), int(first[b]) if b < len(first) else len(body)
+            at = np.arange(start, end) - np.repeat(first[a:b], self.length[a:b])
+            out[a:b] = np.add.reduceat(BYTE_VALUE[body[start:end]] * power[at], first[a:b] - start)
+        return mix(out)
 
     def text(self, i: int) -> bytes:
         return self.lower[self.start[i] : self.start[i] + self.length[i]].tobytes()

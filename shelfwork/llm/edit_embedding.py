@@ -67,8 +67,10 @@ def fingerprints(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     scales = np.array([scale_of(n) for n in sizes.tolist()], np.int64)
     order = np.argsort(-sizes, kind="stable")
     points = np.frombuffer(b"".join([(texts[i] + "\0").encode("utf-32-le", "surrogatepass") for i in order.tolist()]), np.uint32)
-    h = buffers.mix(points.astype(np.uint64) + np.uint64(1))
-    kind, symbol = (h % np.uint64(63)).astype(np.int32), (h >> np.uint64(32)).astype(np.uint8) % 15 + 1
+    kind, symbol = np.empty(len(points), np.int32), np.empty(len(points), np.uint8)
+    for k in range(0, len(points), 1 << 20):
+        h = buffers.mix(points[k : k + (1 << 20)].astype(np.uint64) + np.uint64(1))
+        kind[k : k + len(h)], symbol[k : k + len(h)] = h % np.uint64(63), (h >> np.uint64(32)).astype(np.uint8) % 15 + 1
     length = sizes[order]
     last = np.cumsum(length + 1) - 1
     kind[last], symbol[last] = 63, 0

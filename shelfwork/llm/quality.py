@@ -45,12 +45,15 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """(rows, FEATURES) float32 of a block of texts."""
     n = len(offsets) - 1
     lengths = np.diff(offsets)
-    row = np.repeat(np.arange(n), lengths)
-    c = CLASS[data].astype(np.int64)
-    single = np.bincount(row * CLASSES + c, minlength=n * CLASSES).reshape(n, CLASSES)
-    inside = row[1:] == row[:-1] if len(row) else np.zeros(0, bool)
-    pair = (row[1:] * CLASSES * CLASSES + c[:-1] * CLASSES + c[1:])[inside] if len(row) else np.zeros(0, np.int64)
-    double = np.bincount(pair, minlength=n * CLASSES * CLASSES).reshape(n, CLASSES * CLASSES)
+    single, double = np.zeros(n * CLASSES, np.int64), np.zeros(n * CLASSES * CLASSES, np.int64)
+    for at in range(0, len(data), buffers.BLOCK):  # of a long text some megabytes at a time, each with the byte before
+        low, end = max(at - 1, 0), min(at + buffers.BLOCK, len(data))
+        row = np.searchsorted(offsets, np.arange(low, end), side="right") - 1 if n > 1 else np.zeros(end - low, np.int64)
+        c = CLASS[data[low:end]].astype(np.int64)
+        single += np.bincount((row * CLASSES + c)[at - low :], minlength=len(single))
+        inside = row[1:] == row[:-1]
+        double += np.bincount((row[1:] * CLASSES * CLASSES + c[:-1] * CLASSES + c[1:])[inside], minlength=len(double))
+    single, double = single.reshape(n, CLASSES), double.reshape(n, CLASSES * CLASSES)
     words = buffers.Words(data, offsets)
     per = words.per_row
     own = np.repeat(np.arange(n), per)

@@ -48,6 +48,32 @@ def test_words_and_shingles_are_those_of_single_texts():
         assert ids[0] == ids[4] and len(set(ids)) == len(texts) - 2
 
 
+@pytest.mark.parametrize("what", ["words", "quality", "near", "packing", "edit"])
+def test_memory_for_a_long_text_is_bounded(what):
+    """A text of some megabytes is worked on in no more than some times its size."""
+    import tracemalloc
+
+    rng = random.Random(1)
+    data = np.frombuffer((prose(rng, 20_000) + " ")[: 80_000].encode() * (10 if what == "edit" else 60), np.uint8)
+    at = np.array([0, len(data)])
+    packing.encoder(tokenizer_path())
+    tracemalloc.start()
+    if what == "words":
+        buffers.Words(data, at)
+    elif what == "quality":
+        quality.features(data, at)
+    elif what == "near":
+        hashes, per = buffers.shingles(buffers.Words(data, at))
+        ngram_join.paths(hashes, per)
+    elif what == "packing":
+        packing.encoder(tokenizer_path()).encode(data, at)
+    else:
+        edit_embedding.fingerprints([data.tobytes().decode()])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 * len(data) + (32 << 20)
+
+
 # --- op2 -------------------------------------------------------------------------------------------------------------
 
 
