@@ -32,12 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwork.llm import bloom, buckets, buffers
-from shelfwork.llm.storage import short_batches, stash
+from shelfwork.llm.storage import sampled, short_batches, stash
 
 SAMPLES = 96
 #: Characters walked together, about.
 TOGETHER = 5 << 20
 _STEPS = 1024
+#: Runs of documents at most, which pass through a task piece by piece, and ids that tell where they are cut, about.
+MOST_RUNS, SAMPLE = 50_000, 1_000_000
 _SEED = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -190,14 +192,14 @@ def edit_fingerprints(docs: DataFrame, runs: int | None = None) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row.
 
     Documents follow each other by descending doc_id (then by text), and the last is followed by the first. The order is
-    cut in runs at quantiles of the ids; what follows a run's last row is sent to it along with its own.
+    cut in runs at quantiles of the ids, of a sample of them; what follows a run's last row is sent to it along with its own.
     """
     short_batches(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    runs = runs or 2 * rows.rdd.getNumPartitions()
+    runs = runs or min(2 * rows.rdd.getNumPartitions(), MOST_RUNS)
     ids = rows.select("doc_id")
-    cuts = ids.where("doc_id is not null").approxQuantile("doc_id", [k / runs for k in range(1, runs)], 0.2 / runs) if runs > 1 else []
-    splits = np.unique(np.array(cuts, np.float64).astype(np.int64)) if cuts else np.zeros(0, np.int64)
+    some = np.sort(sampled(ids.where("doc_id is not null"), "doc_id", ids.count(), SAMPLE).toArrow()["doc_id"].to_numpy())
+    splits = np.unique(some[np.arange(1, runs) * len(some) // runs]) if len(some) else np.zeros(0, np.int64)
 
     def first_ids(batches):
         best: dict[int, int] = {}
