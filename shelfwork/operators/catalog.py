@@ -160,8 +160,11 @@ def card(games: DataFrame, short: str | None) -> DataFrame:
 
 
 def listing(games: DataFrame) -> DataFrame:
-    """The listing's fields with their defaults and large images."""
-    logo = lambda p: F.struct(large_image(p["platform_logo"]["url"]).alias("url"), p["platform_logo"]["id"].alias("id"))
+    """The listing's fields with their defaults and large images; of a short card, what it doesn't show is as if it were null."""
+    games = games.withColumns({c: F.lit(None).cast(parse(GAMES)[c].dataType) for c in ("summary", "total_rating") if c not in games.columns})
+    shown = "platform_logo" in games.schema["platforms"].dataType.elementType.names
+    url, key = (lambda p: p["platform_logo"]["url"], lambda p: p["platform_logo"]["id"]) if shown else (lambda p: F.lit(None).cast("string"), lambda p: F.lit(None).cast("bigint"))
+    logo = lambda p: F.struct(large_image(url(p)).alias("url"), key(p).alias("id"))
     platforms = F.transform("platforms", lambda p: F.struct(p["id"].alias("id"), p["name"].alias("name"), logo(p).alias("platform_logo")))
     empty = lambda c, kind: F.coalesce(c, F.from_json(F.lit("[]"), kind))
     return games.select(

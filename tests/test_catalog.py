@@ -147,3 +147,28 @@ def test_batch_search_against_single_searches(spark):
         some.sort(key=lambda g: g[column], reverse=not up)
         n, skip = min(100 if limit is None else limit, 500), offset or 0
         assert got.get(k, {}) == dict(enumerate(g[0] for g in (some + none)[skip : skip + n])), requests[k]
+
+
+def test_cards_and_the_listing_of_a_short_one(spark):
+    """Paths of a card in their order, nested ones too; what isn't asked for goes, what is missing is null."""
+    kind = "id bigint, name string, platforms array<struct<id: bigint, name: string, slug: string, platform_logo: struct<id: bigint, url: string, width: int>>>, total_rating double, involved_companies array<struct<id: bigint, company: struct<id: bigint, name: string, country: int>, publisher: boolean, developer: boolean>>, odd int"
+    rows = spark.createDataFrame([(1, "a", [(2, "p", "s", (3, "//x/t_thumb/y", 90)), None], 5.0, [(4, (5, "c", 6), True, False)], 7), (2, None, None, None, None, 8)], kind)
+    full, short = catalog.card(rows, None), catalog.card(rows, "0")
+    assert catalog.card(rows, "").columns == full.columns and "total_rating" not in full.columns and "odd" not in full.columns
+    assert short.columns == ["id", "name", "first_release_date", "genres", "platforms", "cover", "involved_companies", "aggregated_rating", "version_parent", "category", "status"]
+    assert full.schema["platforms"].dataType.elementType.names == ["id", "name", "platform_logo"]
+    assert full.schema["platforms"].dataType.elementType["platform_logo"].dataType.names == ["id", "url"]
+    assert short.schema["platforms"].dataType.elementType.names == ["id", "name"]
+    one = short.where("id = 1").first()
+    assert one.platforms[0].asDict() == {"id": 2, "name": "p"} and one.platforms[1] is None and one.involved_companies[0].asDict(True) == {"id": 4, "company": {"id": 5, "name": "c"}, "publisher": True}
+    shown = {r.id: r for r in catalog.listing(short).collect()}
+    assert shown[1].platforms[0].platform_logo.asDict() == {"url": "", "id": None} and shown[1].total_rating is None and shown[1].summary == "" and shown[2].platforms == []
+    assert catalog.listing(full).where("id = 1").first().platforms[0].platform_logo.asDict() == {"url": "//x/t_720p/y", "id": 3}
+
+
+def test_commands_as_json_are_judged(spark):
+    rows = spark.createDataFrame([(1, '{"category_ids": [], "igdb_data": {}}'), (2, None), (3, "{}"), (4, "[1]"), (5, "nonsense"), (6, '{"category_ids": ["a", null], "igdb_data": [], "player_data": "x"}'), (7, '{"categories": null, "igdb_data": {"id": 1}}')], "id int, body string")
+    got = {r.id: r.reasons for r in rows.select("id", validate.create_reasons().alias("reasons")).collect()}
+    assert got == {1: [], 2: ["BAD_CATEGORY_IDS", "BAD_GAME"], 3: ["BAD_CATEGORY_IDS", "BAD_GAME"], 4: ["BAD_CATEGORY_IDS", "BAD_GAME"], 5: ["BAD_BODY", "BAD_CATEGORY_IDS", "BAD_GAME"], 6: ["BAD_CATEGORY_IDS", "BAD_GAME", "BAD_PLAYER"], 7: ["BAD_CATEGORY_IDS"]}
+    got = {r.id: r.reasons for r in rows.select("id", validate.update_reasons().alias("reasons")).collect()}
+    assert got == {1: [], 2: [], 3: [], 4: [], 5: ["BAD_BODY"], 6: ["BAD_GAME", "BAD_PLAYER"], 7: []}
