@@ -64,6 +64,11 @@ def targets(sources: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: floa
     return rows.withColumn("target", F.when(F.col("free").isNull(), F.col("most")).otherwise(F.least("most", F.col("free") * F.col("weight")))).drop("level", "free", "most", "turn")
 
 
+def _once(value: Column) -> Column:
+    """A column that is worked out once a row, however often later expressions ask for it: a generator is a step of its own."""
+    return F.explode(F.array(value))
+
+
 def binary_digits(size: Column) -> Column:
     return F.length(F.bin(size))
 
@@ -71,22 +76,21 @@ def binary_digits(size: Column) -> Column:
 def _described(docs: DataFrame, measure: str | Callable[[Column], Column] | None) -> DataFrame:
     """row (all columns of ``docs``), doc_id, source, row_hash, size, m."""
     text = F.col("text").cast("string")
-    size = F.explode(F.array(words(text)))  # a generator is a step of its own: counted once, however often it is asked for
     named = F.col(f"`{measure}`") if isinstance(measure, str) else F.lit(1.0)
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(text).alias("row_hash"),
-        size.alias("size"), F.greatest(F.coalesce(named.cast("double"), F.lit(0.0)), F.lit(0.0)).alias("m"),
+        _once(words(text)).alias("size"), F.greatest(F.coalesce(named.cast("double"), F.lit(0.0)), F.lit(0.0)).alias("m"),
     )
     return rows.withColumn("m", measure(F.col("size")).cast("double")) if callable(measure) else rows
 
 
 def _ranked(rows: DataFrame, seed: str) -> DataFrame:
     """With rank_key in (0, 1), random odds over inclusion odds in their order, and its two buckets; null is never taken."""
-    u = uniform(F.col("doc_id"), seed)
-    q = u / (1 - u) * (1 - F.col("p")) / F.col("p")
+    u, q = F.col("u"), F.col("q")
+    rows = rows.withColumn("p", F.col("m") * F.col("rate")).withColumn("u", _once(uniform(F.col("doc_id"), seed)))
     # what is certain comes first
-    rows = rows.withColumn("p", F.col("m") * F.col("rate"))
-    rows = rows.withColumn("rank_key", F.when(F.col("size") == 0, F.lit(None)).when(F.col("p") >= 1, F.lit(0.0)).when(F.col("p") > 0, q / (1 + q)))
+    rows = rows.withColumn("q", F.when((F.col("p") > 0) & (F.col("p") < 1), u / (1 - u) * (1 - F.col("p")) / F.col("p")))
+    rows = rows.withColumn("rank_key", _once(F.when(F.col("size") == 0, F.lit(None)).when(F.col("p") >= 1, F.lit(0.0)).otherwise(q / (1 + q)))).drop("u", "q")
     cell = lambda scale, x: F.least(F.floor(x * scale), F.lit(scale - 1)).cast("int")
     return rows.withColumn("b1", cell(FINE, F.col("rank_key"))).withColumn("b2", cell(FINE, F.col("rank_key") * FINE - F.col("b1")))
 
