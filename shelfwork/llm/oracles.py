@@ -60,4 +60,31 @@ r as (select u.doc_id, case when len(u.w) = 0 then -1 - u.doc_id else cls.root e
 select doc_id, min(doc_id) over (partition by class) as class_id, cast(n_links as bigint) as n_links, count(*) over (partition by class) as class_size, doc_id = min(doc_id) over (partition by class) as kept from r
 """
 
-ORACLES = {"op3_ngram_join": NGRAM_JOIN, "op4_warc": WARC, "op2_exact_dedup": EXACT_DEDUP, "op8_pareto_mix": PARETO_MIX}
+ALNUM = f"regexp_extract_all({LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+WINNOWING = f"""
+with d as (select row_number() over () as rid, cast(doc_id as bigint) as doc_id, {ALNUM} as w from documents),
+b as (select cast(item_id as varchar) as item, {ALNUM} as w from benchmark),
+i as (select distinct item, least(10, len(w)) as m, unnest(list_transform(range(1, len(w) - least(10, len(w)) + 2), lambda k: array_to_string(w[k:k + least(10, len(w)) - 1], ' '))) as g from b where len(w) > 0),
+t as (select rid, m, unnest(range(1, len(w) - m + 2)) as k, w from d, (select distinct m from i) where len(w) >= m),
+h as (select rid, k, m, item from (select rid, k, m, array_to_string(w[k:k + m - 1], ' ') as g from t) join i using (m, g)),
+n as (select rid, count(distinct p) as n_hit from (select rid, unnest(range(k, k + m)) as p from (select distinct rid, k, m from h)) group by rid),
+l as (select rid, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct rid, item from h where item is not null) group by rid)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join n using (rid) left join l using (rid)
+"""
+
+LEXICAL = f"""
+with d as (select row_number() over () as rid, cast(doc_id as bigint) as doc_id, {ALNUM} as w from documents where len({ALNUM}) > 0),
+c as (select count(*) as n, cast(sum(len(w)) as bigint) as l from d),
+i as (select distinct item_id, unnest({ALNUM}) as t from benchmark),
+tf as (select rid, t, count(*) as tf from (select rid, unnest(w) as t from d) where t in (select t from i) group by rid, t),
+df as (select t, count(*) as df from tf group by t),
+wt as (select t, cast(floor(1000 * ln((2 * n + 2)::double / (2 * df + 1))) as bigint) as weight from df, c),
+m as (select rid, doc_id, 50 + ((50 * len(w) * n) // l) as m from d, c),
+s as (select item_id, rid, doc_id, cast(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * m))) as bigint) as score from tf join wt using (t) join m using (rid) join i using (t) group by all),
+r as (select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id, rid) as int) as rank, doc_id, score from s where score > 0)
+select * from r where rank <= 50
+"""
+
+ORACLES = {"op11_winnowing": WINNOWING, "op13_lexical_search": LEXICAL, "op3_ngram_join": NGRAM_JOIN, "op4_warc": WARC, "op2_exact_dedup": EXACT_DEDUP, "op8_pareto_mix": PARETO_MIX}

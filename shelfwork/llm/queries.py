@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwork.llm import edit_embedding, exact_dedup, langid, mixing, mixing_lm, ngram_join, packing, quality, toxicity, warc
+from shelfwork.llm import decontamination, edit_embedding, exact_dedup, langid, lexical, mixing, mixing_lm, ngram_join, packing, quality, toxicity, warc, whitening
 from shelfwork.llm.storage import fold, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -71,13 +71,25 @@ def op10_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_embedding.edit_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def near_edit_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second half of operator 10: banding and verification."""
     return edit_embedding.near_classes(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_exact_dedup, op3_ngram_join, op4_warc, op5_context_mixing, op6_language, op7_best_fit_packing, op8_pareto_mix, op9_toxicity, op10_edit_fingerprints, near_edit_classes)}
+    return {f.__name__: f for f in (op1_quality, op2_exact_dedup, op3_ngram_join, op4_warc, op5_context_mixing, op6_language, op7_best_fit_packing, op8_pareto_mix, op9_toxicity, op10_edit_fingerprints, op11_winnowing, op12_whitening, op13_lexical_search, near_edit_classes)}
 
 
 def oracle_sql() -> dict[str, str]:
