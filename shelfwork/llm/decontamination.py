@@ -78,11 +78,11 @@ def _pieces(data: np.ndarray, size: int):
     longer than a piece stays whole."""
     first, skipped, again, done = 0, 0, 0, 0
     while True:
-        end = min(first + size, len(data))
+        end = min(done + size, len(data))
         if end < len(data):  # past what has been done, so that every piece is new in part
-            apart = np.flatnonzero(buffers.NOT_ALNUM[data[max(first, done) : end]])
+            apart = np.flatnonzero(buffers.NOT_ALNUM[data[done:end]])
             if len(apart):
-                end = max(first, done) + int(apart[-1]) + 1
+                end = done + int(apart[-1]) + 1
             else:
                 rest = np.flatnonzero(buffers.NOT_ALNUM[data[end:]])
                 end = end + int(rest[0]) + 1 if len(rest) else len(data)
