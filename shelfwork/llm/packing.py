@@ -42,7 +42,8 @@ class Encoder:
     """Ids of words by a tokenizer whose splitter never joins characters across white space and drops it: a text's ids
     are those of its words. Where the tokenizer lower-cases and splits ASCII letters and digits from ASCII marks (but the
     apostrophe), which is tried out on all of them, words are cut there and lower-cased first, so there are fewer different ones.
-    A word's ids are remembered in the place that its hash gives, until another word takes it."""
+    A word's ids are remembered in the place that its hash gives, until another word takes it; a remembered word is known
+    by all 64 bits of its hash."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
@@ -50,6 +51,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.fold, self.kinds = self._tried()
+        #: Texts that stand for an id of their own, as they are written.
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.clear()
 
     def _tried(self) -> tuple[bool, np.ndarray | None]:
@@ -84,11 +87,33 @@ class Encoder:
         self.used += len(flat)
         return at, size
 
+    def _marked(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The texts that hold an added token."""
+        whole, at = data.tobytes(), []
+        for token in self.special:
+            k = whole.find(token)
+            while k >= 0:
+                at.append(k)
+                k = whole.find(token, k + 1)
+        return np.unique(np.searchsorted(offsets, at, side="right") - 1)
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, each closed by 0; how many each text has)."""
+        """(ids of all texts, each closed by 0; how many each text has). Words of a text with an added token are cut at
+        white space only and given to the tokenizer as they are, since it looks for such tokens first."""
+        marked = self._marked(data, offsets)
+        if not len(marked):
+            return self._encode(data, offsets, self.fold, self.kinds)
+        edges = np.unique(np.concatenate([[0], marked, marked + 1, [len(offsets) - 1]]))
+        parts = []
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            own = (False, None) if a in marked else (self.fold, self.kinds)
+            parts.append(self._encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], *own))
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+    def _encode(self, data: np.ndarray, offsets: np.ndarray, fold: bool, kinds: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         if self.used > MEMORY_IDS:
             self.clear()
-        words = buffers.Words(data, offsets, fold=self.fold, kinds=self.kinds)
+        words = buffers.Words(data, offsets, fold=fold, kinds=kinds)
         h, n = words.hash, len(words.per_row)
         slot = (h >> np.uint64(64 - MEMORY_BITS)).astype(np.int64)
         at, size = self.at[slot].astype(np.int64), self.size[slot].astype(np.int64)
