@@ -8,7 +8,7 @@ largest id is a ``response``, the others are ``revisit`` records without payload
 A file is closed after FILE_BYTES, so that it can be read as one row.
 
 Reader. Files are read as binary rows and scanned in one pass; members are inflated piece by piece, and no more is held
-of one than an unfinished record and records that wait for the member's checks. After a record whose head, length or
+of one than an unfinished record, whose head may be long, and records that wait for the member's checks. After a record whose head, length or
 payload digest is wrong, the reader searches on for the next version line, inside the member or the plain file, and
 after a member that can't be inflated for the next member or version line. Of a member whose checks fail, records count
 whose own payload digest is right. What it had to leave is a quarantined gap: a row with the file, the offsets and the
@@ -39,8 +39,6 @@ VERSION = b"WARC/1."
 EMPTY_MEMBER = bytes.fromhex("1f8b08000000000000ff03000000000000000000")
 #: Bytes of a file, about: a file is one row to the reader.
 FILE_BYTES = 32 << 20
-#: Bytes of a record's head at most.
-HEAD_BYTES = 1 << 20
 
 
 def digest(payload: bytes) -> str:
@@ -123,6 +121,8 @@ def _hexed(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(d, pa.string()), batch.column(2)], names=["page_id", "h", "keep"])
 
 
+#: The part of a head that is there already: a version line and fields, the last of which may not be whole.
+_FIELDS = re.compile(rb"WARC/1\.(?:[01](?:\r(?:\n(?:[^\r\n:]+:[^\r\n]*\r\n)*+[^\r\n]*\r?)?)?)?\Z")
 _HEAD = re.compile(rb"WARC/1\.[01]\r\n((?:[^\r\n]+\r\n)*)\r\n")
 
 
@@ -243,9 +243,9 @@ def _first(held: bytearray, over: bool):
         return "more"
     if not held.startswith(VERSION):
         return "head"
-    end = held.find(b"\r\n\r\n", 0, HEAD_BYTES)
-    if end < 0:
-        return "head" if over or len(held) >= HEAD_BYTES else "more"
+    end = held.find(b"\r\n\r\n")
+    if end < 0:  # a head may have any length, as long as its lines are fields
+        return "head" if over or not _FIELDS.match(held) else "more"
     length = re.search(rb"\r\ncontent-length:[ \t]*(\d{1,18})[ \t]*\r\n", bytes(held[: end + 2]), re.IGNORECASE)
     if length and not over and len(held) < end + 8 + int(length[1]):
         return "more"
