@@ -22,20 +22,19 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 NOT_ALNUM = np.array([not (chr(b).isalnum() or b > 127) for b in range(256)])
 
 _RNG = np.random.default_rng(20240611)
-#: A random 64-bit value for each byte; the base has 3 as its remainder by 4, so that positions mix.
+#: A random 64-bit value for each byte.
 BYTE_VALUE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-BASE = np.uint64(0x9E3779B97F4A7C17 | 3)
-_POWERS = np.ones(1, dtype=np.uint64)
+_FACTORS = np.ones(0, dtype=np.uint64)
 
 
-def powers(n: int) -> np.ndarray:
-    """BASE ** 0 .. n-1 modulo 2 ** 64."""
-    global _POWERS
-    if len(_POWERS) < n:
-        grown = np.full(max(n, 256, 2 * len(_POWERS)), BASE, dtype=np.uint64)
-        grown[0] = 1
-        _POWERS = np.cumprod(grown, dtype=np.uint64)
-    return _POWERS[:n]
+def factors(n: int) -> np.ndarray:
+    """An odd number for each of ``n`` places. They aren't the powers of one number, for which some texts of powers of two
+    in length (Thue-Morse words) have the same sums."""
+    global _FACTORS
+    if len(_FACTORS) < n:
+        place = np.arange(max(n, 256, 2 * len(_FACTORS)), dtype=np.uint64)
+        _FACTORS = mix(place * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
+    return _FACTORS[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -124,13 +123,13 @@ class Words:
             return np.zeros(0, np.uint64)
         body = self.lower[inside]
         first = np.cumsum(self.length) - self.length
-        power, out = powers(int(self.length.max())), np.empty(len(first), np.uint64)
+        factor, out = factors(int(self.length.max())), np.empty(len(first), np.uint64)
         # some megabytes at a time: a byte takes 24 here
         cuts = np.unique(np.append(np.searchsorted(first, np.arange(0, len(body), BLOCK)), len(first)))
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             start, end = int(first[a]), int(first[b]) if b < len(first) else len(body)
             at = np.arange(start, end) - np.repeat(first[a:b], self.length[a:b])
-            out[a:b] = np.add.reduceat(BYTE_VALUE[body[start:end]] * power[at], first[a:b] - start)
+            out[a:b] = np.add.reduceat(BYTE_VALUE[body[start:end]] * factor[at], first[a:b] - start)
         return mix(out)
 
     def text(self, i: int) -> bytes:
@@ -171,5 +170,5 @@ def sequence_hash(words: Words) -> tuple[np.ndarray, np.ndarray]:
         return zero, zero.copy()
     first = np.cumsum(per_row) - per_row
     at = np.arange(len(h)) - np.repeat(first, per_row)
-    p = powers(int(per_row.max()) + 1)[at]
+    p = factors(int(per_row.max()) + 1)[at]
     return sums(h * p, per_row), sums(mix(h + np.uint64(0x632BE59BD9B4E019)) * p, per_row)
