@@ -188,14 +188,16 @@ def has_letter(text: Column) -> Column:
     return F.coalesce(text.cast("string").rlike(r"\p{L}"), F.lit(False))
 
 
-def least_score(docs: DataFrame, model: ByteCNN, lost: float = 0.001, cap: int = 20_000) -> float:
-    """The score that at most a share ``lost`` of labelled documents with letters stay below, by ``docs`` that the network
-    hasn't learnt from (``cap`` of them, chosen by hash); 0 where they are too few to tell, so nothing is rejected."""
+def least_score(docs: DataFrame, model: ByteCNN, part: float = 0.5, cap: int = 20_000) -> float:
+    """The score whose odds are ``part`` of the least odds that the network gives a labelled document with letters, by
+    ``docs`` that it hasn't learnt from (``cap`` of them, chosen by hash); without any, 0."""
     known = docs.where(F.col("lang").isNotNull() & has_letter(F.col("text")))
     chosen = sampled(known, "text", known.count(), cap)
-    scores = np.sort(identify(chosen, model).select("score").toArrow()["score"].to_numpy())
-    k = int(lost * (len(scores) + 1))
-    return float(scores[k - 1]) if k else 0.0
+    least = identify(chosen, model).agg(F.min("score")).first()[0]
+    if least is None:
+        return 0.0
+    odds = part * least / max(1 - least, 1e-12)
+    return odds / (1 + odds)
 
 
 def identify(docs: DataFrame, model: ByteCNN | None) -> DataFrame:

@@ -48,6 +48,19 @@ def test_words_and_shingles_are_those_of_single_texts():
         assert ids[0] == ids[4] and len(set(ids)) == len(texts) - 2
 
 
+def test_hashes_tell_thue_morse_words_apart():
+    """Polynomials modulo 2 ** 64 don't, whatever the base."""
+    word = "a"
+    for _ in range(10):
+        word += word.translate({97: 98, 98: 97})
+    other = word.translate({97: 98, 98: 97})
+    texts = [word, other, " ".join(word), " ".join(other)]
+    (_, _, data, at), = buffers.blocks(pa.array(texts))
+    w = buffers.Words(data, at)
+    assert w.hash[0] != w.hash[1]
+    assert all(x[2] != x[3] for x in buffers.sequence_hash(w))
+
+
 @pytest.mark.parametrize("what", ["words", "quality", "near", "packing", "edit"])
 def test_memory_for_a_long_text_is_bounded(what):
     """A text of some megabytes is worked on in no more than some times its size."""
@@ -432,6 +445,19 @@ def test_members_end_in_a_zero_byte():
         assert sum(map(len, one.pieces())) == n and one.bad is None
 
 
+def test_heads_of_any_length(spark):
+    """An address of some megabytes comes back; garbage behind a version line is left at once."""
+    url = "http://x/" + "y" * (2 << 20)
+    got = {r.page_id: r.payload_bytes for r in warc.round_trip(spark.createDataFrame([(1, url, "one"), (2, "u", "two!")], "page_id long, url string, html string")).collect()}
+    assert got == {1: 3, 2: 4}
+    whole = warc.member(warc.record(1, url, b"one", warc.digest(b"one"), None))
+    assert [x[5]["warc-target-uri"] for x in warc.salvage(whole) if x[0] == "record"] == [url]
+    held = bytearray(b"WARC/1.1\r\nname: value\r\nno field\r\n" + b"z" * 100)
+    assert warc._first(held, False) == "head" and warc._first(held[:26], False) == "more"
+    for k in range(1, 26):
+        assert warc._first(held[:k], False) == "more"
+
+
 def test_warc_round_trip(spark):
     pages = spark.createDataFrame([(1, "http://a", "<p>é</p>", 5), (2, "http://b\r\nx", "<p>é</p>", 5), (3, None, None, 5), (4, "u", "", 5), (5, "u", "WARC/1.0\r\n\r\n\x1f\x00\x08" * 900, 5), (5, "u", "other", 5), (None, "n", "void", 5)], "page_id bigint, url string, html string, digest int")
     got = {(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.round_trip(pages).collect()}
@@ -945,6 +971,21 @@ def test_the_encoder_gives_the_ids_of_whole_texts():
     assert [x.tolist() for x in np.split(ids, np.cumsum(per)[:-1])] == want
 
 
+def test_added_tokens_in_text():
+    """Texts that spell an added token, in any place, have the tokenizer's ids."""
+    from tokenizers import Tokenizer
+
+    tokenizer, rng = Tokenizer.from_file(tokenizer_path()), random.Random(8)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "Word", "x9", "<|", "|>", "'s", "É", " ", "  ", "\n", "<|endof", "text|>", "don't"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(0, 9))) for _ in range(400)] + ["<|endof", "text|>", "plain text"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    at = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    own = packing.Encoder(tokenizer_path())
+    for _ in range(2):  # from the tokenizer and from memory
+        ids, total = own.encode(data, at)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(total)[:-1])] == [[*tokenizer.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+
+
 # --- op8 -------------------------------------------------------------------------------------------------------------
 
 

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from shelfwork.llm import langid, ngram_join
@@ -83,10 +84,29 @@ def test_language_stage_rejects_by_score(spark, make):
     assert sum(i >= 10_000 for i in left) < 40
 
 
-def test_least_score_needs_enough_labels(make):
+def test_least_score_follows_the_least_sure_label(make):
+    """One rule for any number of labels: half of the least odds."""
     docs = make([(i, f"some text {i}", "en" if i % 2 else "fr") for i in range(40)])
     model = langid.train(docs)
-    assert langid.least_score(docs, model) == 0.0 < langid.least_score(docs, model, lost=0.1)
+    for some in (docs, docs.where("doc_id < 3")):
+        least = min(r.score for r in langid.identify(some, model).collect())
+        odds = 0.5 * least / (1 - least)
+        assert abs(langid.least_score(some, model) - odds / (1 + odds)) < 1e-9
+    assert langid.least_score(docs.where("false"), model) == 0.0
+
+
+def test_stages_take_columns_of_any_name(spark, make):
+    """Names with dots, quotes and those that stages use themselves stay as they are, with their values."""
+    rng = random.Random(3)
+    docs = make([(i % 9, _prose(rng, 12), "en", "a") for i in range(12)] + [(1, "same", "en", "b"), (1, "same", "en", "b"), (None, "same", None, None)])
+    names = ["k.z", "__shelfwork_doc", "row", "doc", "hash", "d", "h", "n", "a b", "q`t"]
+    wide = docs.select("doc_id", "text", "lang", "source", *[F.concat(F.lit(f"{i}-"), F.col("text")).alias(x) for i, x in enumerate(names)])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, wide, "")
+        assert got.columns == wide.columns, name
+        for r in got.collect():
+            assert [r[i + 4] for i in range(len(names))] == [f"{i}-{r.text}" for i in range(len(names))]
+    assert corpus_pipeline.exact_duplicates(spark, wide, "").where("text = 'same'").count() == 1
 
 
 def test_near_duplicates_keep_the_least_id(make):
