@@ -249,60 +249,3 @@ def _substrings(text: Column) -> Column:
 
 #: The fields that an answer can be sorted by.
 SORTS = ("total_rating", "first_release_date", "name", "id")
-
-
-def batch_search(requests: DataFrame, games: DataFrame, platforms: DataFrame, genres: DataFrame) -> DataFrame:
-    """req_id, rank (from 0) and id of every request's page.
-
-    ``requests``: req_id, since (ISO date), platform, genre, sort_by (total_rating, first_release_date, name or id),
-    direction, limit, offset; any but req_id may be null. A name that matches nothing doesn't filter. An unknown sort_by
-    sorts by id.
-
-    Requests that differ in req_id, limit and offset only are one search, ranked once and only as far as the deepest
-    page goes. Names are matched once for each different text, games by equi-joins on exploded ids. A search without
-    names that match looks at all games: these are ranked once for each order and span of time, and the search
-    takes the best of the spans after its date, again by equality. Pages then take their places by (search, place).
-    """
-    sort_by = F.coalesce("sort_by", F.lit("total_rating"))
-    up = ~sort_by.isin(*SORTS) | (F.lower(F.coalesce("direction", F.lit("desc"))) == "asc")
-    wanted = requests.select(
-        "req_id", F.unix_seconds(F.col("since").cast("timestamp")).alias("since"), "platform", "genre", F.when(sort_by.isin(*SORTS), sort_by).otherwise("id").alias("sort_by"), F.when(up, "asc").otherwise("desc").alias("direction"),
-        F.least(F.coalesce("limit", F.lit(DEFAULT_ROWS)), F.lit(MOST_ROWS)).alias("limit"), F.coalesce("offset", F.lit(0)).alias("offset"),
-    )
-    deepest = wanted.agg(F.max(F.col("limit") + F.col("offset"))).first()[0] or 0
-    main = games.where(main_only())
-    plain = main.select("id", "name", "total_rating", "first_release_date")
-
-    def matches(text: str, dimension: DataFrame, column: str):
-        texts = wanted.select(text).where(F.col(text).isNotNull()).distinct()
-        named = dimension.select("id", F.explode(_substrings(F.lower("name"))).alias("__sub"))
-        near = texts.join(named, F.col("__sub") == F.lower(text))
-        near = near.withColumn("__n", F.row_number().over(Window.partitionBy(text).orderBy("id"))).where(f"__n <= {MOST_DIMENSIONS}")
-        near = near.select(F.col(text).alias("__text"), F.col("id").alias("__dim"))
-        held = main.select(F.col("id").alias("__game"), F.explode(F.array_distinct(F.transform(column, lambda x: x["id"]))).alias("__dim"))
-        return near.select("__text").distinct(), near.join(held, "__dim").select(F.col("__text").alias(text), F.col("__game").alias("id")).distinct()
-
-    known_p, of_p = matches("platform", platforms, "platforms")
-    known_g, of_g = matches("genre", genres, "genres")
-    asked = wanted.join(known_p.select(F.col("__text").alias("platform"), F.col("__text").alias("__p")), "platform", "left").join(known_g.select(F.col("__text").alias("genre"), F.col("__text").alias("__g")), "genre", "left")
-    shape = ["since", "platform", "genre", "sort_by", "direction"]
-    asked = asked.select("req_id", "since", F.col("__p").alias("platform"), F.col("__g").alias("genre"), "sort_by", "direction", "limit", "offset").withColumn("search", F.to_json(F.struct(*shape)))
-    searches = asked.select("search", *shape).distinct()
-    by_p, by_g = F.col("platform").isNotNull(), F.col("genre").isNotNull()
-    both = searches.where(by_p & by_g).join(of_p, "platform").join(of_g, ["genre", "id"])
-    only_p, only_g = searches.where(by_p & ~by_g).join(of_p, "platform"), searches.where(~by_p & by_g).join(of_g, "genre")
-    found = ["search", "sort_by", "direction", "since", "id"]
-    named = both.select(found).unionByName(only_p.select(found)).unionByName(only_g.select(found)).join(plain, "id")
-    rows = named.where(F.col("since").isNull() | (F.col("first_release_date") >= F.col("since"))).drop("since")
-    # all games by order and span of time, as far as a page can go
-    free = searches.where(~by_p & ~by_g)
-    orders = [F.struct(F.lit(r["sort_by"]).alias("sort_by"), F.lit(r["direction"]).alias("direction")) for r in free.select("sort_by", "direction").distinct().collect()]  # of four fields and two ways
-    spread = plain.withColumn("order", F.explode(F.array(*orders) if orders else F.array().cast("array<struct<sort_by: string, direction: string>>"))).withColumn("at", F.explode(_spans(F.col("first_release_date"))))
-    spread = spread.select("id", "name", "total_rating", "first_release_date", "order.sort_by", "order.direction", "at.level", "at.span")
-    best = Window.partitionBy("sort_by", "direction", "level", "span").orderBy(*_by_request_order())
-    spread = spread.withColumn("__n", F.row_number().over(best)).where(F.col("__n") <= deepest).drop("__n")
-    spans = free.select("search", "sort_by", "direction", F.explode(_later(F.col("since"))).alias("at")).select("search", "sort_by", "direction", "at.level", "at.span")
-    rows = rows.unionByName(spans.join(spread, ["sort_by", "direction", "level", "span"]).drop("level", "span"))
-    ranked = rows.withColumn("__n", F.row_number().over(Window.partitionBy("search").orderBy(*_by_request_order()))).where(F.col("__n") <= deepest).select("search", "__n", "id")
-    places = asked.where(F.col("limit") > 0).select("req_id", "search", "offset", F.explode(F.sequence(F.col("offset") + 1, F.col("offset") + F.col("limit"))).alias("__n"))
-    return places.join(ranked, ["search", "__n"]).select("req_id", (F.col("__n") - 1 - F.col("offset")).cast("bigint").alias("rank"), "id")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwork.functions import scalars as S
-from shelfwork.operators import catalog, commands, library, validate, versions
+from shelfwork.operators import batch, catalog, commands, library, validate, versions
 from shelfwork.sources import tables
 from shelfwork.sources.adapter import Domain, with_views
 
@@ -153,7 +153,62 @@ REQUESTS = """select c_custkey as req_id, case c_custkey % 3 when 0 then '2011-0
  select req_id, cast(n - 1 - "offset" as bigint) as rank, id from o where n > "offset" and n <= "offset" + "limit" """)
 def search_batch(d: Domain) -> DataFrame:
     requests = d.spark.sql(REQUESTS.replace('"', "`"), customer=d.flat("customer"))
-    return catalog.batch_search(requests, d.full_games(), d.platforms(), d.genres())
+    return batch.batch_search(requests, d.full_games(), d.platforms(), d.genres())
+
+
+#: The requests above, four fifths of them with a title: parts of a game's name, so that words are cut anywhere.
+TITLED = "select r.*, case when req_id % 5 <> 4 then substr(upper(p_name), cast(1 + req_id % 3 as int), cast(3 + req_id % 6 as int)) end as title from (" + REQUESTS + ") r left join {part} on p_partkey = req_id"
+
+#: Every request's page in SQL: pg (req_id, rank, id), and m, its matches.
+TITLED_PAGES = f"""rq as ({TITLED.format(customer="customer", part="part")}),
+ tq as (select *, case when trim(title) <> '' then lower(title) end as low from rq),
+ pm as (select platform as text, list(id) as ids from (select distinct platform from rq where platform is not null) t join platforms p on contains(lower(p.name), lower(t.platform)) group by 1),
+ gm as (select genre as text, list(id) as ids from (select distinct genre from rq where genre is not null) t join genres g on contains(lower(g.name), lower(t.genre)) group by 1),
+ pg_ as (select text, game_id from pm join game_platforms on list_contains(ids, platform_id) group by 1, 2),
+ gg as (select text, game_id from gm join game_genres on list_contains(ids, genre_id) group by 1, 2),
+ m as (select rq.*, g.id, g.name, g.total_rating, g.first_release_date from tq rq join games g on g.category = 0
+  and (rq.low is null or len(list_filter(string_split(rq.low, ' '), lambda w: w <> '' and not contains(lower(g.name), w))) = 0)
+  and (rq.since is null or g.first_release_date >= epoch(cast(rq.since as timestamp)))
+  and (rq.platform is null or rq.platform not in (select text from pm) or (rq.platform, g.id) in (select text, game_id from pg_))
+  and (rq.genre is null or rq.genre not in (select text from gm) or (rq.genre, g.id) in (select text, game_id from gg))),
+ k as (select *, case when low is null then case sort_by when 'total_rating' then total_rating when 'first_release_date' then cast(first_release_date as double) end end as num, case when low is null and sort_by = 'name' then name end as txt,
+  case when low is null then 0 when lower(name) = low then 0 when starts_with(lower(name), low) then 1 else 2 end as kind, case when low is null then 0 else length(name) end as long from m),
+ o as (select *, row_number() over (partition by req_id order by kind, long, (num is null and txt is null), case when direction = 'asc' then num end, case when direction = 'desc' then num end desc, case when direction = 'asc' then txt end, case when direction = 'desc' then txt end desc, id) as n from k),
+ pg as (select req_id, cast(n - 1 - "offset" as bigint) as rank, id from o where n > "offset" and n <= "offset" + "limit")"""
+
+TITLED_GROUPS = TITLED_PAGES + """,
+ r as (select pg.req_id, pg.rank, g.id, coalesce(version_parent, 0) = 0 as main, case when coalesce(version_parent, 0) <> 0 then version_parent else g.id end as grp from pg join games g using (id)),
+ h as (select req_id, grp, max(case when main then id end) as head_id from r group by 1, 2),
+ gr as (select h.req_id, h.grp, coalesce(head_id, c.id) as gid, head_id is null and c.id is not null as fetched from h left join games c on c.id = h.grp and h.head_id is null),
+ v as (select r.req_id, r.grp, string_agg(cast(r.id as varchar), '|' order by r.rank) as versions from r where not main group by 1, 2),
+ res as (select gr.req_id, 0 as place, gr.grp as "group", cast(null as bigint) as rank, gid as id, c.name, fetched, coalesce(versions, '') as versions from gr left join v using (req_id, grp) join games c on c.id = gid
+  union all select r.req_id, 1, r.grp, r.rank, r.id, c.name, false, '' from r join gr using (req_id, grp) join games c on c.id = r.id where gid is null)"""
+
+
+def _titled(d: Domain) -> batch.BatchSearch:
+    requests = d.spark.sql(TITLED.replace('"', "`"), customer=d.flat("customer"), part=d.flat("part"))
+    return batch.BatchSearch(requests, d.full_games(), d.platforms(), d.genres())
+
+
+@query(f"with {TITLED_PAGES} select * from pg")
+def search_batch_titles(d: Domain) -> DataFrame:
+    return _titled(d).pages()
+
+
+@query(f"with {TITLED_GROUPS} select * from res")
+def search_batch_groups(d: Domain) -> DataFrame:
+    groups = batch.batch_groups(_titled(d).pages(), d.games())
+    return _flat_groups(groups, "req_id")
+
+
+@query(f"""with {TITLED_GROUPS},
+ t as (select req_id, count(*) as total from m group by 1), b as (select req_id, count(*) as n from pg group by 1), a as (select req_id, count(*) as n from res group by 1)
+ select req_id, "offset" // "limit" + 1 as page, "limit", "offset", case when low is null then coalesce(total, 0) end as total, case when low is null and total > 0 then (total + "limit" - 1) // "limit" end as "totalPages",
+  coalesce(a.n, 0) = "limit" as "hasMore", coalesce(b.n, 0) as "beforeGrouping" from tq left join t using (req_id) left join b using (req_id) left join a using (req_id)""")
+def search_batch_meta(d: Domain) -> DataFrame:
+    search = _titled(d)
+    pages = tables.saved(search.pages(), "pages")
+    return batch.batch_meta(search, pages, batch.batch_groups(pages, d.games()))
 
 
 @query("select id, name, total_rating, first_release_date, cover_url as cover from games where total_rating is not null order by total_rating desc, id limit 50")
@@ -181,8 +236,8 @@ def expand_refs(d: Domain) -> DataFrame:
     return games.select("id", joined(platform).alias("platforms"), joined(S.names(F.col("genres"))).alias("genres"))
 
 
-def _flat_groups(rows: DataFrame) -> DataFrame:
-    return rows.select(F.col("place").cast("int").alias("place"), "group", "rank", "id", "name", "fetched", joined(F.transform("versions", lambda v: v["id"].cast("string"))).alias("versions"))
+def _flat_groups(rows: DataFrame, *by: str) -> DataFrame:
+    return rows.select(*by, F.col("place").cast("int").alias("place"), "group", "rank", "id", "name", "fetched", joined(F.transform("versions", lambda v: v["id"].cast("string"))).alias("versions"))
 
 
 WHOLE = "select *, id as rank from games where category = 0"

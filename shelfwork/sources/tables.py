@@ -18,17 +18,30 @@ def read(spark: SparkSession, name: str, path: str, kind: str = "parquet") -> Da
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as ``spark.checkpoint.dir`` says. Only a session in one process does
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` or the context's checkpoint folder says. Only a session in one process does
     with a temporary one of its own; on a cluster the setting has to be there."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
         master = spark.sparkContext.master
         if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="shelfwork-")
+        if spark.sparkContext.applicationId not in _OWN:
+            _OWN[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="shelfwork-")
+        found = _OWN[spark.sparkContext.applicationId]
     return found.rstrip("/")
 
 
+_OWN: dict[str, str] = {}
+
+
+def saved(rows: DataFrame, name: str) -> DataFrame:
+    """Write ``rows`` to the shared folder and read them back: what several steps use is worked out once, and outlives lost
+    executors. The files stay until that folder is cleared."""
+    path = f"{scratch_folder(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def write_version(table: DataFrame, folder: str, *partition_by: str) -> str:
     """Write a new version of a table beside its older ones and return its path; no version is written over."""
     path = f"{folder.rstrip('/')}/v-{uuid.uuid4().hex}"

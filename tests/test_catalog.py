@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfwork.functions import scalars as S
-from shelfwork.operators import catalog, validate, versions
+from shelfwork.operators import batch, catalog, validate, versions
 from shelfwork.sources import tables
 from shelfwork.sources.schemas import GAMES, PLATFORMS
 
@@ -131,7 +131,7 @@ def test_batch_search_against_single_searches(spark):
     requests = [(k, rng.choice(sinces), rng.choice([None, "dim", "M3", "zz", ""]), rng.choice([None, "dim1", "none"]), rng.choice([None, "name", "id", "first_release_date", "odd"]), rng.choice([None, "ASC", "desc"]), rng.choice([None, 0, 3, 600]), rng.choice([None, 0, 7])) for k in range(80)]
     got: dict = {}
     table = spark.createDataFrame(requests, "req_id int, since string, platform string, genre string, sort_by string, direction string, `limit` bigint, offset bigint")
-    for r in catalog.batch_search(table, spark.createDataFrame(games, kind), dims, dims).collect():
+    for r in batch.batch_search(table, spark.createDataFrame(games, kind), dims, dims).collect():
         got.setdefault(r.req_id, {})[r["rank"]] = r.id
     from datetime import UTC, datetime
 
@@ -149,6 +149,56 @@ def test_batch_search_against_single_searches(spark):
         assert got.get(k, {}) == dict(enumerate(g[0] for g in (some + none)[skip : skip + n])), requests[k]
 
 
+def test_batch_equals_single_requests(spark):
+    """Titles, dates, names and sorts in any mix: pages, groups and meta are those of one search at a time."""
+    import random
+
+    rng = random.Random(11)
+    kind = "id bigint, name string, category int, total_rating double, first_release_date bigint, version_parent bigint, cover struct<url: string>, platforms array<struct<id: bigint, name: string>>, genres array<struct<id: bigint, name: string>>"
+    words = ["red", "Red", "ring", "of", "a", "Éa", "rings", "x"]
+    pick = lambda: [(i, f"d{i}") for i in rng.sample(range(4), rng.randrange(4))] or None
+    rows = [(i, rng.choice([None, *(" ".join(rng.choice(words) for _ in range(rng.randrange(1, 4))) for _ in range(6))]), 0 if i % 7 else 1, rng.choice([None, float(i % 13)]), rng.choice([None, 0, 946684800 + i % 5]), rng.choice([None, 0, 3, 14, 9999, 40]), None, pick(), pick()) for i in range(1, 160)]
+    games = spark.createDataFrame(rows, kind).cache()
+    dims = spark.createDataFrame([(i, f"Dim{i}") for i in range(4)], "id bigint, name string")
+    titles = [None, "", "  ", "red", "RED ring", "ring  of", "éa", "g", "of a", "rin ngs", "zzz", "red zzz", "x", "\u2003a\u2003"]
+    asked = [(k, rng.choice(titles), rng.choice([None, "2000-01-01", "2000-01-01T00:00:02", "2100-01-01"]), rng.choice([None, None, "dim1", "im", "zz"]), rng.choice([None, None, "DIM2", "zz"]), rng.choice([None, "name", "id"]), rng.choice([None, "asc"]), rng.choice([None, 4, 7, 600]), rng.choice([None, 0, 2])) for k in range(60)]
+    requests = spark.createDataFrame(asked, "req_id int, title string, since string, platform string, genre string, sort_by string, direction string, `limit` bigint, offset bigint")
+    search = batch.BatchSearch(requests, games, dims, dims)
+    pages = search.pages().cache()
+    groups = batch.batch_groups(pages, games).cache()
+    meta = {r.req_id: r for r in batch.batch_meta(search, pages, groups).collect()}
+    page_of, group_of = {}, {}
+    for r in pages.orderBy("rank").collect():
+        page_of.setdefault(r.req_id, []).append((r["rank"], r.id))
+    for r in versions.in_order(groups, ("req_id",)).collect():
+        group_of.setdefault(r.req_id, []).append((r.place, r.group, r["rank"], r.id, r.fetched, [v.id for v in r.versions]))
+    for k, title, since, platform, genre, sort_by, direction, limit, offset in asked[:24]:
+        found = catalog.having_any(catalog.having_any(games.where(catalog.main_only()), dims, "platforms", platform), dims, "genres", genre)
+        found = found.where(catalog.released_since(since)) if since else found
+        order = catalog.ordering(sort_by or "total_rating", direction or "desc")
+        if title and title.split():
+            condition, order = catalog.title_rank(title)
+            found = found.where(condition)
+        shown = catalog.page(found, order, limit, offset).cache()
+        assert page_of.get(k, []) == [(r["rank"], r.id) for r in shown.orderBy("rank").collect()], asked[k]
+        single = versions.group_versions(shown, games)
+        assert group_of.get(k, []) == [(r.place, r.group, r["rank"], r.id, r.fetched, [v.id for v in r.versions]) for r in versions.in_order(single).collect()], asked[k]
+        want = catalog.meta(None if title and title.split() else found, single, limit, offset, shown).first()
+        assert {c: want[c] for c in want.asDict()} == {c: meta[k][c] for c in want.asDict()}, asked[k]
+    assert set(meta) == set(range(60))
+
+
+def test_batch_of_nothing(spark):
+    games = spark.createDataFrame([], "id bigint, name string, category int, total_rating double, first_release_date bigint, version_parent bigint, cover struct<url: string>, platforms array<struct<id: bigint, name: string>>, genres array<struct<id: bigint, name: string>>")
+    dims = spark.createDataFrame([], "id bigint, name string")
+    for rows in ([], [(1, "a", None), (2, None, 0)]):
+        search = batch.BatchSearch(spark.createDataFrame(rows, "req_id int, title string, `limit` int"), games, dims, dims)
+        pages = search.pages()
+        assert pages.count() == 0
+        meta = {r.req_id: (r.page, r.total, r.totalPages, r.hasMore) for r in batch.batch_meta(search, pages, batch.batch_groups(pages, games)).collect()}
+        assert meta == ({1: (1, None, None, False), 2: (None, 0, None, True)} if rows else {})
+
+
 def test_cards_and_the_listing_of_a_short_one(spark):
     """Paths of a card in their order, nested ones too; what isn't asked for goes, what is missing is null."""
     kind = "id bigint, name string, platforms array<struct<id: bigint, name: string, slug: string, platform_logo: struct<id: bigint, url: string, width: int>>>, total_rating double, involved_companies array<struct<id: bigint, company: struct<id: bigint, name: string, country: int>, publisher: boolean, developer: boolean>>, odd int"
