@@ -78,7 +78,7 @@ def _described(docs: DataFrame, measure: str | Callable[[Column], Column] | None
     text = F.col("text").cast("string")
     named = F.col(f"`{measure}`") if isinstance(measure, str) else F.lit(1.0)
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(text).alias("row_hash"),
+        F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(text).alias("row_hash"),
         _once(words(text)).alias("size"), F.greatest(F.coalesce(named.cast("double"), F.lit(0.0)), F.lit(0.0)).alias("m"),
     )
     return rows.withColumn("m", measure(F.col("size")).cast("double")) if callable(measure) else rows
@@ -153,7 +153,7 @@ def mixed(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2
     rows = _ranked(_with_marks(_described(docs, measure), marks), seed).withColumn("extra", _extra()).where("size > 0")
     sure = rows.where("extra is not null or rank_key is null").select("row", (F.col("whole") + F.coalesce("extra", F.lit(0))).alias("copies"))
     edge = rows.where("extra is null and rank_key is not null")
-    same = Window.partitionBy("doc_id", "row_hash", "source").orderBy(*[F.col(f"row.`{f.name}`") for f in docs.schema.fields if _orderable(f.dataType)])
+    same = Window.partitionBy("doc_id", "row_hash", "source").orderBy(*[F.col("row")[f.name] for f in docs.schema.fields if _orderable(f.dataType)])
     taken = last.groupBy(F.col("doc_id").alias("d"), F.col("row_hash").alias("h"), F.col("source").alias("s")).agg(F.count(F.lit(1)).alias("n"))
     met = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row_hash") == F.col("h")) & F.col("source").eqNullSafe(F.col("s"))
     edge = edge.withColumn("k", F.row_number().over(same)).join(taken, met, "left").select("row", (F.col("whole") + (F.col("k") <= F.coalesce("n", F.lit(0))).cast("int")).alias("copies"))
