@@ -95,6 +95,55 @@ def page(games: DataFrame, order: list[Column], limit: int | None = None, offset
     return rows.withColumn("rank", F.row_number().over(Window.orderBy(*order)) - 1)
 
 
+#: Rows that a deep page is cut down to before they are sorted, and the parts that a cut counts.
+DEEP, PARTS = 100_000, 32
+
+
+def _behind(sort_by: str, direction: str, value, key) -> Column:
+    """Whether a row comes after (value, key) in the order of ``ordering``."""
+    c = F.col(sort_by)
+    if value is None:
+        return c.isNull() & (F.col("id") > key)
+    further = c > F.lit(value) if direction.lower() == "asc" else c < F.lit(value)
+    return F.coalesce(further | ((c == F.lit(value)) & (F.col("id") > key)), F.lit(True))
+
+
+def deep_page(games: DataFrame, sort_by: str = "total_rating", direction: str = "desc", limit: int | None = None, offset: int | None = None, most: int = DEEP) -> DataFrame:
+    """The same page as ``page``, for offsets of any depth: no task holds or sorts the rows before it.
+
+    A sample by hash of the ids gives at most 31 places in the order; rows are counted between them, and only the parts that
+    the page lies in are looked at further, until these have ``most`` rows at most. Each cut is one scan without a sort or
+    shuffle of rows. Ids should be unique: rows that are equal in the sort field and id can't be cut apart.
+    """
+    n, skip = bounds(limit, offset)
+    order, rows, before = ordering(sort_by, direction), games, 0
+    left, last = games.count(), None
+    while left > max(most, n) and left != last:
+        step = max(1, left // (64 * PARTS))
+        sample = rows.where(F.pmod(F.xxhash64("id", F.lit(left)), F.lit(step)) == 0).select(F.col(sort_by).alias("v"), F.col("id").alias("k"))
+        c = F.col("v").asc_nulls_last() if direction.lower() == "asc" else F.col("v").desc_nulls_last()
+        found = sample.orderBy(c, "k").limit(256 * PARTS).collect()
+        cuts = [found[len(found) * i // PARTS] for i in range(1, PARTS) if found]
+        part = reduce(lambda a, b: a + b, [_behind(sort_by, direction, r["v"], r["k"]).cast("int") for r in cuts], F.lit(0))
+        sizes = {r["p"]: r["n"] for r in rows.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+        ends, upto = [], before
+        for p in range(len(cuts) + 1):
+            upto += sizes.get(p, 0)
+            ends.append(upto)
+        first = next((p for p, e in enumerate(ends) if e > skip), None)
+        if first is None:
+            return rows.where(F.lit(False)).withColumn("rank", F.lit(0))
+        end = next((p for p, e in enumerate(ends) if e >= skip + n), len(cuts))
+        before = ends[first - 1] if first else before
+        if first:
+            rows = rows.where(_behind(sort_by, direction, cuts[first - 1]["v"], cuts[first - 1]["k"]))
+        if end < len(cuts):
+            rows = rows.where(~_behind(sort_by, direction, cuts[end]["v"], cuts[end]["k"]))
+        last, left = left, sum(sizes.get(p, 0) for p in range(first, end + 1))
+    found = rows.orderBy(*order).offset(skip - before).limit(n)
+    return found.withColumn("rank", F.row_number().over(Window.orderBy(*order)) - 1)
+
+
 def total(games: DataFrame) -> DataFrame:
     return games.agg(F.count(F.lit(1)).alias("total"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfwork.functions import scalars as S
 from shelfwork.operators import batch, catalog, commands, library, validate, versions
-from shelfwork.sources import tables
+from shelfwork.sources import store, tables
 from shelfwork.sources.adapter import Domain, with_views
 
 QUERIES: dict = {}
@@ -100,6 +100,14 @@ def search_page(d: Domain) -> DataFrame:
     return _page(d).select("id", "name", "total_rating", F.col("rank").cast("bigint").alias("rank"))
 
 
+@query("""select id, name, total_rating, cast(row_number() over (order by total_rating desc nulls last, id) - 1 as bigint) as rank
+ from (select * from games where category = 0 order by total_rating desc nulls last, id limit 50 offset 900)""")
+def search_deep_page(d: Domain) -> DataFrame:
+    """Cut down to 200 rows before any sort."""
+    rows = catalog.deep_page(d.games().where(catalog.main_only()), "total_rating", "desc", 50, 900, most=200)
+    return rows.select("id", "name", "total_rating", F.col("rank").cast("bigint").alias("rank"))
+
+
 def _grouped(page: str, strict: bool) -> str:
     """The grouping in SQL: groups and orphans of a page (id, name, cover_url, category, version_parent, rank)."""
     return f"""
@@ -494,6 +502,39 @@ def library_roundtrip(d: Domain) -> DataFrame:
     return got.select(F.col("_id").cast("bigint").alias("_id"), F.col("userId").cast("bigint").alias("user_id"), joined("categories").alias("categories"), F.col("igdb_data.name").alias("name"))
 
 
+@query(f"""with {ENTRIES} select backlog_id as _id, user_id, {TEXT} as categories, game_name as name, 'row' as kind from entries where user_id not in (select s_suppkey from supplier)
+ union all select o_orderkey, s_suppkey, null, null, 'reject' from supplier join orders on o_custkey = s_suppkey + 1 where not exists (select 1 from backlogs b where b.backlog_id = o_orderkey and b.user_id = s_suppkey)""")
+def library_store(d: Domain) -> DataFrame:
+    """Users who are suppliers delete all their entries, and ask for those of the next user too; only their buckets are written anew."""
+    held = store.Store(d.spark, f"{tables.scratch_folder(d.spark)}/library-{uuid.uuid4().hex}")
+    held.create(d.backlogs())
+    who = d.flat("supplier").select(F.col("s_suppkey").alias("userId"))
+    orders = d.flat("orders").select(F.col("o_orderkey").alias("_id"), F.col("o_custkey").alias("customer"))
+    asked = who.join(orders, (F.col("customer") == F.col("userId")) | (F.col("customer") == F.col("userId") + 1)).select(F.col("_id").alias("seq"), "_id", "userId")
+    manifest, rejects = held.change(asked, commands.delete_rows)
+    left = held.read(manifest=manifest).select("_id", F.col("userId").alias("user_id"), joined(F.col("categories").cast("array<string>")).alias("categories"), F.col("igdb_data.name").alias("name"), F.lit("row").alias("kind"))
+    refused = rejects.join(asked, "seq").select("_id", F.col("userId").alias("user_id"), F.lit(None).cast("string").alias("categories"), F.lit(None).cast("string").alias("name"), F.lit("reject").alias("kind"))
+    return left.unionByName(refused)
+
+
+#: Two updates of each order under numbers that repeat, and none for each 700th.
+REPEATED = "select rid, nullif(rid % 700, 0) as seq, ts, _id, user_id, categories from (select seq * 2 as rid, ts, _id, user_id, categories from ({updates}) union all select seq * 2 + 1, ts, seq, user_id, null from ({updates}))"
+
+
+@query(f"""with {ENTRIES}, up as ({REPEATED.format(updates=UPDATES_SQL)}),
+ own as (select u.rid, count(distinct c.category_id) as met from up u, unnest(u.categories) as t(cid) join categories c on c.category_id = t.cid and c.user_id = u.user_id group by 1),
+ j as (select u.*, {OK} as ok from up u left join own using (rid)), n as (select _id, user_id, max(categories) as categories, max(ts) as ts from j where ok group by 1, 2)
+ select e.backlog_id as key, array_to_string(coalesce(n.categories, e.categories), '|') as value, strftime(coalesce(n.ts, e.created_at), '%Y-%m-%d') as updated, cast(1 as bigint) as times from entries e left join n on n._id = e.backlog_id and n.user_id = e.user_id
+ union all select seq, case when not ok then 'CATEGORIES_NOT_OWNED' else 'GAME_NOT_FOUND' end as reason, null, count(*) from j left join backlogs b on b.backlog_id = j._id and b.user_id = j.user_id where not ok or b.backlog_id is null group by seq, reason""")
+def repeated_commands(d: Domain) -> DataFrame:
+    updates = UPDATES.format(a="array(", z=")", none="cast(array() as array<bigint>)", orders="{orders}")
+    rows = d.spark.sql(REPEATED.format(updates=updates), orders=d.flat("orders")).drop("rid").withColumnRenamed("user_id", "userId").withColumn("ts", F.col("ts").cast("timestamp"))
+    old = d.backlogs()
+    new, rejects = commands.update_entries(old, d.categories(), rows.withColumns({c: F.lit(None).cast(old.schema[c].dataType) for c in ("igdb_data", "player_data")}))
+    shown = new.select(F.col("_id").alias("key"), joined(F.col("categories").cast("array<string>")).alias("value"), F.date_format("updatedAt", "yyyy-MM-dd").alias("updated"), F.lit(1).cast("bigint").alias("times"))
+    return shown.unionByName(rejects.groupBy(F.col("seq").alias("key"), F.col("reason").alias("value")).agg(F.count(F.lit(1)).alias("times")).withColumn("updated", F.lit(None).cast("string")))
+
+
 RECORDS = """p as (select game_id, string_agg(concat(pl.id, ':', pl.name{logo}), '|' order by pl.id) as platforms from game_platforms join platforms pl on pl.id = platform_id group by game_id),
  g as (select game_id, string_agg(concat(gn.id, ':', gn.name), '|' order by gn.id) as genres from game_genres join genres gn on gn.id = genre_id group by game_id)"""
 FULL_FIELDS = "id,name,summary,storyline,first_release_date,genres,platforms,cover,screenshots,artworks,involved_companies,rating,aggregated_rating,follows,hypes,game_localizations,language_supports,similar_games,franchise,collection,version_parent,category,status"
