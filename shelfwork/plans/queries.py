@@ -510,7 +510,8 @@ def library_store(d: Domain) -> DataFrame:
     held.create(d.backlogs())
     who = d.flat("supplier").select(F.col("s_suppkey").alias("userId"))
     orders = d.flat("orders").select(F.col("o_orderkey").alias("_id"), F.col("o_custkey").alias("customer"))
-    asked = who.join(orders, (F.col("customer") == F.col("userId")) | (F.col("customer") == F.col("userId") + 1)).select(F.col("_id").alias("seq"), "_id", "userId")
+    asked = who.join(orders, (F.col("customer") == F.col("userId")) | (F.col("customer") == F.col("userId") + 1))
+    asked = asked.select((F.col("_id") * 2 + (F.col("customer") == F.col("userId")).cast("int")).alias("seq"), "_id", "userId")
     manifest, rejects = held.change(asked, commands.delete_rows)
     left = held.read(manifest=manifest).select("_id", F.col("userId").alias("user_id"), joined(F.col("categories").cast("array<string>")).alias("categories"), F.col("igdb_data.name").alias("name"), F.lit("row").alias("kind"))
     refused = rejects.join(asked, "seq").select("_id", F.col("userId").alias("user_id"), F.lit(None).cast("string").alias("categories"), F.lit(None).cast("string").alias("name"), F.lit("reject").alias("kind"))

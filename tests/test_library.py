@@ -195,7 +195,7 @@ def test_registration_by_components(spark, together):
     import random
 
     rng = random.Random(1)
-    n = 10_000 if together > 40 else 120
+    n = 10_000 if together > 40 else 45
     # from the second row on a chain is decided one by one, as its first rows come last
     rows = [(i, n - i, f"u{(i + 1) // 2}", f"e{i // 2}") for i in range(n)] + [(n + i, rng.randrange(9), rng.choice([None, f"x{rng.randrange(150)}"]), rng.choice([None, f"y{rng.randrange(150)}"])) for i in range(400)]
     cmd = spark.createDataFrame(rows, "seq bigint, ts bigint, username string, email string").repartition(3)
