@@ -8,9 +8,11 @@ by what came out before where the mixture said the same. Bits add up to the text
 
 How it is spread. What is predicted of a byte depends on the byte sequence that ends at it alone, so all work is done
 once for each distinct sequence. Rows are gathered in blocks of some megabytes; a block's distinct sequences are packed
-by parts: the last three context bytes are hashed by a bijection of 24 bits, and a part is a range of the hash. Spark
-brings the packs of a part together and adds up counts, so a part has all that orders 3 to 6 need, whole and exact,
-sequences that occur once too; orders 0 to 2 have a table of fixed size (2 ** 24 places) that is broadcast. To score,
+by parts: the last three context bytes are hashed by a bijection of 24 bits, and a part is a range of the hash. There are
+the more parts the more text there is, and a context with more than a part's share is split by the byte before it. Spark
+brings the packs of a part together and adds up counts, so a part has all that orders 3 to 6 need, whole and exact (of
+a split context order 3 is added up in a second step), sequences that occur once too; orders 0 to 2 have a table of
+fixed size (2 ** 24 places) that is broadcast. To score,
 blocks send their sequences to the parts, get the log-probabilities back in the same order, and sum them up by text.
 Words go the same way for the base score. So no table that grows with the corpus is ever in one place.
 
@@ -42,9 +44,12 @@ END = 255
 #: Bytes of text in a block, and in a window of it.
 BLOCK = 16 << 20
 WINDOW = 1 << 21
-#: Ranges of hashed contexts, and as many of word hashes behind them.
-PART_BITS = 10
-PARTS = 1 << PART_BITS
+#: A part is a range of hashed contexts (and another one of word hashes): 2 ** LEAST_BITS at least, and so many that one stands
+#: for about PART_BYTES of text.
+LEAST_BITS = 10
+PART_BYTES = 1 << 25
+#: Bytes of text, about, that contexts with more than a part's share are looked for in, and how often these must be there.
+SAMPLE, SEEN = 1 << 26, 64
 #: Sequences in a row of the merged table, about; a row has all sequences of its three-byte contexts.
 ROW = 1 << 16
 GATES = 4 * ORDERS + 1
@@ -162,12 +167,68 @@ def unpacked_keys(data: bytes, n: int) -> np.ndarray:
     return np.cumsum(_unplaned(data, n, _U), dtype=_U)
 
 
-def _ranges(keys: np.ndarray, kind: int):
-    """(part, first, last) of the parts that sorted keys of a kind (0: sequences, 1: words) fall into."""
-    shift = _U((56 if kind == 0 else 64) - PART_BITS)
-    edges = np.searchsorted(keys >> shift, np.arange(PARTS + 1, dtype=_U))
-    for part in np.flatnonzero(np.diff(edges)).tolist():
-        yield part + kind * PARTS, int(edges[part]), int(edges[part + 1])
+class Layout:
+    """Which part a sequence or word is in. Parts of sequences are ranges of the hash of three context bytes. A context in
+    ``hot`` (hashed, sorted) has 256 parts of its own instead, by the fourth byte, so that no part grows with what one
+    context has: of the last seven bytes three are left to differ there. Words come behind. Which parts there are
+    decides where work is done, not what comes out."""
+
+    def __init__(self, bits: int = LEAST_BITS, hot: np.ndarray | None = None):
+        self.bits, self.hot = bits, np.zeros(0, np.uint64) if hot is None else hot
+        self.first_hot = 1 << bits
+        self.first_word = self.first_hot + 256 * len(self.hot)
+
+    def part(self, keys: np.ndarray, kind: int) -> np.ndarray:
+        if kind:
+            return (keys >> _U(64 - self.bits)).astype(np.int64) + self.first_word
+        context = keys >> _U(32)
+        part = (context >> _U(24 - self.bits)).astype(np.int64)
+        if len(self.hot):
+            at = np.minimum(np.searchsorted(self.hot, context), len(self.hot) - 1)
+            own = np.flatnonzero(self.hot[at] == context)
+            part[own] = self.first_hot + 256 * at[own] + ((keys[own] >> _U(24)) & _U(255)).astype(np.int64)
+        return part
+
+    def split(self, keys: np.ndarray, kind: int):
+        """(part, places of its keys) of the parts that sorted keys of a kind (0: sequences, 1: words) fall into, by part."""
+        if not len(keys):
+            return
+        part, order = self.part(keys, kind), None
+        if not kind and len(self.hot):
+            order = np.argsort(part, kind="stable")
+            part = part[order]
+        edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(part)], strict=True):
+            yield int(part[a]), slice(a, b) if order is None else order[a:b]
+
+    def in_order(self, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """Values that come by part, in the order of the sorted sequences they belong to."""
+        if not len(self.hot):
+            return values
+        out = np.empty_like(values)
+        out[np.argsort(self.part(keys, 0), kind="stable")] = values
+        return out
+
+
+def _contexts(batches):
+    """How often each hashed context of three bytes occurs."""
+    for batch in batches:
+        for _, code in Stream(_texts(batch.column(0))).windows():
+            context, n = counted(code >> _U(32))
+            yield pa.RecordBatch.from_arrays([pa.array(context.astype(np.int64)), pa.array(n)], names=["context", "n"])
+
+
+def laid_out(docs: DataFrame, part_bytes: int = PART_BYTES, sample: int = SAMPLE, seen: int = SEEN) -> Layout:
+    """Parts for ``docs`` (text): their number grows with the bytes of text; which contexts have parts of their own comes from a
+    sample of texts."""
+    text = F.col("text").cast("string")
+    total = docs.agg(F.coalesce(F.sum(F.octet_length(text) + 1), F.lit(0))).first()[0]
+    bits = min(24, max(LEAST_BITS, (total // part_bytes).bit_length()))
+    rate = min(1.0, sample / max(total, 1))
+    some = docs.select(text.alias("text")).where(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 40)) < int((1 << 40) * rate))
+    most = max(seen, int(rate * part_bytes))
+    found = some.mapInArrow(_contexts, "context long, n long").groupBy("context").agg(F.sum("n").alias("n")).where(F.col("n") > most).select("context").collect()  # at most sample / seen rows
+    return Layout(bits, np.array(sorted(r["context"] for r in found), np.uint64))
 
 
 # --- counting --------------------------------------------------------------------------------------------------------
@@ -222,7 +283,7 @@ def _counts_of(texts: list[bytes], kind: int) -> tuple[np.ndarray, np.ndarray]:
 _COUNTS = "part int, rows int, keys binary, n binary"
 
 
-def _count(batches):
+def _count(batches, layout: Layout):
     """Packed counts of a partition's blocks; sequences and words of texts that aren't learnt from have count 0."""
 
     def emit(held):
@@ -236,7 +297,7 @@ def _count(batches):
                     n.append(c if learn else np.zeros_like(c))
             if keys:
                 k, c = added(keys, n)
-                rows += [(part, b - a, packed_keys(k[a:b]), _planes(c[a:b])) for part, a, b in _ranges(k, kind)]
+                rows += [(part, len(own), packed_keys(own), _planes(c[at])) for part, at in layout.split(k, kind) for own in (k[at],)]
         if rows:
             yield _table(rows, _COUNTS)
 
@@ -261,15 +322,19 @@ def _table(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, _TYPES[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
 
 
-_MERGED = "part int, rows int, keys binary, n binary, known long, total long"
+_MERGED = "part int, rows int, keys binary, n binary, known long, total long, context long"
 
 
-def _merge(batches):
-    """Rows come sorted by part. The sums of each part, cut where the first three context bytes change."""
+def _merge(batches, layout: Layout):
+    """Rows come sorted by part. The sums of each part, cut where the first three context bytes change; the parts of a context
+    with parts of its own are rows, with the context."""
 
     def emit(part, keys, n):
         k, c = added(keys, n)
-        if part < PARTS:
+        hot = layout.first_hot <= part < layout.first_word
+        if hot:
+            cuts = [0]
+        elif part < layout.first_hot:
             head = k >> _U(32)
             starts = np.flatnonzero(np.concatenate([[True], head[1:] != head[:-1]]))
             cuts = [0]
@@ -279,7 +344,8 @@ def _merge(batches):
         else:
             cuts = list(range(0, len(k), ROW))
         cuts.append(len(k))
-        yield _table([(part, b - a, packed_keys(k[a:b]), _planes(c[a:b]), int((c[a:b] > 0).sum()), int(c[a:b].sum())) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], _MERGED)
+        context = int(k[0] >> _U(32)) if hot else None
+        yield _table([(part, b - a, packed_keys(k[a:b]), _planes(c[a:b]), int((c[a:b] > 0).sum()), int(c[a:b].sum()), context) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], _MERGED)
 
     now, keys, n, held = None, [], [], 0
     for batch in batches:
@@ -298,11 +364,39 @@ def _merge(batches):
         yield from emit(now, keys, n)
 
 
-def counts(docs: DataFrame, learn: Column) -> DataFrame:
-    """The merged table of all sequences and words of ``docs`` (text), counted where ``learn`` holds."""
+def _by_byte(batches):
+    """context, byte, n of the rows of contexts with parts of their own."""
+    for batch in batches:
+        for context, (keys, n) in zip(batch.column(batch.schema.get_field_index("context")).to_pylist(), _sequences(batch), strict=True):
+            sums = np.bincount((keys & _U(255)).astype(np.int64), weights=n, minlength=256)
+            at = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array([context] * len(at), pa.int64()), pa.array(at.astype(np.int32)), pa.array(sums[at])], names=["context", "byte", "n"])
+
+
+def _dense(batches):
+    """The counts of a context's bytes as 256 numbers."""
+    for batch in batches:
+        out = []
+        for pairs in batch.column(1).to_pylist():
+            table = np.zeros(256, np.float32)
+            for p in pairs:
+                table[p["byte"]] = p["n"]
+            out.append(table.tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["context", "third"])
+
+
+def counts(docs: DataFrame, learn: Column, layout: Layout) -> DataFrame:
+    """The merged table of all sequences and words of ``docs`` (text), counted where ``learn`` holds. Where the sequences of a
+    context are in several parts, each has what order 3 counts of it in ``third``."""
     rows = docs.select(F.coalesce(learn, F.lit(False)).alias("learn"), F.col("text").cast("string").alias("text"))
-    raw = rows.mapInArrow(_count, _COUNTS)
-    return stash(raw.repartition("part").sortWithinPartitions("part").mapInArrow(_merge, _MERGED), "counts")
+    raw = rows.mapInArrow(lambda b: _count(b, layout), _COUNTS)
+    merged = stash(raw.repartition("part").sortWithinPartitions("part").mapInArrow(lambda b: _merge(b, layout), _MERGED), "counts")
+    if not len(layout.hot):
+        return merged.withColumn("third", F.lit(None).cast("binary"))
+    hot = merged.where("context is not null").select("context", "rows", "keys", "n").mapInArrow(_by_byte, "context long, byte int, n double")
+    sums = hot.groupBy("context", "byte").agg(F.sum("n").alias("n")).groupBy("context").agg(F.collect_list(F.struct("byte", "n")).alias("pairs"))  # 256 at most
+    third = stash(sums.mapInArrow(_dense, "context long, third binary"), "order-3")
+    return merged.join(third, "context", "left").select(*merged.columns, "third")
 
 
 # --- the model -------------------------------------------------------------------------------------------------------
@@ -365,16 +459,17 @@ class Model:
             out.append((table[own], where))
         return out
 
-    def inputs(self, keys: np.ndarray, n: np.ndarray, apart: bool = False):
+    def inputs(self, keys: np.ndarray, n: np.ndarray, apart: bool = False, third: np.ndarray | None = None):
         """For each of the eight bits: (bit, order-0 context, inputs, gate) of sorted sequences, all those of their
-        three-byte contexts. With ``apart`` what occurs is left out once of the counts."""
+        three-byte contexts; or, with the counts of the bytes of their one three-byte context in ``third``, all those of their
+        four-byte contexts. With ``apart`` what occurs is left out once of the counts."""
         byte64 = keys & _U(255)
         byte = byte64.astype(np.int64)
         last = unhashed(keys >> _U(32))
         near, far = (last >> _U(16)).astype(np.int64), ((last >> _U(8)) & _U(255)).astype(np.int64)
         held = []
         key, count, where = keys, n.astype(np.float64), None
-        for order in range(ORDERS - 1, 2, -1):
+        for order in range(ORDERS - 1, 2 if third is None else 3, -1):
             if order < ORDERS - 1:
                 short = ((key >> _U(16)) << _U(8)) | (key & _U(255))
                 rank = np.argsort(short, kind="stable")
@@ -387,6 +482,8 @@ class Model:
                 where = back if where is None else back[where]
             held.append((order, where, key & _U(255), bit_counts(key >> _U(8), key & _U(255), count)))
         low = self._low(near, far)
+        if third is not None:
+            low.append((third[None, :], np.zeros(len(keys), np.int64)))
         for k in range(8):
             bit = (byte >> (7 - k)) & 1
             x = np.empty((len(keys), INPUTS), np.float32)
@@ -419,11 +516,11 @@ class Model:
     def _bucket(self, z: np.ndarray) -> np.ndarray:
         return np.clip(np.rint((z + 8) * 2), 0, BUCKETS - 1).astype(np.int64)
 
-    def log10(self, keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+    def log10(self, keys: np.ndarray, n: np.ndarray, third: np.ndarray | None = None) -> np.ndarray:
         """log10 of the probability of each sequence's last byte after those before it: the mixture of each bit, averaged
         with what came out before where it said the same."""
         out = np.zeros(len(keys))
-        for bit, node, x, gate in self.inputs(keys, n):
+        for bit, node, x, gate in self.inputs(keys, n, third=third):
             z = self.mixed(x, gate)
             p = squash(z)
             seen = self.refined[node, self._bucket(z)]
@@ -432,13 +529,13 @@ class Model:
             out += np.log10(np.where(bit == 1, p, 1 - p))
         return out
 
-    def learn(self, keys: np.ndarray, n: np.ndarray, rate: float, seen: np.ndarray | None = None) -> float:
+    def learn(self, keys: np.ndarray, n: np.ndarray, rate: float, seen: np.ndarray | None = None, third: np.ndarray | None = None) -> float:
         """Online steps over the bits of small runs of sequences; ``seen`` gathers what came out, by order-0 context and
         bucket of the mixture. Returns the bytes learnt from."""
         own = np.flatnonzero(n > 0)
         own = own[np.argsort(buffers.mix(keys[own].copy()))]  # neighbours in a run aren't neighbours in the table
         mass = n.astype(np.float64)
-        for bit, node, x, gate in self.inputs(keys, n, apart=True):
+        for bit, node, x, gate in self.inputs(keys, n, apart=True, third=third):
             for k in range(0, len(own), 1024):
                 run = own[k : k + 1024]
                 xr, gr, br, m = x[run], gate[run], bit[run], mass[run]
@@ -474,6 +571,10 @@ def _sequences(batch: pa.RecordBatch):
         yield unpacked_keys(keys, rows), _unplaned(n, rows, np.int64)
 
 
+def _thirds(batch: pa.RecordBatch) -> list[np.ndarray | None]:
+    return [None if t is None else np.frombuffer(t, np.float32) for t in batch.column(batch.schema.get_field_index("third")).to_pylist()]
+
+
 def _low(batches):
     """Counts of (nearest context byte, the one before, byte) of a partition's rows."""
     for batch in batches:
@@ -489,8 +590,8 @@ def _learned(shared, weights: np.ndarray, rate: float, observe: bool):
         model, mass = Model(_unpacked(shared), weights.copy()), 0.0
         seen = np.zeros((256, BUCKETS, 2)) if observe else None
         for batch in batches:
-            for keys, n in _sequences(batch):
-                mass += model.learn(keys, n, rate, seen)
+            for (keys, n), third in zip(_sequences(batch), _thirds(batch), strict=True):
+                mass += model.learn(keys, n, rate, seen, third)
         if mass:
             flat = np.zeros(0) if seen is None else seen.ravel()
             at = np.flatnonzero(flat)
@@ -501,10 +602,10 @@ def _learned(shared, weights: np.ndarray, rate: float, observe: bool):
     return run
 
 
-def train(merged: DataFrame, rounds=(0.03, 0.01)):
+def train(merged: DataFrame, layout: Layout, rounds=(0.03, 0.01)):
     """(broadcast of the table of low orders, weights, refinement) from ``counts``."""
     spark = merged.sparkSession
-    grams = merged.where(F.col("part") < PARTS).select("rows", "keys", "n")
+    grams = merged.where(F.col("part") < layout.first_word).select("rows", "keys", "n", "third")
     got = grams.mapInArrow(_low, "cell int, n double").groupBy("cell").agg(F.sum("n").cast("float").alias("n")).toArrow()  # at most 2 ** 24 rows
     table = small_orders(got["cell"].to_numpy(), got["n"].to_numpy())
     del got
@@ -532,23 +633,23 @@ _ASKED = "dest long, kind int, block long, seq long, rows int, keys binary, vals
 _TEXTS = 1 << 40
 
 
-def _valued(shared, weights, refined):
+def _valued(shared, weights, refined, layout: Layout):
     """The merged table with log10 of the probability of each sequence, and the count of each word, as four bytes or eight."""
 
     def run(batches):
         model = Model(_unpacked(shared), weights, refined)
         for batch in batches:
             out = []
-            for part, rows, keys, n in zip(*(batch.column(c).to_pylist() for c in ("part", "rows", "keys", "n")), strict=True):
+            for part, rows, keys, n, third in zip(*(batch.column(c).to_pylist() for c in ("part", "rows", "keys", "n")), _thirds(batch), strict=True):
                 k, c = unpacked_keys(keys, rows), _unplaned(n, rows, np.int64)
-                out.append((part, 0, 0, 0, rows, keys, _planes(model.log10(k, c).astype(np.float32) if part < PARTS else c), None, None))
+                out.append((part, 0, 0, 0, rows, keys, _planes(model.log10(k, c, third).astype(np.float32) if part < layout.first_word else c), None, None))
             if out:
                 yield _table(out, _ASKED)
 
     return run
 
 
-def _ask(batches):
+def _ask(batches, layout: Layout):
     """Each block's texts as they are, and its distinct keys by part."""
     from pyspark import TaskContext
 
@@ -559,7 +660,7 @@ def _ask(batches):
         stream = Stream(held)
         rows = []
         for kind, keys in ((0, _all(distinct(code) for _, code in stream.windows())), (1, _all(distinct(h) for _, _, h in _words(held)))):
-            rows += [(part, 1, block, part, b - a, packed_keys(keys[a:b]), None, None, None) for part, a, b in _ranges(keys, kind)]
+            rows += [(part, 1, block, part, len(own), packed_keys(own), None, None, None) for part, at in layout.split(keys, kind) for own in (keys[at],)]
         return _table(rows, _ASKED)
 
     for batch in batches:
@@ -595,7 +696,7 @@ def _passed(batch: pa.RecordBatch, first: int, end: int, block: int, seq: int) -
     return pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
 
-def _answer(batches):
+def _answer(batches, layout: Layout):
     """Rows come sorted by dest and kind: a part's values, then the blocks' keys, which get theirs; texts pass."""
     now, keys, vals, ready = None, [], [], None
     for batch in batches:
@@ -605,7 +706,7 @@ def _answer(batches):
         own = batch.slice(0, texts)
         for i, rows, k, v, block in zip(range(texts), own.column(4).to_pylist(), own.column(5).to_pylist(), own.column(6).to_pylist(), own.column(2).to_pylist(), strict=True):
             part = int(dest[i])
-            kind_of = np.float32 if part < PARTS else np.int64
+            kind_of = np.float32 if part < layout.first_word else np.int64
             if part != now:
                 now, keys, vals, ready = part, [], [], None
             if kind[i] == 0:
@@ -657,7 +758,7 @@ class Lookup:
 _SCORED = "doc_id long, n_bytes long, score double, n_words long, known long, total double"
 
 
-def _score(batches):
+def _score(batches, layout: Layout):
     """Rows come sorted by block and kind: values in the order of parts, then the block's texts in their order."""
 
     def done(values, ids, texts):
@@ -665,7 +766,8 @@ def _score(batches):
             return None
         stream = Stream(texts)
         score, words = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-        look = Lookup(_all(distinct(code) for _, code in stream.windows()), np.concatenate(values[0]))
+        keys = _all(distinct(code) for _, code in stream.windows())
+        look = Lookup(keys, layout.in_order(keys, np.concatenate(values[0])))
         for first, code in stream.windows():
             stream.sums(first, look(code).astype(np.float64), score)
         known, total = np.zeros(len(texts), np.int64), np.zeros(len(texts))
@@ -693,7 +795,7 @@ def _score(batches):
             own = batch.slice(a, b - a)
             if kinds[a] == 1:
                 for part, rows, v in zip(*(own.column(i).to_pylist() for i in (3, 4, 6)), strict=True):
-                    values[part >= PARTS].append(_unplaned(v, rows, np.float32 if part < PARTS else np.int64))
+                    values[part >= layout.first_word].append(_unplaned(v, rows, np.float32 if part < layout.first_word else np.int64))
             else:
                 ids += own.column(7).to_pylist()
                 texts += _texts(own.column(8))
@@ -701,22 +803,23 @@ def _score(batches):
         yield got
 
 
-def score(docs: DataFrame, learn: Column) -> DataFrame:
+def score(docs: DataFrame, learn: Column, layout: Layout | None = None) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score, n_bytes (coded ones: the text's and its end), bits_per_byte
     of every row of ``docs`` (doc_id, text), by the texts of those rows for which ``learn`` holds."""
     short_batches(docs)
-    merged = counts(docs, learn)
-    shared, weights, refined = train(merged)
+    layout = layout or laid_out(docs)
+    merged = counts(docs, learn, layout)
+    shared, weights, refined = train(merged, layout)
     ends = docs.where(learn).count()
-    stats = merged.where(F.col("part") >= PARTS).agg(F.coalesce(F.sum("known"), F.lit(0)).alias("v"), F.coalesce(F.sum("total"), F.lit(0)).alias("n")).first()
+    stats = merged.where(F.col("part") >= layout.first_word).agg(F.coalesce(F.sum("known"), F.lit(0)).alias("v"), F.coalesce(F.sum("total"), F.lit(0)).alias("n")).first()
     tokens, kinds = stats["n"] + ends, stats["v"] + (ends > 0)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    asked = rows.mapInArrow(_ask, _ASKED).unionByName(merged.mapInArrow(_valued(shared, weights, refined), _ASKED))
-    answered = asked.repartition("dest").sortWithinPartitions("dest", "kind").mapInArrow(_answer, _ASKED)
+    asked = rows.mapInArrow(lambda b: _ask(b, layout), _ASKED).unionByName(merged.mapInArrow(_valued(shared, weights, refined, layout), _ASKED))
+    answered = asked.repartition("dest").sortWithinPartitions("dest", "kind").mapInArrow(lambda b: _answer(b, layout), _ASKED)
     # blocks of the same and of neighbouring input partitions go to different ones, evenly
     spread = (F.shiftright("block", 20) + F.col("block").bitwiseAND((1 << 20) - 1)).cast("int")
     partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
-    out = answered.repartitionById(partitions, spread).sortWithinPartitions("block", "kind", "seq").mapInArrow(_score, _SCORED)
+    out = answered.repartitionById(partitions, spread).sortWithinPartitions("block", "kind", "seq").mapInArrow(lambda b: _score(b, layout), _SCORED)
     floor = float(np.log10(tokens + kinds + 1))
     base = F.col("total") + F.lit(float(np.log10(ends + 1.0))) - (F.col("n_words") + 1) * F.lit(floor)
     return out.select(

@@ -527,8 +527,9 @@ def test_scores_are_those_of_counting_by_hand(make):
     texts = ["Abcab abcab!", "abcabcab", "", "xyz abc", "été abc"]
     docs = make(list(enumerate(texts)))
     learn = F.col("doc_id") < 3
-    merged = mixing_lm.counts(docs, learn)
-    _, weights, refined = mixing_lm.train(merged)
+    layout = mixing_lm.Layout()
+    merged = mixing_lm.counts(docs, learn, layout)
+    _, weights, refined = mixing_lm.train(merged, layout)
     got = {r.doc_id: r.score for r in mixing_lm.score(docs, learn).collect()}
     assert [got[i] for i in range(5)] == pytest.approx(_by_hand(texts[:3], texts, weights, refined), rel=1e-5)
 
@@ -551,9 +552,10 @@ def test_learning_improves_the_mixture(make):
     rng = random.Random(5)
     docs = make([(i, prose(rng, 80, 30)) for i in range(40)])
     learn = F.col("doc_id") < 30
-    merged = mixing_lm.counts(docs, learn)
-    shared, weights, refined = mixing_lm.train(merged)
-    rows = merged.where(F.col("part") < mixing_lm.PARTS).toArrow()
+    layout = mixing_lm.Layout()
+    merged = mixing_lm.counts(docs, learn, layout)
+    shared, weights, refined = mixing_lm.train(merged, layout)
+    rows = merged.where(F.col("part") < layout.first_word).toArrow()
     first, last = mixing_lm.Model(mixing_lm._unpacked(shared)), mixing_lm.Model(mixing_lm._unpacked(shared), weights, refined)
     unseen = [0.0, 0.0]
     for batch in rows.to_batches():
@@ -611,8 +613,45 @@ def test_packs_and_lookups():
     assert (mixing_lm.unpacked_keys(mixing_lm.packed_keys(keys), len(keys)) == keys).all()
     look = mixing_lm.Lookup(keys, np.arange(len(keys)))
     assert (look(keys[::-1]) == np.arange(len(keys))[::-1]).all()
-    parts = list(mixing_lm._ranges(keys, 0))
-    assert [p for p, _, _ in parts] == sorted({int(k) >> 46 for k in keys.tolist()}) and parts[-1][2] == len(keys)
+    parts = list(mixing_lm.Layout().split(keys, 0))
+    assert [p for p, _ in parts] == sorted({int(k) >> 46 for k in keys.tolist()}) and parts[-1][1].stop == len(keys)
+    hot = mixing_lm.Layout(12, np.unique(keys >> np.uint64(32))[::7])
+    parts = list(hot.split(keys, 0))
+    assert sum(len(keys[at]) for _, at in parts) == len(keys) and [p for p, _ in parts] == sorted({p for p, _ in parts})
+    values = keys.astype(np.float64)
+    assert (hot.in_order(keys, np.concatenate([values[at] for _, at in parts])) == values).all()
+    assert hot.first_hot == 4096 < max(p for p, _ in parts) < hot.first_word <= min(p for p, _ in hot.split(keys, 1))
+
+
+def test_parts_grow_with_the_text_and_change_no_score(make):
+    """Crowded contexts are split over parts; each sequence has the same probability, each text the same counts."""
+    rng = random.Random(6)
+    docs = make([(i, prose(rng, 60, 20)) for i in range(30)] + [(70, None), (71, "the the the the"), (71, "the the the the")])
+    learn = F.col("doc_id") % 3 > 0
+    plain, many = mixing_lm.laid_out(docs), mixing_lm.laid_out(docs, part_bytes=120, seen=8)
+    assert plain.bits == mixing_lm.LEAST_BITS and len(plain.hot) == 0 and len(many.hot) > 5
+    assert mixing_lm.laid_out(docs, part_bytes=4).bits > mixing_lm.LEAST_BITS
+    merged = mixing_lm.counts(docs, learn, plain)
+    shared, weights, refined = mixing_lm.train(merged, plain)
+    model = mixing_lm.Model(mixing_lm._unpacked(shared), weights, refined)
+
+    def values(table, layout):
+        out, rows = {}, 0
+        for batch in table.where(F.col("part") < layout.first_word).toArrow().to_batches():
+            for (keys, n), third in zip(mixing_lm._sequences(batch), mixing_lm._thirds(batch), strict=True):
+                out |= dict(zip(keys.tolist(), zip(n.tolist(), model.log10(keys, n, third).tolist(), strict=True), strict=True))
+                rows += 1
+        return out, rows
+
+    a, few = values(merged, plain)
+    b, more = values(mixing_lm.counts(docs, learn, many), many)
+    assert a.keys() == b.keys() and more > few + 20
+    assert all(a[k][0] == b[k][0] and abs(a[k][1] - b[k][1]) < 1e-5 for k in a)
+    got, want = ({(r.doc_id, r.n_bytes): r for r in mixing_lm.score(docs, learn, layout).collect()} for layout in (many, plain))
+    for k, r in want.items():
+        assert (got[k].n_known, got[k].n_tokens, got[k].train_tokens) == (r.n_known, r.n_tokens, r.train_tokens)
+        # weights are learnt in another order, from few texts
+        assert abs(got[k].base_score - r.base_score) < 1e-9 and abs(got[k].score - r.score) < 0.15 * abs(r.score) + 1
 
 
 def test_a_long_text_among_others_is_scored(make):
