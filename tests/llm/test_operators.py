@@ -628,7 +628,7 @@ def test_parts_grow_with_the_text_and_change_no_score(make):
     rng = random.Random(6)
     docs = make([(i, prose(rng, 60, 20)) for i in range(30)] + [(70, None), (71, "the the the the"), (71, "the the the the")])
     learn = F.col("doc_id") % 3 > 0
-    plain, many = mixing_lm.laid_out(docs), mixing_lm.laid_out(docs, part_bytes=120, seen=8)
+    plain, many = mixing_lm.laid_out(docs), mixing_lm.laid_out(docs, part_bytes=40, seen=8)
     assert plain.bits == mixing_lm.LEAST_BITS and len(plain.hot) == 0 and len(many.hot) > 5
     assert mixing_lm.laid_out(docs, part_bytes=4).bits > mixing_lm.LEAST_BITS
     merged = mixing_lm.counts(docs, learn, plain)
