@@ -7,9 +7,10 @@ about the same probability from both.
 
 Words of little evidence would drown the few that count in a long text, so differences below a margin are kept apart
 from clear ones, and a logistic regression weighs both. It is fitted on a quarter of the labelled rows, chosen by hash,
-that the counts leave out. Labelled rows are a bounded sample, ``cap`` toxic and as many ordinary ones; counting
-is done in Spark. All words and pairs of the sample are in the model, those seen once too: its table has a place for each
-and grows with their number. Texts are scored whole. Words and pairs are told apart by 64-bit hashes.
+that the counts leave out. Labelled rows are a bounded sample, by hash: ``cap`` toxic and as many ordinary ones, and of
+each about ``text_bytes`` bytes of text, so the table has a bound whatever the length of texts; counting is done in
+Spark. All words and pairs of the sample are in the model, those seen once too. Texts are counted and scored whole. Words
+and pairs are told apart by 64-bit hashes.
 
 Words are runs of letters, digits and non-ASCII bytes, lower-cased.
 
@@ -188,17 +189,24 @@ def calibrate(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1e-2
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, cap: int = 4000) -> tuple[tuple | None, float]:
+#: Bytes of labelled text of a class that are learnt from, about. A word gives two entries of 16 bytes at most.
+TEXT_BYTES = 32 << 20
+
+
+def train(docs: DataFrame, labels: DataFrame, cap: int = 4000, text_bytes: int = TEXT_BYTES) -> tuple[tuple | None, float]:
     """((broadcast of the model, calibration), share of toxic rows) from ``docs`` (doc_id, text) of the training fold and ``labels`` (doc_id, toxic)."""
     short_batches(docs)
     known = labels.where("toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = known.join(texts.select("doc_id").distinct(), "doc_id", "left_semi")
-    seen = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    known = stash(known.join(texts.groupBy("doc_id").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("bytes")), "doc_id"), "known")
+    sizes = {r["toxic"]: (r["n"], r["bytes"]) for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")).collect()}
+    seen = {k: n for k, (n, _) in sizes.items()}
     share = seen.get(1, 0) / max(1, sum(seen.values()))
     if not seen.get(1) or not seen.get(0):
         return None, share
-    chosen = sampled(known.where("toxic = 1"), "doc_id", seen[1], cap).unionByName(sampled(known.where("toxic = 0"), "doc_id", seen[0], cap))
+    rows_of = lambda k: min(cap, max(1, int(sizes[k][0] * text_bytes / max(1, sizes[k][1]))))
+    one, other = (sampled(known.where(F.col("toxic") == k), "doc_id", seen[k], rows_of(k)).select("doc_id", "toxic") for k in (1, 0))
+    chosen = one.unionByName(other)
     chosen = stash(chosen, "chosen")
     if chosen.count() <= 4 * cap:  # ``cap`` of each class, give or take what a hash does; texts stay where they are
         chosen = F.broadcast(chosen)
