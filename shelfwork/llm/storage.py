@@ -12,9 +12,9 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only a session in one process does with a
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` or the context's checkpoint folder. Only a session in one process does with a
     temporary one of its own, the same for all its tables."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
         master = spark.sparkContext.master
         if master != "local" and not master.startswith("local["):
@@ -33,16 +33,16 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: later steps read files, not lineage."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.stashed = path
+    return table
 
 
 def drop(df: DataFrame) -> None:
-    """Delete the files of a stashed table that nothing reads any more."""
+    """Delete the folder of a stashed table that nothing reads any more."""
     spark = df.sparkSession
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    for file in df.inputFiles():
-        path = hadoop(file)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, False)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stashed)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Rows of text are long: so many go to a Python worker at once.

@@ -1090,6 +1090,17 @@ def test_unequal_probabilities(make):
     assert low == pytest.approx(0.2, abs=0.04) and high == pytest.approx(0.6, abs=0.04)
 
 
+def test_the_toxic_sample_is_bounded_by_bytes(make, spark):
+    """Few long texts are as much as many short ones; without a bound all labelled rows are learnt from."""
+    rng = random.Random(4)
+    docs = make([(i, prose(rng, 300)) for i in range(80)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
+    words = lambda **more: len(toxicity.train(docs, labels, **more)[0][0].value[1])
+    whole = words()
+    assert words(text_bytes=1 << 40) == whole and words(cap=40) == whole
+    assert 0 < words(text_bytes=20_000) < 0.6 * whole
+
+
 # --- op10 ------------------------------------------------------------------------------------------------------------
 
 
