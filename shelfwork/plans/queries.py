@@ -367,12 +367,13 @@ def insert_entries(d: Domain) -> DataFrame:
     return rows.select("_id", F.col("userId").alias("user_id"), joined(F.col("categories").cast("array<string>")).alias("categories"), F.col("player_data.status").alias("status"), F.col("player_data.hours_played").cast("bigint").alias("hours"), F.date_format("createdAt", "yyyy-MM-dd").alias("created"))
 
 
-@query("""with cmd as (select l_orderkey * 10 + l_linenumber as seq, l_orderkey as _id, case when l_linenumber = 7 then -1 else o_custkey end as user_id from lineitem join orders on o_orderkey = l_orderkey where l_linenumber in (6, 7))
+@query("""with cmd as (select l_orderkey * 10 + l_linenumber as seq, l_partkey as _id, case when l_linenumber = 7 then -1 else o_custkey end as user_id from lineitem join orders on o_orderkey = l_partkey)
  select backlog_id as key, 'row' as kind from backlogs b where not exists (select 1 from cmd where cmd._id = b.backlog_id and cmd.user_id = b.user_id)
  union all select seq, 'GAME_NOT_FOUND' from cmd where not exists (select 1 from backlogs b where cmd._id = b.backlog_id and cmd.user_id = b.user_id)""")
 def delete_entries(d: Domain) -> DataFrame:
-    lines = d.flat("lineitem").where("l_linenumber in (6, 7)").join(d.flat("orders"), F.col("o_orderkey") == F.col("l_orderkey"))
-    cmd = lines.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.col("l_orderkey").alias("_id"), F.when(F.col("l_linenumber") == 7, F.lit(-1)).otherwise(F.col("o_custkey")).cast("bigint").alias("userId"))
+    """Each line asks for the entry that has the number of its part; every seventh in nobody's name."""
+    lines = d.flat("lineitem").join(d.flat("orders"), F.col("o_orderkey") == F.col("l_partkey"))
+    cmd = lines.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.col("l_partkey").alias("_id"), F.when(F.col("l_linenumber") == 7, F.lit(-1)).otherwise(F.col("o_custkey")).cast("bigint").alias("userId"))
     rows, rejects = commands.delete_rows(d.backlogs(), cmd)
     return rows.select(F.col("_id").alias("key"), F.lit("row").alias("kind")).unionByName(rejects.select(F.col("seq").alias("key"), F.col("reason").alias("kind")))
 
@@ -399,7 +400,7 @@ def create_categories(d: Domain) -> DataFrame:
     return commands.create_categories(d.categories(), new).withColumnRenamed("userId", "user_id")
 
 
-RENAMES = "select o_orderkey as seq, o_orderdate as ts, o_custkey * 5 + o_orderkey % 5 as _id, case when o_orderkey % 17 = 0 then o_custkey + 1 else o_custkey end as user_id, concat('Nova ', cast(o_orderkey as string)) as name from {orders} where o_orderkey % 3 = 0"
+RENAMES = "select o_orderkey as seq, o_orderdate as ts, o_custkey * 5 + o_orderkey % 5 as _id, case when o_orderkey % 17 = 0 then o_custkey + 1 else o_custkey end as user_id, concat('Nova ', cast(o_orderkey as string)) as name from {orders}"
 
 
 @query(f"""with rn as ({RENAMES.format(orders="orders")}), l as (select _id, user_id, arg_max(name, (ts, seq)) as name from rn group by 1, 2)
@@ -411,7 +412,7 @@ def rename_categories(d: Domain) -> DataFrame:
     return rows.select(F.col("_id").alias("key"), F.col("name").alias("value"), F.lit("row").alias("kind")).unionByName(rejects.select(F.col("seq").alias("key"), F.col("reason").alias("value"), F.lit("reject").alias("kind")))
 
 
-DROPS = "select c_custkey as seq, timestamp '2024-02-01 00:00:00' as ts, c_custkey * 5 + c_custkey % 4 as _id, case when c_custkey % 9 = 0 then c_custkey + 1 else c_custkey end as user_id from {customer} where c_custkey % 2 = 0"
+DROPS = "select c_custkey as seq, timestamp '2024-02-01 00:00:00' as ts, c_custkey * 5 + c_custkey % 4 as _id, case when c_custkey % 9 = 0 then c_custkey + 1 else c_custkey end as user_id from {customer}"
 
 
 @query(f"""with {ENTRIES}, dr as ({DROPS.format(customer="customer")}), gone as (select dr.* from dr join categories c on c.category_id = dr._id and c.user_id = dr.user_id),
