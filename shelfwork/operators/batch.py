@@ -55,7 +55,9 @@ class BatchSearch:
     """``games``: id, name, category, total_rating, first_release_date, platforms, genres."""
 
     def __init__(self, requests: DataFrame, games: DataFrame, platforms: DataFrame, genres: DataFrame):
-        main = games.where(catalog.main_only())
+        ids = {c: F.array_distinct(F.transform(c, lambda x: x["id"])) for c in ("platforms", "genres")}
+        # narrow and read often: once per step that uses it
+        main = saved(games.where(catalog.main_only()).select("id", "name", "total_rating", "first_release_date", *[v.alias(c) for c, v in ids.items()]), "games")
         self.plain = main.select("id", "name", "total_rating", "first_release_date")
         wanted = self._wanted(requests)
         known_p, of_p = self._matching(wanted, "platform", platforms, "platforms", main)
@@ -67,10 +69,12 @@ class BatchSearch:
         self.asked = saved(rows.select("req_id", "search", "pool", "title", "since", "platform", "genre", "sort_by", "direction", "limit", "offset"), "asked")
         deep = F.max(F.col("limit") + F.col("offset")).alias("depth")
         self.searches = self.asked.groupBy("search", "pool", "title", "since", "platform", "genre", "sort_by", "direction").agg(deep)
-        self.deepest = self.asked.agg(deep).first()[0] or 0
+        most = self.asked.agg(deep, F.count("title").alias("titles")).first()
+        self.deepest, self.titles = most["depth"] or 0, most["titles"]
         self.pools = self._pools(of_p, of_g)
         at = self.searches.where("title is null").select("search", "pool", "sort_by", "direction", "depth", F.explode(catalog._later(F.col("since"))).alias("at"))
         self.spans = saved(at.select("search", "pool", "sort_by", "direction", "depth", "at.level", "at.span"), "spans")
+        self.hint = F.broadcast if self.spans.count() <= FEW else (lambda x: x)
 
     def _wanted(self, requests: DataFrame) -> DataFrame:
         given = requests.select("req_id", *[(F.col(c) if c in requests.columns else F.lit(None)).cast(kind).alias(c) for c, kind in _TEXTS.items()])
@@ -92,7 +96,7 @@ class BatchSearch:
         near = texts.join(named, F.col("sub") == F.lower(text))
         near = near.withColumn("n", F.row_number().over(Window.partitionBy(text).orderBy("id"))).where(F.col("n") <= catalog.MOST_DIMENSIONS).select(text, F.col("id").alias("dim"))
         near = saved(near, "names")
-        held = main.select("id", F.explode(F.array_distinct(F.transform(column, lambda x: x["id"]))).alias("dim"))
+        held = main.select("id", F.explode(column).alias("dim"))
         return near.select(text, F.lit(True).alias(f"{text}_known")).distinct(), near.join(held, "dim").select(text, "id").distinct()
 
     def _pools(self, of_p: DataFrame, of_g: DataFrame) -> DataFrame:
@@ -104,9 +108,8 @@ class BatchSearch:
         return both.select("pool", "id").unionByName(only_p.select("pool", "id")).unionByName(only_g.select("pool", "id"))
 
     def _in_spans(self, used: DataFrame) -> DataFrame:
-        """Games of each pool in the spans of ``used`` (pool, level, span, ...)."""
-        used = saved(used, "used")
-        hint = F.broadcast if used.count() <= FEW else (lambda x: x)
+        """Games of each pool in the spans of ``used`` (pool, level, span, ...), which come from ``spans``."""
+        hint = self.hint
         free = F.to_json(F.struct(F.lit(None).cast("string").alias("platform"), F.lit(None).cast("string").alias("genre")))
         at = catalog._spans(F.col("first_release_date"))
         every = hint(used.select("level", "span").distinct())
@@ -136,6 +139,8 @@ class BatchSearch:
         lists = lists.withColumn("n", within(shown, catalog._by_request_order())).where((F.col("n") <= self.deepest) & (F.col("n") <= F.col("depth"))).drop("n", "depth")
         merged = self.spans.join(lists, shown)
         sorted_ = merged.withColumn("n", within(["search"], catalog._by_request_order())).where((F.col("n") <= self.deepest) & (F.col("n") <= F.col("depth")))
+        if not self.titles:
+            return sorted_.select("search", "n", "id")
         asked = self.searches.where("title is not null").select("search", "pool", "title", "since", "depth", (F.col("platform").isNotNull() | F.col("genre").isNotNull()).alias("narrow"))
         found = asked.join(self.titled(), "title").where(F.col("since").isNull() | (F.col("first_release_date") >= F.col("since")))
         narrow = found.where("narrow").join(self.pools, ["pool", "id"])
