@@ -219,7 +219,7 @@ def edit_fingerprints(docs: DataFrame, runs: int | None = None) -> DataFrame:
 
 
 #: Bands, samples in each, and bands that are looked at first.
-BANDS, WIDTH, FIRST_BANDS = 32, 8, 8
+BANDS, WIDTH, FIRST_BANDS = 64, 7, 8
 #: Texts of different classes that all meet in one task.
 BLOCK = 50
 _PICKED = np.stack([np.random.default_rng(b).choice(SAMPLES, WIDTH, replace=False) for b in range(BANDS)])
