@@ -9,17 +9,23 @@ neighbouring scales can be compared. A sample is a hash of the character in 1 to
 The fingerprint is a string: two hexadecimal digits of the scale and two runs of SAMPLES digits. Likeness is the share
 of equal samples among those in which either text has a character.
 
-``near_classes`` finds texts a few edits apart: each of BANDS bands is WIDTH of the samples, drawn at random; texts that
-agree in a band are in one bucket, and a bucket's texts are verified by their edit distance until they are of one class
-or known to be further apart, the least one against all first (``buckets``). So every two texts that share a band and
-are near are in one class; whether they share one is a matter of chance, which the tests measure.
+``near_classes`` finds texts a few edits apart. Bands of a walk are BANDS groups of WIDTH samples that lie close together:
+where two walks are in step, they see the same characters for a while, so neighbouring samples agree or differ together. A
+walk that an insertion puts out of step far from the end of a text may stay so; each text is walked from its end as well,
+and for a few steps from ANCHORS places that the text picks, where the hashes of its short runs of characters are least.
+Samples past a text's end tell nothing, so lengths are cut into classes, STEPS to a doubling; a class takes the bands that
+its shortest texts reach, and a text is in all classes that a near text can be of. Texts that agree in a band are in one
+bucket, and a bucket's texts are verified by their edit distance until they are of one class or known to be further
+apart, the least one against all first (``buckets``). So every two texts that share a band and are near are in one class;
+whether they share one is a matter of chance, which the tests measure.
 
 Whole texts are walked, many at a time, the longest first.
 
 Defined results: null counts as empty; two texts without characters have likeness 1; texts more than one scale apart 0;
 repeated rows follow each other in the order of documents; a single document is its own next; an empty table gives an
 empty result; other columns don't matter. Documents of one doc_id are ordered by their texts. Texts are told apart by a
-64-bit hash in ``near_classes``; two texts of 10,000 characters take some 20 ms there, and time grows with the square.
+64-bit hash in ``near_classes``; edit distances of two texts of 10,000 characters take some 20 ms there, and time grows with
+the square; texts that have too few runs of four characters in common are known to be further apart before that.
 """
 
 from __future__ import annotations
@@ -62,8 +68,8 @@ def scale_of(n: int) -> int:
     return max(4, (max(n, 1) - 1).bit_length())
 
 
-def fingerprints(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(scales, (texts, 2, SAMPLES) samples)."""
+def fingerprints(texts: list[str], places=positions) -> tuple[np.ndarray, np.ndarray]:
+    """(scales, (texts, 2, samples) samples); ``places`` gives the sampled steps of a scale, in order."""
     count = len(texts)
     sizes = np.fromiter(map(len, texts), np.int64, count)
     scales = np.array([scale_of(n) for n in sizes.tolist()], np.int64)
@@ -78,8 +84,8 @@ def fingerprints(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     kind[last], symbol[last] = 63, 0
     at = last - length
     by_scale = scales[order]
-    out = np.zeros((count, 2, SAMPLES), np.uint8)
-    events = sorted((int(j), int(s), k) for s in range(int(by_scale.min()), int(by_scale.max()) + 2) for k, j in enumerate(positions(s))) if count else []
+    out = np.zeros((count, 2, len(places(4))), np.uint8)
+    events = sorted((int(j), int(s), k) for s in range(int(by_scale.min()), int(by_scale.max()) + 2) for k, j in enumerate(places(s))) if count else []
     # rows of one scale lie together, larger scales first
     rows = {s: (int(np.searchsorted(-by_scale, -s, "left")), int(np.searchsorted(-by_scale, -s, "right"))) for s in range(0, int(by_scale.max(initial=0)) + 3)}
     walking, step, rules = count, 0, None
@@ -218,30 +224,92 @@ def edit_fingerprints(docs: DataFrame, runs: int | None = None) -> DataFrame:
     return placed.mapInArrow(_walked, _OUT)
 
 
-#: Bands, samples in each, and bands that are looked at first.
-BANDS, WIDTH, FIRST_BANDS = 64, 7, 8
+#: Bands of a walk, samples in each, and bands that are looked at first.
+BANDS, WIDTH, FIRST_BANDS = 48, 16, 8
+#: Places in a text where further walks start, the runs of characters that pick them, and the characters that such a walk may see.
+ANCHORS, PICKING, AHEAD = 16, 6, 32
+#: Classes of lengths to a doubling, and the lengths that end them.
+STEPS = 4
+_ENDS = np.array([int(2 ** (k / STEPS)) for k in range(40 * STEPS)], np.int64)
 #: Texts of different classes that all meet in one task.
 BLOCK = 50
-_PICKED = np.stack([np.random.default_rng(b).choice(SAMPLES, WIDTH, replace=False) for b in range(BANDS)])
 
 
-def bands(scales: np.ndarray, samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, whether each counts), (texts, 2, BANDS): a band of the text's own scale and of the one above. Bands of places
-    past the end of the text, all of them, don't count."""
-    digits = samples[:, :, _PICKED].astype(np.uint64)
-    code = (digits << (np.arange(WIDTH, dtype=np.uint64) * np.uint64(4))).sum(axis=3, dtype=np.uint64)
-    scale = (scales[:, None, None] + np.arange(2)[None, :, None]).astype(np.uint64)
-    return buffers.mix(code ^ buffers.mix(scale * np.uint64(1000) + np.arange(BANDS, dtype=np.uint64)[None, None])), code > 0
-
+def band_positions(scale: int) -> np.ndarray:
+    """The sampled steps of a scale: BANDS groups of WIDTH, every second step (each step of the least scale)."""
+    apart, part = (1 if scale == 4 else 2), (2 << scale) / BANDS
+    u = buffers.mix(np.arange(BANDS, dtype=np.uint64) + np.uint64(scale * 1000 + 17)) >> np.uint64(11)
+    starts = ((np.arange(BANDS) + u / float(1 << 53)) * part).astype(np.int64)
+    return (starts[:, None] + apart * np.arange(WIDTH)[None]).ravel()
+
+
+def _hashed(text: str, run: int) -> np.ndarray:
+    """A hash of each run of so many characters."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    count = max(len(points) - run + 1, 0)
+    h = np.zeros(count, np.uint64)
+    for k in range(run):
+        h = buffers.mix(h ^ points[k : k + count])
+    return h
+
+
+def _anchors(text: str) -> list[int]:
+    """The first places of the runs of least hash."""
+    h = _hashed(text, PICKING)
+    few = np.flatnonzero(h <= np.partition(h, 8 * ANCHORS)[8 * ANCHORS]) if len(h) > 8 * ANCHORS else np.arange(len(h))
+    once, first = np.unique(h[few], return_index=True)
+    if len(once) < ANCHORS and len(few) < len(h):
+        few = np.arange(len(h))
+        once, first = np.unique(h, return_index=True)
+    return few[first[:ANCHORS]].tolist()
+
+
+def _anchored(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(text, code) of the walks that start at anchors."""
+    own, parts = [], []
+    for i, t in enumerate(texts):
+        at = _anchors(t)
+        own += [i] * len(at)
+        parts += [t[a : a + AHEAD].ljust(AHEAD) for a in at]
+    _, samples = fingerprints(parts, lambda scale: np.arange(0, 2 * WIDTH, 2))
+    return np.array(own, np.int64), (samples[:, 0].astype(np.uint64) << (np.arange(WIDTH, dtype=np.uint64) * np.uint64(4))).sum(axis=1, dtype=np.uint64)
+
+
+def bands(texts: list[str], most: tuple[int, int] = (1, 10)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, band, key) of every band of the texts: of walks from the start, from the end, and from anchors."""
+    n = np.fromiter(map(len, texts), np.int64, len(texts))
+    least, greatest = (np.searchsorted(_ENDS, x) for x in (n, n * most[1] // max(most[1] - most[0], 1)))
+    out = []
+    own, codes = _anchored(texts)
+    for more in range(int((greatest - least).max(initial=-1)) + 1):
+        some = least[own] + more <= greatest[own]
+        kind = (least[own[some]] + more).astype(np.uint64)
+        out.append((own[some], np.full(int(some.sum()), 2 * BANDS), buffers.mix(codes[some] ^ buffers.mix(kind))))
+    for way, side in enumerate((texts, [t[::-1] for t in texts])):
+        scales, samples = fingerprints(side, band_positions)
+        codes = (samples.reshape(len(texts), 2, BANDS, WIDTH).astype(np.uint64) << (np.arange(WIDTH, dtype=np.uint64) * np.uint64(4))).sum(axis=3, dtype=np.uint64)
+        for kind in range(int(least.min(initial=0)), int(greatest.max(initial=-1)) + 1):
+            scale = scale_of(int(_ENDS[kind]))
+            level = scale - scales
+            own = np.flatnonzero((least <= kind) & (greatest >= kind) & (n > 0) & (level >= 0) & (level < 2))
+            shortest = (int(_ENDS[kind - 1]) if kind else 0) * (most[1] - most[0]) // most[1]
+            some = max(1, int(BANDS * 0.95 * shortest / (1 << scale)))
+            key = buffers.mix(codes[own, level[own], :some] ^ buffers.mix(np.uint64(kind * 1000) + np.arange(some, dtype=np.uint64))[None])
+            out.append((np.repeat(own, some), np.tile(np.arange(some) + way * BANDS, len(own)), key.ravel()))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
+
+
+def _banded(most: tuple[int, int]):
+    def run(batches):
+        for batch in batches:
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            text, band, key = bands(texts, most)
+            order = np.argsort(text, kind="stable")
+            upto = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(texts)))]).astype(np.int32)
+            both = pa.StructArray.from_arrays([pa.array(band[order].astype(np.int32)), pa.array(key[order].view(np.int64))], names=["tree", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(upto), both)], names=["uid", "bands"])
 
-def _banded(batches):
-    for batch in batches:
-        texts = [t or "" for t in batch.column(1).to_pylist()]
-        keys, some = bands(*fingerprints(texts))
-        upto = np.concatenate([[0], np.cumsum(some.sum(axis=(1, 2)))]).astype(np.int32)
-        tree = np.broadcast_to(np.arange(BANDS, dtype=np.int32), some.shape)[some]
-        both = pa.StructArray.from_arrays([pa.array(tree), pa.array(keys[some].view(np.int64))], names=["tree", "prefix"])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(upto), both)], names=["uid", "bands"])
+    return run
 
 
 def _common(a: str, b: str) -> int:
@@ -288,22 +356,46 @@ def within(a: str, b: str, most: int) -> bool:
     return distance <= most
 
 
+#: Characters of the runs that are counted before an edit distance is worked out.
+_RUN = 4
+
+
+def _runs(text: str) -> np.ndarray:
+    return (_hashed(text, _RUN) >> np.uint64(42)).astype(np.int32)
+
+
+def _may(a: np.ndarray, b: np.ndarray, longer: int, most: int) -> bool:
+    """Whether texts of these runs can be ``most`` edits apart: an edit changes at most _RUN runs. Never False for those that are."""
+    needed = longer - _RUN + 1 - most * _RUN
+    if needed <= 0:
+        return True
+    shift = max(0, 22 - max(12, (2 * longer).bit_length()))
+    bins = 1 << (22 - shift)
+    return int(np.minimum(np.bincount(a >> shift, minlength=bins), np.bincount(b >> shift, minlength=bins)).sum()) >= needed
+
+
+def _linked(a: str, runs_a: np.ndarray, b: str, runs_b: np.ndarray, most: tuple[int, int]) -> bool:
+    longer = max(len(a), len(b))
+    edits = longer * most[0] // most[1]
+    return longer - min(len(a), len(b)) <= edits and _may(runs_a, runs_b, longer, edits) and within(a, b, edits)
+
+
 def _similar(most: tuple[int, int]):
     def similar(x: bytes, y: bytes) -> bool:
         a, b = x.decode("utf-8", "replace"), y.decode("utf-8", "replace")
-        return within(a, b, max(len(a), len(b)) * most[0] // most[1])
+        return _linked(a, _runs(a), b, _runs(b), most)
 
     return similar
 
 
 def _near(most: tuple[int, int]):
-    similar = _similar(most)
-
     def near(payloads: list[bytes], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        texts = [p.decode("utf-8", "replace") for p in payloads]
+        runs = [_runs(t) for t in texts]
         out = np.zeros((len(left), len(right)), bool)
         for i, x in enumerate(left.tolist()):
             for j, y in enumerate(right.tolist()):
-                out[i, j] = x == y or (left is right and j < i and out[j, i]) or ((left is not right or j > i) and similar(payloads[x], payloads[y]))
+                out[i, j] = x == y or (left is right and j < i and out[j, i]) or ((left is not right or j > i) and _linked(texts[x], runs[x], texts[y], runs[y], most))
         return out
 
     return near
@@ -329,7 +421,7 @@ def near_classes(docs: DataFrame, most: tuple[int, int] = (1, 10)) -> DataFrame:
     short_batches(docs)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("uid"), text.alias("text"))
-    once = rows.select("uid", "text").mapInArrow(_banded, "uid long, bands array<struct<tree: int, prefix: long>>").groupBy("uid").agg(F.first("bands").alias("bands"))
+    once = rows.select("uid", "text").mapInArrow(_banded(most), "uid long, bands array<struct<tree: int, prefix: long>>").groupBy("uid").agg(F.first("bands").alias("bands"))
     at = stash(once, "bands").select("uid", F.explode("bands").alias("b")).select("uid", "b.tree", "b.prefix").distinct()
     shared = at.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     at = stash(at.join(shared, ["tree", "prefix"]).select("uid", "tree", "prefix"), "buckets")

@@ -1192,6 +1192,44 @@ def test_near_classes_in_crowded_buckets(make, odd, empty):
     assert edit_embedding.near_classes(empty).count() == 0
 
 
+def _met(texts):
+    """Pairs of texts that share a band."""
+    text, band, key = edit_embedding.bands(texts)
+    rooms: dict[tuple, set] = {}
+    for i, b, k in zip(text.tolist(), band.tolist(), key.tolist(), strict=True):
+        rooms.setdefault((b, k), set()).add(i)
+    return {(i, j) for room in rooms.values() for i in room for j in room if i < j}
+
+
+def test_bands_meet_near_texts_and_few_others():
+    """Blocks put in at both ends throw walks out of step; strangers of like lengths hardly ever share a band."""
+    rng = random.Random(5)
+    texts, near = [], set()
+    for k in range(120):
+        base = "".join(rng.choice("etaoin shrdlu cmfwyp") for _ in range(rng.randrange(60, 3000)))
+        n = len(base) // 25
+        noise = lambda m: "".join(rng.choice("qzxj") for _ in range(m))  # noqa: E731, B023
+        other = noise(n) + base[: len(base) - 2 * n] + noise(n) + base[len(base) - 2 * n :] if k % 2 else _edited(rng, base, max(1, n))
+        near.add((len(texts), len(texts) + 1))
+        texts += [base, other]
+    got = _met(texts)
+    assert len(got & near) >= 0.95 * len(near)
+    assert len(got - near) < 0.01 * len(texts) ** 2 / 2
+    assert not _met(["", "", "a" * 3]) and not _met([])
+
+
+def test_runs_in_common_never_part_near_texts():
+    rng = random.Random(6)
+    for n in (0, 1, 3, 4, 9, 40, 300, 5000):
+        base = "".join(rng.choice("abcdefgh ") for _ in range(n))
+        for k in (0, 1, n // 20, n // 10):
+            other = _edited(rng, base, k) if base else ""
+            longer = max(len(base), len(other))
+            assert edit_embedding._may(edit_embedding._runs(base), edit_embedding._runs(other), longer, k)
+    a, b = ("".join(rng.choice("abcdefgh ") for _ in range(2000)) for _ in range(2))
+    assert not edit_embedding._may(edit_embedding._runs(a), edit_embedding._runs(b), 2000, 200)
+
+
 def test_keep_leaves_one_of_repeated_rows(make):
     docs = make([(1, "a"), (1, "a"), (2, "b"), (3, None), (None, "c")])
     found = exact_dedup.exact_dedup(docs)
