@@ -16,6 +16,9 @@ its date (texts of platform and genre) is its pool; pools and dates are met by e
   that some search uses, as far as the deepest page of these goes, and counted once for each span; a search then merges
   the best of its spans and adds up their counts. So what is sorted grows with searches times pages, and no matches are
   listed to count them.
+
+Sizes of files don't tell what comes of them (exploded rows, texts that are stored once), so no join is left to Spark's
+estimate: a side whose rows were counted and are at most FEW is broadcast, all else meets by shuffle.
 """
 
 from __future__ import annotations
@@ -35,6 +38,16 @@ FEW = 100_000
 _TEXTS = {"title": "string", "since": "string", "platform": "string", "genre": "string", "sort_by": "string", "direction": "string", "limit": "bigint", "offset": "bigint"}
 
 
+def _shuffled(rows: DataFrame) -> DataFrame:
+    """Neither ``rows`` nor what they are joined with goes whole to the driver."""
+    return rows.hint("merge")
+
+
+def _few_or_shuffled(n: int):
+    """What is done with a side of so many rows before a join."""
+    return F.broadcast if n <= FEW else _shuffled
+
+
 def _grams(text: Column, shortest: int) -> Column:
     """The different substrings of ``shortest`` to GRAM characters."""
     n = F.length(text)
@@ -62,19 +75,20 @@ class BatchSearch:
         wanted = self._wanted(requests)
         known_p, of_p = self._matching(wanted, "platform", platforms, "platforms", main)
         known_g, of_g = self._matching(wanted, "genre", genres, "genres", main)
-        rows = wanted.join(known_p, "platform", "left").join(known_g, "genre", "left")
+        rows = wanted.join(known_p, "platform", "left").join(known_g, "genre", "left")  # the texts that are known come with hints
         none = F.lit(None).cast("string")
         rows = rows.withColumns({"platform": F.when(F.col("platform_known"), F.col("platform")).otherwise(none), "genre": F.when(F.col("genre_known"), F.col("genre")).otherwise(none)})
         rows = rows.withColumn("pool", F.to_json(F.struct("platform", "genre"))).withColumn("search", F.to_json(F.struct("title", "since", "pool", "sort_by", "direction")))
         self.asked = saved(rows.select("req_id", "search", "pool", "title", "since", "platform", "genre", "sort_by", "direction", "limit", "offset"), "asked")
         deep = F.max(F.col("limit") + F.col("offset")).alias("depth")
         self.searches = self.asked.groupBy("search", "pool", "title", "since", "platform", "genre", "sort_by", "direction").agg(deep)
-        most = self.asked.agg(deep, F.count("title").alias("titles")).first()
+        most = self.searches.agg(F.max("depth").alias("depth"), F.count("title").alias("titles"), F.count(F.lit(1)).alias("n"), F.count_distinct("pool").alias("pools")).first()
         self.deepest, self.titles = most["depth"] or 0, most["titles"]
+        self.of_ranked, self.of_searches, self.of_pools = (_few_or_shuffled(n) for n in (most["n"] * max(self.deepest, 1), most["n"], most["pools"]))
         self.pools = self._pools(of_p, of_g)
         at = self.searches.where("title is null").select("search", "pool", "sort_by", "direction", "depth", F.explode(catalog._later(F.col("since"))).alias("at"))
         self.spans = saved(at.select("search", "pool", "sort_by", "direction", "depth", "at.level", "at.span"), "spans")
-        self.hint = F.broadcast if self.spans.count() <= FEW else (lambda x: x)
+        self.hint = _few_or_shuffled(self.spans.count())
 
     def _wanted(self, requests: DataFrame) -> DataFrame:
         given = requests.select("req_id", *[(F.col(c) if c in requests.columns else F.lit(None)).cast(kind).alias(c) for c, kind in _TEXTS.items()])
@@ -93,18 +107,19 @@ class BatchSearch:
         """(texts that match rows of a dimension, (text, id) of the games with any of these rows)."""
         texts = wanted.select(text).where(F.col(text).isNotNull()).distinct()
         named = dimension.select("id", F.explode(catalog._substrings(F.lower("name"))).alias("sub"))
-        near = texts.join(named, F.col("sub") == F.lower(text))
+        near = texts.join(_shuffled(named), F.col("sub") == F.lower(text))
         near = near.withColumn("n", F.row_number().over(Window.partitionBy(text).orderBy("id"))).where(F.col("n") <= catalog.MOST_DIMENSIONS).select(text, F.col("id").alias("dim"))
         near = saved(near, "names")
+        hint = _few_or_shuffled(near.count())
         held = main.select("id", F.explode(column).alias("dim"))
-        return near.select(text, F.lit(True).alias(f"{text}_known")).distinct(), near.join(held, "dim").select(text, "id").distinct()
+        return hint(near.select(text, F.lit(True).alias(f"{text}_known")).distinct()), hint(near).join(held, "dim").select(text, "id").distinct()
 
     def _pools(self, of_p: DataFrame, of_g: DataFrame) -> DataFrame:
         """(pool, id) of the pools with a platform or genre; the pool without either is all games."""
-        pools = self.searches.select("pool", "platform", "genre").distinct()
+        pools, hint = self.searches.select("pool", "platform", "genre").distinct(), self.of_pools
         by_p, by_g = F.col("platform").isNotNull(), F.col("genre").isNotNull()
-        both = pools.where(by_p & by_g).join(of_p, "platform").join(of_g, ["genre", "id"])
-        only_p, only_g = pools.where(by_p & ~by_g).join(of_p, "platform"), pools.where(~by_p & by_g).join(of_g, "genre")
+        both = hint(pools.where(by_p & by_g)).join(of_p, "platform").join(_shuffled(of_g), ["genre", "id"])
+        only_p, only_g = hint(pools.where(by_p & ~by_g)).join(of_p, "platform"), hint(pools.where(~by_p & by_g)).join(of_g, "genre")
         return both.select("pool", "id").unionByName(only_p.select("pool", "id")).unionByName(only_g.select("pool", "id"))
 
     def _in_spans(self, used: DataFrame) -> DataFrame:
@@ -114,7 +129,7 @@ class BatchSearch:
         at = catalog._spans(F.col("first_release_date"))
         every = hint(used.select("level", "span").distinct())
         spread = self.plain.withColumn("at", F.explode(at)).select("id", "name", "total_rating", "first_release_date", "at.level", "at.span").join(every, ["level", "span"], "left_semi")
-        named = self.pools.join(spread, "id").join(hint(used), ["pool", "level", "span"])
+        named = self.pools.join(_shuffled(spread), "id").join(hint(used), ["pool", "level", "span"])
         return named.unionByName(spread.withColumn("pool", free).join(hint(used), ["pool", "level", "span"]), allowMissingColumns=False)
 
     def titled(self) -> DataFrame:
@@ -123,10 +138,11 @@ class BatchSearch:
         grams = titles.select("gram").distinct()
         low = self.plain.select("id", F.lower("name").alias("low"), "first_release_date")
         index = low.withColumn("gram", F.explode(_grams(F.col("low"), 1)))
-        index = saved(index.join(F.broadcast(grams) if grams.count() <= FEW else grams, "gram", "left_semi"), "grams")
+        hint = _few_or_shuffled(grams.count())
+        index = saved(index.join(hint(grams), "gram", "left_semi"), "grams")
         often = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-        rarest = titles.join(often, "gram", "left").groupBy("title").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))["gram"].alias("gram"))
-        near = rarest.join(index, "gram")
+        rarest = titles.join(hint(often), "gram", "left").groupBy("title").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))["gram"].alias("gram"))
+        near = rarest.join(_shuffled(index), "gram")
         near = near.where(F.forall(_words(F.col("title")), lambda w: F.contains(F.col("low"), w)))
         kind = F.when(F.col("low") == F.col("title"), 0).when(F.startswith("low", "title"), 1).otherwise(2)
         return near.select("title", "id", kind.alias("kind"), F.length("low").alias("length"), "first_release_date")
@@ -137,13 +153,13 @@ class BatchSearch:
         shown = ["pool", "sort_by", "direction", "level", "span"]
         lists = self._in_spans(self.spans.groupBy(*shown).agg(F.max("depth").alias("depth")))
         lists = lists.withColumn("n", within(shown, catalog._by_request_order())).where((F.col("n") <= self.deepest) & (F.col("n") <= F.col("depth"))).drop("n", "depth")
-        merged = self.spans.join(lists, shown)
+        merged = self.hint(self.spans).join(lists, shown)
         sorted_ = merged.withColumn("n", within(["search"], catalog._by_request_order())).where((F.col("n") <= self.deepest) & (F.col("n") <= F.col("depth")))
         if not self.titles:
             return sorted_.select("search", "n", "id")
         asked = self.searches.where("title is not null").select("search", "pool", "title", "since", "depth", (F.col("platform").isNotNull() | F.col("genre").isNotNull()).alias("narrow"))
-        found = asked.join(self.titled(), "title").where(F.col("since").isNull() | (F.col("first_release_date") >= F.col("since")))
-        narrow = found.where("narrow").join(self.pools, ["pool", "id"])
+        found = asked.join(_shuffled(self.titled()), "title").where(F.col("since").isNull() | (F.col("first_release_date") >= F.col("since")))
+        narrow = found.where("narrow").join(_shuffled(self.pools), ["pool", "id"])
         found = found.where("not narrow").unionByName(narrow)
         by_title = found.withColumn("n", within(["search"], ["kind", "length", "id"])).where((F.col("n") <= self.deepest) & (F.col("n") <= F.col("depth")))
         return sorted_.select("search", "n", "id").unionByName(by_title.select("search", "n", "id"))
@@ -151,14 +167,14 @@ class BatchSearch:
     def pages(self) -> DataFrame:
         """req_id, rank (from 0), id of every request's page."""
         places = self.asked.where(F.col("limit") > 0).select("req_id", "search", "offset", F.explode(F.sequence(F.col("offset") + 1, F.col("offset") + F.col("limit"))).alias("n"))
-        return places.join(self.ranked(), ["search", "n"]).select("req_id", (F.col("n") - 1 - F.col("offset")).cast("bigint").alias("rank"), "id")
+        return places.join(self.of_ranked(self.ranked()), ["search", "n"]).select("req_id", (F.col("n") - 1 - F.col("offset")).cast("bigint").alias("rank"), "id")
 
     def totals(self) -> DataFrame:
         """req_id, total of every request: how many games match before paging; null with a title."""
         counted = self._in_spans(self.spans.select("pool", "level", "span").distinct()).groupBy("pool", "level", "span").agg(F.count(F.lit(1)).alias("games"))
-        by_search = self.spans.join(counted, ["pool", "level", "span"]).groupBy("search").agg(F.sum("games").alias("total"))
+        by_search = self.hint(self.spans).join(counted, ["pool", "level", "span"]).groupBy("search").agg(F.sum("games").alias("total"))
         total = F.when(F.col("title").isNull(), F.coalesce("total", F.lit(0)))
-        return self.asked.join(by_search, "search", "left").select("req_id", total.alias("total"))
+        return self.asked.join(self.of_searches(by_search), "search", "left").select("req_id", total.alias("total"))
 
 
 def batch_search(requests: DataFrame, games: DataFrame, platforms: DataFrame, genres: DataFrame) -> DataFrame:
@@ -168,7 +184,7 @@ def batch_search(requests: DataFrame, games: DataFrame, platforms: DataFrame, ge
 
 def batch_groups(pages: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Each request's page (req_id, rank, id) grouped under parents; what all pages lack is fetched from ``catalogue`` once."""
-    rows = pages.join(catalogue.select("id", "name", "cover", "category", "version_parent"), "id")
+    rows = pages.join(_shuffled(catalogue.select("id", "name", "cover", "category", "version_parent")), "id")
     return versions.group_versions(rows, catalogue, by=("req_id",))
 
 
@@ -177,10 +193,10 @@ def batch_meta(search: BatchSearch, pages: DataFrame, groups: DataFrame) -> Data
 
     totalPages is null where nothing matches, page and totalPages are where the limit is 0.
     """
-    asked = search.asked.select("req_id", "limit", "offset").join(search.totals(), "req_id")
+    asked = search.asked.select("req_id", "limit", "offset").join(_shuffled(search.totals()), "req_id")
     before = pages.groupBy("req_id").agg(F.count(F.lit(1)).alias("before"))
     after = groups.groupBy("req_id").agg(F.count(F.lit(1)).alias("after"))
-    rows = asked.join(before, "req_id", "left").join(after, "req_id", "left")
+    rows = asked.join(_shuffled(before), "req_id", "left").join(_shuffled(after), "req_id", "left")
     limit = F.when(F.col("limit") > 0, F.col("limit"))
     return rows.select(
         "req_id", (F.floor(F.col("offset") / limit) + 1).cast("bigint").alias("page"), "limit", "offset", "total", F.when(F.col("total") > 0, F.ceil(F.col("total") / limit)).cast("bigint").alias("totalPages"),

@@ -33,8 +33,9 @@ def group_versions(page: DataFrame, catalogue: DataFrame, strict: bool = False,
         groups = groups.withColumn("versions", F.when(F.col("head").isNull(), F.col("versions")).otherwise(F.filter("versions", lambda v: v["rank"] > F.col("head.rank"))))
     # the catalogue is met by the ids that are missing, then the few hits by the groups
     missing = groups.where("head is null").select(F.col("group").alias("id")).distinct()
+    missing = missing.hint("merge") if by else missing  # of one page they are few
     hits = catalogue.join(missing, "id", "left_semi").select(F.col("id").alias("h_id"), F.col("name").alias("h_name"), F.col("cover").alias("h_cover"), F.col("category").alias("h_category"))
-    full = groups.join(hits, (F.col("group") == F.col("h_id")) & F.col("head").isNull(), "left")
+    full = groups.join(hits.hint("merge"), (F.col("group") == F.col("h_id")) & F.col("head").isNull(), "left")
     known = F.col("head").isNotNull() | F.col("h_id").isNotNull()
     pick = lambda c: F.when(F.col("head").isNotNull(), F.col(f"head.{c}")).otherwise(F.col(f"h_{c}"))
     none = F.filter("versions", lambda v: F.lit(False))

@@ -222,3 +222,18 @@ def test_commands_as_json_are_judged(spark):
     assert got == {1: [], 2: ["BAD_CATEGORY_IDS", "BAD_GAME"], 3: ["BAD_CATEGORY_IDS", "BAD_GAME"], 4: ["BAD_CATEGORY_IDS", "BAD_GAME"], 5: ["BAD_BODY", "BAD_CATEGORY_IDS", "BAD_GAME"], 6: ["BAD_CATEGORY_IDS", "BAD_GAME", "BAD_PLAYER"], 7: ["BAD_CATEGORY_IDS"]}
     got = {r.id: r.reasons for r in rows.select("id", validate.update_reasons().alias("reasons")).collect()}
     assert got == {1: [], 2: [], 3: [], 4: [], 5: ["BAD_BODY"], 6: ["BAD_GAME", "BAD_PLAYER"], 7: []}
+
+
+def test_batch_joins_are_not_left_to_file_sizes(spark, monkeypatch):
+    """Small files that hold many rows (exploded, or texts stored once) must not go to the driver."""
+    from shelfwork.sources.tables import saved
+
+    monkeypatch.setattr(batch, "FEW", 0)
+    games = spark.sql("select id, concat('game ', id % 7) as name, 0 as category, cast(null as bigint) as version_parent, id * 1.0d as total_rating, id * 1000 as first_release_date, named_struct('url', 'u') as cover, array(named_struct('id', id % 3)) as platforms, array(named_struct('id', id % 2)) as genres from range(20)")
+    games, dims = saved(games, "games"), saved(spark.sql("select id, concat('n', id) as name from range(3)"), "dims")
+    requests = saved(spark.sql("select id as req_id, if(id % 2 = 0, 'game', null) as title, 'n1' as platform, if(id % 3 = 0, 'n1', null) as genre, 3L as `limit` from range(50)"), "requests")
+    search = batch.BatchSearch(requests, games, dims, dims)
+    pages = search.pages()
+    groups = batch.batch_groups(saved(pages, "pages"), games)
+    for rows in (pages, groups, batch.batch_meta(search, pages, groups)):
+        assert "BroadcastExchange" not in rows._jdf.queryExecution().executedPlan().toString()
