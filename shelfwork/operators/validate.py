@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,31 +24,43 @@ def entry_reasons() -> Column:
     )
 
 
-def _kind(body: str, field: str) -> Column:
-    """What a field of a command's JSON text is, as Spark names types of variants; null where it is null or missing."""
-    value = F.variant_get(F.try_parse_json(F.col(body)), f"$.{field}", "variant")
-    return F.when(~F.is_variant_null(value), F.schema_of_variant(value))
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` has it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _kind(parsed: Column, field: str) -> Column:
+    """What a field of a parsed command is, as Spark names types of variants; null where it is null or missing."""
+    return _once(F.variant_get(parsed, f"$.{field}", "variant"), lambda value: F.when(~F.is_variant_null(value), F.schema_of_variant(value)))
 
 
 def create_reasons(body: str = "body") -> Column:
     """Of a create command as JSON text: category_ids is an array of strings (it may be empty), igdb_data an object,
     player_data an object if it is given."""
-    ids, game, player = (_kind(body, f) for f in ("category_ids", "igdb_data", "player_data"))
-    return reasons(
-        BAD_BODY=F.col(body).isNotNull() & F.try_parse_json(F.col(body)).isNull(), BAD_CATEGORY_IDS=~F.coalesce(ids.isin("ARRAY<STRING>", "ARRAY<VOID>") & ~_holds_null(body), F.lit(False)),
-        BAD_GAME=~F.coalesce(game.startswith("OBJECT<"), F.lit(False)), BAD_PLAYER=~player.startswith("OBJECT<"),
-    )
 
+    def found(parsed: Column) -> Column:
+        ids, game, player = (_kind(parsed, f) for f in ("category_ids", "igdb_data", "player_data"))
+        return reasons(
+            BAD_BODY=F.col(body).isNotNull() & parsed.isNull(), BAD_CATEGORY_IDS=~F.coalesce(ids.isin("ARRAY<STRING>", "ARRAY<VOID>") & ~_holds_null(parsed), F.lit(False)),
+            BAD_GAME=~F.coalesce(game.startswith("OBJECT<"), F.lit(False)), BAD_PLAYER=~player.startswith("OBJECT<"),
+        )
+
+    return _once(F.try_parse_json(F.col(body)), found)
 
-def _holds_null(body: str) -> Column:
-    ids = F.try_variant_get(F.try_parse_json(F.col(body)), "$.category_ids", "array<string>")
+
+def _holds_null(parsed: Column) -> Column:
+    ids = F.try_variant_get(parsed, "$.category_ids", "array<string>")
     return F.coalesce(F.exists(ids, lambda x: x.isNull()), F.lit(False))
 
 
 def update_reasons(body: str = "body") -> Column:
     """Of an update command as JSON text: what is given of categories, igdb_data and player_data is an array or an object."""
-    categories, game, player = (_kind(body, f) for f in ("categories", "igdb_data", "player_data"))
-    return reasons(BAD_BODY=F.col(body).isNotNull() & F.try_parse_json(F.col(body)).isNull(), BAD_CATEGORIES=~categories.startswith("ARRAY<"), BAD_GAME=~game.startswith("OBJECT<"), BAD_PLAYER=~player.startswith("OBJECT<"))
+
+    def found(parsed: Column) -> Column:
+        categories, game, player = (_kind(parsed, f) for f in ("categories", "igdb_data", "player_data"))
+        return reasons(BAD_BODY=F.col(body).isNotNull() & parsed.isNull(), BAD_CATEGORIES=~categories.startswith("ARRAY<"), BAD_GAME=~game.startswith("OBJECT<"), BAD_PLAYER=~player.startswith("OBJECT<"))
+
+    return _once(F.try_parse_json(F.col(body)), found)
 
 
 def category_reasons() -> Column:
@@ -68,8 +82,13 @@ def search_reasons() -> Column:
     )
 
 
+def judged(rows: DataFrame, found: Column) -> DataFrame:
+    """All rows with their ``reasons``, in one pass."""
+    return rows.withColumn("reasons", found)
+
+
 def split(rows: DataFrame, found: Column, fields: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(valid rows with the known ``fields``, rejected rows with ``reasons``)."""
-    judged = rows.withColumn("reasons", found)
-    valid = judged.where(F.size("reasons") == 0)
-    return valid.select(fields or rows.columns), judged.where(F.size("reasons") > 0)
+    """(valid rows with the known ``fields``, rejected rows with ``reasons``): two passes, if both are used."""
+    known = judged(rows, found)
+    valid = known.where(F.size("reasons") == 0)
+    return valid.select(fields or rows.columns), known.where(F.size("reasons") > 0)

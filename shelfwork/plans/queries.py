@@ -624,8 +624,7 @@ def search_answer(d: Domain) -> DataFrame:
 
 
 def _judged(rows: DataFrame, reasons) -> DataFrame:
-    valid, rejected = validate.split(rows, reasons)
-    return valid.select("id", F.lit("").alias("reasons"), F.lit(True).alias("valid")).unionByName(rejected.select("id", joined("reasons").alias("reasons"), F.lit(False).alias("valid")))
+    return validate.judged(rows, reasons).select("id", joined("reasons").alias("reasons"), (F.size("reasons") == 0).alias("valid"))
 
 
 def _rules(source: str, rules: str) -> str:

@@ -237,3 +237,10 @@ def test_batch_joins_are_not_left_to_file_sizes(spark, monkeypatch):
     groups = batch.batch_groups(saved(pages, "pages"), games)
     for rows in (pages, groups, batch.batch_meta(search, pages, groups)):
         assert "BroadcastExchange" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_command_bodies_are_parsed_once(spark):
+    for found in (validate.create_reasons(), validate.update_reasons()):
+        rows = validate.judged(spark.range(1).select(F.concat(F.lit("{"), F.col("id").cast("string")).alias("body")), found)
+        plan = rows.select(F.array_join("reasons", "|"), F.size("reasons") == 0)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.lower().count("parsejson") + plan.lower().count("parse_json") == 1, plan
