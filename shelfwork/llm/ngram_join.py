@@ -125,7 +125,7 @@ def _signed(depth: np.ndarray):
                 stop[some] = _stops(hashes, per, depth)
                 upto = np.concatenate([[0], np.cumsum(some * TREES)]).astype(np.int32)
                 uid = pa.array(_identity(words).view(np.int64), mask=~some)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), batch.column(1).slice(first, end - first), uid, pa.array(stop), pa.ListArray.from_arrays(pa.array(upto), pa.array(keys.ravel()))], names=["doc_id", "row_hash", "uid", "stop", "paths"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), batch.column(1).slice(first, end - first), uid, pa.array(stop), pa.array(8 * per.astype(np.int64)), pa.ListArray.from_arrays(pa.array(upto), pa.array(keys.ravel()))], names=["doc_id", "row_hash", "uid", "stop", "size", "paths"])
 
     return run
 
@@ -133,7 +133,7 @@ def _signed(depth: np.ndarray):
 def signatures(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, recall: float = RECALL) -> DataFrame:
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row_hash"), text.alias("text"))
-    return rows.mapInArrow(_signed(depths(threshold, recall)), "doc_id long, row_hash long, uid long, stop int, paths array<long>")
+    return rows.mapInArrow(_signed(depths(threshold, recall)), "doc_id long, row_hash long, uid long, stop int, size long, paths array<long>")
 
 
 def _prefix(depth: int):
@@ -141,12 +141,12 @@ def _prefix(depth: int):
 
 
 def forest(signed: DataFrame) -> DataFrame:
-    """uid, stop, tree, path of all texts, each once, under a prefix of LEAST minima that another text has too, in the
+    """uid, stop, size (bytes that its shingle set has at most), tree, path of all texts, each once, under a prefix of LEAST minima that another text has too, in the
     order of the tries."""
-    rows = signed.where("uid is not null").groupBy("uid").agg(F.first("stop").alias("stop"), F.first("paths").alias("paths"))
-    rows = stash(rows, "texts").select("uid", "stop", F.posexplode("paths").alias("tree", "path")).withColumn("prefix", _prefix(LEAST))
+    rows = signed.where("uid is not null").groupBy("uid").agg(F.first("stop").alias("stop"), F.first("size").alias("size"), F.first("paths").alias("paths"))
+    rows = stash(rows, "texts").select("uid", "stop", "size", F.posexplode("paths").alias("tree", "path")).withColumn("prefix", _prefix(LEAST))
     shared = rows.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    found = rows.join(shared, ["tree", "prefix"]).select("uid", "stop", "tree", "path")
+    found = rows.join(shared, ["tree", "prefix"]).select("uid", "stop", "size", "tree", "path")
     return stash(found.sortWithinPartitions("tree", "path"), "forest")
 
 
@@ -231,7 +231,7 @@ def _near(threshold: tuple[int, int]):
 def links(docs: DataFrame, tries: DataFrame, threshold=THRESHOLD) -> DataFrame:
     """uid, root, links of all texts with a verified partner."""
     sets = shingle_sets(docs, stash(tries.select("uid").distinct(), "uids"))
-    at = lambda rows, depth: rows.select("uid", "tree", _prefix(depth).alias("prefix"))
+    at = lambda rows, depth: rows.select("uid", "size", "tree", _prefix(depth).alias("prefix"))
     first = [at(tries.where(some), MAX_DEPTH) for some in (F.col("tree") < FIRST_TREES, F.col("tree") >= FIRST_TREES)]
     shortened = [at(tries.where(F.col("stop") <= depth), depth).withColumn("tree", F.col("tree") + TREES * (MAX_DEPTH - depth)) for depth in range(MAX_DEPTH, LEAST - 1, -1)]
     found = buckets.classes(first, [reduce(DataFrame.unionByName, shortened)], sets, _similar(threshold), _near(threshold), BLOCK)

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from shelfwork.llm import bloom, buffers, components, edit_embedding, exact_dedup, langid, mixing, mixing_lm, ngram_join, packing, quality, rows, toxicity, warc
+from shelfwork.llm import bloom, buckets, buffers, components, edit_embedding, exact_dedup, langid, mixing, mixing_lm, ngram_join, packing, quality, rows, toxicity, warc
 from shelfwork.llm.queries import tokenizer_path
 from shelfwork.llm.storage import fold, stash
 
@@ -1235,3 +1235,27 @@ def test_keep_leaves_one_of_repeated_rows(make):
     found = exact_dedup.exact_dedup(docs)
     assert Counter((r.doc_id, r.text) for r in rows.keep(docs, found).collect()) == Counter([(1, "a"), (2, "b"), (3, None), (None, "c")])
     assert rows.keep(docs, found).columns == docs.columns
+
+
+def test_groups_are_dealt_without_their_payloads(spark):
+    rows = spark.createDataFrame([(1, 1, 80, 0, 5), (2, 2, 80, 0, 5)], "uid long, class long, size long, tree int, prefix long")
+    none = spark.createDataFrame([], "uid long, payload binary")
+    _, members = buckets.mixed_links(rows, none, ngram_join._near((4, 5)), 4)
+    assert {(r.uid, r["class"], r.size) for r in members.collect()} == {(1, 1, 80), (2, 2, 80)}
+
+
+def test_forest_tells_how_large_a_shingle_set_is(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g h"), (2, "a b c d e f g  h x"), (3, "a b c d e a b c d e")] * 2, "doc_id long, text string")
+    signed = ngram_join.signatures(docs)
+    found = {r.uid: r.size for r in ngram_join.forest(signed).collect()}
+    sets = ngram_join.shingle_sets(docs, signed.select("uid").distinct()).collect()
+    assert found and all(len(r.payload) <= found.get(r.uid, len(r.payload)) for r in sets)
+
+
+def test_least_score_is_that_of_all_labelled_texts(spark, monkeypatch):
+    docs = spark.range(20_300).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    least = 1 - 20_299 / 40_600
+    for k in (20_299, 11, 5_003):  # whichever text has the least score counts
+        monkeypatch.setattr(langid, "identify", lambda rows, model, k=k: rows.select(F.when(F.col("doc_id") == k, least).otherwise(0.9).alias("score")))
+        odds = 0.5 * least / (1 - least)
+        assert abs(langid.least_score(docs, None) - odds / (1 + odds)) < 1e-9
