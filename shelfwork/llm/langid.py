@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwork.llm import buffers
-from shelfwork.llm.storage import sampled, short_batches
+from shelfwork.llm.storage import short_batches
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -188,12 +188,11 @@ def has_letter(text: Column) -> Column:
     return F.coalesce(text.cast("string").rlike(r"\p{L}"), F.lit(False))
 
 
-def least_score(docs: DataFrame, model: ByteCNN, part: float = 0.5, cap: int = 20_000) -> float:
+def least_score(docs: DataFrame, model: ByteCNN, part: float = 0.5) -> float:
     """The score whose odds are ``part`` of the least odds that the network gives a labelled document with letters, by
-    ``docs`` that it hasn't learnt from (``cap`` of them, chosen by hash); without any, 0."""
+    all ``docs``, which it hasn't learnt from; without any, 0."""
     known = docs.where(F.col("lang").isNotNull() & has_letter(F.col("text")))
-    chosen = sampled(known, "text", known.count(), cap)
-    least = identify(chosen, model).agg(F.min("score")).first()[0]
+    least = identify(known, model).agg(F.min("score")).first()[0]
     if least is None:
         return 0.0
     odds = part * least / max(1 - least, 1e-12)
