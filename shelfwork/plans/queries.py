@@ -509,16 +509,20 @@ def library_store(d: Domain) -> DataFrame:
     """Users who are suppliers delete all their entries, and ask for those of the next user too; only their buckets are written anew."""
     held = store.Store(d.spark, f"{tables.scratch_folder(d.spark)}/library-{uuid.uuid4().hex}")
     held.create(d.backlogs())
-    who = d.flat("supplier").select(F.col("s_suppkey").alias("userId"))
-    orders = d.flat("orders").select(F.col("o_orderkey").alias("_id"), F.col("o_custkey").alias("customer"))
-    asked = who.join(orders, (F.col("customer") == F.col("userId")) | (F.col("customer") == F.col("userId") + 1))
-    asked = asked.select((F.col("_id") * 2 + (F.col("customer") == F.col("userId")).cast("int")).alias("seq"), "_id", "userId")
+    asked = tables.saved(_deletions(d), "asked")
     manifest, rejects = held.change(asked, commands.delete_rows)
     left = held.read(manifest=manifest).select("_id", F.col("userId").alias("user_id"), joined(F.col("categories").cast("array<string>")).alias("categories"), F.col("igdb_data.name").alias("name"), F.lit("row").alias("kind"))
     refused = rejects.join(asked, "seq").select("_id", F.col("userId").alias("user_id"), F.lit(None).cast("string").alias("categories"), F.lit(None).cast("string").alias("name"), F.lit("reject").alias("kind"))
     return left.unionByName(refused)
 
 
+def _deletions(d: Domain) -> DataFrame:
+    """seq, _id, userId: of each supplier the orders of the customer with its number and of the next one. Both are met by equality."""
+    who = d.flat("supplier").select(F.col("s_suppkey").alias("userId"), F.explode(F.array(F.col("s_suppkey"), F.col("s_suppkey") + 1)).alias("customer"))
+    orders = d.flat("orders").select(F.col("o_orderkey").alias("_id"), F.col("o_custkey").alias("customer"))
+    return who.join(orders, "customer").select((F.col("_id") * 2 + (F.col("customer") == F.col("userId")).cast("int")).alias("seq"), "_id", "userId")
+
+
 #: Two updates of each order under numbers that repeat, and none for each 700th.
 REPEATED = "select rid, nullif(rid % 700, 0) as seq, ts, _id, user_id, categories from (select seq * 2 as rid, ts, _id, user_id, categories from ({updates}) union all select seq * 2 + 1, ts, seq, user_id, null from ({updates}))"
 

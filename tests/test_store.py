@@ -88,3 +88,17 @@ def test_deep_pages_hold_few_rows(spark):
     page = catalog.deep_page(games, "total_rating", "asc", 10, 250_000, most=1000)
     assert [r.id for r in page.orderBy("rank").collect()] == [833 + 1000 * k for k in range(100, 110)]
     assert page.drop("rank")._jdf.queryExecution().optimizedPlan().toString().count("Filter") >= 1
+
+
+def test_deletions_are_met_by_equality(spark):
+    from shelfwork.plans import queries
+    from shelfwork.sources.adapter import Domain
+
+    d = Domain(spark, "/root/testdata/sf0.001")
+    rows = queries._deletions(d)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    orders = {(r.o_orderkey, r.o_custkey) for r in d.flat("orders").collect()}
+    who = {r.s_suppkey for r in d.flat("supplier").collect()}
+    wanted = sorted((o * 2 + (c == u), o, u) for o, c in orders for u in (c, c - 1) if u in who)
+    assert wanted and sorted(tuple(r) for r in rows.collect()) == wanted
