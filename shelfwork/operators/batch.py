@@ -9,9 +9,11 @@ come under one req_id, so ids should be unique.
 How it is spread. Requests that differ in req_id, limit and offset only are one search. What a search filters by besides
 its date (texts of platform and genre) is its pool; pools and dates are met by equality alone:
 
-- names of platforms and genres meet the texts by equality of substrings, games by their exploded ids;
-- titles meet games by an inverted index of the names' grams: of all grams of a title's words the rarest one gives the
-  candidates, whose names are then looked at;
+- names of platforms and genres meet the texts by equality of substrings. Texts are numbered, a game has the numbers of
+  those it matches, and is dealt to its pools from there: no table of pools and games is joined with the games;
+- titles meet the different names by an inverted index of the names' grams: of all grams of a title's words the rarest one
+  gives the candidates, which are then looked at. How a title matches is the same for all games of a name, so each pool's
+  games are ranked by id once for each name and span, and a search merges the best of its names;
 - a date is a set of at most 16 spans of each of nine lengths. Each pool's games are ranked once for each order and span
   that some search uses, as far as the deepest page of these goes, and counted once for each span; a search then merges
   the best of its spans and adds up their counts. So what is sorted grows with searches times pages, and no matches are
@@ -34,10 +36,17 @@ from shelfwork.sources.tables import saved
 GRAM = 3
 #: What searches use (pools, orders, spans) is broadcast to games up to so many rows, else joined by shuffle.
 FEW = 100_000
+#: Stands for no platform or genre; texts are numbered from 0.
+ANY = -1
 
 _TEXTS = {"title": "string", "since": "string", "platform": "string", "genre": "string", "sort_by": "string", "direction": "string", "limit": "bigint", "offset": "bigint"}
 
 
+def _or_any(numbers: str) -> Column:
+    """The numbers of the texts that a game matches, and the one that stands for no filter."""
+    return F.concat(F.array(F.lit(ANY)), F.coalesce(numbers, F.array().cast("array<bigint>")))
+
+
 def _shuffled(rows: DataFrame) -> DataFrame:
     """Neither ``rows`` nor what they are joined with goes whole to the driver."""
     return rows.hint("merge")
@@ -71,23 +80,23 @@ class BatchSearch:
         ids = {c: F.array_distinct(F.transform(c, lambda x: x["id"])) for c in ("platforms", "genres")}
         # narrow and read often: once per step that uses it
         main = saved(games.where(catalog.main_only()).select("id", "name", "total_rating", "first_release_date", *[v.alias(c) for c, v in ids.items()]), "games")
-        self.plain = main.select("id", "name", "total_rating", "first_release_date")
-        wanted = self._wanted(requests)
+        wanted = saved(self._wanted(requests), "wanted")
         known_p, of_p = self._matching(wanted, "platform", platforms, "platforms", main)
         known_g, of_g = self._matching(wanted, "genre", genres, "genres", main)
+        plain = main.select("id", "name", "total_rating", "first_release_date").join(_shuffled(of_p), "id", "left").join(_shuffled(of_g), "id", "left")
+        self.games = saved(plain.select("id", "name", "total_rating", "first_release_date", _or_any("of_platform").alias("of_platform"), _or_any("of_genre").alias("of_genre")), "pooled")
         rows = wanted.join(known_p, "platform", "left").join(known_g, "genre", "left")  # the texts that are known come with hints
-        none = F.lit(None).cast("string")
-        rows = rows.withColumns({"platform": F.when(F.col("platform_known"), F.col("platform")).otherwise(none), "genre": F.when(F.col("genre_known"), F.col("genre")).otherwise(none)})
-        rows = rows.withColumn("pool", F.to_json(F.struct("platform", "genre"))).withColumn("search", F.to_json(F.struct("title", "since", "pool", "sort_by", "direction")))
-        self.asked = saved(rows.select("req_id", "search", "pool", "title", "since", "platform", "genre", "sort_by", "direction", "limit", "offset"), "asked")
-        deep = F.max(F.col("limit") + F.col("offset")).alias("depth")
-        self.searches = self.asked.groupBy("search", "pool", "title", "since", "platform", "genre", "sort_by", "direction").agg(deep)
-        most = self.searches.agg(F.max("depth").alias("depth"), F.count("title").alias("titles"), F.count(F.lit(1)).alias("n"), F.count_distinct("pool").alias("pools")).first()
+        rows = rows.withColumns({"platform": F.coalesce("platform_known", F.lit(ANY)), "genre": F.coalesce("genre_known", F.lit(ANY))})
+        what = ["title", "since", "platform", "genre", "sort_by", "direction"]
+        rows = saved(rows.select("req_id", *what, "limit", "offset"), "rows").withColumn("key", F.to_json(F.struct(*what)))
+        searches = rows.groupBy("key", *what).agg(F.max(F.col("limit") + F.col("offset")).alias("depth"))
+        self.searches = saved(searches.withColumn("search", F.monotonically_increasing_id()), "searches")
+        most = self.searches.agg(F.max("depth").alias("depth"), F.count("title").alias("titles"), F.count(F.lit(1)).alias("n")).first()
         self.deepest, self.titles = most["depth"] or 0, most["titles"]
-        self.of_ranked, self.of_searches, self.of_pools = (_few_or_shuffled(n) for n in (most["n"] * max(self.deepest, 1), most["n"], most["pools"]))
-        self.pools = self._pools(of_p, of_g)
-        at = self.searches.where("title is null").select("search", "pool", "sort_by", "direction", "depth", F.explode(catalog._later(F.col("since"))).alias("at"))
-        self.spans = saved(at.select("search", "pool", "sort_by", "direction", "depth", "at.level", "at.span"), "spans")
+        self.of_ranked, self.of_searches = _few_or_shuffled(most["n"] * max(self.deepest, 1)), _few_or_shuffled(most["n"])
+        numbers = self.searches.select("key", "search")
+        self.asked = saved(rows.select("req_id", "key", F.col("title").isNotNull().alias("titled"), "limit", "offset").join(self.of_searches(numbers), "key").drop("key"), "asked")
+        self.spans = self._spans(self.searches.where("title is null").select("search", "platform", "genre", "sort_by", "direction", "depth", "since"))
         self.hint = _few_or_shuffled(self.spans.count())
 
     def _wanted(self, requests: DataFrame) -> DataFrame:
@@ -97,72 +106,82 @@ class BatchSearch:
         up = ~sort_by.isin(*catalog.SORTS) | (F.lower(F.coalesce("direction", F.lit("desc"))) == "asc")
         unsorted = title.isNotNull()
         return given.select(
-            "req_id", title.alias("title"), F.unix_seconds(F.col("since").cast("timestamp")).alias("since"), "platform", "genre",
+            "req_id", title.alias("title"), F.unix_seconds(F.col("since").cast("timestamp")).alias("since"), F.lower("platform").alias("platform"), F.lower("genre").alias("genre"),
             F.when(unsorted, F.lit(None)).when(sort_by.isin(*catalog.SORTS), sort_by).otherwise("id").alias("sort_by"), F.when(unsorted, F.lit(None)).when(up, "asc").otherwise("desc").alias("direction"),
             F.least(F.coalesce("limit", F.lit(catalog.DEFAULT_ROWS)), F.lit(catalog.MOST_ROWS)).alias("limit"), F.coalesce("offset", F.lit(0)).alias("offset"),
         )
 
     @staticmethod
     def _matching(wanted: DataFrame, text: str, dimension: DataFrame, column: str, main: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(texts that match rows of a dimension, (text, id) of the games with any of these rows)."""
+        """(texts that match rows of a dimension, with numbers, (id, numbers of the texts) of the games with any of these rows)."""
         texts = wanted.select(text).where(F.col(text).isNotNull()).distinct()
         named = dimension.select("id", F.explode(catalog._substrings(F.lower("name"))).alias("sub"))
-        near = texts.join(_shuffled(named), F.col("sub") == F.lower(text))
-        near = near.withColumn("n", F.row_number().over(Window.partitionBy(text).orderBy("id"))).where(F.col("n") <= catalog.MOST_DIMENSIONS).select(text, F.col("id").alias("dim"))
-        near = saved(near, "names")
-        hint = _few_or_shuffled(near.count())
-        held = main.select("id", F.explode(column).alias("dim"))
-        return hint(near.select(text, F.lit(True).alias(f"{text}_known")).distinct()), hint(near).join(held, "dim").select(text, "id").distinct()
-
-    def _pools(self, of_p: DataFrame, of_g: DataFrame) -> DataFrame:
-        """(pool, id) of the pools with a platform or genre; the pool without either is all games."""
-        pools, hint = self.searches.select("pool", "platform", "genre").distinct(), self.of_pools
-        by_p, by_g = F.col("platform").isNotNull(), F.col("genre").isNotNull()
-        both = hint(pools.where(by_p & by_g)).join(of_p, "platform").join(_shuffled(of_g), ["genre", "id"])
-        only_p, only_g = hint(pools.where(by_p & ~by_g)).join(of_p, "platform"), hint(pools.where(~by_p & by_g)).join(of_g, "genre")
-        return both.select("pool", "id").unionByName(only_p.select("pool", "id")).unionByName(only_g.select("pool", "id"))
-
-    def _in_spans(self, used: DataFrame) -> DataFrame:
-        """Games of each pool in the spans of ``used`` (pool, level, span, ...), which come from ``spans``."""
-        hint = self.hint
-        free = F.to_json(F.struct(F.lit(None).cast("string").alias("platform"), F.lit(None).cast("string").alias("genre")))
-        at = catalog._spans(F.col("first_release_date"))
-        every = hint(used.select("level", "span").distinct())
-        spread = self.plain.withColumn("at", F.explode(at)).select("id", "name", "total_rating", "first_release_date", "at.level", "at.span").join(every, ["level", "span"], "left_semi")
-        named = self.pools.join(_shuffled(spread), "id").join(hint(used), ["pool", "level", "span"])
-        return named.unionByName(spread.withColumn("pool", free).join(hint(used), ["pool", "level", "span"]), allowMissingColumns=False)
-
-    def titled(self) -> DataFrame:
-        """title, id, kind of match (0 exact, 1 prefix, 2 other), length of the name, first_release_date."""
+        near = texts.join(_shuffled(named), F.col("sub") == F.col(text))
+        near = near.withColumn("n", F.row_number().over(Window.partitionBy(text).orderBy("id"))).where(F.col("n") <= catalog.MOST_DIMENSIONS)
+        near = saved(near.groupBy(text).agg(F.collect_set("id").alias("dims")).withColumn("number", F.monotonically_increasing_id()), "names")
+        hint = _few_or_shuffled(near.count() * catalog.MOST_DIMENSIONS)
+        held = main.select("id", F.explode(column).alias("dim")).join(hint(near.select("number", F.explode("dims").alias("dim"))), "dim")
+        return hint(near.select(text, F.col("number").alias(f"{text}_known"))), held.groupBy("id").agg(F.collect_set("number").alias(f"of_{text}"))
+
+    def _spans(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with (level, span) in place of ``since``: the spans of their date that any game is in."""
+        filled = saved(self.games.select(F.explode(catalog._spans(F.col("first_release_date"))).alias("at")).select("at.level", "at.span").distinct(), "filled")
+        at = rows.withColumn("at", F.explode(catalog._later(F.col("since")))).drop("since").select("*", "at.level", "at.span").drop("at")
+        return saved(at.join(_few_or_shuffled(filled.count())(filled), ["level", "span"], "left_semi"), "spans")
+
+    @staticmethod
+    def _listed(games: DataFrame, lists: DataFrame) -> DataFrame:
+        """Games of each of ``lists``: platform, genre, level, span and other columns. A game comes to its pools where it lies."""
+        hint = _few_or_shuffled(lists.count())
+        at = games.withColumn("at", F.explode(catalog._spans(F.col("first_release_date")))).select("*", "at.level", "at.span").drop("at")
+        at = at.join(hint(lists.select("level", "span").distinct()), ["level", "span"], "left_semi")
+        at = at.withColumn("platform", F.explode("of_platform")).withColumn("genre", F.explode("of_genre")).drop("of_platform", "of_genre")
+        return at.join(hint(lists), ["platform", "genre", "level", "span"])
+
+    def _best(self, rows: DataFrame, by: list[str], order: list) -> DataFrame:
+        """``rows`` with their place ``n`` (from 1), as far as the deepest page."""
+        return rows.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("n") <= self.deepest)
+
+    def _names(self) -> tuple[DataFrame, DataFrame]:
+        """((name, low) of the different names that some title matches, (title, name, kind of match: 0 exact, 1 prefix, 2 other, length of the name))."""
         titles = saved(self.searches.select("title").where("title is not null").distinct().select("title", F.explode(_word_grams(F.col("title"))).alias("gram")), "titles")
         grams = titles.select("gram").distinct()
-        low = self.plain.select("id", F.lower("name").alias("low"), "first_release_date")
-        index = low.withColumn("gram", F.explode(_grams(F.col("low"), 1)))
         hint = _few_or_shuffled(grams.count())
-        index = saved(index.join(hint(grams), "gram", "left_semi"), "grams")
+        names = saved(self.games.select(F.lower("name").alias("low")).where("low is not null").distinct().withColumn("name", F.monotonically_increasing_id()), "lows")
+        index = saved(names.withColumn("gram", F.explode(_grams(F.col("low"), 1))).join(hint(grams), "gram", "left_semi"), "grams")
         often = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
         rarest = titles.join(hint(often), "gram", "left").groupBy("title").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))["gram"].alias("gram"))
-        near = rarest.join(_shuffled(index), "gram")
-        near = near.where(F.forall(_words(F.col("title")), lambda w: F.contains(F.col("low"), w)))
+        near = rarest.join(_shuffled(index), "gram").where(F.forall(_words(F.col("title")), lambda w: F.contains(F.col("low"), w)))
         kind = F.when(F.col("low") == F.col("title"), 0).when(F.startswith("low", "title"), 1).otherwise(2)
-        return near.select("title", "id", kind.alias("kind"), F.length("low").alias("length"), "first_release_date")
+        found = saved(near.select("title", "name", kind.alias("kind"), F.length("low").alias("length")), "named")
+        return names.join(_shuffled(found.select("name").distinct()), "name", "left_semi"), found
+
+    def _by_title(self) -> DataFrame:
+        """search, n, id of the searches with a title. Games of one name match alike, so the first of each pool, span and name are
+        looked for once, then those of each pool and date, and a search merges what the names that it matches have."""
+        names, found = self._names()
+        searches = self.searches.where("title is not null").select("search", "title", "platform", "genre", "depth", "since")
+        views = searches.groupBy("platform", "genre", "since").agg(F.max("depth").alias("depth")).withColumn("key", F.to_json(F.struct("platform", "genre", "since")))
+        views = saved(views.withColumn("view", F.monotonically_increasing_id()), "views")
+        searches = searches.withColumn("key", F.to_json(F.struct("platform", "genre", "since"))).join(_few_or_shuffled(views.count())(views.select("key", "view")), "key")
+        spans = self._spans(views.select("view", "platform", "genre", "since"))
+        lists = saved(spans.select("platform", "genre", "level", "span").distinct().withColumn("list", F.monotonically_increasing_id()), "lists")
+        spans = spans.join(_few_or_shuffled(lists.count())(lists), ["platform", "genre", "level", "span"]).select("view", "list")
+        named = self.games.select("id", F.lower("name").alias("low"), "first_release_date", "of_platform", "of_genre").join(_few_or_shuffled(names.count())(names), "low").drop("low")
+        first = self._best(self._listed(named, lists).select("list", "name", "id"), ["list", "name"], ["id"]).drop("n")
+        first = self._best(first.join(_few_or_shuffled(spans.count())(spans), "list").select("view", "name", "id"), ["view", "name"], ["id"]).drop("n")
+        met = searches.join(_few_or_shuffled(found.count())(found), "title").select("search", "view", "name", "kind", "length", "depth").join(_shuffled(first), ["view", "name"])
+        return self._best(met, ["search"], ["kind", "length", "id"]).where(F.col("n") <= F.col("depth")).select("search", "n", "id")
 
     def ranked(self) -> DataFrame:
         """search, n (from 1), id of the best of each search, as far as its deepest page."""
-        within = lambda by, order: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-        shown = ["pool", "sort_by", "direction", "level", "span"]
-        lists = self._in_spans(self.spans.groupBy(*shown).agg(F.max("depth").alias("depth")))
-        lists = lists.withColumn("n", within(shown, catalog._by_request_order())).where((F.col("n") <= self.deepest) & (F.col("n") <= F.col("depth"))).drop("n", "depth")
-        merged = self.hint(self.spans).join(lists, shown)
-        sorted_ = merged.withColumn("n", within(["search"], catalog._by_request_order())).where((F.col("n") <= self.deepest) & (F.col("n") <= F.col("depth")))
-        if not self.titles:
-            return sorted_.select("search", "n", "id")
-        asked = self.searches.where("title is not null").select("search", "pool", "title", "since", "depth", (F.col("platform").isNotNull() | F.col("genre").isNotNull()).alias("narrow"))
-        found = asked.join(_shuffled(self.titled()), "title").where(F.col("since").isNull() | (F.col("first_release_date") >= F.col("since")))
-        narrow = found.where("narrow").join(_shuffled(self.pools), ["pool", "id"])
-        found = found.where("not narrow").unionByName(narrow)
-        by_title = found.withColumn("n", within(["search"], ["kind", "length", "id"])).where((F.col("n") <= self.deepest) & (F.col("n") <= F.col("depth")))
-        return sorted_.select("search", "n", "id").unionByName(by_title.select("search", "n", "id"))
+        shown = ["platform", "genre", "sort_by", "direction", "level", "span"]
+        lists = saved(self.spans.select(*shown).distinct().withColumn("list", F.monotonically_increasing_id()), "lists")
+        of_list = self.spans.join(_few_or_shuffled(lists.count())(lists), shown).select("search", "depth", "list")
+        rows = self._listed(self.games, lists).select("list", "sort_by", "direction", "id", "name", "total_rating", "first_release_date")
+        merged = self.hint(of_list).join(self._best(rows, ["list"], catalog._by_request_order()).drop("n"), "list")
+        sorted_ = self._best(merged, ["search"], catalog._by_request_order()).where(F.col("n") <= F.col("depth")).select("search", "n", "id")
+        return sorted_.unionByName(self._by_title()) if self.titles else sorted_
 
     def pages(self) -> DataFrame:
         """req_id, rank (from 0), id of every request's page."""
@@ -171,9 +190,10 @@ class BatchSearch:
 
     def totals(self) -> DataFrame:
         """req_id, total of every request: how many games match before paging; null with a title."""
-        counted = self._in_spans(self.spans.select("pool", "level", "span").distinct()).groupBy("pool", "level", "span").agg(F.count(F.lit(1)).alias("games"))
-        by_search = self.hint(self.spans).join(counted, ["pool", "level", "span"]).groupBy("search").agg(F.sum("games").alias("total"))
-        total = F.when(F.col("title").isNull(), F.coalesce("total", F.lit(0)))
+        shown = ["platform", "genre", "level", "span"]
+        counted = self._listed(self.games, saved(self.spans.select(*shown).distinct(), "counted")).groupBy(*shown).agg(F.count(F.lit(1)).alias("games"))
+        by_search = self.hint(self.spans).join(counted, shown).groupBy("search").agg(F.sum("games").alias("total"))
+        total = F.when(~F.col("titled"), F.coalesce("total", F.lit(0)))
         return self.asked.join(self.of_searches(by_search), "search", "left").select("req_id", total.alias("total"))
 
 

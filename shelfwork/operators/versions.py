@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfwork.sources.tables import saved
+
 
 def group_versions(page: DataFrame, catalogue: DataFrame, strict: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
     """One row for each parent, with its versions in page order; rows come with their place in ``place``.
@@ -31,6 +33,8 @@ def group_versions(page: DataFrame, catalogue: DataFrame, strict: bool = False,
     )
     if strict:
         groups = groups.withColumn("versions", F.when(F.col("head").isNull(), F.col("versions")).otherwise(F.filter("versions", lambda v: v["rank"] > F.col("head.rank"))))
+    if by:  # read by each part of the result; of one page they are few
+        groups = saved(groups, "groups")
     # the catalogue is met by the ids that are missing, then the few hits by the groups
     missing = groups.where("head is null").select(F.col("group").alias("id")).distinct()
     missing = missing.hint("merge") if by else missing  # of one page they are few

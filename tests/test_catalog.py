@@ -244,3 +244,21 @@ def test_command_bodies_are_parsed_once(spark):
         rows = validate.judged(spark.range(1).select(F.concat(F.lit("{"), F.col("id").cast("string")).alias("body")), found)
         plan = rows.select(F.array_join("reasons", "|"), F.size("reasons") == 0)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.lower().count("parsejson") + plan.lower().count("parse_json") == 1, plan
+
+
+def test_batch_groups_work_out_pages_once(spark):
+    """Both parts of the grouping and its parents read groups that are written once, not the pages behind them, and a title meets a name once."""
+    from shelfwork.sources.tables import saved
+
+    games = spark.sql("select id, 'red game' as name, 0 as category, if(id % 5 = 4, id - 1, null) as version_parent, 1.0d as total_rating, id * 40000000 as first_release_date, named_struct('url', 'u') as cover, array(named_struct('id', 0L)) as platforms, array(named_struct('id', 0L)) as genres from range(300)")
+    games, dims = saved(games, "games"), saved(spark.sql("select id, concat('n', id) as name from range(3)"), "dims")
+    requests = spark.sql("select id as req_id, 'RED' as title, cast(date_add(date'1970-06-01', cast(id * 500 as int)) as string) as since, 4L as `limit`, id % 3 as offset from range(40)")
+    search = batch.BatchSearch(requests, games, dims, dims)
+    assert search._names()[1].count() == 1
+    pages = saved(search.pages(), "onlypages")
+    groups = batch.batch_groups(pages, games)
+    assert "/onlypages-" not in groups._jdf.queryExecution().optimizedPlan().toString() and not any("/onlypages-" in f for f in groups.inputFiles())
+    epoch = {r.req_id: r.at for r in requests.selectExpr("req_id", "unix_seconds(cast(since as timestamp)) as at").collect()}
+    want = {(i, k): g for i, at in epoch.items() for k, g in enumerate([g for g in range(300) if g * 40000000 >= at][i % 3 : i % 3 + 4])}
+    assert {(r.req_id, r["rank"]): r.id for r in pages.collect()} == want
+    assert {r.req_id for r in groups.collect()} == set(range(40))
