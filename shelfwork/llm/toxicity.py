@@ -3,7 +3,9 @@
 A toxic and an ordinary bigram model are compared by the difference of their log-likelihoods, normalised by length. Both
 discount their own counts and back off to unigrams of their class and from these to one shared distribution: the
 number of different words that a word follows in either class. So an expression that is rare in both classes gets
-about the same probability from both.
+about the same probability from both. Many languages make words of one stem, most of which a sample lacks: that shared
+distribution is therefore weighed, for each class, by how often words of the class start like the word, as far as such
+starts (of the lengths STARTS, in bytes) were seen; the longer start is smoothed by the shorter one.
 
 Words of little evidence would drown the few that count in a long text, so differences below a margin are kept apart
 from clear ones, and a logistic regression weighs both. It is fitted on a quarter of the labelled rows, chosen by hash,
@@ -36,11 +38,28 @@ DISCOUNT = 0.75
 MARGIN = 1.0
 _PAIR = np.uint64(0xD1342543DE82EF95)
 _EDGE = np.uint64(0x5851F42D4C957F2D)
+#: Lengths of the starts of words, in bytes; a shorter word is its own start. What a start's share is smoothed by counts as SMOOTH words.
+STARTS, SMOOTH = (4, 5, 6), 2.0
 
 
 def expressions(data: np.ndarray, offsets: np.ndarray):
     """(word hashes, hashes of each word with the one before, hash of the one before, words per row)."""
-    words = buffers.Words(data, offsets, apart=buffers.NOT_ALNUM)
+    return _expressions(buffers.Words(data, offsets, apart=buffers.NOT_ALNUM))
+
+
+def starts(words: buffers.Words) -> list[np.ndarray]:
+    """Hashes of each word's starts, by STARTS."""
+    out, total = [], np.zeros(len(words.start), np.uint64)
+    factor = buffers.factors(max(STARTS))
+    for k in range(max(STARTS)):
+        own = np.flatnonzero(words.length > k)
+        total[own] += buffers.BYTE_VALUE[words.lower[words.start[own] + k]] * factor[k]
+        if k + 1 in STARTS:
+            out.append(buffers.mix(total + np.uint64(k + 1) * _PAIR))
+    return out
+
+
+def _expressions(words: buffers.Words):
     h = words.hash
     before = np.empty_like(h)
     if len(h):
@@ -50,18 +69,19 @@ def expressions(data: np.ndarray, offsets: np.ndarray):
 
 
 def _counted(batches):
-    """(order, key, before, word, toxic, ordinary) for each distinct word and pair of a batch."""
+    """(order, key, before, word, toxic, ordinary) for each distinct word (order 1), pair (2) and start (its length) of a batch; what comes
+    before a word is its longest start, before a start the next shorter one."""
     for batch in batches:
         toxic = batch.column(0).to_numpy(zero_copy_only=False)
         for first, end, data, at in buffers.blocks(batch.column(1), 1 << 22):
-            h, pair, before, per = expressions(data, at)
+            words = buffers.Words(data, at, apart=buffers.NOT_ALNUM)
+            (h, pair, before, per), begin = _expressions(words), starts(words)
             label = np.repeat(toxic[first:end], per).astype(np.int64)
-            for order, key in ((1, h), (2, pair)):
+            for order, key, prior in ((1, h, begin[-1]), (2, pair, before), *zip(STARTS, begin, [np.zeros_like(h), *begin[:-1]], strict=True)):
                 distinct, index, where = np.unique(key, return_index=True, return_inverse=True)
                 n = np.bincount(where, minlength=len(distinct))
                 t = np.bincount(where, weights=label, minlength=len(distinct)).astype(np.int64)
-                b = before[index] if order == 2 else np.zeros(len(distinct), np.uint64)
-                cols = [pa.array(x.view(np.int64) if x.dtype == np.uint64 else x) for x in (distinct, b, h[index], t, n - t)]
+                cols = [pa.array(x.view(np.int64) if x.dtype == np.uint64 else x) for x in (distinct, prior[index], h[index], t, n - t)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(distinct), order, np.int32)), *cols], names=["order", "key", "before", "word", "toxic", "ordinary"])
 
 
@@ -69,7 +89,7 @@ _MODELS: dict[str, Model] = {}
 
 
 class Model:
-    """Words and pairs, sorted by hash, with their probabilities in both classes, and the calibration.
+    """Words, pairs and starts, sorted by hash, with their probabilities in both classes, and the calibration.
 
     ``start`` says for the first bits of a hash where its entries begin: about one entry for each value of them.
     """
@@ -123,9 +143,16 @@ class Model:
 
     def evidence(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """For each row the sums of log P(toxic) - log P(ordinary) above MARGIN, below -MARGIN and in all, and its words."""
-        h, pair, before, per = expressions(data, offsets)
-        known1, p1 = self.get(h)
-        uni = np.where(known1[:, None], p1, self.unseen[None])
+        words = buffers.Words(data, offsets, apart=buffers.NOT_ALNUM)
+        h, pair, before, per = _expressions(words)
+        known1, uni = self.get(h)
+        new = np.flatnonzero(~known1)
+        uni[new] = self.unseen
+        begin = starts(words)
+        for k in range(len(STARTS) - 1, -1, -1):  # the longest start that is known
+            known, weight = self.get(begin[k][new])
+            uni[new[known]] *= weight[known]
+            new = new[~known]
         known2, p2 = self.get(pair)
         seen, back = self.get(before ^ _EDGE)
         both = np.where((known2 & seen)[:, None], p2, 0) + np.where(seen[:, None], back, 1.0) * uni
@@ -145,8 +172,32 @@ def design(evidence: np.ndarray) -> np.ndarray:
     return np.stack([np.log1p(evidence[:, 0] / root), np.log1p(evidence[:, 1] / root), np.clip(evidence[:, 2] / n, -2, 2), np.ones(len(n))], axis=1)
 
 
-def build(words: dict, pairs: dict) -> Model:
-    """Kneser-Ney estimates. words: key, follows, toxic, ordinary; pairs: key, before, toxic, ordinary."""
+def _weights(begin: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, by key, the weights in both classes) of starts: key, before, toxic, ordinary of each length, shorter ones first. A weight
+    is the class's share of the start against what it would be were classes alike."""
+    keys, share = np.zeros(0, np.uint64), np.zeros(0)
+    all_keys, all_shares = [], []
+    for rows in begin:
+        prior = np.full(len(rows["key"]), 0.5)
+        if len(keys):
+            at = np.minimum(np.searchsorted(keys, rows["before"]), len(keys) - 1)
+            prior = np.where(keys[at] == rows["before"], share[at], 0.5)
+        toxic, ordinary = (rows[c] / max(1, rows[c].sum()) for c in ("toxic", "ordinary"))
+        size = (rows["toxic"].sum() + rows["ordinary"].sum()) / 2
+        found = (toxic * size + SMOOTH * prior) / ((toxic + ordinary) * size + SMOOTH)
+        rank = np.argsort(rows["key"])
+        keys, share = rows["key"][rank], found[rank]
+        all_keys.append(keys)
+        all_shares.append(share)
+    keys, share = np.concatenate(all_keys), np.concatenate(all_shares)
+    rank = np.argsort(keys)
+    share = np.clip(share[rank], 1e-4, 1 - 1e-4)
+    return keys[rank], np.stack([2 * share, 2 * (1 - share)], axis=1).astype(np.float32)
+
+
+def build(words: dict, pairs: dict, begin: list[dict] = ()) -> Model:
+    """Kneser-Ney estimates. words: key, follows, toxic, ordinary and, with starts, before; pairs: key, before, toxic, ordinary; begin: the
+    same of the starts of each length."""
     model, classes = Model(), ("toxic", "ordinary")
     rank = np.argsort(words["key"])
     words = {k: v[rank] for k, v in words.items()}
@@ -156,7 +207,12 @@ def build(words: dict, pairs: dict) -> Model:
     kinds = words["follows"].sum() + len(c1) + 1
     own1 = np.maximum(c1 - DISCOUNT, 0) / total
     left = np.maximum(1 - own1.sum(axis=0), 1e-6)
-    uni = (own1 + left * ((words["follows"] + 1) / kinds)[:, None]).astype(np.float32)
+    shared = left * ((words["follows"] + 1) / kinds)[:, None]
+    start_keys, weights = _weights(begin) if len(begin) else (np.zeros(0, np.uint64), np.zeros((0, 2), np.float32))
+    if len(start_keys):
+        at = np.minimum(np.searchsorted(start_keys, words["before"]), len(start_keys) - 1)
+        shared = np.where((start_keys[at] == words["before"])[:, None], shared * weights[at], shared)
+    uni = (own1 + shared).astype(np.float32)
     model.unseen, model.offset = left / kinds, float(np.log(left[0] / left[1]))
     # a word's own continuations; what they leave goes to the unigrams. Pairs are many: no wide arrays of them
     at = np.minimum(np.searchsorted(words["key"], pairs["before"]), max(len(c1) - 1, 0)).astype(np.int32)
@@ -168,9 +224,9 @@ def build(words: dict, pairs: dict) -> Model:
         spent[:, k] = np.bincount(at, weights=own2[:, k], minlength=len(c1))
     heads = np.flatnonzero(spent.sum(axis=1) > 0)
     back = np.clip(1 - spent[heads], 0.01, 1).astype(np.float32)
-    keys = np.concatenate([pairs["key"][known], words["key"][heads] ^ _EDGE, words["key"]])
+    keys = np.concatenate([pairs["key"][known], words["key"][heads] ^ _EDGE, words["key"], start_keys])
     del at, known, spent
-    value = np.concatenate([own2, back, uni])
+    value = np.concatenate([own2, back, uni, weights])
     del own2
     rank = np.argsort(keys)
     model.put(keys[rank], value[rank])
@@ -189,7 +245,7 @@ def calibrate(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1e-2
     return w
 
 
-#: Bytes of labelled text of a class that are learnt from, about. A word gives two entries of 16 bytes at most.
+#: Bytes of labelled text of a class that are learnt from, about. A word gives two entries of 16 bytes at most, and three for its starts.
 TEXT_BYTES = 32 << 20
 
 
@@ -214,9 +270,10 @@ def train(docs: DataFrame, labels: DataFrame, cap: int = 4000, text_bytes: int =
     counts = rows.where("not apart").select("toxic", "text").mapInArrow(_counted, "order int, key long, before long, word long, toxic long, ordinary long")
     counts = stash(counts.groupBy("order", "key").agg(F.min("before").alias("before"), F.min("word").alias("word"), F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")), "expressions")
     follows = counts.where("order = 2").groupBy(F.col("word").alias("key")).agg(F.count(F.lit(1)).alias("follows"))
-    words = counts.where("order = 1").select("key", "toxic", "ordinary").join(follows, "key", "left").withColumn("follows", F.coalesce("follows", F.lit(0)))
+    words = counts.where("order = 1").select("key", "before", "toxic", "ordinary").join(follows, "key", "left").withColumn("follows", F.coalesce("follows", F.lit(0)))
     pairs = counts.where("order = 2").select("key", "before", "toxic", "ordinary")
-    model = build(_columns(words), _columns(pairs))
+    begin = [_columns(counts.where(F.col("order") == k).select("key", "before", "toxic", "ordinary")) for k in STARTS]
+    model = build(_columns(words), _columns(pairs), begin)
     shared = docs.sparkSession.sparkContext.broadcast(model.packed())
     apart = _evidence(rows.where("apart").select(F.col("toxic").cast("long").alias("doc_id"), "text"), shared, model.weights).toArrow()
     y = apart["doc_id"].to_numpy()

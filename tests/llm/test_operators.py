@@ -1090,6 +1090,26 @@ def test_unequal_probabilities(make):
     assert low == pytest.approx(0.2, abs=0.04) and high == pytest.approx(0.6, abs=0.04)
 
 
+def test_toxicity_knows_new_words_of_a_known_stem(spark, make):
+    """Toxic words of one stem, most of which no labelled text has, against ordinary words that were not seen either."""
+    rng = random.Random(8)
+    parts = [a + b for a in "bdfgklmnprst" for b in "aeiou"]
+    word = lambda: "".join(rng.choice(parts) for _ in range(rng.randint(1, 4)))
+
+    def text(toxic):
+        words = [word() for _ in range(60)]
+        for _ in range(4 if toxic else 0):
+            words[rng.randrange(60)] = "zwachl" + "".join(rng.choice(parts) for _ in range(3))
+        return " ".join(words)
+
+    kinds = [i % 4 == 0 for i in range(800)]
+    docs = make([(i, text(k)) for i, k in enumerate(kinds)])
+    labels = spark.createDataFrame([(i, int(k)) for i, k in enumerate(kinds)], "doc_id bigint, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.score(docs, *toxicity.train(docs.where("doc_id < 600"), labels)).collect()}
+    caught, clean = ([(got[i] >= 0.5) for i in range(600, 800) if kinds[i] == k] for k in (True, False))
+    assert sum(caught) >= 0.95 * len(caught) and sum(clean) <= 0.05 * len(clean)
+
+
 def test_the_toxic_sample_is_bounded_by_bytes(make, spark):
     """Few long texts are as much as many short ones; without a bound all labelled rows are learnt from."""
     rng = random.Random(4)
