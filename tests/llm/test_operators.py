@@ -15,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from shelfwork.llm import bloom, buckets, buffers, components, edit_embedding, exact_dedup, langid, mixing, mixing_lm, ngram_join, packing, quality, rows, toxicity, warc
+from shelfwork.llm import bloom, buckets, buffers, components, edit_distance, edit_embedding, exact_dedup, langid, mixing, mixing_lm, ngram_join, packing, quality, rows, sketches, toxicity, warc
 from shelfwork.llm.queries import tokenizer_path
 from shelfwork.llm.storage import fold, stash
 
@@ -1182,6 +1182,26 @@ def test_edit_distances_are_those_of_the_table():
     assert edit_embedding.within(long, "x" + long[:500] + long[510:] + "y", 12) and not edit_embedding.within(long, "x" + long[:500] + long[510:] + "y", 11)
 
 
+def test_edit_distances_of_many_pairs_are_those_of_one():
+    """Few edits, many, blocks that throw the followed diagonals off, texts of different kinds of characters, strangers."""
+    rng = random.Random(4)
+    pairs = []
+    for k in range(3000):
+        letters = rng.choice(["ab", "abcdefgh ", "é漢\U0001f600ab"])
+        a = "".join(rng.choices(letters, k=rng.choice([0, 1, 5, 40, 200])))
+        b = _edited(rng, a, rng.randrange(len(a) // 4 + 1)) if a else "".join(rng.choices(letters, k=k % 5))
+        if k % 4 == 0:
+            b = "".join(rng.choices(letters, k=rng.randrange(60))) + b
+        pairs.append((a, b, rng.randrange(len(a) // 2 + 3)))
+    got = edit_distance.within_many(pairs, edit_embedding._common).tolist()
+    assert got == [edit_embedding.within(*p) for p in pairs] and 500 < sum(got) < 2800
+    long = "".join(rng.choices("abcdefgh ", k=6000))
+    far = long[3000:] + long[:3000]
+    assert edit_distance.within_many([(long, long[400:], 400), (long, long[400:], 399), (long, far, 600), (long, long[:3000] + "z" * 300 + long[3000:], 300)], edit_embedding._common).tolist() == [True, False, False, True]
+    wide = "".join(map(chr, range(0x4E00, 0x4E00 + 900)))
+    assert edit_distance.within_many([(wide, wide[:300] + wide[310:] + "x", 11), (wide, wide[::-1], 90)], edit_embedding._common).tolist() == [True, False]
+
+
 def _edited(rng, text, n):
     chars = list(text)
     for _ in range(n):
@@ -1250,6 +1270,38 @@ def test_runs_in_common_never_part_near_texts():
     assert not edit_embedding._may(edit_embedding._runs(a), edit_embedding._runs(b), 2000, 200)
 
 
+def test_sketches_part_strangers_and_no_near_texts():
+    rng = random.Random(9)
+    texts = ["".join(rng.choices("abcdefgh ", k=n)) for n in (0, 1, 5, 6, 30, 300, 2000, 9000) for _ in range(10)] + ["ab" * 500, "x" * 3000]
+
+    def kept(a, b):
+        x, y = sketches.sketch(a)[None], sketches.sketch(b)[None]
+        filled = lambda s: np.count_nonzero(s, axis=1)
+        return bool(sketches.may_be_near(sketches._equal(x, sketches._right(y)), np.array([len(a)]), np.array([len(b)]), filled(x), filled(y), (1, 10))[0])
+
+    for t in texts:
+        other = list(t)
+        for i in range(9, len(t), 10):  # edits spread so that they change as many runs as they can
+            other[i] = "z"
+        assert kept(t, "".join(other)) and kept(t, t)
+    long = [t for t in texts if len(t) in (300, 2000, 9000)]
+    assert not any(kept(a, b) for a in long for b in long if a != b)
+
+
+def test_strangers_of_crowded_buckets_dont_meet_as_texts(spark):
+    """Sketches leave near pairs only, each once however many buckets it shares, in small buckets and in blocks of large ones."""
+    rng = random.Random(10)
+    texts = ["".join(rng.choices("abcdefgh ", k=400)) for _ in range(150)]
+    texts += [_edited(rng, t, 12) for t in texts[:6]]
+    at = [(u, u, tree, 0) for tree in range(3) for u in range(len(texts)) if u % (tree + 1) == 0 or u >= 150] + [(u, u, 9, u % 2) for u in (0, 150, 1, 151)]
+    rows_ = spark.createDataFrame(at, "uid long, class long, tree int, prefix long")
+    payloads = spark.createDataFrame([(u, bytearray(t.encode())) for u, t in enumerate(texts)], "uid long, payload binary")
+    sift = sketches.RunSift(sketches.sketched(payloads), (1, 10))
+    for block in (40, 1000):
+        links, pairs = buckets.sifted_links(rows_, payloads, edit_embedding._judge((1, 10)), sift, block)
+        assert Counter(map(tuple, pairs.collect())) == Counter(map(tuple, links.collect())) == Counter({(150 + k, k): 1 for k in range(6)})
+
+
 def test_keep_leaves_one_of_repeated_rows(make):
     docs = make([(1, "a"), (1, "a"), (2, "b"), (3, None), (None, "c")])
     found = exact_dedup.exact_dedup(docs)
