@@ -1331,3 +1331,51 @@ def test_least_score_is_that_of_all_labelled_texts(spark, monkeypatch):
         monkeypatch.setattr(langid, "identify", lambda rows, model, k=k: rows.select(F.when(F.col("doc_id") == k, least).otherwise(0.9).alias("score")))
         odds = 0.5 * least / (1 - least)
         assert abs(langid.least_score(docs, None) - odds / (1 + odds)) < 1e-9
+
+
+def test_sketches_of_each_zone_keep_near_texts_and_part_strangers():
+    """Long texts of few words have most short runs in common, short ones few runs: each length is compared by runs of its own."""
+    rng = random.Random(12)
+    words = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 8))) for _ in range(3000)]
+
+    def prose(n):
+        return " ".join(rng.choice(words) for _ in range(n // 3))[:n]
+
+    def kept(a, b):
+        zone = int(sketches.zone_of(max(len(a), len(b))))
+        x, y = (sketches.unpacked(np.frombuffer(sketches.packed(t, zone), np.uint8)[None]) for t in (a, b))
+        return bool(sketches._may_pairs(zone, x, y, np.array([len(a)]), np.array([len(b)]), (1, 10))[0])
+
+    for n in (0, 1, 9, 30, 200, 399, 401, 1999, 2001, 6500, 13_000, 32_000, 60_000):
+        texts = [prose(n) for _ in range(4)] + ["a" * n, "ab" * (n // 2)]
+        for t in texts:
+            worst = "".join("z" if i % 10 == 9 else c for i, c in enumerate(t))
+            assert kept(t, worst) and kept(worst, t) and kept(t, t) and kept(t, t[: n - n // 10])
+        if 200 <= n < 60_000:
+            assert not any(kept(a, b) for a in texts[:4] for b in texts[:4] if a is not b), n
+
+
+def test_near_texts_at_the_ends_of_zones_are_linked(spark):
+    """The shorter text of a pair has a sketch of the longer one's zone as well; blocks of any size find the same."""
+    rng = random.Random(13)
+    texts = []
+    for n in (400, 2000, 6000, 12_000, 30_000):
+        base = "".join(rng.choices("abcdefgh ", k=n))
+        texts += [base, base[: n - 12], base[: n - n // 12], "".join(rng.choices("abcdefgh ", k=n))]
+    payloads = spark.createDataFrame([(u, bytearray(t.encode())) for u, t in enumerate(texts)], "uid long, payload binary")
+    rows_ = spark.createDataFrame([(u, u, tree, 0) for u in range(len(texts)) for tree in range(2)], "uid long, class long, tree int, prefix long")
+    sift = sketches.RunSift(sketches.sketched(payloads), (1, 10))
+    for block in (7, 1000):
+        links, pairs = buckets.sifted_links(rows_, payloads, edit_embedding._judge((1, 10)), sift, block)
+        assert Counter(map(tuple, links.collect())) == Counter({(4 * k + i, 4 * k + j): 1 for k in range(5) for i, j in ((1, 0), (2, 0), (2, 1))})
+
+
+def test_texts_go_to_a_block_once(spark, monkeypatch):
+    """Of many pairs in one block each text is sent once, and blocks of much text are dealt to parts with the same links."""
+    uids = range(12)
+    payloads = spark.createDataFrame([(u, bytearray(f"{u % 3} text".encode())) for u in uids], "uid long, payload binary")
+    pairs = spark.createDataFrame([(a, b, 6, 6, a % 2, 0, 0) for a in uids for b in uids if a > b], "uid long, head long, n long, n_head long, unit long, lo int, hi int")
+    for most in (16 << 20, 20):
+        monkeypatch.setattr(buckets, "BLOCK_BYTES", most)
+        links = buckets.verified_in_groups(pairs, lambda uids: payloads, lambda two: [x[:1] == y[:1] for x, y in two])
+        assert Counter(map(tuple, links.collect())) == Counter({(a, b): 1 for a in uids for b in uids if a > b and a % 3 == b % 3})
