@@ -35,6 +35,8 @@ class ByteCNN:
     def __init__(self, classes: list[str], seed: int = 7):
         rng = np.random.default_rng(seed)
         self.classes = classes
+        #: Shares of the documents of each language that were picked to learn from.
+        self.rates: dict[str, float] = {}
         self.embed = rng.normal(0, 0.5, (256, EMBED)).astype(np.float32)
         self.embed[0] = 0
         self.mask = np.zeros((max(WIDTHS) * EMBED, len(WIDTHS) * FILTERS), np.float32)
@@ -141,6 +143,16 @@ def _sample_windows(per_document: int):
     return cut
 
 
+def _picked(lang: Column, text: Column, rates: dict[str, float]) -> Column:
+    rate = F.create_map(*(x for k, r in rates.items() for x in (F.lit(k), F.lit(r))))[lang]
+    return F.coalesce(F.pmod(F.xxhash64(text, F.lit(5)), F.lit(1 << 40)) < rate * float(1 << 40), F.lit(False))
+
+
+def learnt(model: ByteCNN) -> Column:
+    """Whether the network has learnt from a row (text, lang) of those that it was given."""
+    return _picked(F.col("lang").cast("string"), F.col("text").cast("string"), model.rates)
+
+
 def train(docs: DataFrame, per_language: int = 1200, per_document: int = 3) -> ByteCNN | None:
     """A network for the languages of ``docs`` (text, lang), from a bounded sample of it."""
     short_batches(docs)
@@ -148,15 +160,17 @@ def train(docs: DataFrame, per_language: int = 1200, per_document: int = 3) -> B
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return None
-    rate = F.create_map(*(x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, per_language / n)))))[F.col("lang")]
-    chosen = rows.where(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 40)) < rate * float(1 << 40))
+    rates = {k: min(1.0, per_language / n) for k, n in counts.items()}
+    chosen = rows.where(_picked(F.col("lang"), F.col("text"), rates))
     got = chosen.mapInArrow(_sample_windows(per_document), "lang string, x binary").orderBy("lang", "x").toArrow()
     if not got.num_rows:
         return None
     classes = sorted(set(got["lang"].to_pylist()))
     index = {c: i for i, c in enumerate(classes)}
     x = np.frombuffer(b"".join(got["x"].to_pylist()), np.uint8).reshape(-1, WINDOW)
-    return ByteCNN(classes).fit(x, np.array([index[c] for c in got["lang"].to_pylist()]))
+    model = ByteCNN(classes).fit(x, np.array([index[c] for c in got["lang"].to_pylist()]))
+    model.rates = rates
+    return model
 
 
 def _predict(model: ByteCNN):
@@ -179,7 +193,8 @@ def _predict(model: ByteCNN):
                 names = [model.classes[b] if ok else UNKNOWN for b, ok in zip(best, letter, strict=True)]
                 score = np.where(letter, p[np.arange(len(p)), best], 0.0)
                 ids = batch.column(0).slice(first, end - first), batch.column(1).slice(first, end - first)
-                yield pa.RecordBatch.from_arrays([*ids, pa.array(names, pa.string()), pa.array(score)], names=["doc_id", "row_hash", "lang_pred", "score"])
+                more = [batch.column(k).slice(first, end - first) for k in range(4, batch.num_columns)]
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(names, pa.string()), pa.array(score), *more], names=["doc_id", "row_hash", "lang_pred", "score", *batch.schema.names[4:]])
 
     return run
 
@@ -199,12 +214,51 @@ def least_score(docs: DataFrame, model: ByteCNN, part: float = 0.5) -> float:
     return odds / (1 + odds)
 
 
-def identify(docs: DataFrame, model: ByteCNN | None) -> DataFrame:
-    """doc_id, row_hash (xxhash64 of the text), lang_pred, score of every row."""
+#: Steps of the logarithm of odds, and of how many labelled documents of like length one may be less sure than what counts as found.
+_STEP, ONE_IN = 0.01, 1000
+
+
+def size_class(text: Column) -> Column:
+    """Texts of at most twice a length are of like length; -1: no characters."""
+    n = F.length(text.cast("string"))
+    return F.when(n > 0, F.floor(F.log2(n.cast("double")))).otherwise(-1).cast("int")
+
+
+def _odds(score: Column) -> Column:
+    return score / F.greatest(1 - score, F.lit(1e-12))
+
+
+def least_odds(known: DataFrame, part: float = 0.5) -> dict[int, float]:
+    """By class of lengths: ``part`` of the odds that all rows of ``known`` (size, score) of that class have, but for one in ONE_IN.
+
+    A text of few letters tells little of its language and a long one much, so one least score of all would be that of the
+    shortest texts, which no long text falls below; and the least of ever more documents would in the end be a score that
+    none falls below. All rows are counted, by steps of the logarithm; fewer than ONE_IN rows all have these odds."""
+    steps = known.groupBy("size", F.floor(F.log(_odds(F.col("score"))) / _STEP).alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()
+    found = {}
+    for size in {r["size"] for r in steps}:
+        own = sorted((r["step"], r["n"]) for r in steps if r["size"] == size)
+        upto = np.cumsum([n for _, n in own])
+        found[size] = part * float(np.exp(own[int(np.searchsorted(upto, upto[-1] // ONE_IN, side="right"))][0] * _STEP))
+    return found
+
+
+def is_found(least: dict[int, float]) -> Column:
+    """Whether a language is found for rows (lang_pred, score, size), by ``least_odds``. A length without labelled documents
+    asks for the odds of the next shorter one; nothing is asked of texts shorter than all labelled ones."""
+    asked = F.lit(0.0)
+    for size in sorted(least):
+        asked = F.when(F.col("size") >= size, least[size]).otherwise(asked)
+    return (F.col("lang_pred") != UNKNOWN) & (_odds(F.col("score")) >= asked)
+
+
+def identify(docs: DataFrame, model: ByteCNN | None, more: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, row_hash (xxhash64 of the text), lang_pred, score and the columns ``more`` of every row."""
     short_batches(docs)
     text = F.col("text").cast("string")
     letter = has_letter(text)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row_hash"), F.when(letter, text).alias("text"), letter.alias("letter"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row_hash"), F.when(letter, text).alias("text"), letter.alias("letter"), *more)
     if model is None:
-        return rows.select("doc_id", "row_hash", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    return rows.mapInArrow(_predict(model), "doc_id long, row_hash long, lang_pred string, score double")
+        return rows.select("doc_id", "row_hash", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), *more)
+    types = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in more)
+    return rows.mapInArrow(_predict(model), "doc_id long, row_hash long, lang_pred string, score double" + types)

@@ -1379,3 +1379,15 @@ def test_texts_go_to_a_block_once(spark, monkeypatch):
         monkeypatch.setattr(buckets, "BLOCK_BYTES", most)
         links = buckets.verified_in_groups(pairs, lambda uids: payloads, lambda two: [x[:1] == y[:1] for x, y in two])
         assert Counter(map(tuple, links.collect())) == Counter({(a, b): 1 for a in uids for b in uids if a > b and a % 3 == b % 3})
+
+
+def test_least_odds_are_those_of_like_lengths(spark):
+    """All labelled rows count, by length; one in a thousand may be less sure, whatever the number of rows."""
+    few = [(1, 0.4), (1, 0.9), (7, 0.8), (7, 0.95)]
+    least = langid.least_odds(spark.createDataFrame(few, "size int, score double"))
+    assert least == {1: pytest.approx(0.5 * 0.4 / 0.6, rel=0.02), 7: pytest.approx(0.5 * 4, rel=0.02)}
+    many = spark.range(4000).select(F.lit(7).alias("size"), F.when(F.col("id") < 3, 0.3).when(F.col("id") < 5, 0.7).otherwise(0.99).alias("score"))
+    assert langid.least_odds(many) == {7: pytest.approx(0.5 * 0.7 / 0.3, rel=0.02)}
+    rows_ = spark.createDataFrame([("en", 0.3, 0), ("en", 0.3, 1), ("en", 0.2, 1), ("en", 0.6, 5), ("en", 0.6, 7), ("en", 0.7, 9), ("en", 0.6, 9), ("und", 0.0, 0)], "lang_pred string, score double, size int")
+    assert [r.found for r in rows_.select(langid.is_found(least).alias("found")).collect()] == [True, True, False, True, False, True, False, False]
+    assert rows_.where(langid.is_found({})).count() == 7

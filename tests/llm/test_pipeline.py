@@ -114,3 +114,17 @@ def test_near_duplicates_keep_the_least_id(make):
     t = _prose(rng, 100)
     got = ngram_join.ngram_join(make([(5, t), (3, t + " x"), (9, t + " y"), (1, _prose(rng, 50))]))
     assert {r.doc_id: (r.class_id, r.kept) for r in got.collect()} == {5: (3, False), 3: (3, True), 9: (3, False), 1: (1, True)}
+
+
+def test_language_stage_rejects_beside_a_short_label(spark, make):
+    """A labelled text that tells nothing of its language doesn't let everything pass, inside or outside the held-out fold."""
+    rng = random.Random(17)
+    letters = {"aa": "abcdefgh", "bb": "ijklmnop"}
+    text = lambda k: " ".join("".join(rng.choice(letters[k]) for _ in range(5)) for _ in range(12))
+    clean = [(i, text(k), k) for i in range(3000) for k in ["aa" if i % 2 else "bb"]]
+    held_out = [i for i in range(20_000, 20_100) if zlib.crc32(str(i).encode()) % 5 == 0]
+    short = [(i, f"x{i % 3}", "aa" if i % 2 else "bb") for i in held_out]
+    mixed = [(10_000 + i, " ".join(a + " " + b for a, b in zip(text("aa").split(), text("bb").split(), strict=True)), None) for i in range(60)]
+    left = {r.doc_id for r in corpus_pipeline.language_id(spark, make(clean + short + mixed), "").collect()}
+    assert sum(i < 10_000 for i in left) >= 0.995 * len(clean) and left >= set(held_out)
+    assert sum(10_000 <= i < 20_000 for i in left) < 40
