@@ -1391,3 +1391,19 @@ def test_least_odds_are_those_of_like_lengths(spark):
     rows_ = spark.createDataFrame([("en", 0.3, 0), ("en", 0.3, 1), ("en", 0.2, 1), ("en", 0.6, 5), ("en", 0.6, 7), ("en", 0.7, 9), ("en", 0.6, 9), ("und", 0.0, 0)], "lang_pred string, score double, size int")
     assert [r.found for r in rows_.select(langid.is_found(least).alias("found")).collect()] == [True, True, False, True, False, True, False, False]
     assert rows_.where(langid.is_found({})).count() == 7
+
+
+def test_rounds_of_bounded_size_find_the_same_pairs(spark, monkeypatch):
+    """What is sent at once is bounded by the texts; pairs that meet in several rounds are verified once."""
+    rng = random.Random(14)
+    texts = ["".join(rng.choices("abcdefgh ", k=500)) for _ in range(20)]
+    texts += [_edited(rng, t, 12) for t in texts[:6]]
+    rows_ = spark.createDataFrame([(u, u, tree, u % (tree + 2)) for tree in range(9) for u in range(len(texts))] + [(u, u, 20 + k, 0) for k in range(6) for u in (k, 20 + k)], "uid long, class long, tree int, prefix long")
+    payloads = spark.createDataFrame([(u, bytearray(t.encode())) for u, t in enumerate(texts)], "uid long, payload binary")
+    sift, rounds, real = sketches.RunSift(sketches.sketched(payloads), (1, 10)), [], buckets._rounds
+    monkeypatch.setattr(buckets, "_rounds", lambda *a: rounds.append(real(*a)) or rounds[-1])
+    for most in (1, 100):
+        monkeypatch.setattr(buckets, "AT_ONCE", most)
+        links, pairs = buckets.sifted_links(rows_, payloads, edit_embedding._judge((1, 10)), sift, 1000)
+        assert Counter(map(tuple, pairs.collect())) == Counter(map(tuple, links.collect())) == Counter({(20 + k, k): 1 for k in range(6)})
+    assert len(rounds[0]) > 4 and len(rounds[2]) == len(rounds[3]) == 1
